@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import simhash
+from threadloom.llm import repeats, simhash
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +13,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op6_repeats": op6_repeats,
     "op9_simhash": op9_simhash,
 }
 
