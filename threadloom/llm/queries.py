@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import repeats, simhash
+from threadloom.llm import bpe, repeats, simhash
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,13 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.decode(bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return found.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op10_bpe": op10_bpe,
     "op6_repeats": op6_repeats,
     "op9_simhash": op9_simhash,
 }
