@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, decontaminate, repeats, simhash
+from threadloom.llm import bpe, decontaminate, language, repeats, simhash
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,25 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _bucket(column: str, n: int) -> F.Column:
+    """crc32 of the id as text modulo n; null for a null id."""
+    return F.crc32(F.col(column).cast("string")) % n
+
+
+def language_model(docs: DataFrame) -> language.Model | None:
+    """Learned from the documents whose crc32(doc_id) mod 3 is not 1."""
+    return language.fit(docs.where(_bucket("doc_id", 3) != 1), by=F.xxhash64("doc_id"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = language.identify(docs.select("doc_id", "text"), language_model(docs))
+    held_out = F.coalesce(_bucket("row.doc_id", 3) == 1, F.lit(False))
+    return found.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES = {
+    "op2_language": op2_language,
     "op3_decontaminate": op3_decontaminate,
     "op10_bpe": op10_bpe,
     "op6_repeats": op6_repeats,
