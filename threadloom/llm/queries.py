@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, decontaminate, language, repeats, simhash
+from threadloom.llm import bpe, decontaminate, language, repeats, simhash, toxicity
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,21 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where(_bucket("doc_id", 5) != 0))
+    found = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return found.select(
+        "row.doc_id",
+        F.coalesce(_bucket("row.doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op2_language": op2_language,
     "op3_decontaminate": op3_decontaminate,
     "op10_bpe": op10_bpe,
