@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, decontaminate, language, repeats, simhash, toxicity
+from threadloom.llm import bpe, decontaminate, language, repeats, simhash, toxicity, urls, warc
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,28 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = (
+    urls.Rule("block", "com/en/"),
+    urls.Rule("allow", "example.com/en/7"),
+    urls.Rule("allow", "net/de/"),
+    urls.Rule("block", "example.net/de/8"),
+    urls.Rule("block", "org/es/"),
+)
+
+
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urls.judge(pages, urls.fit(pages), URL_RULES).select("row.page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, folder = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op1_urls": op1_urls,
+    "op8_warc": op8_warc,
     "op5_toxicity": op5_toxicity,
     "op2_language": op2_language,
     "op3_decontaminate": op3_decontaminate,
@@ -80,6 +101,16 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op8_warc": r"""
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS h, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+q AS (
+    SELECT page_id, n, sha1(h) AS d, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS head FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+    CASE WHEN head IS NULL OR page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN head IS NULL OR page_id = head THEN NULL ELSE head END AS refers_to
+FROM q
+""",
     "op3_decontaminate": r"""
 WITH words AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
