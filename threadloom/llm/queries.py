@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, decontaminate, language, repeats, simhash, toxicity, urls, warc
+from threadloom.llm import bpe, decontaminate, language, repeats, simhash, toxicity, urls, vectors, warc
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
+    "op4_vectors": op4_vectors,
     "op1_urls": op1_urls,
     "op8_warc": op8_warc,
     "op5_toxicity": op5_toxicity,
@@ -101,6 +106,23 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_vectors": r"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+    SELECT vec_id AS node, vec_id AS other FROM embeddings
+    UNION
+    SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+comp AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN comp ON comp.node = e.vec_id LEFT JOIN deg ON deg.a = e.vec_id
+""",
     "op8_warc": r"""
 WITH p AS (
     SELECT page_id, coalesce(html, '') AS h, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
