@@ -18,11 +18,16 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bpe.decode(bpe.encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Number and digest of each text's token ids, and the digest of what they decode to."""
+    found = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
     return found.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     hits = F.aggregate(F.arrays_zip("begin", "end"), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
