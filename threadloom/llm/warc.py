@@ -23,7 +23,7 @@ DICTIONARY_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are stored again rather than referred to.
 LEAST_REVISIT = 1000
-#: Bounds of the sample that the dictionary is built from, and of the dictionary.
+#: Bounds of the sample that the dictionary is built from (rows in expectation, characters of one), and of the dictionary.
 SAMPLE_ROWS, SAMPLE_TEXT, DICTIONARY_BYTES = 1000, 1 << 16, 112 << 10
 #: An archive is closed once it has this many bytes.
 ARCHIVE_BYTES = 64 << 20
@@ -144,10 +144,13 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def dictionary_sample(pages: DataFrame, html_col: str = "html", rows: int = SAMPLE_ROWS) -> list[bytes]:
-    """Payloads of at most ``rows`` rows and ``SAMPLE_TEXT`` characters each, those of the smallest text hashes."""
+    """Payloads of about ``rows`` rows of at most ``SAMPLE_TEXT`` characters, picked by a hash of the text; rows that the
+    pick leaves out never travel."""
     html = F.col(html_col).cast("string")
-    picked = pages.select(F.xxhash64(html).alias("h"), html.alias("t")).where((F.length("t") > 0) & (F.length("t") <= SAMPLE_TEXT))
-    return sorted(r.t.encode() for r in picked.orderBy("h").limit(rows).select("t").collect())
+    fit = pages.select(html.alias("t")).where((F.length("t") > 0) & (F.length("t") <= SAMPLE_TEXT))
+    share = rows / max(rows, fit.count())
+    picked = fit.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return sorted(r.t.encode() for r in picked.collect())
 
 
 def write(planned: DataFrame, dictionary: bytes, folder: str, date: str = "2024-01-01T00:00:00Z", most: int = ARCHIVE_BYTES) -> DataFrame:
