@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.arrow_text import each
 
-#: Labelled rows of each class that the classifier is fitted on.
+#: Labelled rows of each class that the classifier is fitted on, in expectation.
 SAMPLE_PER_CLASS = 6000
 #: Letters of a word's beginning that set the prior of its log-odds, and the weights of the two priors.
 STEM, WORD_PRIOR, STEM_PRIOR = 4, 2.0, 4.0
@@ -155,17 +155,18 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, per_class: int) -> list[tuple[int, int]]:
-    """At most ``per_class`` ids of each class with their label, in order of the id's hash. An id that is labelled
-    more than once counts as toxic if one label says so."""
+    """About ``per_class`` ids of each class with their label, picked by the id's hash. An id that is labelled more
+    than once counts as toxic if one label says so."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    out = []
-    for y in (0, 1):
-        out += [(r.id, r.y) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()]
-    return out
+    pick = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    most = F.lit(0)
+    for r in known.groupBy("y").agg(F.count("*").alias("n")).collect():
+        most = F.when(F.col("y") == r.y, int((1 << 30) * min(1.0, per_class / r.n))).otherwise(most)
+    return sorted((r.id, r.y) for r in known.where(pick < most).collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model | None:
-    """A model from at most ``per_class`` labelled rows of each class; none if a class has no row with text.
+    """A model from about ``per_class`` labelled rows of each class; none if a class has no row with text.
 
     Two thirds of the sample set the log-odds. The others, whose words had no part in that, set the extreme-value law
     (those labelled 0) and the final weights, weighted to the class sizes of ``labels``.
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     table = spark.createDataFrame(sample, "id long, y int")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(table), "id")
-    texts = texts.where("text is not null").select("y", (F.pmod(F.xxhash64("id"), F.lit(3)) == 2).alias("held"), "text")
+    texts = texts.where("text is not null").select("y", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 2).alias("held"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
