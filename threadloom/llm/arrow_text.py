@@ -7,6 +7,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of an Arrow batch of whole texts; Spark's own default of 10,000 suits numbers.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to ``BATCH_ROWS`` rows, so that a batch of texts takes megabytes on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def apart(df: DataFrame, text_col: str) -> DataFrame:
+    """``row``, a struct of all other columns under their own names, and ``text``: no name of the input can clash with a
+    result's, and the text travels once."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text_col]
+    return df.select(F.struct(*rest or [F.lit(None).cast("int").alias("none")]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def together(columns: list[str], text_col: str = "text", text: Column | None = None) -> list[Column]:
+    """The input's columns again, out of ``row`` and ``text``."""
+    text = F.col("text") if text is None else text
+    return [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import each, runs, utf8
+from threadloom.llm.arrow_text import apart, each, runs, small_batches, utf8
 
 #: Pieces a worker remembers, and the longest piece worth it.
 CACHE_PIECES, CACHE_CHARS = 300_000, 48
@@ -149,9 +149,8 @@ def encode(docs: DataFrame, text_col: str = "text", vocab: bytes | None = None,
     empty text has no tokens. Special tokens' strings are ordinary text. A text of any length is split where
     no match of the pattern crosses, so memory follows the batch.
     """
-    text = F.col(text_col).cast("string")
-    rest = [c for c in docs.columns if c != text_col]
-    given = docs.select(F.struct(*rest).alias("row"), text.alias("text"))
+    small_batches(docs.sparkSession)
+    given = apart(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(vocab or vocabulary())
     pattern = _pattern(pattern)
     more = ", begin binary, end binary" if offsets else ""
@@ -178,6 +177,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", vocab: bytes | None = None,
 
     Bytes, because ids need not end where a character does; ``decode(decoded, 'UTF-8')`` gives text.
     """
+    small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(vocab or vocabulary())
     pattern = _pattern(pattern)
     rest = [c for c in encoded.columns if c != "decoded"]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import runs, utf8
+from threadloom.llm.arrow_text import apart, runs, small_batches, together, utf8
 
 WINDOW = 10
 #: Benchmark text that one pass carries to the executors; a larger benchmark takes further passes.
@@ -194,7 +194,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``row`` (all columns of ``docs``), ``n_words``, ``begin``, ``end`` and ``items`` of every row.
+    """``row`` (all other columns of ``docs``), ``text``, ``n_words``, ``begin``, ``end`` and ``items`` of every row.
 
     ``begin`` and ``end`` bound the document's words (end exclusive, runs merged) that lie inside an occurrence of a
     window: ``window`` consecutive words of an item, or all words of a shorter item. ``items`` are the distinct items,
@@ -204,16 +204,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     The documents are never shuffled. The benchmark is carried to them in blocks of bounded size, each a further pass.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null")
     total = bench.select(F.sum(F.octet_length("t"))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
-    given = docs.select(
-        F.struct(*docs.columns).alias("row"),
+    given = apart(docs, text_col).select(
+        "row",
         F.lit(0).cast("long").alias("n_words"),
         *(F.array().cast("array<long>").alias(c) for c in ("begin", "end")),
         F.array().cast("array<string>").alias("items"),
-        F.col(text_col).cast("string").alias("text"),
+        "text",
     )
     schema = f"row {given.schema['row'].dataType.simpleString()}, n_words long, begin array<long>, end array<long>, items array<string>, text string"
     for k in range(n_blocks):
@@ -236,9 +237,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         given = given.mapInArrow(run, schema)
-    return given.drop("text")
+    return given
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, all columns unchanged."""
-    return contamination(docs, benchmark, **options).where(F.size("begin") == 0).select("row.*")
+    return contamination(docs, benchmark, text_col, **options).where(F.size("begin") == 0).select(together(docs.columns, text_col))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import runs, utf8
+from threadloom.llm.arrow_text import apart, runs, small_batches, utf8
 
 #: Buckets of hashed subwords, numbers in an embedding, bytes in a subword.
 BUCKET_BITS, WIDTH, ORDERS = 13, 16, (2, 3, 4)
@@ -189,16 +189,16 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", by: F.C
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``row`` (all columns), ``lang_pred``, ``score`` and ``rejected`` of every row.
+    """``row`` (all other columns), ``text``, ``lang_pred``, ``score`` and ``rejected`` of every row.
 
     A text that is null or has no letter is ``und`` with score 0 and rejected, and so is every text without a model.
     Others get a learned language, the calibrated probability of it, and ``rejected`` where that is below the
     calibrated threshold. Only the text is used.
     """
-    text = F.col(text_col).cast("string")
-    given = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), text.alias("text"))
+    small_batches(docs.sparkSession)
+    given = apart(docs, text_col).select("row", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"row {given.schema['row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean"
+    schema = f"row {given.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -213,7 +213,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             score = np.where(letters, np.clip(score, 0, 1), 0.0)
             rejected = ~letters | (score < (m.reject_below if m else 0))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["row", "lang_pred", "score", "rejected"]
+                [b.column(0), b.column(2), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["row", "text", "lang_pred", "score", "rejected"]
             )
 
     return given.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import each
+from threadloom.llm.arrow_text import each, small_batches
 from threadloom.plans.scratch import cut
 
 WINDOW = 35
@@ -125,10 +125,11 @@ def _paths(texts: Iterator[bytes], window: int, anchor: int) -> Iterator[tuple[n
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``i`` and ``t``: what tells rows of different id or text apart; rows equal in both behave alike."""
+    small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     kind = dict(docs.dtypes)[id_col]
     ident = F.col(id_col).cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(id_col)
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     return docs.select(
         F.coalesce(ident, F.lit(-(1 << 62))).alias("i"), F.xxhash64(text).alias("t"), F.struct(*rest).alias("row"), text.alias("text")
     )

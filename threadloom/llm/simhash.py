@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import each
+from threadloom.llm.arrow_text import each, small_batches
 from threadloom.operators.components import connected_components
 from threadloom.plans.scratch import cut
 
@@ -48,6 +48,7 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """``id``, ``key`` (a hash of the text) and ``fp`` (the fingerprint as a signed 64-bit integer) of every row."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

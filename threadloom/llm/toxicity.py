@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import each
+from threadloom.llm.arrow_text import apart, each, small_batches
 
 #: Labelled rows of each class that the classifier is fitted on, in expectation.
 SAMPLE_PER_CLASS = 6000
@@ -210,6 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _measure(texts: DataFrame, model: Model) -> DataFrame:
+    small_batches(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +234,8 @@ def score_toxicity(docs: DataFrame, model: Model | None, text_col: str = "text")
     letters. ``score`` is the chance of label 1. Null and empty texts have no passage and the score that none
     gives; without a model every score is 0. Only the text is used.
     """
-    rest = [c for c in docs.columns if c != text_col]
-    given = docs.select(F.struct(*rest).alias("row"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
+    given = apart(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e", pa.float64())]))
     schema = f"row {given.schema['row'].dataType.simpleString()}, score double, passages array<struct<first:bigint,end:bigint,score:double,e:double>>"

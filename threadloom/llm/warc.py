@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import each
+from threadloom.llm.arrow_text import each, small_batches
 from threadloom.plans.scratch import cut, scratch_path
 
 #: First bytes of the frame that holds the dictionary (fixed by the format).
@@ -130,6 +130,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     it; all smaller ones are responses. A null payload is empty. A null id is never the largest; where all are
     null, all are responses. Only ids and digests are aggregated; rows below the limit take no part in the join.
     """
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("uri"), html.alias("html"))
     rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha1(F.encode("html", "UTF-8"))})
