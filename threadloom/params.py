@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import count
 from string import ascii_uppercase, digits
 
 #: Letters by alphabet size; a letter's code is its place. 25 is not offered, as Z would have no code.
@@ -17,19 +19,14 @@ SEED = 11110
 def libc_rand(seed: int = SEED) -> Iterator[int]:
     """The additive-feedback generator behind C's ``rand()``: a linear congruence fills 31 words, then each word is
     the sum of those 3 and 31 before it; the first 310 are thrown away and each output drops its lowest bit."""
-    ring = [seed]
-    while len(ring) < 31:
-        ring.append(16807 * ring[-1] % 0x7FFFFFFF)
-    ring += ring[:3]
-    n = 34
-    while True:
-        word = (ring[n - 3] + ring[n - 31]) & 0xFFFFFFFF
-        ring.append(word)
-        if n >= 344:
-            yield word >> 1
-        n += 1
-        if n > 4096:
-            ring, n = ring[-31:], 31
+    first = [seed]
+    while len(first) < 31:
+        first.append(16807 * first[-1] % 0x7FFFFFFF)
+    ring = deque(first[3:] + first[:3], maxlen=31)
+    for n in count():
+        ring.append((ring[-3] + ring[-31]) & 0xFFFFFFFF)
+        if n >= 310:
+            yield ring[-1] >> 1
 
 
 @dataclass(frozen=True)

@@ -20,9 +20,9 @@ from threadloom.plans.lsh import bucket_sizes, buckets, candidate_cardinality, c
 from threadloom.plans.scratch import cut
 from threadloom.sources.strings import from_table
 
-PARAMS = JoinParams(num_str=5, num_hash=7, num_bits=12, alphabet=37, k=2, shift=1, sampling_range=60, count_filter=1, min_pts=3)
+PARAMS = JoinParams(num_str=5, num_hash=7, num_bits=12, alphabet=37, k=4, shift=2, sampling_range=60, count_filter=1, min_pts=3)
 #: Rows of a chunk in the two-level query: small, so that the small tables have several.
-CHUNKED = JoinParams(num_str=5, num_hash=7, num_bits=12, alphabet=37, k=2, shift=1, sampling_range=60, min_pts=3, chunk_size=100, second_level_min_pts=1)
+CHUNKED = JoinParams(num_str=5, num_hash=7, num_bits=12, alphabet=37, k=4, shift=2, sampling_range=60, min_pts=3, chunk_size=100, second_level_min_pts=1)
 
 
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
