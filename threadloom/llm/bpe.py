@@ -13,10 +13,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import apart, each, runs, small_batches, utf8
+from threadloom.llm.arrow_text import apart, each, frugal, runs, small_batches, utf8
 
 #: Pieces a worker remembers, and the longest piece worth it.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+CACHE_PIECES, CACHE_CHARS = 200_000, 48
 #: Characters split at once.
 CHUNK = 1 << 18
 
@@ -169,7 +169,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocab: bytes | None = None,
                     columns += [pa.array([s[k].astype("<u4").tobytes() for s in spans], pa.binary()) for k in range(2)]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "n_tokens", "ids", *(["begin", "end"] if offsets else [])])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(frugal(run), schema)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", vocab: bytes | None = None, pattern: str | None = None) -> DataFrame:
@@ -198,4 +198,4 @@ def decode(encoded: DataFrame, ids_col: str = "ids", vocab: bytes | None = None,
                 got = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(total.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())])
                 yield pa.RecordBatch.from_arrays([*part.columns, got.cast(pa.binary())], [*rest, "decoded"])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(frugal(run), schema)

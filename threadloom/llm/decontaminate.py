@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import apart, runs, small_batches, together, utf8
+from threadloom.llm.arrow_text import apart, frugal, runs, small_batches, together, utf8
 
 WINDOW = 10
 #: Benchmark text that one pass carries to the executors; a larger benchmark takes further passes.
@@ -236,7 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 }
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-        given = given.mapInArrow(run, schema)
+        given = given.mapInArrow(frugal(run), schema)
     return given
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import apart, runs, small_batches, utf8
+from threadloom.llm.arrow_text import apart, frugal, runs, small_batches, utf8
 
 #: Buckets of hashed subwords, numbers in an embedding, bytes in a subword.
 BUCKET_BITS, WIDTH, ORDERS = 13, 16, (2, 3, 4)
@@ -216,4 +216,4 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                 [b.column(0), b.column(2), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["row", "text", "lang_pred", "score", "rejected"]
             )
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(frugal(run), schema)

@@ -11,15 +11,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import each, small_batches
+from threadloom.llm.arrow_text import each, frugal, small_batches
 from threadloom.plans.scratch import cut
 
 WINDOW = 35
 #: Words of the anchors that deal edges into buckets.
 ANCHOR = 6
 #: Words hashed at once; a longer text is done in overlapping pieces.
-PIECE = 1 << 20
-_POS = np.uint64((1 << 21) - 1)
+PIECE = 1 << 17
+_POS = np.uint64((1 << 20) - 1)
 _Q = 0x9E3779B97F4A7C15 | 1
 _powers: dict[int, np.ndarray] = {}
 
@@ -101,7 +101,7 @@ def _grouped(texts: Iterator[bytes]) -> Iterator[tuple[list[int], list[bytes], l
     ends: list[int] = []
     for i, t in enumerate(texts):
         tokens = t.split()
-        if len(tokens) > PIECE or words and len(words) + len(tokens) > PIECE // 4:
+        if len(tokens) > PIECE or words and len(words) + len(tokens) > PIECE:
             if words:
                 yield which, words, ends
             which, words, ends = [], [], []
@@ -147,7 +147,7 @@ def _packed(keyed: DataFrame, *more: str) -> DataFrame:
             z = pa.array([None if no else pack.compress(t) for t, no in zip(each(b.column(b.num_columns - 1)), null)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], z], [*b.schema.names[:-1], "z"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(frugal(run), schema)
 
 
 def _pos(p: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -175,7 +175,7 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                     [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), _pos(p, n)], ["a", "c", "i", "t", "pos"]
                 )
 
-    paths = cut(keyed.select("i", "t", "text").mapInArrow(find, "a long, c long, i long, t long, pos long"), "paths")
+    paths = cut(keyed.select("i", "t", "text").mapInArrow(frugal(find), "a long, c long, i long, t long, pos long"), "paths")
     # Written, so that both sides of the join are plain exchanges: then a partition with a hot anchor can be split.
     anchors = cut(paths.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors")
     met = cut(paths.join(anchors, "a"), "met")
@@ -188,38 +188,46 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            for i, t, z, wanted in zip(*(b.column(k) for k in range(4))):
+            rows, asked_at, found, begins = [], [], [], []
+            asks = b.column(3).flatten()
+            pos, n_asks = asks.field("pos").to_numpy(zero_copy_only=False), 0
+            for row, (z, wanted) in enumerate(zip(b.column(2), b.column(3))):
                 h = _prefix(_hashes(unpack.decompress(z.as_py()).split())[:, 1])
-                asks = wanted.values
-                pos = asks.field("pos").to_numpy(zero_copy_only=False)
-                n = pos & 63
-                which = np.repeat(np.arange(len(pos)), n)
-                p = (pos >> 6)[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                w = _spans(h, p, p + window)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        asks.field("a").take(pa.array(which)),
-                        pa.array(w.view(np.int64)),
-                        pa.repeat(i, len(p)),
-                        pa.repeat(t, len(p)),
-                        pa.array((p << 1) | asks.field("twice").to_numpy(zero_copy_only=False)[which]),
-                    ],
-                    ["a", "w", "i", "t", "p"],
-                )
-
-    edges = cut(_packed(keyed.where("text is not null")).select("i", "t", "z").join(asked, ["i", "t"]).mapInArrow(read, "a long, w long, i long, t long, p long"), "edges")
+                mine = pos[n_asks : n_asks + len(wanted)]
+                n = mine & 63
+                which = np.repeat(np.arange(len(mine)), n)
+                p = (mine >> 6)[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                rows.append(np.full(len(p), row))
+                asked_at.append(which + n_asks)
+                found.append(_spans(h, p, p + window))
+                begins.append(p)
+                n_asks += len(mine)
+            if rows:
+                row, which = pa.array(np.concatenate(rows)), np.concatenate(asked_at)
+                twice = asks.field("twice").to_numpy(zero_copy_only=False)[which]
+                columns = [
+                    asks.field("a").take(pa.array(which)),
+                    pa.array(np.concatenate(found).view(np.int64)),
+                    b.column(0).take(row),
+                    b.column(1).take(row),
+                    pa.array((np.concatenate(begins) << 1) | twice),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "w", "i", "t", "p"])
+
+    edges = cut(_packed(keyed.where("text is not null")).select("i", "t", "z").join(asked, ["i", "t"]).mapInArrow(frugal(read), "a long, w long, i long, t long, p long"), "edges")
     again = cut(edges.groupBy("a", "w").agg(F.sum((F.col("p") % 2) + 1).alias("n")).where("n > 1").select("a", "w"), "again")
     single = edges.where("p % 2 = 0").join(again, ["a", "w"]).select("i", "t", F.expr("shiftleft(shiftright(p, 1), 6) + 1").alias("pos"))
     return whole.unionByName(single)
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, as_is: bool = False) -> DataFrame:
     """``row`` (all columns but the text), ``n_words``, ``n_removed`` and ``kept`` of every row.
 
     ``kept`` is the text without each word that a window of ``window`` words covers whose word sequence starts at
     any other place too, in the same text or another; the words left are joined by one space. Windows are judged
     on the input. A null text has no words and keeps ``''``; texts shorter than the window lose nothing; rows
-    equal in id and text are copies of each other like any two texts. An empty table gives an empty result.
+    equal in id and text are copies of each other like any two texts. An empty table gives an empty result. With
+    ``as_is`` a text that loses nothing keeps its white space, and a null stays null.
     """
     keyed = _keyed(docs, id_col, text_col)
     spans = repeated_spans(keyed, window).groupBy("i", "t").agg(F.collect_set("pos").alias("spans"))
@@ -241,9 +249,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     left = np.cumsum(edge[:-1]) == 0
                     words = [w for w, keep in zip(words, left.tolist()) if keep]
                 gone.append(total[-1] - len(words))
-                kept.append(b" ".join(words))
+                kept.append(b" ".join(words) if gone[-1] or not as_is else unpack.decompress(z.as_py()) if z.is_valid else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept"]
             )
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(frugal(run), schema)

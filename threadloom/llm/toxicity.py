@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import apart, each, small_batches
+from threadloom.llm.arrow_text import apart, each, frugal, small_batches
 
 #: Labelled rows of each class that the classifier is fitted on, in expectation.
 SAMPLE_PER_CLASS = 6000
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             names = sorted(set(seen[0]) | set(seen[1]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([s[w] for w in names], pa.int64()) for s in seen)], ["w", "n0", "n1"])
 
-    counts = texts.where("not held").mapInArrow(count, "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = texts.where("not held").mapInArrow(frugal(count), "w string, n0 long, n1 long").groupBy("w").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     got = {r.w: (r.n0, r.n1) for r in counts.where("n1 > 1 or n0 > 1").collect()}
     rows = got.pop("\n", (0, 0))
     if not min(rows):
@@ -224,7 +224,7 @@ def _measure(texts: DataFrame, model: Model) -> DataFrame:
                 scores.append(found[:200])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(best, pa.float64()), pa.array(scores, pa.list_(pa.float64()))], ["y", "n", "best", "scores"])
 
-    return texts.mapInArrow(run, "y int, n long, best double, scores array<double>")
+    return texts.mapInArrow(frugal(run), "y int, n long, best double, scores array<double>")
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -251,4 +251,4 @@ def score_toxicity(docs: DataFrame, model: Model | None, text_col: str = "text")
                 passages.append([dict(zip(("first", "end", "score", "e"), p)) for p in keep])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64()), pa.array(passages, kind)], ["row", "score", "passages"])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(frugal(run), schema)

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import each, small_batches
+from threadloom.llm.arrow_text import each, frugal, small_batches
 from threadloom.plans.scratch import cut, scratch_path
 
 #: First bytes of the frame that holds the dictionary (fixed by the format).
@@ -190,7 +190,7 @@ def write(planned: DataFrame, dictionary: bytes, folder: str, date: str = "2024-
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
     named = planned.select("page_id", "uri", "html", "size", "digest", "kind", "refers")
-    return cut(named.mapInArrow(run, "path string, records long, bytes long"), "manifest")
+    return cut(named.mapInArrow(frugal(run), "path string, records long, bytes long"), "manifest")
 
 
 def read(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
@@ -216,7 +216,7 @@ def read(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
 
     files = manifest.select("path").repartition(max(1, min(10_000, manifest.count())))
     schema = "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, uri string" + ", payload binary" * payload
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(frugal(run), schema)
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> tuple[DataFrame, str]:
