@@ -175,7 +175,7 @@ def write(planned: DataFrame, dictionary: bytes, folder: str, date: str = "2024-
             for i, html in enumerate(each(b.column(2))):
                 if out is None:
                     name, n, size = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst", 0, len(head)
-                    out = store.open_output_stream(f"{root}/{name}")
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(head)
                 frame = pack.compress(record(kinds[i], ids[i], uris[i], html, digests[i], sizes[i], refers[i], date))
                 out.write(frame)
@@ -203,7 +203,7 @@ def read(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
         store, root = filesystem(folder)
         for b in batches:
             for name in b.column(0).to_pylist():
-                with store.open_input_stream(f"{root}/{name}") as stream:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     rows: list[dict] = []
                     size = 0
                     for data in records(stream):
