@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, decontaminate, language, repeats, simhash, toxicity, urls, vectors, warc
+from threadloom.llm import bpe, chat, decontaminate, language, repeats, simhash, toxicity, urls, vectors, warc
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,13 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return found.select("conv_id", "turn", "role", "action", "new_role", "inserted", "cost", "last", F.sha2("piece", 256).alias("piece_sha256"))
+
+
 QUERIES = {
+    "op7_chat": op7_chat,
     "op4_vectors": op4_vectors,
     "op1_urls": op1_urls,
     "op8_warc": op8_warc,
