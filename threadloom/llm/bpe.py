@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from threadloom.llm.arrow_text import apart, each, frugal, runs, small_batches, utf8
 
 #: Pieces a worker remembers, and the longest piece worth it.
-CACHE_PIECES, CACHE_CHARS = 200_000, 48
+CACHE_PIECES, CACHE_CHARS = 100_000, 48
+#: Bytes of texts or ids in one pass.
+RUN_BYTES = 1 << 20
 #: Characters split at once.
 CHUNK = 1 << 18
 
@@ -160,7 +162,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocab: bytes | None = None,
         codec = _codec(shared.value, pattern)
         for b in batches:
             _, at = utf8(b.column(1))
-            for i, j in runs(at, 1 << 22):
+            for i, j in runs(at, RUN_BYTES):
                 part = b.slice(i, j - i)
                 ids = [codec.encode(t.decode()) for t in each(part.column(1))]
                 columns = [part.column(0), pa.array([len(x) >> 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
@@ -168,6 +170,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocab: bytes | None = None,
                     spans = [codec.offsets(np.frombuffer(x, "<u4")) for x in ids]
                     columns += [pa.array([s[k].astype("<u4").tobytes() for s in spans], pa.binary()) for k in range(2)]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "n_tokens", "ids", *(["begin", "end"] if offsets else [])])
+        codec.known.clear()
 
     return given.mapInArrow(frugal(run), schema)
 
@@ -189,7 +192,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", vocab: bytes | None = None,
         codec = _codec(shared.value, pattern)
         for b in batches:
             _, offsets = utf8(b.column(at))
-            for i, j in runs(offsets, 1 << 22):
+            for i, j in runs(offsets, RUN_BYTES):
                 part = b.slice(i, j - i)
                 data, ends = utf8(part.column(at))
                 ids = np.frombuffer(data.tobytes(), "<u4")

@@ -17,6 +17,8 @@ from threadloom.llm.arrow_text import apart, frugal, runs, small_batches, togeth
 WINDOW = 10
 #: Benchmark text that one pass carries to the executors; a larger benchmark takes further passes.
 BLOCK_BYTES = 2 << 20
+#: Text bytes of one numpy pass; a longer text is one pass.
+RUN_BYTES = 1 << 20
 #: Window ends that one lane of the search looks at.
 LANE = 256
 
@@ -166,7 +168,7 @@ def _scan(groups: list[Group], column: pa.Array, spans: list[np.ndarray], items:
     """Adds the hits of every text of the column to ``spans`` (first and end word) and ``items``; gives word counts."""
     data, at = utf8(column)
     counts = np.zeros(len(column), np.int64)
-    for i, j in runs(at, 1 << 22):
+    for i, j in runs(at, RUN_BYTES):
         part, local = data[at[i] : at[j]], at[i : j + 1] - at[i]
         h, begin, end, text = word_hashes(part, local)
         first = np.searchsorted(text, np.arange(j - i), side="left")
