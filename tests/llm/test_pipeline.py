@@ -54,7 +54,7 @@ def test_query_equals_its_oracle(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = db.sql(ORACLES[name])
     columns = sorted(want.columns)

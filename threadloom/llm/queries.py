@@ -116,7 +116,64 @@ QUERIES = {
     "op9_simhash": op9_simhash,
 }
 
+def _chat_oracle(costs: chat.Costs) -> str:
+    """The automaton's moves as literals; the dynamic programme, its ties and the pieces in SQL."""
+    text = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    moves, ends = [], []
+    for role, states in costs.moves().items():
+        for state, choices in enumerate(states):
+            for k, c in enumerate(choices):
+                head = chat.piece(c, state, "", False)
+                moves.append(f"({role}, {state}, {k}, {c[0]}, {c[1]}, '{c[2]}', '{chat.ROLES[c[1]]}', {len(c[3])}, {text(head)})")
+    for state, cost in enumerate(costs.ending()):
+        tail = chat.piece((0, state, "merge", ()), state, "", True)[1:]
+        ends.append(f"({state}, {cost}, {len(chat._ENDING[state])}, {text(tail)})")
+    names = " ".join(f"WHEN '{name}' THEN {code}" for name, code in chat.ALIASES.items())
+    return f"""
+WITH RECURSIVE moves(role, state, k, cost, nxt, action, new_role, ins, head) AS (VALUES {", ".join(moves)}),
+ends(state, cost, ins, tail) AS (VALUES {", ".join(ends)}),
+t AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE lower(trim(coalesce(role, ''))) {names} ELSE 0 END AS code,
+        row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS total
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, conversations.text NULLS FIRST)),
+dp AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, 0 AS state, {{'c': CAST(0 AS BIGINT), 'p': ''}} AS best FROM t
+    UNION ALL
+    SELECT d.conv_id, d.n + 1, m.nxt, min({{'c': d.best.c + m.cost, 'p': d.best.p || CAST(m.k AS VARCHAR)}})
+    FROM dp d JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id AND t.n = d.n + 1 JOIN moves m ON m.role = t.code AND m.state = d.state
+    GROUP BY d.conv_id, d.n + 1, m.nxt),
+plan AS (
+    SELECT d.conv_id, min({{'c': d.best.c + e.cost, 'p': d.best.p}}).p AS p
+    FROM dp d JOIN ends e ON e.state = d.state JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id AND t.n = d.n AND t.n = t.total GROUP BY d.conv_id),
+replay AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS n, 0 AS state, p, CAST(0 AS BIGINT) AS k, 0 AS came FROM plan
+    UNION ALL
+    SELECT r.conv_id, r.n + 1, m.nxt, r.p, CAST(m.k AS BIGINT), r.state
+    FROM replay r JOIN t ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND t.n = r.n + 1
+    JOIN moves m ON m.role = t.code AND m.state = r.state AND m.k = TRY_CAST(substr(r.p, CAST(r.n + 1 AS BIGINT), 1) AS INTEGER))
+SELECT t.conv_id, t.turn, t.role, m.action, m.new_role, CAST(m.ins + CASE WHEN t.n = t.total THEN e.ins ELSE 0 END AS INTEGER) AS inserted,
+    CAST(m.cost + CASE WHEN t.n = t.total THEN e.cost ELSE 0 END AS BIGINT) AS cost, t.n = t.total AS last,
+    sha256(m.head || t.text || CASE WHEN t.n = t.total THEN e.tail ELSE '' END) AS piece_sha256
+FROM replay r JOIN t ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND t.n = r.n
+JOIN moves m ON m.role = t.code AND m.state = r.came AND m.k = r.k JOIN ends e ON e.state = r.state
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op6_repeats": r"""
+WITH words AS (
+    SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+    FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM windows SEMI JOIN again USING (h)),
+each_word AS (SELECT r, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM words),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM each_word ANTI JOIN gone USING (r, k) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (r)
+""",
+    "op7_chat": _chat_oracle(chat.Costs()),
     "op4_vectors": r"""
 WITH RECURSIVE v AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
