@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -79,13 +80,16 @@ class Model:
         self._known = {}
 
     def token_scores(self, words: list[str]) -> np.ndarray:
+        """A word that only repeats the one before it is no further evidence."""
         known = self._known
         if len(known) > CACHE:
             known.clear()
         for w in set(words).difference(known):
             s = self.words.get(w)
             known[w] = (self.stems.get(w[:STEM], 0.0) if s is None else s) - DRIFT
-        return np.fromiter(map(known.__getitem__, words), float, len(words))
+        out = np.fromiter(map(known.__getitem__, words), float, len(words))
+        out[1:][np.fromiter(map(eq, words, words[1:]), bool, max(0, len(words) - 1))] = -DRIFT
+        return out
 
     def passages(self, words: list[str]) -> list[tuple[int, int, float, float]]:
         """Maximal segments with their E-values: first word, end word, score, E."""
