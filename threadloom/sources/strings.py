@@ -24,7 +24,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         offsets.append((r.f, r.b, total - r.least))
         total += r.n
     table = spark.createDataFrame(offsets, "f string, b long, shift long")
-    return lines.join(F.broadcast(table), ["f", "b"]).select((F.col("m") + F.col("shift")).alias("i"), "s")
+    return lines.join(table, ["f", "b"]).select((F.col("m") + F.col("shift")).alias("i"), "s")
 
 
 def is_fastq(spark: SparkSession, path: str) -> bool:
