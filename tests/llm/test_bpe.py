@@ -61,6 +61,8 @@ def test_frames(documents, theirs, monkeypatch):
     want = sorted((str(i), theirs.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows)
     assert sorted((str(r.row.doc_id), np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in got) == want
     assert all(r.n_tokens * 4 == len(r.ids) == len(r.begin) == len(r.end) and r.row.score == "x" for r in got)
+    both = encode(documents(rows), back=True).collect()
+    assert sorted((str(r.row.doc_id), bytes(r.ids), bytes(r.decoded)) for r in both) == sorted((str(r.row.doc_id), bytes(r.ids), bytes(r.decoded)) for r in got)
     assert encode(documents([])).count() == 0
 
 

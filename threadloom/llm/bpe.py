@@ -111,6 +111,14 @@ class Codec:
             return np.empty(0, np.uint8)
         return self.flat[np.repeat(self.begin[ids] - (end - n), n) + np.arange(end[-1])]
 
+    def decode_column(self, packed: pa.Array) -> pa.Array:
+        """Bytes of each row's packed ids."""
+        data, ends = utf8(packed)
+        ids = np.frombuffer(data.tobytes(), "<u4")
+        at = np.concatenate(([0], np.cumsum(self.length[ids]))).astype(np.int64)[ends >> 2]
+        whole = self.decode(ids)
+        return pa.Array.from_buffers(pa.large_binary(), len(packed), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(whole.tobytes())]).cast(pa.binary())
+
     def offsets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character of each token and the one after its last; a character that several tokens share
         belongs to each of them."""
@@ -144,10 +152,11 @@ def _pattern(pattern: str | None) -> str:
     return pattern
 
 
-def encode(docs: DataFrame, text_col: str = "text", vocab: bytes | None = None, pattern: str | None = None, offsets: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", vocab: bytes | None = None, pattern: str | None = None, offsets: bool = False, back: bool = False) -> DataFrame:
     """``row`` (all columns but the text), ``n_tokens`` and ``ids`` (packed little-endian 32-bit) of every row.
 
-    With ``offsets`` also ``begin`` and ``end``, packed alike: the characters that each token covers. A null or
+    With ``offsets`` also ``begin`` and ``end``, packed alike: the characters that each token covers. With ``back`` also
+    ``decoded``, what ``decode`` makes of the ids, without sending them to a second worker for it. A null or
     empty text has no tokens. Special tokens' strings are ordinary text. A text of any length is split where
     no match of the pattern crosses, so memory follows the batch.
     """
@@ -155,8 +164,8 @@ def encode(docs: DataFrame, text_col: str = "text", vocab: bytes | None = None,
     given = apart(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(vocab or vocabulary())
     pattern = _pattern(pattern)
-    more = ", begin binary, end binary" if offsets else ""
-    schema = f"row {given.schema['row'].dataType.simpleString()}, n_tokens long, ids binary{more}"
+    names = ["row", "n_tokens", "ids", *["begin", "end"] * offsets, *["decoded"] * back]
+    schema = f"row {given.schema['row'].dataType.simpleString()}, n_tokens long" + "".join(f", {n} binary" for n in names[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
@@ -169,7 +178,9 @@ def encode(docs: DataFrame, text_col: str = "text", vocab: bytes | None = None,
                 if offsets:
                     spans = [codec.offsets(np.frombuffer(x, "<u4")) for x in ids]
                     columns += [pa.array([s[k].astype("<u4").tobytes() for s in spans], pa.binary()) for k in range(2)]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "n_tokens", "ids", *(["begin", "end"] if offsets else [])])
+                if back:
+                    columns.append(codec.decode_column(columns[2]))
+                yield pa.RecordBatch.from_arrays(columns, names)
         codec.known.clear()
 
     return given.mapInArrow(frugal(run), schema)
@@ -194,11 +205,6 @@ def decode(encoded: DataFrame, ids_col: str = "ids", vocab: bytes | None = None,
             _, offsets = utf8(b.column(at))
             for i, j in runs(offsets, RUN_BYTES):
                 part = b.slice(i, j - i)
-                data, ends = utf8(part.column(at))
-                ids = np.frombuffer(data.tobytes(), "<u4")
-                out = codec.decode(ids)
-                total = np.concatenate(([0], np.cumsum(codec.length[ids])))[ends >> 2]
-                got = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(total.astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())])
-                yield pa.RecordBatch.from_arrays([*part.columns, got.cast(pa.binary())], [*rest, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, codec.decode_column(part.column(at))], [*rest, "decoded"])
 
     return given.mapInArrow(frugal(run), schema)

@@ -20,7 +20,7 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_digests(docs: DataFrame) -> DataFrame:
     """Number and digest of each text's token ids, and the digest of what they decode to."""
-    found = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
+    found = bpe.encode(docs.select("doc_id", "text"), back=True)
     return found.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
