@@ -63,8 +63,8 @@ def test_equals_brute_force(documents, prose):
     assert kept.columns == documents(rows).columns
 
 
-@pytest.mark.parametrize("radius,tile_rows", [(0, 4), (1, 7), (2, 3), (3, 100)])
-def test_tiles_miss_no_link(spark, radius, tile_rows):
+@pytest.mark.parametrize("radius,tile_rows,parts", [(0, 4, None), (1, 7, 4), (2, 3, None), (3, 100, 2), (2, 5, 8)])
+def test_tiles_miss_no_link(spark, radius, tile_rows, parts):
     rng = np.random.default_rng(radius)
     seeds = rng.integers(0, 1 << 63, 30, dtype=np.int64)
     fps = {0, -1, *map(int, seeds)}
@@ -75,7 +75,7 @@ def test_tiles_miss_no_link(spark, radius, tile_rows):
                 flip ^= 1 << int(b)
             fps.add(int(s) ^ flip)
     fps = sorted(fps)
-    links = fingerprint_links(spark.createDataFrame([(x,) for x in fps], "fp long"), radius, tile_rows=tile_rows)
+    links = fingerprint_links(spark.createDataFrame([(x,) for x in fps], "fp long"), radius, parts, tile_rows=tile_rows)
     got = links.collect()
     assert all(((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= radius for r in got)
     want = slow_components(fps, [x % (1 << 64) for x in fps], radius)

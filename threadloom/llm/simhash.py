@@ -17,8 +17,8 @@ from threadloom.plans.scratch import cut
 
 SHINGLE_WORDS = 3
 RADIUS = 2
-#: A fingerprint's tile is the population counts of this many equal parts of it.
-PARTS = 4
+#: A fingerprint's tile is the population counts of this many equal parts of it; more parts for more fingerprints.
+PARTS, FINE_PARTS, FINE_FROM = 4, 8, 1 << 24
 #: Fingerprints in a tile before it is dealt into several.
 TILE_ROWS = 2048
 
@@ -106,20 +106,24 @@ def _links(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
     return left[at[:, 0]], other[at[:, 1]]
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, parts: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Links ``a``, ``b`` that connect exactly the fingerprints (column ``fp``, distinct) within ``radius`` bits.
 
     A tile holds the fingerprints whose parts have the same population counts. Two fingerprints that differ in
     ``radius`` bits lie in tiles whose counts differ by ``radius`` in sum at most, so all other tile pairs are
-    skipped; what is left is compared in full. There are at most (64/parts + 1)^parts tiles (83,521), which is the
-    proven bound of the one broadcast here. Large tiles are dealt into blocks by hash, so no task gets a group
-    that grows with the corpus. A tile pair gives a spanning forest of its links, not all pairs.
+    skipped; what is left is compared in full. Four parts make at most 17^4 = 83,521 tiles, which is the proven bound of
+    the one broadcast here; with eight parts, for more than 2^24 fingerprints, the tiles' sizes are joined instead. Large
+    tiles are dealt into blocks by hash, so no task gets a group that grows with the corpus. A tile pair gives a
+    spanning forest of its links, not all pairs.
     """
+    if parts is None:
+        parts = PARTS if distinct.count() <= FINE_FROM else FINE_PARTS
+    small = F.broadcast if parts <= PARTS else lambda df: df
     bits = 64 // parts
     tiled = distinct.select("fp", _tile("fp", parts).alias("tile"))
     sizes = cut(tiled.groupBy("tile").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("n_blocks")), "tiles")
     blocks = cut(
-        tiled.join(F.broadcast(sizes), "tile")
+        tiled.join(small(sizes), "tile")
         .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n_blocks")).cast("int"))
         .groupBy("tile", "block")
         .agg(F.collect_list("fp").alias("fps")),
@@ -135,7 +139,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, parts: int = PA
         nears.append(F.when(inside, F.col("tile") + sum(d * w for d, w in zip(s, weights))))
     left = blocks.select("tile", "block", "fps", F.explode(F.array_compact(F.array(*nears))).alias("tile2"))
     pairs = (
-        left.join(F.broadcast(sizes.withColumnRenamed("tile", "tile2")), "tile2")
+        left.join(small(sizes.withColumnRenamed("tile", "tile2")), "tile2")
         .withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .where("tile < tile2 or tile > tile2 or block <= block2")
         .join(blocks.select(F.col("tile").alias("tile2"), F.col("block").alias("block2"), F.col("fps").alias("fps2")), ["tile2", "block2"])
