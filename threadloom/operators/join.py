@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.strings import as_bytes, edit_distance
 from threadloom.params import JoinParams
-from threadloom.plans.lsh import buckets, candidate_pairs, collision_counts, collisions
+from threadloom.plans.lsh import bucket_sizes, buckets, candidate_pairs, collision_counts, collisions, collisions_of
 from threadloom.plans.scratch import cut
 from threadloom.plans.segments import segment_candidates
 
@@ -64,17 +64,33 @@ def verify(candidates: DataFrame, strings: DataFrame, k: int) -> DataFrame:
     return met.select("i1", "i2", edit_distance(F.col("s1"), F.col("s2"), k).alias("dist")).where("dist >= 0")
 
 
-def edit_join_lsh(strings: DataFrame, params: JoinParams, id_col: str = "id", text_col: str = "s", byte_mode: bool = True) -> JoinResult:
+#: Row pairs of a bucket table, for each of its rows, beyond which the join does not go through the buckets.
+MOST_FAN = 50
+
+
+def edit_join_lsh(strings: DataFrame, params: JoinParams, id_col: str = "id", text_col: str = "s", byte_mode: bool = True, plan: str = "auto") -> JoinResult:
     """Pairs within ``params.k`` edits, found by hashing embeddings: every pair is verified, few are missed.
 
-    Whether two strings collide follows from their content alone, so equal strings are joined once, as one.
+    Whether two strings collide follows from their content alone, so equal strings are joined once, as one. The same
+    pairs come out of either plan. ``buckets`` enumerates the pairs of each bucket and verifies those that collide
+    often enough. ``segments`` starts from the pairs that share a segment, verifies them, and keeps those that
+    collide; a bucket that holds a large part of all rows costs it nothing. ``auto`` sums up the buckets' pairs
+    first and takes ``segments`` where they exceed ``MOST_FAN`` a row.
     """
     distinct, members = _classes(strings, id_col, text_col, byte_mode)
     table = cut(buckets(distinct, params), "buckets")
-    candidates = cut(candidate_pairs(collision_counts(collisions(table, params)), params), "candidates")
-    links = cut(verify(candidates, distinct, params.k), "links")
     # Copies agree under every hash function unless no suffix is embedded at all.
-    return JoinResult(links, members, candidates, params.num_rep > 0 and params.num_str * params.num_hash > params.count_filter)
+    copies = params.num_rep > 0 and params.num_str * params.num_hash > params.count_filter
+    if plan == "auto":
+        sizes = bucket_sizes(table).agg(F.sum("size").alias("n"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2).alias("pairs")).first()
+        plan = "segments" if (sizes.pairs or 0) > MOST_FAN * (sizes.n or 0) else "buckets"
+    if plan == "segments":
+        candidates = cut(segment_candidates(distinct, params.k), "candidates")
+        near = cut(verify(candidates, distinct, params.k), "near")
+        hits = candidate_pairs(collision_counts(collisions_of(near, table)), params)
+        return JoinResult(cut(near.join(hits, ["i1", "i2"], "left_semi"), "links"), members, candidates, copies)
+    candidates = cut(candidate_pairs(collision_counts(collisions(table, params)), params), "candidates")
+    return JoinResult(cut(verify(candidates, distinct, params.k), "links"), members, candidates, copies)
 
 
 def edit_join_exact(strings: DataFrame, k: int, id_col: str = "id", text_col: str = "s", byte_mode: bool = True) -> JoinResult:

@@ -63,6 +63,14 @@ def collisions(table: DataFrame, params: JoinParams) -> DataFrame:
     return equal.select(names).unionByName(inner.select(names)).unionByName(across.select(names))
 
 
+def collisions_of(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Collisions of given pairs ``i1`` < ``i2`` (whose lengths are known to be near), looked up rather than enumerated."""
+    one = table.select("t", "k", "hash_id", *(F.col(c).alias(f"{c}1") for c in ("i", "q", "sig")))
+    two = table.select("t", "k", "hash_id", *(F.col(c).alias(f"{c}2") for c in ("i", "q", "sig")))
+    met = pairs.select("i1", "i2").join(one, "i1").join(two, ["i2", "t", "k", "hash_id"]).where(signatures_agree("sig1", "sig2"))
+    return met.select("i1", "i2", "q1", "q2", "t", "k")
+
+
 def collision_counts(found: DataFrame) -> DataFrame:
     """``i1``, ``i2``, ``q1``, ``q2``, ``freq``: how many (random string, hash function) a pair of suffixes shares."""
     return found.groupBy("i1", "i2", "q1", "q2").agg(F.count("*").alias("freq"))

@@ -109,7 +109,7 @@ def exact_join_degrees(spark, d):
 
 
 def join_funnel(spark, d):
-    return edit_join_lsh(strings(spark, d), PARAMS, "i", "s").funnel()
+    return edit_join_lsh(strings(spark, d), PARAMS, "i", "s", plan="buckets").funnel()
 
 
 def edit_distance_scalar(spark, d):
