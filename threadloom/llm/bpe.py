@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.arrow_text import apart, each, frugal, runs, small_batches, utf8
 
-#: Pieces a worker remembers, and the longest piece worth it.
+#: Pieces of a generation that a worker remembers (it has two), and the longest piece worth it.
 CACHE_PIECES, CACHE_CHARS = 100_000, 48
 #: Bytes of texts or ids in one pass.
 RUN_BYTES = 1 << 20
@@ -64,6 +65,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.gap = regex.compile(r"(?<=\S)(?=\s)")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         size = max(ranks.values(), default=-1) + 1
         table = [b""] * size
         for token, rank in ranks.items():
@@ -88,21 +90,26 @@ class Codec:
         out = []
         for chunk in self._chunks(text):
             pieces = self.pattern.findall(chunk)
-            new = list(set(pieces).difference(self.known))
             found = self.known
+            new = [p for p in set(pieces).difference(found) if not self._recall(p)]
             if new:
-                ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-                if len(found) + len(new) > CACHE_PIECES:
-                    found.clear()
-                    new = list(set(pieces))
-                    ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-                found |= zip(new, ids)
+                encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+                found |= ((p, struct.pack(f"<{len(ids)}I", *ids)) for p, ids in zip(new, (e.ids for e in encoded)))
             out.append(b"".join(map(found.__getitem__, pieces)))
             for piece in new:
                 if len(piece) > CACHE_CHARS:
                     del found[piece]
+            if len(found) > CACHE_PIECES:
+                self.older, self.known = found, {}
         return b"".join(out)
 
+    def _recall(self, piece: str) -> bool:
+        """Takes over what the generation of pieces before this one knew."""
+        ids = self.older.get(piece)
+        if ids is not None:
+            self.known[piece] = ids
+        return ids is not None
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids, in one array; characters that tokens split come together again here."""
         n = self.length[ids]
@@ -181,7 +188,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocab: bytes | None = None,
                 if back:
                     columns.append(codec.decode_column(columns[2]))
                 yield pa.RecordBatch.from_arrays(columns, names)
-        codec.known.clear()
+        codec.older = {}
 
     return given.mapInArrow(frugal(run), schema)
 
