@@ -2,10 +2,11 @@ import random
 
 import pytest
 
-from threadloom.operators.cluster import cluster
+from threadloom.operators.cluster import cluster, labels_of
 from threadloom.operators.components import connected_components
 from threadloom.operators.consensus import consensus
 from threadloom.operators.graph import core_points, dbscan, degrees, neighbors
+from threadloom.operators.join import edit_join_exact
 from threadloom.params import JoinParams
 from threadloom.plans.numbering import numbered
 
@@ -76,6 +77,18 @@ def test_dbscan(spark, seed, min_pts):
     assert {r.i for r in core_points(nodes, both, min_pts).collect()} == {i for i, d in deg.items() if d >= min_pts}
 
 
+@pytest.mark.parametrize("seed,min_pts,chunk", [(0, 2, None), (1, 4, None), (2, 3, 20)])
+def test_copies_are_labelled_as_if_expanded(spark, seed, min_pts, chunk):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("AC") for _ in range(7)) for _ in range(14)]
+    texts = [rng.choice(words) for _ in range(60)]
+    rows = spark.createDataFrame([(i, s, i // (chunk or 1000)) for i, s in enumerate(texts)], "i long, s string, part long")
+    found = edit_join_exact(rows, 1, "i", "s")
+    pairs = {(r.id1, r.id2) for r in found.pairs().collect() if not chunk or r.id1 // chunk == r.id2 // chunk}
+    got = {r.i: r.label for r in labels_of(rows, found, min_pts, "part" if chunk else None).collect()}
+    assert got == dbscan_by_loop(len(texts), pairs, min_pts)
+
+
 def test_border_takes_the_first_cluster(spark):
     nodes = spark.createDataFrame([(i,) for i in range(7)], "i long")
     links = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (4, 5), (4, 6), (5, 6), (2, 3), (3, 4)], "i1 long, i2 long")

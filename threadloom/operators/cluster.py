@@ -7,12 +7,29 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.consensus import consensus
 from threadloom.operators.graph import dbscan
-from threadloom.operators.join import edit_join_exact, edit_join_lsh
+from threadloom.operators.join import JoinResult, edit_join_exact, edit_join_lsh
 from threadloom.params import JoinParams
 from threadloom.plans.numbering import numbered
 from threadloom.plans.scratch import cut
 
 
+def labels_of(rows: DataFrame, found: JoinResult, min_pts: int, chunk_col: str | None = None) -> DataFrame:
+    """``i``, ``label`` of every row ``i`` (and ``chunk_col``), from a join of the rows.
+
+    The graph has one node for each string of a chunk, weighted by its copies and named by their smallest id. That
+    gives every copy the label that it would have as a node of its own, without expanding copies into pairs.
+    """
+    chunk = F.col(chunk_col) if chunk_col else F.lit(0).cast("long")
+    placed = rows.select(F.col("i").alias("id"), chunk.alias("chunk")).join(found.members.select("id", F.col("i").alias("string")), "id")
+    placed = cut(placed, "placed")
+    nodes = cut(placed.groupBy("chunk", "string").agg(F.min("id").alias("i"), F.count("*").alias("weight")), "nodes")
+    one, two = (nodes.select("chunk", F.col("string").alias(f"i{d}"), F.col("i").alias(f"n{d}")) for d in (1, 2))
+    pairs = found.links.select("i1", "i2").join(one, "i1").join(two, ["i2", "chunk"]).select("n1", "n2")
+    labels = dbscan(nodes, pairs, min_pts, "i", "n1", "n2", "weight")
+    known = nodes.join(labels, "i").select("chunk", "string", "label")
+    return placed.join(known, ["chunk", "string"]).select(F.col("id").alias("i"), "label")
+
+
 def chunk_clusters(strings: DataFrame, params: JoinParams, exact: bool = False, chunked: bool = True, min_pts: int | None = None) -> DataFrame:
     """``chunk``, ``i``, ``s``, ``label`` of every row ``i``, ``s``.
 
@@ -23,11 +40,7 @@ def chunk_clusters(strings: DataFrame, params: JoinParams, exact: bool = False,
     chunk = (F.floor(F.col("i") / params.chunk_size) if chunked else F.lit(0)).cast("long")
     rows = cut(rows.withColumn("chunk", chunk), "rows")
     found = edit_join_exact(rows, params.k, "i", "s") if exact else edit_join_lsh(rows, params, "i", "s")
-    pairs = found.pairs()
-    if chunked:
-        pairs = pairs.where(F.floor(F.col("id1") / params.chunk_size) == F.floor(F.col("id2") / params.chunk_size))
-    labels = dbscan(rows, pairs, min_pts or params.min_pts, "i", "id1", "id2")
-    return rows.join(labels, "i").select("chunk", "i", "s", "label")
+    return rows.join(labels_of(rows, found, min_pts or params.min_pts, "chunk"), "i").select("chunk", "i", "s", "label")
 
 
 def cluster(strings: DataFrame, params: JoinParams, exact: bool = False, letters: str | None = None, length: int | None = None) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.embed import embed, embedded_column
 from threadloom.functions.strings import edit_distance, letter_codes
-from threadloom.operators.cluster import cluster
+from threadloom.operators.cluster import cluster, labels_of
 from threadloom.operators.consensus import consensus, points_per_cluster
-from threadloom.operators.graph import core_points, dbscan, degrees, neighbors
+from threadloom.operators.graph import core_points, degrees, neighbors
 from threadloom.operators.join import JoinResult, edit_join_exact, edit_join_lsh
 from threadloom.params import UNREACHED, JoinParams
 from threadloom.plans.lsh import bucket_sizes, buckets, candidate_cardinality, candidate_pairs, collision_counts, collisions
@@ -45,7 +45,7 @@ def _exact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, JoinResult]:
 
 def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows, found = _exact(spark, sf_dir)
-    return rows, dbscan(rows, found.pairs(), PARAMS.min_pts, "i", "id1", "id2")
+    return rows, labels_of(rows, found, PARAMS.min_pts)
 
 
 def scan_ids(spark, d):
