@@ -199,7 +199,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     then relabel, without insertions before with. ``inserted`` and ``cost`` of the last turn count what the end
     needs. The pieces of a conversation in order are its rendered form.
 
-    Turns stand in the order of ``turn`` (null last), then role, then text (nulls first), so ties are settled by content. A null
+    Turns stand in the order of ``turn`` (null last), then role, then MD5 of the text (nulls first), so content settles ties. A null
     conversation id is a conversation of its own. A null or unknown role has to be given one; a null text is empty.
 
     Turns are dealt by ranges of (conversation, turn), so a conversation of any length spreads over partitions. Each
@@ -213,9 +213,8 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     rows = turns.select(
         F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")
     )
-    keys = (F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text"))
-    ordered = rows.repartitionByRange(keys[0], keys[1], F.xxhash64("role", "text")).sortWithinPartitions(*keys)
-    # Rows that differ only beyond the range key are few; within a partition the whole order holds.
+    keys = (F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.md5("text"))
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     segments = cut(_segments(ordered.select(F.spark_partition_id().alias("part"), "conv", "turn", "role", "text"), moves), "segments")
     runs = segments.groupBy("conv", "part").agg(F.array_sort(F.collect_list(F.struct("no", "cost", "rank"))).alias("tables"))
 

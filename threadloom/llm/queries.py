@@ -135,7 +135,7 @@ ends(state, cost, ins, tail) AS (VALUES {", ".join(ends)}),
 t AS (
     SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE lower(trim(coalesce(role, ''))) {names} ELSE 0 END AS code,
         row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS total
-    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, conversations.text NULLS FIRST)),
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, md5(conversations.text) NULLS FIRST)),
 dp AS (
     SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS n, 0 AS state, {{'c': CAST(0 AS BIGINT), 'p': ''}} AS best FROM t
     UNION ALL
