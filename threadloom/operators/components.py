@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     seen = _digest(e)
     if seen[0]:
         for _ in range(max_rounds):
-            new = cut(_small_star(_large_star(e)), "cc")
+            new = cut(_small_star(_large_star(e)), "cc", 2 * seen[0])
             now = _digest(new)
             drop(e)
             e = new

@@ -32,15 +32,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+#: Rows of a file, where the number of rows is known beforehand.
+FILE_ROWS = 500_000
+
+
+def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     Unlike localCheckpoint the rows survive the loss of any executor, and unlike checkpoint() they are columnar,
     compressed and prunable. Used where a result feeds several consumers or where an iteration would otherwise
-    grow its plan.
+    grow its plan. ``rows``, a bound of the number of rows, keeps small tables from being written as many small files.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.mode("error").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
