@@ -176,12 +176,13 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 )
 
     paths = cut(keyed.select("i", "t", "text").mapInArrow(frugal(find), "a long, c long, i long, t long, pos long"), "paths")
+    n = paths.count()
     # Written, so that both sides of the join are plain exchanges: then a partition with a hot anchor can be split.
-    anchors = cut(paths.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors")
-    met = cut(paths.join(anchors, "a"), "met")
-    contents = cut(met.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("i", "t", "pos")).alias("at")), "contents")
+    anchors = cut(paths.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors", n)
+    met = cut(paths.join(anchors, "a"), "met", n)
+    contents = cut(met.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("i", "t", "pos")).alias("at")), "contents", n)
     whole = met.join(contents.where("n > 1").select("a", "c"), ["a", "c"]).select("i", "t", "pos")
-    branching = cut(contents.where("n = 1").select("a").distinct(), "branching")
+    branching = cut(contents.where("n = 1").select("a").distinct(), "branching", n)
     beside = contents.join(branching, "a").select("a", (F.col("n") > 1).alias("twice"), "at.*")
     asked = beside.groupBy("i", "t").agg(F.collect_list(F.struct("a", "pos", "twice")).alias("asked"))
 
@@ -215,7 +216,7 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 yield pa.RecordBatch.from_arrays(columns, ["a", "w", "i", "t", "p"])
 
     edges = cut(_packed(keyed.where("text is not null")).select("i", "t", "z").join(asked, ["i", "t"]).mapInArrow(frugal(read), "a long, w long, i long, t long, p long"), "edges")
-    again = cut(edges.groupBy("a", "w").agg(F.sum((F.col("p") % 2) + 1).alias("n")).where("n > 1").select("a", "w"), "again")
+    again = cut(edges.groupBy("a", "w").agg(F.sum((F.col("p") % 2) + 1).alias("n")).where("n > 1").select("a", "w"), "again", edges.count())
     single = edges.where("p % 2 = 0").join(again, ["a", "w"]).select("i", "t", F.expr("shiftleft(shiftright(p, 1), 6) + 1").alias("pos"))
     return whole.unionByName(single)
 

@@ -116,18 +116,20 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, parts: int | No
     tiles are dealt into blocks by hash, so no task gets a group that grows with the corpus. A tile pair gives a
     spanning forest of its links, not all pairs.
     """
+    n = distinct.count()
     if parts is None:
-        parts = PARTS if distinct.count() <= FINE_FROM else FINE_PARTS
+        parts = PARTS if n <= FINE_FROM else FINE_PARTS
     small = F.broadcast if parts <= PARTS else lambda df: df
     bits = 64 // parts
     tiled = distinct.select("fp", _tile("fp", parts).alias("tile"))
-    sizes = cut(tiled.groupBy("tile").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("n_blocks")), "tiles")
+    sizes = cut(tiled.groupBy("tile").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("n_blocks")), "tiles", n)
     blocks = cut(
         tiled.join(small(sizes), "tile")
         .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n_blocks")).cast("int"))
         .groupBy("tile", "block")
         .agg(F.collect_list("fp").alias("fps")),
         "blocks",
+        n,
     )
     weights = [(bits + 1) ** (parts - 1 - i) for i in range(parts)]
     counts = [F.floor(F.col("tile") / w) % (bits + 1) for w in weights]
@@ -167,7 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its component has no other. Repeated rows stay repeated. An empty table gives an empty result.
     """
     fps = cut(fingerprints(docs, id_col, text_col, words), "simhash")
-    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
+    nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes", fps.count())
     roots = connected_components(fingerprint_links(nodes.select("fp"), radius))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

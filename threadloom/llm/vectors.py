@@ -138,7 +138,7 @@ def leaf_pairs(distinct: DataFrame, cosine: float, trees: int = TREES, seed: int
                     yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(at)), pa.array(where, pa.string()), part.column(0).take(pa.array(at))], ["label", "leaf", "node"])
 
     placed = cut(distinct.select("node", label, "v").mapInArrow(descend, "label string, leaf string, node long"), "leaves")
-    sizes = cut(placed.groupBy("label", "leaf").agg(F.ceil(F.count("*") / leaf).cast("int").alias("n")), "leaf-sizes")
+    sizes = cut(placed.groupBy("label", "leaf").agg(F.ceil(F.count("*") / leaf).cast("int").alias("n")), "leaf-sizes", placed.count())
     block = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
     blocked = placed.join(sizes, ["label", "leaf"]).select("label", "leaf", "node", "n", block.alias("block"))
     # A row meets its own block and those after it: it is sent once to each pair of blocks that it is part of.
@@ -179,7 +179,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     keyed = rows.withColumn("node", F.xxhash64(F.col("label").cast("string"), "v"))
     able = keyed.where("ok")
     members = cut(keyed.select("id", "ok", "node"), "members")
-    counts = cut(able.groupBy("node", "label", "v").agg(F.count("*").alias("n"), F.min("id").alias("least")), "vectors")
+    n = members.count()
+    counts = cut(able.groupBy("node", "label", "v").agg(F.count("*").alias("n"), F.min("id").alias("least")), "vectors", 20 * n)
     pairs = cut(leaf_pairs(counts.select("node", "label", "v"), cosine, trees), "links")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     nodes = counts.select("node", "n", "least")
@@ -187,9 +188,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     roots = connected_components(pairs)
     known = nodes.join(around.withColumnRenamed("a", "node"), "node", "left").join(roots, "node", "left")
     known = known.select("node", (F.coalesce("around", F.lit(0)) + F.col("n") - 1).alias("n_links"), "least", F.coalesce("component", "node").alias("root"))
-    known = cut(known, "nodes")
-    named = cut(known.groupBy("root").agg(F.min("least").alias("component_id")), "names")
-    found = cut(known.join(named, "root").select("node", "n_links", "component_id"), "found")
+    known = cut(known, "nodes", n)
+    named = cut(known.groupBy("root").agg(F.min("least").alias("component_id")), "names", n)
+    found = cut(known.join(named, "root").select("node", "n_links", "component_id"), "found", n)
     linked = members.where("ok").join(found, "node").select("id", "n_links", "component_id")
     alone = members.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select("id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
