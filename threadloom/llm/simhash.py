@@ -183,7 +183,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows that share that id the smallest text hash decides, and of rows equal in id and text one stays. A null
     id counts as larger than all others.
     """
-    found = near_duplicates(docs, id_col, text_col, radius)
+    return least_of_each(docs, near_duplicates(docs, id_col, text_col, radius), id_col, text_col)
+
+
+def least_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of each ``component_id`` of ``found`` (``id``, ``key``) that ``drop_near_duplicates`` keeps."""
     last = F.lit((1 << 63) - 1)
     best = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("id", last).alias("_tl_id"), F.col("key").alias("_tl_key"))).alias("r"))
     copies = found.groupBy(F.coalesce("id", last).alias("_tl_id"), F.col("key").alias("_tl_key")).agg(F.count("*").alias("n"))
