@@ -5,7 +5,7 @@ from itertools import product
 import pytest
 
 from threadloom.llm.queries import URL_RULES
-from threadloom.llm.urls import PER_CHAR, UNKNOWN, Model, Rule, fit, judge
+from threadloom.llm.urls import PER_CHAR, UNKNOWN, Model, Rule, fit, judge, lexicon, word_counts
 
 URLS = [
     "https://www.example.com/en/7?x=1", "http://EXAMPLE.com/en/71#a", "http://notexample.com/en/7", "https://a.b.net/de/8", "http://example.net/de/81", "http://m.example.net/de/9",
@@ -71,3 +71,15 @@ def test_learned_lists_are_separated(spark):
 def test_too_many_rules_are_refused(spark):
     with pytest.raises(ValueError):
         judge(spark.createDataFrame([("http://a.b/",)], "url string"), Model({}, {}, 0.0), [Rule("block", f"a{k}.b/") for k in range(501)])
+
+
+def test_frequent_words_of_the_urls_stay_whole(spark):
+    urls = [f"http://www.site{k}.fr/uploads/{k}" for k in range(40)] + [f"http://s{k}.fr/foodbets/{k}" for k in range(40)]
+    urls += ["http://www.casinobets.fr/a/1"] * 50 + ["http://s.fr/casinobets/1"] * 50
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    counts = {r.w: r.n for r in word_counts(pages).collect()}
+    assert counts["foodbets"] == 40 and counts["casinobets"] == 51 and counts["www"] == 41
+    model = fit(pages)
+    assert model.segment("foodbets") == ["foodbets"] and "foodbets" not in lexicon()
+    assert model.segment("casinobets") == ["casino", "bets"]
+    assert "foodbets" not in fit(pages.limit(0)).words

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.plans.scratch import cut, drop
+
 #: Names that the classifier learns from, as ``host/path``; both lists are parameters of ``fit``.
 BLOCKED = """
 adult-video.com/watch adultchat.net/live adult-x.org adult-pics.net x-adult-video.org/watch adults-only.com/enter free-adult-x.com/cams sex-cams.net/live hot-sex-tube.com/video porn-hub-free.com/watch
@@ -39,6 +41,11 @@ show list info data news blog mail online shop store game games play video music
 #: Log10 probability of an unknown word, and of each of its characters.
 UNKNOWN, PER_CHAR = -4.0, -1.3
 LONGEST = 24
+#: A word of the urls is a unigram from this many counts on and from this share of all counts on, so there are at most as
+#: many as the share's inverse however many urls there are.
+LEAST_COUNT, LEAST_SHARE = 5, 1 / 200_000
+#: Letters from which a known word counts beside an unknown rest; shorter ones stand in too many words (threads, Tibet).
+TELLING = 5
 #: Rules above which a chain of conditions becomes too long a plan.
 MOST_RULES = 500
 
@@ -119,10 +126,17 @@ class Model:
         self._parts[part] = out[::-1]
         return out[::-1]
 
+    def split(self, part: str) -> list[str]:
+        """``segment``, but whole where a rest is unknown and no known word beside it has ``TELLING`` letters."""
+        found = self.segment(part)
+        if len(found) > 1 and any(w not in self.words for w in found) and not any(w in self.words and len(w) >= TELLING for w in found):
+            return [part]
+        return found
+
     def tokens(self, host: str, path: str) -> list[str]:
         """Words of the host without its last label, then of the path."""
         name = host.rsplit(":", 1)[0].rpartition(".")[0]
-        return [w for part in _parts(name) + _parts(path) for w in self.segment(part)]
+        return [w for part in _parts(name) + _parts(path) for w in self.split(part)]
 
     def score(self, tokens: list[str]) -> float:
         """Chance that the url is to be blocked; words that were not learned say nothing."""
@@ -138,12 +152,31 @@ def lexicon(blocked: str = BLOCKED, allowed: str = ALLOWED, common: str = COMMON
     return out
 
 
+def word_counts(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """``w`` and ``n`` of every word of all ``urls``: once for each different host that has it, so that a site's pages do not
+    vote for its name, and once for each time that it stands in a path."""
+    host, path = host_and_path(F.col(url_col).cast("string"))
+    given = urls.select(host.alias("host"), _lower(path).alias("path"))
+    name = F.regexp_extract("host", r"\A(.*)\.", 1)
+    words = lambda c: F.explode(F.split(c, "[^a-z]+")).alias("w")
+    hosts = given.select("host").distinct().select(words(name)).groupBy("w").agg(F.count("*").alias("n"))
+    paths = given.select(words(F.col("path"))).groupBy("w").agg(F.count("*").alias("n"))
+    return hosts.unionByName(paths).where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"))
+
+
 def fit(urls: DataFrame, url_col: str = "url", blocked: str = BLOCKED, allowed: str = ALLOWED, common: str = COMMON, prior: float = 0.2, alpha: float = 0.5) -> Model:
-    """Unigrams from the lexicon and from how often its words stand alone in all ``urls``; naive Bayes from the
-    two lists of names. What the corpus adds is one count for each word of the lexicon, whose size is fixed."""
+    """Unigrams from the lexicon and from the words of all ``urls``; naive Bayes from the two lists of names.
+
+    All words are counted, and the counts written as a table. Words below ``LEAST_COUNT`` or ``LEAST_SHARE`` of all counts
+    are no unigrams, nor is a word that is a chain of lexicon words: kept whole it would hide what it is made of.
+    """
     words = lexicon(blocked, allowed, common)
-    parts = F.explode(F.split(_lower(F.col(url_col)), "[^a-z]+"))
-    seen = urls.select(parts.alias("w")).where(F.col("w").isin(list(words))).groupBy("w").agg(F.count("*").alias("n")).collect()
+    counted = cut(word_counts(urls, url_col), "url-words")
+    every = counted.agg(F.sum("n")).first()[0] or 0
+    seen = counted.where((F.col("n") >= max(LEAST_COUNT, every * LEAST_SHARE)) | F.col("w").isin(list(words))).collect()
+    drop(counted)
+    bare = Model(dict.fromkeys(words, -1.0), {}, 0.0)
+    seen = [r for r in seen if r.w in words or len(r.w) > LONGEST or any(w not in words for w in bare.segment(r.w))]
     for r in seen:
         words[r.w] += math.log2(1 + r.n)
     total = sum(words.values())
