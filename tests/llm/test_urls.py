@@ -5,7 +5,7 @@ from itertools import product
 import pytest
 
 from threadloom.llm.queries import URL_RULES
-from threadloom.llm.urls import PER_CHAR, UNKNOWN, Model, Rule, fit, judge, lexicon, word_counts
+from threadloom.llm.urls import BLOCKED, PER_CHAR, UNKNOWN, Model, Rule, fit, judge, lexicon, word_counts
 
 URLS = [
     "https://www.example.com/en/7?x=1", "http://EXAMPLE.com/en/71#a", "http://notexample.com/en/7", "https://a.b.net/de/8", "http://example.net/de/81", "http://m.example.net/de/9",
@@ -83,3 +83,15 @@ def test_frequent_words_of_the_urls_stay_whole(spark):
     assert model.segment("foodbets") == ["foodbets"] and "foodbets" not in lexicon()
     assert model.segment("casinobets") == ["casino", "bets"]
     assert "foodbets" not in fit(pages.limit(0)).words
+
+
+@pytest.mark.parametrize("end", ["", ".html", ".PHP"])
+def test_names_outside_the_lists(spark, end):
+    model = fit(spark.createDataFrame([], "url string"))
+    score = lambda host, path: model.score(model.tokens(host, path + end))
+    bad = "gamblingpalace.fr slotmachine.fr royal-betting.de m.casino-win.example.com www.adult-x.example.org cheap-pills.example.com spam-farm.de ads-track.net free-bets.com bestpokerroom.net nudezone.org"
+    for host in bad.split():
+        assert host.rsplit(".", 1)[0] not in BLOCKED and score(host, "/en/4033") > 0.5, host
+    for host, path in [("www.acme.fr", "/uploads/3"), ("acme.fr", "/threads/12"), ("www.alphabet.de", "/a"), ("www.tibet.fr", "/a"), ("www.essex.uk", "/a"), ("www.example.com", "/en/7")]:
+        assert score(host, path) < 0.5, host
+    assert "example" not in lexicon() and "html" not in lexicon()

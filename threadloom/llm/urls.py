@@ -14,29 +14,43 @@ from pyspark.sql import functions as F
 
 from threadloom.plans.scratch import cut, drop
 
-#: Names that the classifier learns from, as ``host/path``; both lists are parameters of ``fit``.
-BLOCKED = """
-adult-video.com/watch adultchat.net/live adult-x.org adult-pics.net x-adult-video.org/watch adults-only.com/enter free-adult-x.com/cams sex-cams.net/live hot-sex-tube.com/video porn-hub-free.com/watch
-xxx-movies.net/free nude-pics.org/gallery escort-girls.com/city dating-sluts.net casino-win.com/bonus online-casino.net/slots casinobonus.org/free
-poker-jackpot.com/play slots-jackpot-win.net/spin free-bets.com/odds sports-bets.net/odds bet-win-bet.org/bonus lottery-winner.net/claim
-cheap-pills.com/buy buy-cheap-viagra.net/order pills-online.org/cheap cialis-discount.com/buy diet-pills-now.net/order cheap-replica-watches.com/buy
-spam-farm.org/links link-farm.net/seo seo-spam.com/links spam-links-buy.net mail-spam-list.com/buy ads-track.com/click track-ads.net/pixel
-ad-click-track.org/banner popup-ads.com/serve adserver-track.net/pixel clicktracker.com/ads banner-ads-farm.org/serve free-money-fast.net/claim
-payday-loans-fast.com/apply cheap-loans.net/apply crack-warez.org/download keygen-crack.net/free torrent-warez.com/download malware-download.net/free
-"""
-ALLOWED = """
-city-library.org/books travel-notes.net/spain news.example-times.com/world weather-report.net/today school-of-music.org/courses
-science-journal.org/articles garden-and-home.com/roses history-museum.net/visit open-source-wiki.org/docs free-software.org/download
-recipes-at-home.com/bread code-and-coffee.net/python health-center.org/doctors sports-news.com/football city-news.net/local
-university-press.org/books math-help.net/algebra book-shop.com/novels photo-gallery.org/nature daily-life.net/family
-music-and-film.com/reviews national-park.org/maps travel-guide.net/france language-school.com/lessons open-data.gov/health
-web-design-com/html business-times.net/markets forum.linux-users.org/help shop.green-tea.com/order watch-makers-guild.org/history
-winter-sports.net/results housing-office.org/apply track-and-field.org/results water-works.net/city the-daily-post.com/opinion train-times.net/today
-"""
+
+
+def _ring(words: str) -> str:
+    """Names of each two neighbours in a line of words, the last with the first: every word stands in two names."""
+    lines = [line.split() for line in words.strip().splitlines()]
+    return " ".join(f"{w}-{v}.com" for line in lines for w, v in zip(line, line[1:] + line[:1]))
+
+
+#: Names that the classifier learns from, as ``host/path``; both lists are parameters of ``fit``. They are made of general
+#: words by subject and hold no name of a given table.
+BLOCKED = _ring("""
+adult porn porno sex sexy nude nudes naked erotic erotica xxx milf hentai fetish webcams camgirls escort escorts sluts hookup hookups stripper strippers playboy
+casino casinos gambling gamble poker roulette blackjack baccarat slot slots jackpot jackpots bet bets betting bookmaker bookmakers bookie wager wagers lottery bingo sportsbook
+pills viagra cialis levitra pharma steroids xanax tramadol valium opioids potency enlargement slimming
+spam spammer spammers ads adserver adclick clicktracker clickbait popup popups popunder adware backlinks linkfarm doorway
+warez crack cracked cracks keygen keygens serials nulled torrent torrents pirated malware spyware trojan phishing ransomware botnet exploit
+payday loanshark moneymaker getrich ponzi scam scams fraud counterfeit replica replicas knockoff fake fakes
+""")
+ALLOWED = _ring("""
+library books book novels poetry reading literature author writers publishing magazine journal articles archive
+school university college courses lessons teacher students campus research science physics chemistry biology algebra geometry alphabet grammar
+weather climate forecast nature park garden flowers forest mountain river animals birds ocean
+travel hotel hotels tickets flights trains maps museum history heritage culture castle tourism island
+recipes kitchen bread coffee restaurant cooking wine fruit vegetables bakery harvest
+health hospital doctor doctors medicine nursing clinic dentist wellness fitness nutrition
+sports football tennis cycling running hockey athletics swimming results league club
+music film theatre concert orchestra gallery photography painting design architecture dance
+government council city housing police court parliament public services community charity church
+business market markets finance accounting insurance bank engineering industry factory tools electronics
+software programming code linux python database documentation wiki tutorial forum support help contact about download downloads upload uploads thread threads
+family children parents baby wedding pets dogs cats toys furniture fashion shoes clothing
+""")
 #: Frequent words that are no evidence but that names are made of.
 COMMON = """
 the and of to in for on with at by from my your our all new best top big one day time way web net site page home world life go get see
-show list info data news blog mail online shop store game games play video music live free now today easy fast
+show list info data news blog mail online shop store game games play video live free now today easy fast win winner cheap track buy hot club palace king queen royal star
+machine machines farm farmers lucky gold super mega hub tube zone land place point center house room street money cash deal deals bonus
 """
 #: Log10 probability of an unknown word, and of each of its characters.
 UNKNOWN, PER_CHAR = -4.0, -1.3
@@ -50,6 +64,7 @@ TELLING = 5
 MOST_RULES = 500
 
 _NAME = re.compile("[a-z]+|[0-9]+")
+_EXTENSION = re.compile(r"\.(?:html?|xhtml|shtml|php[0-9]?|aspx?|jspx?|cgi|xml|json|txt|pdf|css|js|png|jpe?g|gif|svg)$", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -134,9 +149,9 @@ class Model:
         return found
 
     def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host without its last label, then of the path."""
+        """Words of the host without its last label, then of the path without a file's extension."""
         name = host.rsplit(":", 1)[0].rpartition(".")[0]
-        return [w for part in _parts(name) + _parts(path) for w in self.split(part)]
+        return [w for part in _parts(name) + _parts(_EXTENSION.sub("", path)) for w in self.split(part)]
 
     def score(self, tokens: list[str]) -> float:
         """Chance that the url is to be blocked; words that were not learned say nothing."""
