@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,12 +15,15 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (local tests) a folder of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset a folder of our own on a local master, and an error on any
+    other, whose executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = there.get() if there.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -51,6 +57,32 @@ def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: it does so when the driver collects garbage, which one with a
+    large heap may not do for half an hour. For operators whose steps are written by ``cut`` and read no shuffle twice."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def scope(*kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """Frees what ``cut`` wrote inside, once the block is left; for sessions of many queries.
+
+    The list that the block gets names the frames to keep: results of ``cut`` that are still read afterwards. Frames that
+    were not written are lazy and may read what is freed, so they have to be used up inside.
+    """
+    before = len(_made)
+    keep = list(kept)
+    try:
+        yield keep
+    finally:
+        paths = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for f in df.inputFiles()}
+        for made in _made[before:]:
+            if made[1].split(":", 1)[-1].lstrip("/") not in paths:
+                _delete(*made)
+                _made.remove(made)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a frame that ``cut`` returned, once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
