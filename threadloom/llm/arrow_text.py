@@ -9,28 +9,30 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: Rows of an Arrow batch of whole texts; Spark's own default of 10,000 suits numbers.
+#: Rows of whole texts that a worker handles at once. Spark's own batches (10,000 rows or 64 MB, whichever comes first) suit
+#: numbers; they are cut up in the worker, so no setting of the session is touched.
 BATCH_ROWS = 500
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Holds the session's Arrow batches to ``BATCH_ROWS`` rows, so that a batch of texts takes megabytes on either side."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def few(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows, without copying them."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """``run``, after which a worker hands the memory that it freed back to the system: workers outlive their tasks and
-    stand beside each other in an executor."""
+    """``run`` over small batches, after which a worker hands the memory that it freed back to the system: workers outlive
+    their tasks and stand beside each other in an executor."""
 
     @wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(few(batches))
         finally:
             pa.default_memory_pool().release_unused()
             try:
@@ -41,17 +43,29 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return whole
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def beside(df: DataFrame, ddl: str, *names: str) -> StructType:
+    """Fields ``names`` of ``df`` as they are (all of them if none is named), then those of ``ddl``: names and types of the
+    input never pass through a parser."""
+    kept = [df.schema[n] for n in names] if names else list(df.schema)
+    return StructType([*kept, *StructType.fromDDL(ddl).fields])
+
+
 def apart(df: DataFrame, text_col: str) -> DataFrame:
     """``row``, a struct of all other columns under their own names, and ``text``: no name of the input can clash with a
     result's, and the text travels once."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c != text_col]
-    return df.select(F.struct(*rest or [F.lit(None).cast("int").alias("none")]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rest = [F.col(quoted(c)) for c in df.columns if c != text_col]
+    return df.select(F.struct(*rest or [F.lit(None).cast("int").alias("none")]).alias("row"), F.col(quoted(text_col)).cast("string").alias("text"))
 
 
 def together(columns: list[str], text_col: str = "text", text: Column | None = None) -> list[Column]:
     """The input's columns again, out of ``row`` and ``text``."""
     text = F.col("text") if text is None else text
-    return [text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in columns]
+    return [text.alias(c) if c == text_col else F.col("row." + quoted(c)).alias(c) for c in columns]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

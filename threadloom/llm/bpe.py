@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import apart, each, frugal, runs, small_batches, utf8
+from threadloom.llm.arrow_text import apart, beside, each, frugal, quoted, runs, utf8
 
 #: Pieces of a generation that a worker remembers (it has two), and the longest piece worth it.
 CACHE_PIECES, CACHE_CHARS = 100_000, 48
@@ -167,12 +167,11 @@ def encode(docs: DataFrame, text_col: str = "text", vocab: bytes | None = None,
     empty text has no tokens. Special tokens' strings are ordinary text. A text of any length is split where
     no match of the pattern crosses, so memory follows the batch.
     """
-    small_batches(docs.sparkSession)
     given = apart(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(vocab or vocabulary())
     pattern = _pattern(pattern)
     names = ["row", "n_tokens", "ids", *["begin", "end"] * offsets, *["decoded"] * back]
-    schema = f"row {given.schema['row'].dataType.simpleString()}, n_tokens long" + "".join(f", {n} binary" for n in names[2:])
+    schema = beside(given, "n_tokens long" + "".join(f", {n} binary" for n in names[2:]), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
@@ -198,13 +197,12 @@ def decode(encoded: DataFrame, ids_col: str = "ids", vocab: bytes | None = None,
 
     Bytes, because ids need not end where a character does; ``decode(decoded, 'UTF-8')`` gives text.
     """
-    small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(vocab or vocabulary())
     pattern = _pattern(pattern)
     rest = [c for c in encoded.columns if c != "decoded"]
-    given = encoded.select(*rest)
+    given = encoded.select(*map(quoted, rest))
     at = rest.index(ids_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema) + ", decoded binary"
+    schema = beside(given, "decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import frugal, small_batches
+from threadloom.llm.arrow_text import frugal, quoted
 from threadloom.plans.scratch import cut
 
 #: States of the automaton: nothing yet, or the role of the turn that is open.
@@ -207,11 +207,10 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     conversations a partition, and only their tables (32 numbers) reach the driver.
     """
     spark = turns.sparkSession
-    small_batches(spark)
     costs = costs or Costs()
     moves, ending = costs.moves(), costs.ending()
     rows = turns.select(
-        F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")
+        F.col(quoted(conv_col)).cast("long").alias("conv"), F.col(quoted(turn_col)).cast("long").alias("turn"), F.col(quoted(role_col)).cast("string").alias("role"), F.col(quoted(text_col)).cast("string").alias("text")
     )
     keys = (F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.md5("text"))
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import apart, frugal, runs, small_batches, together, utf8
+from threadloom.llm.arrow_text import apart, beside, frugal, quoted, runs, together, utf8
 
 WINDOW = 10
 #: Benchmark text that one pass carries to the executors; a larger benchmark takes further passes.
@@ -98,7 +98,7 @@ class Group:
         h, *_ = word_hashes(text, np.array([0, len(text)]))
         last = np.arange(1, len(order) + 1) * words - 1
         bits = min(24, max(16, math.ceil(math.log2(64 * len(h) + 1))))
-        shift = np.full(1 << bits, words - block + 1, np.uint8)
+        shift = np.full(1 << bits, words - block + 1, np.min_scalar_type(words))
         for back in range(words - block, -1, -1):
             shift[_joined(h, last - back, block) >> np.uint64(64 - bits)] = back
         suffix, key = _joined(h, last, block), _joined(h, last, words)
@@ -206,9 +206,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     The documents are never shuffled. The benchmark is carried to them in blocks of bounded size, each a further pass.
     """
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t is not null")
+    bench = benchmark.select(F.col(quoted(item_col)).cast("string").alias("i"), F.col(quoted(item_text_col)).cast("string").alias("t")).where("t is not null")
     total = bench.select(F.sum(F.octet_length("t"))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
     given = apart(docs, text_col).select(
@@ -218,7 +217,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         F.array().cast("array<string>").alias("items"),
         "text",
     )
-    schema = f"row {given.schema['row'].dataType.simpleString()}, n_words long, begin array<long>, end array<long>, items array<string>, text string"
+    schema = beside(given, "n_words long, begin array<long>, end array<long>, items array<string>, text string", "row")
     for k in range(n_blocks):
         block = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k)
         shared = spark.sparkContext.broadcast(windows([(r.i, r.t) for r in block.collect()], window))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import each, frugal, small_batches
+from threadloom.llm.arrow_text import each, frugal, quoted
 from threadloom.operators.components import connected_components
 from threadloom.plans.scratch import cut
 
@@ -48,16 +48,15 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
     """``id``, ``key`` (a hash of the text) and ``fp`` (the fingerprint as a signed 64-bit integer) of every row."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, words) for t in each(b.column(2))), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["id", "key", "fp"])
 
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("t")).mapInArrow(frugal(run), "id long, key long, fp long"
-    )
+    text = F.col(quoted(text_col)).cast("string")
+    given = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("t"))
+    return given.mapInArrow(frugal(run), "id long, key long, fp long")
 
 
 def _tile(fp: str, parts: int) -> F.Column:
@@ -192,9 +191,9 @@ def least_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
     best = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce("id", last).alias("_tl_id"), F.col("key").alias("_tl_key"))).alias("r"))
     copies = found.groupBy(F.coalesce("id", last).alias("_tl_id"), F.col("key").alias("_tl_key")).agg(F.count("*").alias("n"))
     best = cut(best.select("r.*").join(copies, ["_tl_id", "_tl_key"]), "simhash-kept")
-    keyed = docs.withColumns({"_tl_id": F.coalesce(F.col(id_col).cast("long"), last), "_tl_key": F.xxhash64(F.col(text_col).cast("string"))})
+    keyed = docs.withColumns({"_tl_id": F.coalesce(F.col(quoted(id_col)).cast("long"), last), "_tl_key": F.xxhash64(F.col(quoted(text_col)).cast("string"))})
     on = ["_tl_id", "_tl_key"]
     kept = keyed.join(best.where("n = 1"), on, "left_semi")
     if best.where("n > 1").limit(1).count():
         kept = kept.unionByName(keyed.join(best.where("n > 1"), on, "left_semi").dropDuplicates(on))
-    return kept.select(docs.columns)
+    return kept.select(*map(quoted, docs.columns))

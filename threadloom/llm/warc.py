@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import each, frugal, small_batches
+from threadloom.llm.arrow_text import each, frugal, quoted
 from threadloom.plans.scratch import cut, scratch_path
 
 #: First bytes of the frame that holds the dictionary (fixed by the format).
@@ -130,9 +130,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     it; all smaller ones are responses. A null payload is empty. A null id is never the largest; where all are
     null, all are responses. Only ids and digests are aggregated; rows below the limit take no part in the join.
     """
-    small_batches(pages.sparkSession)
-    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("uri"), html.alias("html"))
+    html = F.coalesce(F.col(quoted(html_col)).cast("string"), F.lit(""))
+    rows = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).cast("string").alias("uri"), html.alias("html"))
     rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha1(F.encode("html", "UTF-8"))})
     large = rows.where(F.col("size") >= least)
     heads = cut(large.groupBy("digest", "size").agg(F.max("page_id").alias("head")), "heads")
@@ -147,7 +146,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 def dictionary_sample(pages: DataFrame, html_col: str = "html", rows: int = SAMPLE_ROWS) -> list[bytes]:
     """Payloads of about ``rows`` rows of at most ``SAMPLE_TEXT`` characters, picked by a hash of the text; rows that the
     pick leaves out never travel."""
-    html = F.col(html_col).cast("string")
+    html = F.col(quoted(html_col)).cast("string")
     fit = pages.select(html.alias("t")).where((F.length("t") > 0) & (F.length("t") <= SAMPLE_TEXT))
     share = rows / max(rows, fit.count())
     picked = fit.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
