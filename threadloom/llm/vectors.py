@@ -4,24 +4,41 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.arrow_text import quoted
 from threadloom.operators.components import connected_components
 from threadloom.plans.scratch import cut
 
 COSINE = 0.93
-TREES = 10
-#: Vectors a leaf should hold; leaves beyond it are compared block by block.
-LEAF = 512
-#: Share of a node's sample on either side of its median that goes down both ways.
-SPILL = 0.06
-#: Bound of the sample that sets the medians of all trees.
-SAMPLE = 20_000
-MOST_DEPTH = 24
+#: Vectors that a leaf should hold; a group of up to twice as many is not split any further but compared as it is.
+LEAF = 1024
+#: What goes down both ways: vectors as near to the median of their projections as this many standard deviations of the difference
+#: that two vectors at the threshold have in a random direction. It is a distance, not a share, so a dense group
+#: is not torn apart by a median that runs through it.
+SPILL = 0.8
+#: Part of a node that either way may keep; where a split would leave more (a dense group) the node stays whole.
+KEPT = 0.85
+#: A split leaves each way about this part of a node of evenly spread vectors.
+SHARE = 0.62
+#: The number of trees follows from their depth: a pair at the threshold survives a split with this chance at least (0.99 for
+#: evenly spread vectors), and all trees together may lose it with the other.
+SURVIVES, LOST = 0.975, 1e-4
+#: Numbers (vectors times their width) of the sample that sets one subtree's medians, vectors of it, and those a node needs.
+FIT_NUMBERS, FIT_ROWS, FIT_NODE = 1 << 20, 4096, 16
+#: Vectors that one task takes down the trees.
+TASK_ROWS = 100_000
+#: Splits below which a leaf's number stays within the bits that a home (tree << 56 | leaf) has for it.
+MOST_DEPTH = 54
+SEED = 11
+
+_TREE = 56
+_GROUP = ("label", "w", "home")
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -29,47 +46,76 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def trees_for(rows: int, leaf: int = LEAF) -> tuple[int, int]:
+    """Trees and splits of a group of ``rows`` vectors."""
+    depth = math.ceil(math.log(rows / (2 * leaf)) / -math.log(SHARE)) if rows > 2 * leaf else 0
+    return (math.ceil(math.log(LOST) / math.log(1 - SURVIVES**depth)) if depth else 1), depth
+
+
+@lru_cache(maxsize=1 << 15)
 def direction(seed: int, tree: int, node: int, width: int) -> np.ndarray:
-    return np.random.default_rng((seed, tree, node)).normal(size=width)
+    """The normal of a node's split. It follows from the seed, so only thresholds are stored and sent."""
+    d = np.random.default_rng((seed, tree, node)).normal(size=width)
+    return d / np.linalg.norm(d)
 
 
 class Tree:
-    """Splits fitted on a sample: node -> (direction, low, high). A vector goes left at or below ``high`` and right
-    at or above ``low``, so both ways in between."""
+    """Splits below ``root``: node -> (low, high). A vector goes left at or below ``high`` and right at or above ``low``, so both
+    ways in between."""
 
-    def __init__(self, sample: np.ndarray, tree: int, depth: int, seed: int = 11, spill: float = SPILL):
-        self.nodes: dict[int, tuple[np.ndarray, float, float]] = {}
-        todo = [(1, np.arange(len(sample)), 0)]
+    def __init__(self, number: int, root: int = 1, nodes: dict[int, tuple[float, float]] | None = None):
+        self.number, self.root, self.nodes = number, root, nodes or {}
+
+    @staticmethod
+    def fit(sample: np.ndarray, number: int, root: int, n: int, cosine: float = COSINE, leaf: int = LEAF) -> Tree:
+        """Splits until a node has about twice ``leaf`` of the ``n`` vectors that ``sample`` was picked from."""
+        out = Tree(number, root)
+        spill = SPILL * math.sqrt(max(0.0, 2 * (1 - cosine)) / sample.shape[1])
+        todo = [(root, np.arange(len(sample)))]
         while todo:
-            node, rows, level = todo.pop()
-            if level >= depth or len(rows) < 16:
+            node, rows = todo.pop()
+            if len(rows) * n <= 2 * leaf * len(sample) or len(rows) < FIT_NODE or node.bit_length() > MOST_DEPTH:
                 continue
-            d = direction(seed, tree, node, sample.shape[1])
-            p = sample[rows] @ d
-            low, mid, high = np.quantile(p, (0.5 - spill, 0.5, 0.5 + spill))
-            if p.min() == p.max():
+            p = sample[rows] @ direction(SEED, number, node, sample.shape[1])
+            mid = np.median(p)
+            left, right = rows[p <= mid + spill], rows[p >= mid - spill]
+            if max(len(left), len(right)) > KEPT * len(rows):
                 continue
-            self.nodes[node] = (d, float(low), float(high))
-            todo += [(2 * node, rows[p <= mid], level + 1), (2 * node + 1, rows[p > mid], level + 1)]
+            out.nodes[node] = (float(mid - spill), float(mid + spill))
+            todo += [(2 * node, left), (2 * node + 1, right)]
+        return out
 
-    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and leaf of every way down."""
-        done_row, done_leaf = [], []
-        todo = [(1, np.arange(len(x)))]
+    def pack(self) -> bytes:
+        head = np.array([self.number, self.root, len(self.nodes), *self.nodes], "<i8")
+        return head.tobytes() + np.array(list(self.nodes.values()), "<f8").tobytes()
+
+    @staticmethod
+    def unpack(data: bytes) -> list[Tree]:
+        out, at = [], 0
+        while at < len(data):
+            number, root, n = np.frombuffer(data, "<i8", 3, at).tolist()
+            nodes = np.frombuffer(data, "<i8", n, at + 24).tolist()
+            bounds = np.frombuffer(data, "<f8", 2 * n, at + 24 + 8 * n).reshape(n, 2).tolist()
+            out.append(Tree(number, root, {k: (low, high) for k, (low, high) in zip(nodes, bounds)}))
+            at += 24 + 24 * n
+        return out
+
+    def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row and home of every way down."""
+        row, home = [], []
+        todo = [(self.root, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
             if not len(rows):
                 continue
             if node not in self.nodes:
-                done_row.append(rows)
-                done_leaf.append(np.full(len(rows), node, np.int64))
+                row.append(rows)
+                home.append(np.full(len(rows), self.number << _TREE | node, np.int64))
                 continue
-            d, low, high = self.nodes[node]
-            p = x[rows] @ d
+            low, high = self.nodes[node]
+            p = x[rows] @ direction(SEED, self.number, node, x.shape[1])
             todo += [(2 * node, rows[p <= high]), (2 * node + 1, rows[p >= low])]
-        if not done_row:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(done_row), np.concatenate(done_leaf)
+        return (np.concatenate(row), np.concatenate(home)) if row else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -78,119 +124,239 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """``id``, ``label``, ``v`` (doubles) and ``ok``: whether the row can link at all."""
-    v = F.col(vector_col).cast("array<double>")
+    """``id``, ``label`` (as text), ``v`` (floats as they are, else doubles) and ``ok``: whether the row can link at all."""
+    v = F.col(quoted(vector_col))
+    if vectors.schema[vector_col].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    ok = v.isNotNull() & F.col(label_col).isNotNull() & finite & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("v"), F.coalesce(ok, F.lit(False)).alias("ok"))
-
-
-def _forest(distinct: DataFrame, trees: int, seed: int) -> dict[tuple[str, int], list[Tree]]:
-    """Trees for each (label, width), from at most ``SAMPLE`` vectors in all, evenly by label and picked by hash.
-    Labels with few vectors stay one leaf and need no tree."""
-    sizes = distinct.groupBy("label", F.size("v").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") > LEAF).orderBy(F.desc("n")).limit(1000).collect()
-    if not sizes:
-        return {}
-    each = SAMPLE // len(sizes)
-    table = [(r.label, r.w, int((1 << 30) * min(1.0, each / r.n))) for r in sizes]
-    spark = distinct.sparkSession
-    picks = spark.createDataFrame(table, f"label {distinct.schema['label'].dataType.simpleString()}, w int, most int")
-    got = distinct.select("label", F.size("v").alias("w"), "v", F.pmod(F.xxhash64("v"), F.lit(1 << 30)).alias("h")).join(F.broadcast(picks), ["label", "w"]).where("h < most")
-    by: dict[tuple[str, int], list] = {}
-    for r in got.select(F.col("label").cast("string").alias("label"), "w", "v").collect():
-        by.setdefault((r.label, r.w), []).append(r.v)
-    out = {}
-    for r in sizes:
-        rows = by.get((str(r.label), r.w))
-        if rows:
-            sample = unit(np.array(sorted(rows)))
-            depth = min(MOST_DEPTH, max(1, math.ceil(math.log2(r.n / LEAF))))
-            out[str(r.label), r.w] = [Tree(sample, t, depth, seed) for t in range(trees)]
-    return out
-
-
-def leaf_pairs(distinct: DataFrame, cosine: float, trees: int = TREES, seed: int = 11, leaf: int = LEAF) -> DataFrame:
-    """Pairs ``a`` < ``b`` of nodes that share a leaf of some tree and whose cosine is at least ``cosine``.
-
-    ``distinct`` has ``node``, ``label`` and ``v``, one row for each distinct vector of a label. Every row goes down every
-    tree. A leaf is dealt into blocks of about ``leaf`` rows by hash, and each pair of blocks is compared by itself, so
-    no task holds a whole leaf that outgrew its size.
+    label = F.col(quoted(label_col))
+    ok = v.isNotNull() & label.isNotNull() & finite & F.exists(v, lambda x: x != 0)
+    return vectors.select(F.col(quoted(id_col)).cast("long").alias("id"), label.cast("string").alias("label"), v.alias("v"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the first ``keys`` columns, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        change = np.zeros(b.num_rows, bool)
+        for k in range(keys):
+            c = b.column(k)
+            c = c.dictionary_encode().indices if pa.types.is_string(c.type) else c
+            x = c.to_numpy(zero_copy_only=False)
+            change[1:] |= x[1:] != x[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            key = tuple(b.column(k)[i].as_py() for k in range(keys))
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    return table.column(name).combine_chunks()
+
+
+def _subtrees(items: DataFrame, big: DataFrame, cosine: float, leaf: int, fit_rows: int) -> DataFrame:
+    """``label``, ``w``, ``home``, ``n``, ``trees``: splits for each group of ``big`` (which has its ``n``), fitted by itself on a
+    sample of its ``items`` that is picked by hash and bounded in rows and numbers."""
+    most = F.least(F.lit(fit_rows), F.greatest(F.floor(F.lit(FIT_NUMBERS) / F.greatest("w", F.lit(1))), F.lit(4 * FIT_NODE)))
+    pick = F.pmod(F.xxhash64("node", "home"), F.lit(1 << 30))
+    some = items.join(big, list(_GROUP)).where(pick < most / F.col("n") * (1 << 30))
+    gathered = some.select(*_GROUP, "n", "v").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, 3):
+            sample = unit(_matrix(_column(g, "v")))
+            sample = sample[np.lexsort(sample.T[:4])]
+            home, n = g.column("home")[0].as_py(), g.column("n")[0].as_py()
+            numbers = [(t, 1) for t in range(trees_for(n, leaf)[0])] if home == 0 else [(home >> _TREE, home & ((1 << _TREE) - 1))]
+            packed = b"".join(Tree.fit(sample, t, root, n, cosine, leaf).pack() for t, root in numbers)
+            first = g.slice(0, 1).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([*(first.column(k) for k in range(4)), pa.array([packed], pa.binary())], [*_GROUP, "n", "trees"])
+
+    return gathered.mapInArrow(run, "label string, w int, home long, n long, trees binary")
+
+
+def _descend(items: DataFrame, subtrees: DataFrame) -> DataFrame:
+    """``label``, ``w``, ``node``, ``home``: every way of the ``items`` down their group's subtrees.
+
+    A subtree is sent once to each task of its group, ahead of the group's vectors; a large group is dealt to tasks by hash.
     """
-    spark = distinct.sparkSession
-    shared = spark.sparkContext.broadcast(_forest(distinct, trees, seed))
-    label = F.col("label").cast("string").alias("label")
-
-    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared.value
-        for b in batches:
-            names = np.array(b.column(1).to_pylist(), object)
-            widths = np.array([len(v) for v in b.column(2)])
-            for key in sorted({(n, int(w)) for n, w in zip(names, widths)}):
-                rows = np.flatnonzero((names == key[0]) & (widths == key[1]))
-                part = b.take(pa.array(rows))
-                if key not in forest:
-                    found = [(np.arange(len(rows)), np.ones(len(rows), np.int64))]
-                else:
-                    x = unit(_matrix(part.column(2)))
-                    found = [t.leaves(x) for t in forest[key]]
-                for tree, (at, leaves) in enumerate(found):
-                    where = [f"{key[1]}/{tree}/{n}" for n in leaves.tolist()]
-                    yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(at)), pa.array(where, pa.string()), part.column(0).take(pa.array(at))], ["label", "leaf", "node"])
-
-    placed = cut(distinct.select("node", label, "v").mapInArrow(descend, "label string, leaf string, node long"), "leaves")
-    sizes = cut(placed.groupBy("label", "leaf").agg(F.ceil(F.count("*") / leaf).cast("int").alias("n")), "leaf-sizes", placed.count())
-    block = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
-    blocked = placed.join(sizes, ["label", "leaf"]).select("label", "leaf", "node", "n", block.alias("block"))
-    # A row meets its own block and those after it: it is sent once to each pair of blocks that it is part of.
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    sent = blocked.select("label", "leaf", "node", "block", other.alias("other"))
-    sent = sent.select("label", "leaf", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node")
-    with_vectors = sent.join(distinct.select("node", "v"), "node")
-    groups = with_vectors.groupBy("label", "leaf", "x", "y").agg(F.collect_list(F.struct("node", "block", "v")).alias("rows")).select("x", "y", "rows")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x, y, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                rows = rows.values
-                node, block = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("node", "block"))
-                v = unit(_matrix(rows.field("v")))
-                left = np.flatnonzero(block == x)
-                right = left if x == y else np.flatnonzero(block == y)
-                for i in range(0, len(left), 1024):
-                    p, q = np.nonzero(v[left[i : i + 1024]] @ v[right].T >= cosine - 1e-9)
-                    p, q = left[i + p], right[q]
-                    keep = node[p] < node[q] if x == y else node[p] != node[q]
-                    p, q = p[keep], q[keep]
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[p], node[q])), pa.array(np.maximum(node[p], node[q])), pa.array((v[p] * v[q]).sum(1))], ["a", "b", "cos"])
-
-    return groups.mapInArrow(compare, "a long, b long, cos double").where(F.col("cos") >= cosine).select("a", "b").distinct()
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, trees: int = TREES) -> DataFrame:
+    tasks = F.ceil(F.col("n") / TASK_ROWS).cast("int")
+    sizes = subtrees.select(*_GROUP, tasks.alias("tasks"))
+    mine = items.join(sizes, list(_GROUP)).select(*_GROUP, F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("kind"), "node", "v", F.lit(None).cast("binary").alias("trees"))
+    theirs = subtrees.select(*_GROUP, F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("node"), F.lit(None).cast(items.schema["v"].dataType).alias("v"), "trees")
+    keys = [*_GROUP, "task"]
+    dealt = mine.unionByName(theirs).repartition(*keys).sortWithinPartitions(*keys, "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: list[Tree] = []
+        for g in _groups(batches, 5):
+            if g.column("kind")[0].as_py() == 0:
+                trees = Tree.unpack(g.column("trees")[0].as_py())
+                continue
+            for b in g.to_batches(max_chunksize=4096):
+                x = unit(_matrix(b.column(b.schema.names.index("v"))))
+                node = b.column(b.schema.names.index("node"))
+                for t in trees:
+                    row, home = t.homes(x)
+                    rows = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), node.take(rows), pa.array(home)], ["label", "w", "node", "home"])
+
+    return dealt.mapInArrow(run, "label string, w int, node long, home long")
+
+
+def housed(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``label``, ``w``, ``node``, ``homes``: the leaves of each of the ``vectors`` (``label``, ``w``, ``node``, ``v``), over all trees.
+
+    Groups that outgrow a leaf are split by subtrees fitted on a sample of their own, first labels by all their trees,
+    then, as often as it takes, the leaves that are still too large; a leaf that a split does not make smaller stays.
+    Nothing of this passes through the driver but counts.
+    """
+    items = vectors.select("label", "w", F.lit(0).cast("long").alias("home"), "node", "v")
+    placed = items.select("label", "w", "node", "home")
+    done = None
+    while True:
+        sizes = cut(placed.groupBy(*_GROUP).agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf), "large-leaves")
+        if done is not None:
+            sizes = sizes.join(done, list(_GROUP), "left_anti")
+        if not sizes.limit(1).count():
+            break
+        some = items if done is None else placed.join(sizes.select(*_GROUP), list(_GROUP), "left_semi").join(vectors.select("node", "v"), "node")
+        subtrees = cut(_subtrees(some, sizes, cosine, leaf, fit_rows), "subtrees")
+        below = _descend(some, subtrees)
+        rest = placed.join(subtrees.select(*_GROUP), list(_GROUP), "left_anti")
+        # What a split left as it was is not split again.
+        done = (sizes if done is None else done.unionByName(sizes, allowMissingColumns=True)).select(*_GROUP)
+        placed = cut(below.unionByName(rest.select("label", "w", "node", "home")), "homes")
+    return placed.groupBy("label", "w", "node").agg(F.collect_list("home").alias("homes"))
+
+
+def leaf_links(nodes: DataFrame, cosine: float = COSINE, leaf: int = LEAF, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """What the leaves know of the links between the ``nodes`` (``node``, ``label``, ``w``, ``v`` and the weight ``n``), in two kinds of
+    rows: ``a`` with ``m``, the weight of nodes that it links to (to be summed up), and ``a`` with ``b``, a forest of the links.
+
+    Each vector goes to each of its leaves once, together with the numbers of all its leaves: a pair counts in the first
+    leaf that both share, so every pair found counts once and none is ever written. Leaves beyond twice ``leaf`` vectors are dealt
+    into blocks by hash and each two blocks meet by themselves.
+    """
+    homes = cut(housed(nodes.select("label", "w", "node", "v"), cosine, leaf, fit_rows), "housed")
+    placed = homes.select("label", "w", "node", "homes", F.explode("homes").alias("home"))
+    sizes = cut(placed.groupBy(*_GROUP).agg(F.count("*").alias("size")).where(F.col("size") > 2 * leaf), "blocked-leaves")
+    sent = nodes.select("node", "n", "v").join(homes, "node").withColumn("home", F.explode("homes"))
+    if sizes.limit(1).count():
+        blocks = F.coalesce(F.ceil(F.col("size") / (2 * leaf)), F.lit(1)).cast("int")
+        sent = sent.join(sizes, list(_GROUP), "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        # A row meets its own block and all others of its leaf.
+        sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sent = sent.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    else:
+        sent = sent.withColumns({c: F.lit(0) for c in ("block", "x", "y")})
+    keys = ["key", *_GROUP, "x", "y"]
+    sent = sent.withColumn("key", F.xxhash64(*_GROUP, "x", "y")).select(*keys, "block", "node", "n", "v", "homes")
+    sorted_ = sent.repartition("key").sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, 6):
+            x, y, home = (g.column(k)[0].as_py() for k in ("x", "y", "home"))
+            out = _compare(g, x, y, home, cosine)
+            if out is not None:
+                yield out
+
+    return sorted_.mapInArrow(run, "a long, b long, m long")
+
+
+def _compare(g: pa.Table, x: int, y: int, home: int, cosine: float) -> pa.RecordBatch | None:
+    """Links of one leaf, or between two blocks of it, that no earlier leaf has."""
+    block, node, weight = (_column(g, k).to_numpy(zero_copy_only=False) for k in ("block", "node", "n"))
+    v = unit(_matrix(_column(g, "v")))
+    order = np.argsort(block, kind="stable")
+    block, node, weight, v = block[order], node[order], weight[order].astype(float), v[order]
+    split = int(np.searchsorted(block, y)) if x != y else 0
+    # Which earlier leaves each row is in, as 0 and 1.
+    homes = _column(g, "homes")
+    count = np.diff(homes.offsets.to_numpy())
+    row, flat = np.repeat(np.arange(len(homes)), count), homes.flatten().to_numpy(zero_copy_only=False)
+    earlier = flat < home
+    codes, code = np.unique(flat[earlier], return_inverse=True)
+    inside = np.zeros((len(homes), len(codes)), np.float32)
+    inside[row[earlier], code] = 1
+    inside = inside[order]
+    total, parent = np.zeros(len(node)), np.arange(len(node))
+    edges: list[tuple[int, int]] = []
+    n = len(node)
+    for i in range(0, split if x != y else n, 512):
+        j = min(i + 512, split if x != y else n)
+        first = split if x != y else i
+        dot = v[i:j] @ v[first:].T
+        near = dot >= cosine
+        for p, q in zip(*np.nonzero(np.abs(dot - cosine) < 1e-9)):  # at the threshold the order of summing must not decide
+            near[p, q] = math.fsum(v[i + p] * v[first + q]) >= cosine
+        if x == y:
+            near &= np.arange(i, j)[:, None] < np.arange(first, n)[None, :]
+        if len(codes):
+            near &= inside[i:j] @ inside[first:].T == 0
+        if not near.any():
+            continue
+        total[i:j] += near @ weight[first:]
+        total[first:] += near.T @ weight[i:j]
+        # For the forest the first link of each column, and each row's links to columns of other trees.
+        _join(near, i, first, parent, edges)
+    linked = np.flatnonzero(total)
+    if not len(linked):
+        return None
+    a = np.concatenate([node[linked], node[[e[0] for e in edges]]]).astype(np.int64)
+    b = pa.array([None] * len(linked) + node[[e[1] for e in edges]].tolist(), pa.int64())
+    m = pa.array(np.concatenate([total[linked], np.zeros(len(edges))]).astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(a), b, m], ["a", "b", "m"])
+
+
+def _join(near: np.ndarray, i: int, first: int, parent: np.ndarray, edges: list[tuple[int, int]]) -> None:
+    """Adds a spanning forest of the links ``near`` (rows from ``i``, columns from ``first``) to ``edges``; ``parent`` names each row's
+    tree. A row is joined once with each tree that it links to."""
+    for p in np.flatnonzero(near.any(1)):
+        columns = first + np.flatnonzero(near[p])
+        roots, at = np.unique(parent[columns], return_index=True)
+        mine = parent[i + p]
+        new = roots != mine
+        if new.any():
+            edges.extend((i + int(p), int(columns[k])) for k in at[new])
+            parent[np.isin(parent, roots)] = mine
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, leaf: int = LEAF, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``id``, ``n_links``, ``component_id`` and ``kept`` of every row.
 
     Rows link when their labels are equal and their cosine, in double precision, is at least ``cosine``. A null vector or
     label, a zero vector and one with a null or non-finite component link with nothing; vectors of different length
     do not meet. Equal vectors of a label are one node and never expanded into pairs; ``n_links`` counts them. A null id
-    links like any other but is never a component's name unless it is alone, when that is null and not kept.
+    links like any other but is never a component's name unless it is alone, when that is null and not kept. Rows that
+    repeat an id are rows of their own. Of equal component members the smallest id names it. Columns beside the three are
+    not read; vectors of any width work; an empty table gives an empty result.
     """
     rows = usable(vectors, id_col, vector_col, label_col)
-    keyed = rows.withColumn("node", F.xxhash64(F.col("label").cast("string"), "v"))
-    able = keyed.where("ok")
-    members = cut(keyed.select("id", "ok", "node"), "members")
+    # 128 bits of two hashes tell vectors apart; what follows has a number of its own for each.
+    rows = rows.withColumns({"h1": F.xxhash64("label", "v"), "h2": F.xxhash64(F.lit(1), "v", "label")})
+    members = cut(rows.select("id", "ok", "h1", "h2"), "members")
     n = members.count()
-    counts = cut(able.groupBy("node", "label", "v").agg(F.count("*").alias("n"), F.min("id").alias("least")), "vectors", 20 * n)
-    pairs = cut(leaf_pairs(counts.select("node", "label", "v"), cosine, trees), "links")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    nodes = counts.select("node", "n", "least")
-    around = both.join(nodes.select(F.col("node").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("around"))
-    roots = connected_components(pairs)
-    known = nodes.join(around.withColumnRenamed("a", "node"), "node", "left").join(roots, "node", "left")
-    known = known.select("node", (F.coalesce("around", F.lit(0)) + F.col("n") - 1).alias("n_links"), "least", F.coalesce("component", "node").alias("root"))
-    known = cut(known, "nodes", n)
-    named = cut(known.groupBy("root").agg(F.min("least").alias("component_id")), "names", n)
-    found = cut(known.join(named, "root").select("node", "n_links", "component_id"), "found", n)
-    linked = members.where("ok").join(found, "node").select("id", "n_links", "component_id")
+    distinct = rows.where("ok").groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least"))
+    nodes = cut(distinct.withColumns({"w": F.size("v"), "node": F.monotonically_increasing_id()}), "vectors")
+    found = cut(leaf_links(nodes.select("node", "label", "w", "v", "n"), cosine, leaf, fit_rows), "links")
+    around = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("around"))
+    roots = connected_components(found.where("b is not null"))
+    known = nodes.select("h1", "h2", "node", "n", "least").join(around, "node", "left").join(roots, "node", "left")
+    links = (F.coalesce("around", F.lit(0)) + F.col("n") - 1).cast("long")
+    known = cut(known.select("h1", "h2", links.alias("n_links"), "least", F.coalesce("component", "node").alias("root")), "nodes", n)
+    named = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that a hot vector's partition of the join with its copies can be split.
+    named = cut(known.join(named, "root").select("h1", "h2", "n_links", "component_id"), "named", n)
+    linked = members.where("ok").join(named, ["h1", "h2"]).select("id", "n_links", "component_id")
     alone = members.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select("id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
