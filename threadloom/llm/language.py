@@ -10,14 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import apart, frugal, runs, small_batches, utf8
+from threadloom.llm.arrow_text import apart, beside, frugal, quoted, runs, utf8
+from threadloom.plans.scratch import cut
 
 #: Buckets of hashed subwords, numbers in an embedding, bytes in a subword.
 BUCKET_BITS, WIDTH, ORDERS = 13, 16, (2, 3, 4)
-#: Bounds of the labelled sample that the classifier is fitted on: rows, bytes of text, bytes of one text.
-SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_TEXT = 1600, 8 << 20, 1 << 17
-#: Part of the calibration rows named rightly that the rejection may cost.
-LOST = 0.001
+#: Bounds of the labelled sample that the classifier is fitted on: rows and bytes of text in all, dealt evenly to the languages;
+#: rows and bytes that every language gets however many there are; bytes of one text.
+SAMPLE_ROWS, SAMPLE_BYTES, LANG_ROWS, LANG_BYTES, SAMPLE_TEXT = 1600, 8 << 20, 40, 64 << 10, 1 << 17
+#: Part of the calibration rows named rightly that the rejection may cost, and part of the rows of languages that were not
+#: learned that it should reach.
+LOST, STRANGE = 0.001, 0.99
+#: Parts into which languages are dealt so that each part is left out of a model once; passes over the rows of such a model.
+FOLDS, FOLD_EPOCHS = 4, 4
 
 _SPACE = 32
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -90,7 +95,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def _rows(texts: list[bytes], bits: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def _rows(texts: list[bytes], bits: int, rng: np.random.Generator) -> tuple[Counts, np.ndarray]:
     """Mean subword counts of each text and of two short pieces of it, and whose text each row is."""
     parts, owner = [], []
     for k, t in enumerate(texts):
@@ -101,19 +106,37 @@ def _rows(texts: list[bytes], bits: int, rng: np.random.Generator) -> tuple[np.n
             i = int(rng.integers(0, max(1, len(words) - n)))
             parts.append(b" ".join(words[i : i + n]))
         owner += [k] * (len(parts) - len(owner))
-    x = np.zeros((len(parts), 1 << bits), np.float32)
-    for row, t in zip(x, parts):
+    found = []
+    for t in parts:
         buckets, _ = subwords(np.frombuffer(t, np.uint8), np.array([0, len(t)]), bits)
-        for b in buckets:
-            row += np.bincount(b, minlength=1 << bits)
-        row[0] = 0
-        row /= max(1.0, row.sum())
-    return x, np.array(owner)
+        at, n = np.unique(np.concatenate(buckets), return_counts=True)
+        at, n = at[at > 0], n[at > 0]
+        found.append((at, (n / max(1, n.sum())).astype(np.float32)))
+    return Counts(found, 1 << bits), np.array(owner)
+
+
+@dataclass
+class Counts:
+    """Rows of mean subword counts, kept sparse; ``dense`` gives a few of them."""
+
+    rows: list[tuple[np.ndarray, np.ndarray]]
+    width: int
+
+    def dense(self, which: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(which), self.width), np.float32)
+        for row, k in zip(out, which.tolist()):
+            at, n = self.rows[k]
+            row[at] = n
+        return out
+
+    def logits(self, which: np.ndarray, model: Model) -> np.ndarray:
+        parts = [self.dense(which[i : i + 256]) @ model.weights for i in range(0, len(which), 256)]
+        return np.concatenate(parts) + model.bias if parts else np.zeros((0, len(model.langs)))
 
 
 def train(texts: list[bytes], langs: list[str], bits: int = BUCKET_BITS, epochs: int = 12, seed: int = 7) -> Model | None:
     """Fits embeddings and output weights by stochastic gradient descent on four fifths of the texts; the rest set
-    the temperature and the rejection threshold."""
+    the temperature and the rejection threshold, together with models that each lack a part of the languages."""
     names = sorted(set(langs))
     if not names:
         return None
@@ -121,66 +144,96 @@ def train(texts: list[bytes], langs: list[str], bits: int = BUCKET_BITS, epochs:
     x, owner = _rows(texts, bits, rng)
     y = np.array([names.index(v) for v in langs])[owner]
     held = (np.arange(len(texts)) % 5 == 4)[owner]
-    emb = rng.normal(0, 1 / WIDTH, (x.shape[1], WIDTH)).astype(np.float32)
+    fit, kept = np.flatnonzero(~held), np.flatnonzero(held)
+    model = descend(x, y, fit, names, epochs, rng)
+    calibrate(model, x, y, kept)
+    strange = []
+    part = np.arange(len(names)) % FOLDS
+    for fold in range(FOLDS if len(names) > 2 else 0):
+        left = np.flatnonzero(part != fold)
+        out = kept[part[y[kept]] == fold]
+        if len(out) and len(left) > 1:
+            place = np.full(len(names), -1)
+            place[left] = np.arange(len(left))
+            without = descend(x, place[y], fit[part[y[fit]] != fold], [names[k] for k in left], FOLD_EPOCHS, rng)
+            without.temperature = temperature(without, x, place[y], kept[part[y[kept]] != fold])
+            strange.append(softmax(x.logits(out, without) / without.temperature).max(1))
+    reject(model, x, y, kept, np.concatenate(strange) if strange else np.empty(0))
+    return model
+
+
+def descend(x: Counts, y: np.ndarray, rows: np.ndarray, names: list[str], epochs: int, rng: np.random.Generator) -> Model:
+    emb = rng.normal(0, 1 / WIDTH, (x.width, WIDTH)).astype(np.float32)
     out = np.zeros((WIDTH, len(names)), np.float32)
     bias = np.zeros(len(names), np.float32)
-    fit = np.flatnonzero(~held)
-    step_at, steps, size = 0, max(1, epochs * (-(-len(fit) // 32))), 32
+    order, size = rows.copy(), 32
+    step_at, steps = 0, max(1, epochs * -(-len(order) // size))
     for _ in range(epochs):
-        rng.shuffle(fit)
-        for i in range(0, len(fit), size):
-            rows = fit[i : i + size]
+        rng.shuffle(order)
+        for i in range(0, len(order), size):
+            some = order[i : i + size]
             rate = 1 - step_at / steps
             step_at += 1
-            mean = x[rows] @ emb
+            counts = x.dense(some)
+            mean = counts @ emb
             err = softmax(mean @ out + bias)
-            err[np.arange(len(rows)), y[rows]] -= 1
-            err /= len(rows)
-            slope = x[rows].T @ (err @ out.T)
+            err[np.arange(len(some)), y[some]] -= 1
+            err /= len(some)
+            slope = counts.T @ (err @ out.T)
             out -= 20 * rate * (mean.T @ err)
             bias -= 0.05 * rate * err.sum(0)
             emb -= 60 * rate * slope
     model = Model(names, (emb @ out).astype(np.float32), bias.astype(np.float64))
     model.weights[0] = 0
-    calibrate(model, x[held], y[held])
     return model
 
 
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
-    """Temperature of the least log loss; then half the score that all but ``LOST`` of the calibration rows named
-    rightly reach (short pieces among them) is the rejection threshold, never above an even chance of two."""
-    if not len(y):
+def temperature(model: Model, x: Counts, y: np.ndarray, rows: np.ndarray) -> float:
+    """That of the least log loss over ``rows``."""
+    if not len(rows):
+        return 1.0
+    z, at = x.logits(rows, model), np.arange(len(rows))
+    loss = {t: -np.log(softmax(z / t)[at, y[rows]] + 1e-12).mean() for t in np.geomspace(0.02, 20, 60)}
+    return float(min(loss, key=loss.get))
+
+
+def calibrate(model: Model, x: Counts, y: np.ndarray, rows: np.ndarray) -> None:
+    model.temperature = temperature(model, x, y, rows)
+
+
+def reject(model: Model, x: Counts, y: np.ndarray, rows: np.ndarray, strange: np.ndarray) -> None:
+    """The rejection threshold: what all but ``LOST`` of the calibration rows named rightly reach, short pieces among them,
+    but no more than it takes to reject ``STRANGE`` of the rows whose language a model was not taught, and never more than an
+    even chance: a language that is likelier than all others together is not rejected."""
+    if not len(rows):
         return
-    z = x @ model.weights + model.bias
-    rows = np.arange(len(y))
-    loss = {t: -np.log(softmax(z / t)[rows, y] + 1e-12).mean() for t in np.geomspace(0.02, 20, 60)}
-    model.temperature = float(min(loss, key=loss.get))
-    p = softmax(z / model.temperature)
-    right = p[rows, y][p.argmax(1) == y]
+    p = softmax(x.logits(rows, model) / model.temperature)
+    right = p.max(1)[p.argmax(1) == y[rows]]
     if len(right):
-        model.reject_below = float(min(0.5, np.quantile(right, LOST) / 2))
+        need = np.quantile(strange, STRANGE) if len(strange) else 1.0
+        model.reject_below = float(min(0.5, np.quantile(right, LOST), need))
 
 
 def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, by: F.Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
-    """About ``rows`` rows and ``size`` bytes, dealt evenly to the languages, picked by the hash ``by``."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.pmod(by, F.lit(1 << 30)).alias("h")
+    """About ``rows`` rows and ``size`` bytes, dealt evenly to all languages but at least ``LANG_ROWS`` and ``LANG_BYTES`` to each,
+    picked by the hash ``by``."""
+    known = docs.where(F.col(quoted(lang_col)).isNotNull() & F.col(quoted(text_col)).isNotNull()).select(
+        F.col(quoted(lang_col)).alias("lang"), F.col(quoted(text_col)).cast("string").alias("text"), F.pmod(by, F.lit(1 << 30)).alias("h")
     )
     known = known.where(F.octet_length("text").between(1, SAMPLE_TEXT))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
-    found = sizes.orderBy(F.desc("n"), "lang").limit(200).collect()
-    if not found:
-        return known.select("lang", "text").limit(0)
-    each = [(r.lang, int((1 << 30) * min(1.0, rows / len(found) / r.n, size / len(found) / max(1, r.b)))) for r in found]
-    table = known.sparkSession.createDataFrame(each, "lang string, most long")
-    return known.join(F.broadcast(table), "lang").where("h < most").select("lang", "text")
+    sizes = cut(sizes, "languages")
+    langs = max(1, sizes.count())
+    share = F.least(F.lit(1.0), max(rows / langs, LANG_ROWS) / F.col("n"), max(size / langs, LANG_BYTES) / F.col("b"))
+    most = sizes.select("lang", (share * (1 << 30)).cast("long").alias("most"))
+    return known.join(most, "lang").where("h < most").select("lang", "text")
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", by: F.Column | None = None) -> Model | None:
     """A model from a bounded sample of the labelled rows of ``docs``; none without labelled text.
 
-    The bound is ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` bytes (both in expectation, as the pick is by hash); at most
-    200 languages are learned, the most frequent.
+    Every language with labelled text is learned. The bound of the sample is ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` bytes, or
+    ``LANG_ROWS`` and ``LANG_BYTES`` for each language where that is more (in expectation, as the pick is by hash).
     """
     by = F.xxhash64(text_col) if by is None else by
     rows = sorted((r.text.encode(), r.lang) for r in labelled_sample(docs, text_col, lang_col, by).collect())
@@ -193,12 +246,12 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     A text that is null or has no letter is ``und`` with score 0 and rejected, and so is every text without a model.
     Others get a learned language, the calibrated probability of it, and ``rejected`` where that is below the
-    calibrated threshold. Only the text is used.
+    calibrated threshold; of languages that tie the first by name is given. Only the text is used, all of it: a very long
+    one is done in parts. Repeated rows are told alike; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     given = apart(docs, text_col).select("row", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = f"row {given.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double, rejected boolean"
+    schema = beside(given, "text string, lang_pred string, score double, rejected boolean", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
