@@ -85,8 +85,8 @@ URL_RULES = (
 
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return urls.judge(pages, urls.fit(pages), URL_RULES).select("row.page_id", "host", "path", "rule", "verdict", "score")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return urls.judge(pages.select("page_id", "url"), urls.fit(pages, html_col="html"), URL_RULES).select("row.page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

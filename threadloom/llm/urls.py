@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.arrow_text import beside, few, quoted
 from threadloom.plans.scratch import cut, drop
 
 
-
 def _ring(words: str) -> str:
     """Names of each two neighbours in a line of words, the last with the first: every word stands in two names."""
     lines = [line.split() for line in words.strip().splitlines()]
@@ -55,15 +55,15 @@ machine machines farm farmers lucky gold super mega hub tube zone land place poi
 #: Log10 probability of an unknown word, and of each of its characters.
 UNKNOWN, PER_CHAR = -4.0, -1.3
 LONGEST = 24
-#: A word of the urls is a unigram from this many counts on and from this share of all counts on, so there are at most as
-#: many as the share's inverse however many urls there are.
+#: A word of the urls and pages is a unigram from this many counts on and from this share of all counts on, so there are at most
+#: as many as the share's inverse however many urls and pages there are.
 LEAST_COUNT, LEAST_SHARE = 5, 1 / 200_000
 #: Letters from which a known word counts beside an unknown rest; shorter ones stand in too many words (threads, Tibet).
 TELLING = 5
-#: Rules above which a chain of conditions becomes too long a plan.
-MOST_RULES = 500
+#: Rules above which they are a table to join instead of a chain of conditions.
+CHAINED_RULES = 64
 
-_NAME = re.compile("[a-z]+|[0-9]+")
+_NAME = re.compile(r"[^\W\d_]+|[0-9]+")
 _EXTENSION = re.compile(r"\.(?:html?|xhtml|shtml|php[0-9]?|aspx?|jspx?|cgi|xml|json|txt|pdf|css|js|png|jpe?g|gif|svg)$", re.IGNORECASE)
 
 
@@ -94,9 +94,7 @@ def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
 
 def matched(rules: Sequence[Rule], host: F.Column, path: F.Column, value) -> F.Column:
     """``value(rule)`` of the longest rule whose host is the url's or a parent of it and whose path begins the
-    url's; null if none fits."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
+    url's, of equally long ones the last by text; null if none fits."""
     out = F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r.text), r.text)):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
@@ -104,6 +102,25 @@ def matched(rules: Sequence[Rule], host: F.Column, path: F.Column, value) -> F.C
     return out
 
 
+def matched_by_join(given: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """``given`` with ``rule`` and ``_tl_action`` as ``matched`` finds them, for any number of rules.
+
+    Each different (host, path) looks up its host's suffixes, and under each the beginnings of its path that are as long
+    as some rule's there: two equi-joins, then an aggregation that keeps the longest.
+    """
+    spark = given.sparkSession
+    rows = [(r.host, r.path, len(r.path), len(r.text), r.text, k, r.action) for k, r in enumerate(rules)]
+    table = spark.createDataFrame(rows, "suffix string, start string, size int, length int, text string, k int, action string")
+    sizes = table.groupBy("suffix").agg(F.collect_set("size").alias("sizes"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    urls = given.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix"))
+    starts = urls.join(sizes, "suffix").select("host", "path", "suffix", F.explode("sizes").alias("size")).where(F.col("size") <= F.length("path"))
+    met = starts.select("host", "path", "suffix", F.expr("substring(path, 1, size)").alias("start")).join(table, ["suffix", "start"])
+    best = met.groupBy("host", "path").agg(F.max(F.struct("length", "text", "k", "action")).alias("best"))
+    return given.join(best, ["host", "path"], "left").select(*given.columns, F.col("best.text").alias("rule"), F.col("best.action").alias("_tl_action"))
+
+
 def _parts(name: str) -> list[str]:
     return _NAME.findall(name.lower())
 
@@ -149,8 +166,10 @@ class Model:
         return found
 
     def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host without its last label, then of the path without a file's extension."""
-        name = host.rsplit(":", 1)[0].rpartition(".")[0]
+        """Words of the host without its last label (of the whole where there is one label), then of the path without a
+        file's extension."""
+        name = host.rsplit(":", 1)[0]
+        name = name.rpartition(".")[0] or name
         return [w for part in _parts(name) + _parts(_EXTENSION.sub("", path)) for w in self.split(part)]
 
     def score(self, tokens: list[str]) -> float:
@@ -167,26 +186,30 @@ def lexicon(blocked: str = BLOCKED, allowed: str = ALLOWED, common: str = COMMON
     return out
 
 
-def word_counts(urls: DataFrame, url_col: str = "url") -> DataFrame:
+def word_counts(urls: DataFrame, url_col: str = "url", html_col: str | None = None) -> DataFrame:
     """``w`` and ``n`` of every word of all ``urls``: once for each different host that has it, so that a site's pages do not
-    vote for its name, and once for each time that it stands in a path."""
-    host, path = host_and_path(F.col(url_col).cast("string"))
-    given = urls.select(host.alias("host"), _lower(path).alias("path"))
-    name = F.regexp_extract("host", r"\A(.*)\.", 1)
-    words = lambda c: F.explode(F.split(c, "[^a-z]+")).alias("w")
+    vote for its name, once for each time that it stands in a path, and where ``html_col`` is given once for each time that it
+    stands in a page, outside its tags."""
+    host, path = host_and_path(F.col(quoted(url_col)).cast("string"))
+    given = urls.select(host.alias("host"), path.alias("path"))
+    name = F.when(F.instr("host", ".") > 0, F.regexp_extract("host", r"\A(.*)\.", 1)).otherwise(F.col("host"))
+    words = lambda c: F.explode(F.split(F.lower(c), r"[^\p{L}]+")).alias("w")
     hosts = given.select("host").distinct().select(words(name)).groupBy("w").agg(F.count("*").alias("n"))
-    paths = given.select(words(F.col("path"))).groupBy("w").agg(F.count("*").alias("n"))
-    return hosts.unionByName(paths).where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"))
+    found = hosts.unionByName(given.select(words(F.col("path"))).groupBy("w").agg(F.count("*").alias("n")))
+    if html_col is not None:
+        said = F.regexp_replace(F.col(quoted(html_col)).cast("string"), "<[^>]*>", " ")
+        found = found.unionByName(urls.select(words(said)).groupBy("w").agg(F.count("*").alias("n")))
+    return found.where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def fit(urls: DataFrame, url_col: str = "url", blocked: str = BLOCKED, allowed: str = ALLOWED, common: str = COMMON, prior: float = 0.2, alpha: float = 0.5) -> Model:
-    """Unigrams from the lexicon and from the words of all ``urls``; naive Bayes from the two lists of names.
+def fit(urls: DataFrame, url_col: str = "url", html_col: str | None = None, blocked: str = BLOCKED, allowed: str = ALLOWED, common: str = COMMON, prior: float = 0.2, alpha: float = 0.5) -> Model:
+    """Unigrams from the lexicon and from the words of all ``urls`` (and of their pages); naive Bayes from the two lists of names.
 
     All words are counted, and the counts written as a table. Words below ``LEAST_COUNT`` or ``LEAST_SHARE`` of all counts
     are no unigrams, nor is a word that is a chain of lexicon words: kept whole it would hide what it is made of.
     """
     words = lexicon(blocked, allowed, common)
-    counted = cut(word_counts(urls, url_col), "url-words")
+    counted = cut(word_counts(urls, url_col, html_col), "url-words")
     every = counted.agg(F.sum("n")).first()[0] or 0
     seen = counted.where((F.col("n") >= max(LEAST_COUNT, every * LEAST_SHARE)) | F.col("w").isin(list(words))).collect()
     drop(counted)
@@ -214,25 +237,30 @@ def judge(pages: DataFrame, model: Model, rules: Sequence[Rule] = (), url_col: s
 
     ``verdict`` is the action of the longest fitting rule, else ``block`` where the classifier's ``score`` is above one half
     and ``allow`` otherwise. A null url, an empty one and one without ``://`` have empty host and path, no tokens
-    and the classifier's prior; no rule fits an empty host. Repeated rows are judged alike.
+    and the classifier's prior; no rule with a host fits an empty one. Any number of rules works: beyond ``CHAINED_RULES`` they
+    are joined. Of equally long rules the last by text wins. Repeated rows are judged alike; a very long url is judged whole
+    (its words are split in time proportional to its length); an empty table gives an empty result. Columns of any name
+    travel in ``row``.
     """
-    given = pages.select(F.struct(*pages.columns).alias("row"), F.col(url_col).cast("string").alias("_tl_url"))
+    given = pages.select(F.struct(*map(quoted, pages.columns)).alias("row"), F.col(quoted(url_col)).cast("string").alias("_tl_url"))
     host, path = host_and_path(F.col("_tl_url"))
     given = given.select("row", host.alias("host"), path.alias("path"))
-    given = given.withColumn("rule", matched(rules, F.col("host"), F.col("path"), lambda r: r.text))
-    given = given.withColumn("_tl_action", matched(rules, F.col("host"), F.col("path"), lambda r: r.action))
+    if len(rules) > CHAINED_RULES:
+        given = matched_by_join(given, rules)
+    else:
+        given = given.withColumn("rule", matched(rules, F.col("host"), F.col("path"), lambda r: r.text))
+        given = given.withColumn("_tl_action", matched(rules, F.col("host"), F.col("path"), lambda r: r.action))
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in few(batches):
             tokens = [m.tokens(h, p) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             score = [m.score(t) for t in tokens]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(tokens, pa.list_(pa.string())), pa.array(score, pa.float64())], [*b.schema.names, "tokens", "score"]
             )
 
-    found = given.mapInArrow(run, head + ", tokens array<string>, score double")
+    found = given.mapInArrow(run, beside(given, "tokens array<string>, score double"))
     verdict = F.coalesce("_tl_action", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
     return found.select("row", "host", "path", "rule", "tokens", "score", verdict.alias("verdict"))
