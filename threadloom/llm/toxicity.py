@@ -14,10 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import apart, each, frugal, small_batches
+from threadloom.llm.arrow_text import apart, beside, each, frugal, quoted
+from threadloom.plans.scratch import cut, drop
 
 #: Labelled rows of each class that the classifier is fitted on, in expectation.
 SAMPLE_PER_CLASS = 6000
+#: Bytes beyond which a labelled text is left out of the sample (not of scoring), which bounds the vocabulary that is learned.
+SAMPLE_TEXT = 1 << 17
 #: Letters of a word's beginning that set the prior of its log-odds, and the weights of the two priors.
 STEM, WORD_PRIOR, STEM_PRIOR = 4, 2.0, 4.0
 #: Cost of a token, which makes the expected score of ordinary text negative.
@@ -161,7 +164,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, per_class: int) -> list[tuple[int, int]]:
     """About ``per_class`` ids of each class with their label, picked by the id's hash. An id that is labelled more
     than once counts as toxic if one label says so."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    known = labels.where(F.col(quoted(id_col)).isNotNull() & F.col(quoted(label_col)).isin(0, 1)).groupBy(F.col(quoted(id_col)).cast("long").alias("id")).agg(F.max(quoted(label_col)).cast("int").alias("y"))
     pick = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     most = F.lit(0)
     for r in known.groupBy("y").agg(F.count("*").alias("n")).collect():
@@ -170,7 +173,8 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, per_class: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model | None:
-    """A model from about ``per_class`` labelled rows of each class; none if a class has no row with text.
+    """A model from about ``per_class`` labelled rows of each class, of at most ``SAMPLE_TEXT`` bytes each; none if a class has
+    no such row.
 
     Two thirds of the sample set the log-odds. The others, whose words had no part in that, set the extreme-value law
     (those labelled 0) and the final weights, weighted to the class sizes of ``labels``.
@@ -180,8 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len({y for _, y in sample}) < 2:
         return None
     table = spark.createDataFrame(sample, "id long, y int")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(table), "id")
-    texts = texts.where("text is not null").select("y", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 2).alias("held"), "text")
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(table), "id")
+    texts = texts.where(F.octet_length("text") <= SAMPLE_TEXT).select("y", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 2).alias("held"), "text")
+    texts = cut(texts, "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,34 +206,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     words, stems = _log_odds({w: c for w, c in got.items() if w[0] != "\t"}, {w[1:]: c for w, c in got.items() if w[0] == "\t"}, rows)
     model = Model(words, stems)
+    ordinary = _measure(texts.where("held and y = 0"), model).collect()
+    model.decay, model.scale = gumbel(np.array([r.n for r in ordinary]), np.array([r.best for r in ordinary]))
     measured = _measure(texts.where("held"), model).collect()
-    if len({r.y for r in measured}) < 2:
+    drop(texts)
+    y = np.array([r.y for r in measured])
+    if len(set(y.tolist())) < 2:
         return model
-    n, best, y = (np.array([r[k] for r in measured]) for k in ("n", "best", "y"))
-    model.decay, model.scale = gumbel(n[y == 0], best[y == 0])
-    x = np.array([Model.features([(0, 0, s, model.scale * max(1, r.n) * math.exp(-model.decay * s)) for s in r.scores]) for r in measured])
-    sizes = {r.y: r.n for r in labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    x = np.array([(r.beyond, r.summed) for r in measured])
+    sizes = {r.y: r.n for r in labels.where(F.col(quoted(label_col)).isin(0, 1)).groupBy(F.col(quoted(label_col)).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     weight = np.where(y == 1, sizes.get(1, 1) / max(1, (y == 1).sum()), sizes.get(0, 1) / max(1, (y == 0).sum()))
     model.weights = tuple(logistic(x, y.astype(float), weight * len(y) / weight.sum()).tolist())
     return model
 
 
 def _measure(texts: DataFrame, model: Model) -> DataFrame:
-    small_batches(texts.sparkSession)
+    """``y``, ``n`` (words), ``best`` (score of the best segment) and the model's two ``features``, from all segments of each text."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ns, best, scores = [], [], []
+            rows = []
             for t in each(b.column(2)):
                 words = tokens(t)
-                found = sorted((s for *_, s in segments(shared.value.token_scores(words))), reverse=True)
-                ns.append(len(words))
-                best.append(found[0] if found else 0.0)
-                scores.append(found[:200])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(best, pa.float64()), pa.array(scores, pa.list_(pa.float64()))], ["y", "n", "best", "scores"])
+                found = shared.value.passages(words)
+                rows.append((len(words), max((s for _, _, s, _ in found), default=0.0), *Model.features(found)))
+            numbers = np.array(rows, float).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers[:, 0].astype(np.int64)), *(pa.array(numbers[:, k]) for k in (1, 2, 3))], ["y", "n", "best", "beyond", "summed"])
 
-    return texts.mapInArrow(frugal(run), "y int, n long, best double, scores array<double>")
+    return texts.mapInArrow(frugal(run), "y int, n long, best double, beyond double, summed double")
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -236,13 +242,13 @@ def score_toxicity(docs: DataFrame, model: Model | None, text_col: str = "text")
 
     ``passages`` are the significant segments as (first word, end word, score, E-value), best first; words are runs of
     letters. ``score`` is the chance of label 1. Null and empty texts have no passage and the score that none
-    gives; without a model every score is 0. Only the text is used.
+    gives; without a model every score is 0. Only the text is used, all of it however long (memory follows the longest text),
+    so repeated rows and texts that tie get equal scores; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     given = apart(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e", pa.float64())]))
-    schema = f"row {given.schema['row'].dataType.simpleString()}, score double, passages array<struct<first:bigint,end:bigint,score:double,e:double>>"
+    schema = beside(given, "score double, passages array<struct<first:bigint,end:bigint,score:double,e:double>>", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
