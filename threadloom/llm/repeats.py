@@ -1,4 +1,10 @@
-"""Removal of long repeated passages by compaction of the token de Bruijn graph."""
+"""Removal of long repeated passages by compaction of the token de Bruijn graph.
+
+Windows of 35 words are edges, the 34 words that two neighbouring windows share are nodes. Edges that occur once cannot matter
+and are dropped by their anchors; the others become units (a run of edges that always occurs as a whole, or one edge where texts part),
+nonbranching paths of units are compacted into one by joins, and a repeated span is taken out only after its words were
+compared with those at another place where it occurs.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.arrow_text import each, frugal, small_batches
-from threadloom.plans.scratch import cut
+from threadloom.llm.arrow_text import apart, beside, each, frugal
+from threadloom.plans.scratch import cut, drop, settle
 
 WINDOW = 35
 #: Words of the anchors that deal edges into buckets.
@@ -123,136 +129,230 @@ def _paths(texts: Iterator[bytes], window: int, anchor: int) -> Iterator[tuple[n
             yield np.array(which, np.int64)[t], a, c, p + lo - start[t], n
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``i`` and ``t``: what tells rows of different id or text apart; rows equal in both behave alike."""
-    small_batches(docs.sparkSession)
-    text = F.col(text_col).cast("string")
-    kind = dict(docs.dtypes)[id_col]
-    ident = F.col(id_col).cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(id_col)
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    return docs.select(
-        F.coalesce(ident, F.lit(-(1 << 62))).alias("i"), F.xxhash64(text).alias("t"), F.struct(*rest).alias("row"), text.alias("text")
-    )
-
-
-def _packed(keyed: DataFrame, *more: str) -> DataFrame:
-    """Texts as Zstandard frames, for what follows shuffles them; a null stays null."""
-    kept = keyed.select("i", "t", *more, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[:-1]) + ", z binary"
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``r`` (a number of its own for each row), ``row`` and ``z`` (the text as a Zstandard frame; a null stays null)."""
+    given = apart(docs, text_col).select(F.monotonically_increasing_id().alias("r"), "row", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            null = b.column(b.num_columns - 1).is_null().to_pylist()
-            z = pa.array([None if no else pack.compress(t) for t, no in zip(each(b.column(b.num_columns - 1)), null)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], z], [*b.schema.names[:-1], "z"])
+            null = b.column(2).is_null().to_pylist()
+            z = pa.array([None if no else pack.compress(t) for t, no in zip(each(b.column(2)), null)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), z], ["r", "row", "z"])
 
-    return kept.mapInArrow(frugal(run), schema)
+    return cut(given.mapInArrow(frugal(run), beside(given, "z binary", "r", "row")), "texts")
 
 
-def _pos(p: np.ndarray, n: np.ndarray) -> pa.Array:
-    return pa.array((p << 6) | n)
+def _unpacked(column: pa.Array) -> Iterator[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    for z in column:
+        yield unpack.decompress(z.as_py()) if z.is_valid else b""
 
 
-def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """``i``, ``t``, ``pos``: runs of repeated windows, first word << 6 | number of windows.
+def _edges(texts: DataFrame, contents: DataFrame, window: int) -> DataFrame:
+    """What the paths of ``contents`` are made of, read again at their source coordinates: ``kind``, ``a``, ``w``, ``u``, ``v``, ``r``, ``p``, ``one``.
 
-    1. Every text's edges are compacted into paths that share an anchor (about one for 15 words), and anchors that
+    Of a path in a ``branching`` bucket every edge (kind 0), of a path that occurs more than once the path as a whole (kind
+    1); ``u`` and ``v`` are the nodes at either end, ``w`` is the edge's or the path's content. An edge of a path that occurs more than once
+    comes with that path's first and last coordinates, any other with its only one (``one``).
+    """
+    asks = F.struct("a", "c", F.col("lo.pos").alias("pos"), F.col("hi.r").alias("hi_r"), F.col("hi.pos").alias("hi_pos"), (F.col("n") > 1).alias("twice"), "branching")
+    asked = contents.groupBy(F.col("lo.r").alias("r")).agg(F.collect_list(asks).alias("asked"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts: list[list[np.ndarray]] = []
+            for r, text, wanted in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2)):
+                h = _prefix(_hashes(text.split())[:, 1])
+                asks = wanted.values
+                a, c, pos, hi_r, hi_pos, twice, branching = (asks.field(k).to_numpy(zero_copy_only=False) for k in range(7))
+                begin, n = pos >> 6, pos & 63
+                whole = np.flatnonzero(twice)
+                p, q = begin[whole], begin[whole] + n[whole]
+                parts.append([np.full(len(p), 1), a[whole], c[whole], _spans(h, p, p + window - 1).view(np.int64), _spans(h, q, q + window - 1).view(np.int64), np.full(len(p), r), p, np.full(len(p), False)])
+                single = np.flatnonzero(branching)
+                which = np.repeat(single, n[single])
+                step = np.arange(len(which)) - np.repeat(np.cumsum(n[single]) - n[single], n[single])
+                p = begin[which] + step
+                shared = [a[which], _spans(h, p, p + window).view(np.int64), _spans(h, p, p + window - 1).view(np.int64), _spans(h, p + 1, p + window).view(np.int64)]
+                again = twice[which].astype(bool)
+                parts.append([np.zeros(len(p), int), *shared, np.full(len(p), r), p, ~again])
+                parts.append([np.zeros(again.sum(), int), *(x[again] for x in shared), hi_r[which][again], ((hi_pos >> 6)[which] + step)[again], np.full(again.sum(), False)])
+            if parts:
+                columns = [np.concatenate(x) for x in zip(*parts)]
+                arrays = [pa.array(columns[0].astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in columns[1:7]), pa.array(columns[7].astype(bool))]
+                yield pa.RecordBatch.from_arrays(arrays, ["kind", "a", "w", "u", "v", "r", "p", "one"])
+
+    found = texts.select("r", "z").join(asked, "r").mapInArrow(frugal(read), "kind int, a long, w long, u long, v long, r long, p long, one boolean")
+    return cut(found, "edges")
+
+
+def compact(units: DataFrame) -> DataFrame:
+    """``uid``, ``unitig``, ``off``: the nonbranching path that each unit but the first of its path lies on (named by that first), and
+    the number of edges before it. ``units`` has ``uid``, its number of edges ``n`` and its nodes ``u`` and ``v``.
+
+    A node joins two units where exactly one ends and exactly one begins; degrees come from aggregations. Then every
+    unit's pointer to the one before it is doubled by a join until it reaches the path's first: rounds grow with
+    the logarithm of the longest path, and only units that have not arrived take part in the next one. Paths that
+    close to a ring have no first and stay as they are.
+    """
+    out = units.groupBy("u").agg(F.count("*").alias("deg"), F.min("uid").alias("uid")).where("deg = 1").select(F.col("u").alias("node"), "uid")
+    into = units.groupBy("v").agg(F.count("*").alias("deg"), F.min(F.struct("uid", "n")).alias("x")).where("deg = 1").select(F.col("v").alias("node"), F.col("x.uid").alias("before"), F.col("x.n").alias("off"))
+    links = cut(out.join(into, "node").where("uid <> before").select("uid", "before", "off"), "unit-links")
+    firsts = links.select("uid").withColumnRenamed("uid", "before")
+    arrived = [cut(links.join(firsts, "before", "left_anti").select("uid", "before", "off"), "unitigs")]
+    left = cut(links.join(firsts, "before", "left_semi").select("uid", "before", "off"), "unit-rest")
+    n, last = left.count(), -1
+    while n and n != last:
+        ahead = left.select("uid", "before", "off", F.lit(False).alias("there"))
+        for part in arrived:
+            ahead = ahead.unionByName(part.withColumn("there", F.lit(True)))
+        ahead = ahead.select(F.col("uid").alias("at"), F.col("before").alias("before2"), F.col("off").alias("off2"), "there")
+        jumped = left.join(ahead, F.col("before") == F.col("at")).select("uid", F.col("before2").alias("before"), (F.col("off") + F.col("off2")).alias("off"), "there")
+        jumped = cut(jumped, "unit-jumps", n)
+        arrived.append(jumped.where("there").drop("there"))
+        left = jumped.where("not there").drop("there")
+        n, last = left.count(), n
+    labels = arrived[0]
+    for part in arrived[1:]:
+        labels = labels.unionByName(part)
+    return labels.select("uid", F.col("before").alias("unitig"), "off")
+
+
+def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``r``, ``at``, ``first``, ``units``, ``words``: stretches of repeated windows of each text, each within one nonbranching path and
+    with the words of another place where the same path is spelled.
+
+    ``at`` is where the path would begin in the text, ``first`` the stretch's first edge on the path, ``units`` its parts (first edge on
+    the path << 6 | number of edges) and ``words`` what the other place says, from ``first`` on, as a Zstandard frame.
+
+    1. Every text's edges are dealt into runs that share an anchor (about one for 15 words), and anchors that
        occur once in the corpus are dropped by an aggregation and a join: their edges cannot occur twice.
-    2. A path whose words occur elsewhere is repeated as a whole: paths of a bucket are counted by their 128-bit
-       identity (anchor and content).
-    3. A path that occurs once in a bucket with other paths is where the graph branches. Its edges, and those of the
-       paths beside it, are read again at their source coordinates and counted one by one.
+    2. A run whose words occur elsewhere is a unit. A run that occurs once in a bucket with other runs is where texts
+       part: its edges, and those of the runs beside it, are read again at their source coordinates, and each that occurs more
+       than once is a unit by itself.
+    3. Units whose common node has no other unit are compacted into paths (``compact``).
+    4. The occurrences of units in a text are gathered by path and by the place that they are to be compared with:
+       the first place in the corpus where the unit stands, for that one the last. Each different stretch of
+       words is read there once and sent to those that ask for it.
     """
     if window - anchor + 1 > 63:
         raise ValueError("window may exceed anchor by 62 words at most")
+    spark = texts.sparkSession
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, a, c, p, n in _paths(each(b.column(2)), window, anchor):
-                rows = pa.array(text)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), _pos(p, n)], ["a", "c", "i", "t", "pos"]
-                )
+            for text, a, c, p, n in _paths(_unpacked(b.column(1)), window, anchor):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(pa.array(text)), pa.array((p << 6) | n)], ["a", "c", "r", "pos"])
 
-    paths = cut(keyed.select("i", "t", "text").mapInArrow(frugal(find), "a long, c long, i long, t long, pos long"), "paths")
+    paths = cut(texts.select("r", "z").mapInArrow(frugal(find), "a long, c long, r long, pos long"), "paths")
     n = paths.count()
     # Written, so that both sides of the join are plain exchanges: then a partition with a hot anchor can be split.
     anchors = cut(paths.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "anchors", n)
     met = cut(paths.join(anchors, "a"), "met", n)
-    contents = cut(met.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("i", "t", "pos")).alias("at")), "contents", n)
-    whole = met.join(contents.where("n > 1").select("a", "c"), ["a", "c"]).select("i", "t", "pos")
-    branching = cut(contents.where("n = 1").select("a").distinct(), "branching", n)
-    beside = contents.join(branching, "a").select("a", (F.col("n") > 1).alias("twice"), "at.*")
-    asked = beside.groupBy("i", "t").agg(F.collect_list(F.struct("a", "pos", "twice")).alias("asked"))
+    drop(paths)
+    contents = met.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("r", "pos")).alias("lo"), F.max(F.struct("r", "pos")).alias("hi"))
+    contents = cut(contents, "contents", n)
+    parting = cut(contents.where("n = 1").select("a").distinct().withColumn("parting", F.lit(True)), "parting", n)
+    beside = contents.join(parting, "a", "left").withColumn("branching", F.coalesce("parting", F.lit(False)))
+    edges = _edges(texts, beside, window)
+    settle(spark)
+    again = cut(edges.where("kind = 0").groupBy("a", "w").agg(F.count("*").alias("n")).where("n > 1").select("a", "w"), "again", n)
+    single = cut(edges.where("kind = 0").join(again, ["a", "w"]), "again-edges")
+    of_edges = single.groupBy("a", "w").agg(
+        F.max("one").alias("one"), F.first("u").alias("u"), F.first("v").alias("v"), F.min(F.struct("r", "p")).alias("lo"), F.max(F.struct("r", "p")).alias("hi")
+    )
+    of_edges = of_edges.where("one").select(F.lit(0).alias("kind"), "a", "w", F.lit(1).cast("long").alias("n"), "u", "v", "lo", "hi")
+    place = lambda c: F.struct(F.col(f"{c}.r").alias("r"), F.shiftright(f"{c}.pos", 6).alias("p")).alias(c)
+    of_runs = contents.where("n > 1").select("a", F.col("c").alias("w"), F.col("lo.pos").bitwiseAND(F.lit(63)).alias("n"), place("lo"), place("hi"))
+    of_runs = of_runs.join(edges.where("kind = 1").select("a", "w", "u", "v"), ["a", "w"]).select(F.lit(1).alias("kind"), "a", "w", "n", "u", "v", "lo", "hi")
+    units = cut(of_runs.unionByName(of_edges).withColumn("uid", F.monotonically_increasing_id()), "units")
+    drop(edges)
+    settle(spark)
+    labels = compact(units.select("uid", "n", "u", "v"))
+    on_path = units.join(labels, "uid", "left").select(
+        "kind", "a", "w", "n", F.coalesce("unitig", "uid").alias("unitig"), F.coalesce("off", F.lit(0)).cast("long").alias("off"), "lo", "hi"
+    )
+    on_path = cut(on_path, "unit-places")
+    settle(spark)
+    runs = met.select("a", F.col("c").alias("w"), "r", F.shiftright("pos", 6).alias("p")).join(on_path.where("kind = 1"), ["a", "w"])
+    ones = single.where("one").select("a", "w", "r", "p").join(on_path.where("kind = 0"), ["a", "w"])
+    first = (F.col("r") == F.col("lo.r")) & (F.col("p") == F.col("lo.p"))
+    seen = runs.unionByName(ones, allowMissingColumns=True).select(
+        "r", "unitig", (F.col("p") - F.col("off")).alias("at"), F.when(first, F.col("hi")).otherwise(F.col("lo")).alias("ref"), "off", "n"
+    )
+    blocks = (
+        seen.select("r", "unitig", "at", F.col("ref.r").alias("ref"), (F.col("ref.p") - F.col("off")).alias("ref_at"), "off", "n")
+        .groupBy("r", "unitig", "at", "ref", "ref_at")
+        .agg(F.min("off").alias("first"), F.max(F.col("off") + F.col("n")).alias("end"), F.collect_list(F.shiftleft("off", 6) + F.col("n")).alias("units"))
+        .select("r", "at", "first", "units", "ref", (F.col("ref_at") + F.col("first")).alias("x"), (F.col("ref_at") + F.col("end") + window - 1).alias("y"))
+    )
+    blocks = cut(blocks, "blocks")
+    drop(met)
+    settle(spark)
+    asked = blocks.select("ref", "x", "y").distinct().groupBy(F.col("ref").alias("r"), F.floor(F.col("x") / 4096)).agg(F.collect_list(F.struct("x", "y")).alias("asked"))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+    def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            rows, asked_at, found, begins = [], [], [], []
-            asks = b.column(3).flatten()
-            pos, n_asks = asks.field("pos").to_numpy(zero_copy_only=False), 0
-            for row, (z, wanted) in enumerate(zip(b.column(2), b.column(3))):
-                h = _prefix(_hashes(unpack.decompress(z.as_py()).split())[:, 1])
-                mine = pos[n_asks : n_asks + len(wanted)]
-                n = mine & 63
-                which = np.repeat(np.arange(len(mine)), n)
-                p = (mine >> 6)[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                rows.append(np.full(len(p), row))
-                asked_at.append(which + n_asks)
-                found.append(_spans(h, p, p + window))
-                begins.append(p)
-                n_asks += len(mine)
-            if rows:
-                row, which = pa.array(np.concatenate(rows)), np.concatenate(asked_at)
-                twice = asks.field("twice").to_numpy(zero_copy_only=False)[which]
-                columns = [
-                    asks.field("a").take(pa.array(which)),
-                    pa.array(np.concatenate(found).view(np.int64)),
-                    b.column(0).take(row),
-                    b.column(1).take(row),
-                    pa.array((np.concatenate(begins) << 1) | twice),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "w", "i", "t", "p"])
-
-    edges = cut(_packed(keyed.where("text is not null")).select("i", "t", "z").join(asked, ["i", "t"]).mapInArrow(frugal(read), "a long, w long, i long, t long, p long"), "edges")
-    again = cut(edges.groupBy("a", "w").agg(F.sum((F.col("p") % 2) + 1).alias("n")).where("n > 1").select("a", "w"), "again", edges.count())
-    single = edges.where("p % 2 = 0").join(again, ["a", "w"]).select("i", "t", F.expr("shiftleft(shiftright(p, 1), 6) + 1").alias("pos"))
-    return whole.unionByName(single)
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, as_is: bool = False) -> DataFrame:
+            out = []
+            for r, text, wanted in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2).to_pylist()):
+                words = text.split()
+                out += [(r, k["x"], k["y"], pack.compress(b" ".join(words[k["x"] : k["y"]]))) for k in wanted]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["ref", "x", "y", "words"])
+
+    said = cut(texts.select("r", "z").join(asked, "r").select("r", "z", "asked").mapInArrow(frugal(say), "ref long, x long, y long, words binary"), "said")
+    return blocks.join(said, ["ref", "x", "y"]).select("r", "at", "first", "units", "words")
+
+
+def _repeated(words: list[bytes], blocks: list[dict], window: int) -> np.ndarray:
+    """How many of the blocks, minus those that ended, cover each word: only what spells the same as the place beside it."""
+    edge = np.zeros(len(words) + 1, np.int64)
+    unpack = zstandard.ZstdDecompressor()
+    for block in blocks:
+        at, first = block["at"], block["first"]
+        there = unpack.decompress(block["words"]).split()
+        begin = at + first
+        same = words[begin : begin + len(there)] == there
+        for unit in block["units"]:
+            off, n = unit >> 6, unit & 63
+            p, size = at + off, n + window - 1
+            if same or words[p : p + size] == there[off - first : off - first + size]:
+                edge[p] += 1
+                edge[p + size] -= 1
+    return np.cumsum(edge[:-1])
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, as_is: bool = False) -> DataFrame:
     """``row`` (all columns but the text), ``n_words``, ``n_removed`` and ``kept`` of every row.
 
     ``kept`` is the text without each word that a window of ``window`` words covers whose word sequence starts at
     any other place too, in the same text or another; the words left are joined by one space. Windows are judged
-    on the input. A null text has no words and keeps ``''``; texts shorter than the window lose nothing; rows
-    equal in id and text are copies of each other like any two texts. An empty table gives an empty result. With
+    on the input. A null text has no words and keeps ``''``; texts shorter than the window lose nothing; repeated
+    rows are copies of each other like any two texts, and of ties none is kept. Texts of any length are done whole (memory follows the
+    longest). An empty table gives an empty result. Other columns of any name travel in ``row``. With
     ``as_is`` a text that loses nothing keeps its white space, and a null stays null.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(keyed, window).groupBy("i", "t").agg(F.collect_set("pos").alias("spans"))
-    joined = _packed(keyed, "row").join(spans, ["i", "t"], "left").select("row", "z", "spans")
-    schema = f"row {keyed.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string"
+    texts = _texts(docs, text_col)
+    blocks = repeated_blocks(texts, window).groupBy("r").agg(F.collect_list(F.struct("at", "first", "units", "words")).alias("blocks"))
+    joined = texts.join(blocks, "r", "left").select("row", "z", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
             total, gone, kept = [], [], []
-            for z, spans in zip(b.column(1), b.column(2)):
-                words = unpack.decompress(z.as_py()).split() if z.is_valid else []
+            for z, blocks in zip(b.column(1), b.column(2)):
+                text = unpack.decompress(z.as_py()) if z.is_valid else None
+                words = text.split() if text else []
                 total.append(len(words))
-                if spans.is_valid:
-                    pos = spans.values.to_numpy(zero_copy_only=False)
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, pos >> 6, 1)
-                    np.add.at(edge, (pos >> 6) + (pos & 63) + window - 1, -1)
-                    left = np.cumsum(edge[:-1]) == 0
+                if blocks.is_valid:
+                    left = _repeated(words, blocks.as_py(), window) == 0
                     words = [w for w, keep in zip(words, left.tolist()) if keep]
                 gone.append(total[-1] - len(words))
-                kept.append(b" ".join(words) if gone[-1] or not as_is else unpack.decompress(z.as_py()) if z.is_valid else None)
+                kept.append(b" ".join(words) if gone[-1] or not as_is else text)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept"]
             )
 
-    return joined.mapInArrow(frugal(run), schema)
+    return joined.mapInArrow(frugal(run), beside(texts, "n_words long, n_removed long, kept string", "row"))
