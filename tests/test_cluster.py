@@ -6,7 +6,7 @@ from threadloom.operators.cluster import cluster, labels_of
 from threadloom.operators.components import connected_components
 from threadloom.operators.consensus import consensus
 from threadloom.operators.graph import core_points, dbscan, degrees, neighbors
-from threadloom.operators.join import edit_join_exact
+from threadloom.operators.join import edit_join_exact, edit_join_lsh
 from threadloom.params import JoinParams
 from threadloom.plans.numbering import numbered
 
@@ -83,9 +83,9 @@ def test_copies_are_labelled_as_if_expanded(spark, seed, min_pts, chunk):
     words = ["".join(rng.choice("AC") for _ in range(7)) for _ in range(14)]
     texts = [rng.choice(words) for _ in range(60)]
     rows = spark.createDataFrame([(i, s, i // (chunk or 1000)) for i, s in enumerate(texts)], "i long, s string, part long")
-    found = edit_join_exact(rows, 1, "i", "s")
+    found = edit_join_exact(rows, 1, "i", "s", group_col="part" if chunk else None)
     pairs = {(r.id1, r.id2) for r in found.pairs().collect() if not chunk or r.id1 // chunk == r.id2 // chunk}
-    got = {r.i: r.label for r in labels_of(rows, found, min_pts, "part" if chunk else None).collect()}
+    got = {r.i: r.label for r in labels_of(rows, found, min_pts).collect()}
     assert got == dbscan_by_loop(len(texts), pairs, min_pts)
 
 
@@ -111,6 +111,23 @@ def test_numbers_are_dense_and_ordered(spark):
     assert [n for _, n in got] == list(range(3, 503))
 
 
+def test_few_rows_with_large_numbers_are_one_chunk(spark):
+    p = JoinParams(num_str=4, num_hash=6, num_bits=6, alphabet=4, k=1, shift=1, sampling_range=4, min_pts=3, chunk_size=100)
+    for ids in ([0, 1, 2, 3], [0, 1000, 2000, 3000]):
+        rows = spark.createDataFrame([(i, "ACGT") for i in ids], "i long, s string")
+        for exact in (True, False):
+            assert [(r.consensus, r.points) for r in cluster(rows, p, exact).collect()] == [("ACGT", 4)]
+
+
+def test_chunks_never_meet(spark):
+    rows = spark.createDataFrame([(k, "ACGTACGT", k // 3) for k in range(9)], "i long, s string, part long")
+    p = JoinParams(num_str=2, num_hash=3, num_bits=3, alphabet=4, k=2, shift=2, sampling_range=6)
+    want = {(i, j) for i in range(9) for j in range(i + 1, 9) if i // 3 == j // 3}
+    joins = [edit_join_exact(rows, 2, "i", "s", group_col="part"), *(edit_join_lsh(rows, p, "i", "s", plan=plan, group_col="part") for plan in ("buckets", "segments"))]
+    for found in joins:
+        assert {(r.id1, r.id2) for r in found.pairs().collect()} == want
+
+
 def test_cluster_in_one_and_two_levels(spark):
     rng = random.Random(4)
     seeds = ["".join(rng.choice("ACGT") for _ in range(30)) for _ in range(4)]
@@ -123,5 +140,9 @@ def test_cluster_in_one_and_two_levels(spark):
     two = JoinParams(num_str=4, num_hash=6, num_bits=6, alphabet=4, k=4, shift=4, sampling_range=40, min_pts=3, chunk_size=16)
     got = cluster(rows, two, True).collect()
     assert {(r.consensus, r.points, r.reads) for r in got} == {(s, 3, 12) for s in seeds}
+    # Rows are counted, not their numbers.
+    apart = rows.selectExpr("i * 1000 + 7 AS i", "s")
+    assert {(r.consensus, r.points, r.reads) for r in cluster(apart, two, True).collect()} == {(s, 3, 12) for s in seeds}
+    assert {r.consensus for r in cluster(apart, p, True).collect()} == set(seeds)
     assert cluster(rows.limit(0), p).count() == 0
     assert cluster(rows.where("i = 0"), p).count() == 0

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions.embed import embed, embedded, embedded_column
-from threadloom.functions.strings import as_bytes, edit_distance, letter_codes
-from threadloom.operators.join import edit_join_exact, edit_join_lsh
+from threadloom.functions.strings import as_bytes, bit_distance, edit_distance, letter_codes
+from threadloom.operators.join import Side, edit_join_exact, edit_join_lsh, edit_join_tables, links_between
 from threadloom.params import UNREACHED, JoinParams
 from threadloom.plans.lsh import buckets, candidate_cardinality, candidate_pairs, collision_counts, collisions
+from threadloom.plans.segments import places, segment_candidates
 
 P = JoinParams(num_str=3, num_hash=4, num_bits=5, alphabet=4, k=3, shift=2, sampling_range=30)
 
@@ -132,6 +133,66 @@ def test_small_inputs(spark, texts):
         assert found.funnel().first().n_links == 0
 
 
+@pytest.mark.parametrize("k", [0, 1, 3, 9])
+@pytest.mark.parametrize("plan", ["by_length", "by_place"])
+def test_segments_miss_no_pair(spark, k, plan):
+    texts = reads(60, 6)
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and lev(a, b) <= k}
+    got = {tuple(r) for r in segment_candidates(frame(spark, texts), k, plan=plan).collect()}
+    assert want <= got and all(i < j for i, j in got)
+
+
+def long_reads(n, size, most, seed):
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("ACGT") for _ in range(size)) for _ in range(n // 3)]
+    out = []
+    for _ in range(n):
+        s = list(rng.choice(base))
+        for _ in range(rng.randrange(most)):
+            at = rng.randrange(len(s))
+            s[at : at + rng.randrange(2)] = rng.choice(["", "A", "C", "GT"])
+        out.append("".join(s))
+    return out
+
+
+def test_default_threshold_on_long_strings(spark):
+    texts = long_reads(30, 1200, 150, 3)
+    assert places(frame(spark, texts), 150)[0] == "by_place"
+    want = {(i, j): d for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and (d := bit_distance(a, b, 150)) >= 0}
+    assert len(want) > 10
+    assert {(r.id1, r.id2): r.dist for r in edit_join_exact(frame(spark, texts), 150, "i", "s").pairs().collect()} == want
+    p = JoinParams(sampling_range=800)
+    for plan in ("buckets", "segments"):
+        got = {(r.id1, r.id2): r.dist for r in edit_join_lsh(frame(spark, texts), p, "i", "s", plan=plan).pairs().collect()}
+        assert got.items() <= want.items() and len(got) > 0.5 * len(want)
+
+
+def test_bit_distance_is_the_distance():
+    rng = random.Random(8)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("ACGT") for _ in range(rng.randrange(40))) for _ in range(2))
+        b = a[: rng.randrange(40)] + b[:5] + a[rng.randrange(40) :] if rng.random() < 0.6 else b
+        for k in (0, 2, 7, 50):
+            assert bit_distance(a, b, k) == (lev(a, b) if lev(a, b) <= k else -1)
+
+
+@pytest.mark.parametrize("params", [None, P])
+def test_two_tables(spark, params):
+    one, two = reads(40, 9), reads(40, 9)[10:] + reads(15, 10)
+    left, right = frame(spark, one), frame(spark, two).selectExpr("i * 5 - 20 AS i", "s")
+    want = {(i, 5 * j - 20, lev(a, b)) for i, a in enumerate(one) for j, b in enumerate(two) if lev(a, b) <= P.k}
+    got = {tuple(r) for r in edit_join_tables(left, right, P.k, "i", "s", params=params).collect()}
+    assert got == want if params is None else got <= want and {w for w in want if w[2] == 0} <= got
+    if params is not None:
+        sides = [Side.of(x, "i", "s", params=params) for x in (left, right)]
+        each = [{tuple(r) for r in links_between(*sides, P.k, params, plan).collect()} for plan in ("buckets", "segments")]
+        assert each[0] == each[1]
+        within = edit_join_lsh(frame(spark, one + two), params, "i", "s", plan="buckets").pairs().collect()
+        across = {(r.id1, 5 * (r.id2 - len(one)) - 20, r.dist) for r in within if r.id1 < len(one) <= r.id2}
+        assert got == across
+    assert edit_join_tables(left.limit(0), right, 2, "i", "s").count() == 0
+
+
 def test_bytes_or_characters(spark):
     df = spark.createDataFrame([("größe", "grosse")], "a string, b string")
     a, b = F.col("a"), F.col("b")

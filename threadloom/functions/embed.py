@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from threadloom.functions.strings import letter_code
 from threadloom.params import UNREACHED, JoinParams
 
-_BATCH = 4096
+#: Cells (strings times places) of a numpy pass, and strings of one.
+_CELLS, _BATCH = 1 << 21, 4096
 
 
 def embedded(strings: list[str], params: JoinParams, t: int, q: int) -> np.ndarray:
@@ -50,12 +51,13 @@ def embedded(strings: list[str], params: JoinParams, t: int, q: int) -> np.ndarr
 
 def embed(strings: DataFrame, params: JoinParams, id_col: str = "i", text_col: str = "s") -> DataFrame:
     """``i``, ``n``, ``t``, ``q``, ``sigs``, ``hashes``: for each string, random string and suffix the sampled characters
-    and the bucket number of every hash function. ``n`` is the length. Null strings are left out.
+    and the bucket number of every hash function. ``n`` is the length. Null strings are left out. A column ``g`` stays.
 
     One Arrow pass: numpy advances all strings of a batch together, and only the characters that the walk can reach are
     looked at.
     """
-    given = strings.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("s")).where("s is not null")
+    group = ["g"] if "g" in strings.columns else []
+    given = strings.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("s"), *(F.col(c).cast("long") for c in group)).where("s is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = np.array(params.positions)
@@ -63,8 +65,9 @@ def embed(strings: DataFrame, params: JoinParams, id_col: str = "i", text_col: s
         code = np.zeros(0x110000, np.int64)
         code[[ord(c) for c in params.letters]] = range(params.alphabet)
         for b in batches:
-            for lo in range(0, b.num_rows, _BATCH):
-                part = b.slice(lo, _BATCH)
+            rows = max(1, min(_BATCH, _CELLS // (params.last_position + 1)))
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows)
                 texts = part.column(1).to_pylist()
                 n = pa.array([len(x) for x in texts], pa.int32())
                 for t in range(params.num_str):
@@ -75,11 +78,11 @@ def embed(strings: DataFrame, params: JoinParams, id_col: str = "i", text_col: s
                         ends = pa.array(np.arange(0, len(ids) + 1, len(where)), pa.int32())
                         same = [pa.array(np.full(len(texts), v), pa.int32()) for v in (t, q)]
                         yield pa.RecordBatch.from_arrays(
-                            [part.column(0), n, *same, pa.ListArray.from_arrays(ends, sigs), pa.ListArray.from_arrays(ends, pa.array(ids))],
-                            ["i", "n", "t", "q", "sigs", "hashes"],
+                            [part.column(0), n, *same, pa.ListArray.from_arrays(ends, sigs), pa.ListArray.from_arrays(ends, pa.array(ids)), *part.columns[2:]],
+                            ["i", "n", "t", "q", "sigs", "hashes", *group],
                         )
 
-    return given.mapInArrow(run, "i long, n int, t int, q int, sigs array<string>, hashes array<long>")
+    return given.mapInArrow(run, "i long, n int, t int, q int, sigs array<string>, hashes array<long>" + ", g long" * len(group))
 
 
 def embedded_column(s: Column, params: JoinParams, t: int, q: int) -> Column:

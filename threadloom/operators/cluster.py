@@ -13,51 +13,48 @@ from threadloom.plans.numbering import numbered
 from threadloom.plans.scratch import cut
 
 
-def labels_of(rows: DataFrame, found: JoinResult, min_pts: int, chunk_col: str | None = None) -> DataFrame:
-    """``i``, ``label`` of every row ``i`` (and ``chunk_col``), from a join of the rows.
+def labels_of(rows: DataFrame, found: JoinResult, min_pts: int) -> DataFrame:
+    """``i``, ``label`` of every row ``i``, from a join of the rows.
 
-    The graph has one node for each string of a chunk, weighted by its copies and named by their smallest id. That
-    gives every copy the label that it would have as a node of its own, without expanding copies into pairs.
+    The graph has one node for each different string (of a group, if the join had groups), weighted by its copies and named by
+    their smallest id. That gives every copy the label that it would have as a node of its own, without expanding
+    copies into pairs.
     """
-    chunk = F.col(chunk_col) if chunk_col else F.lit(0).cast("long")
-    placed = rows.select(F.col("i").alias("id"), chunk.alias("chunk")).join(found.members.select("id", F.col("i").alias("string")), "id")
-    placed = cut(placed, "placed")
-    nodes = cut(placed.groupBy("chunk", "string").agg(F.min("id").alias("i"), F.count("*").alias("weight")), "nodes")
-    one, two = (nodes.select("chunk", F.col("string").alias(f"i{d}"), F.col("i").alias(f"n{d}")) for d in (1, 2))
-    pairs = found.links.select("i1", "i2").join(one, "i1").join(two, ["i2", "chunk"]).select("n1", "n2")
-    labels = dbscan(nodes, pairs, min_pts, "i", "n1", "n2", "weight")
-    known = nodes.join(labels, "i").select("chunk", "string", "label")
-    return placed.join(known, ["chunk", "string"]).select(F.col("id").alias("i"), "label")
+    placed = cut(rows.select(F.col("i").alias("id")).join(found.members.select("id", "i"), "id"), "placed")
+    nodes = cut(placed.groupBy("i").agg(F.count("*").alias("weight")), "nodes")
+    labels = dbscan(nodes, found.links, min_pts, "i", "i1", "i2", "weight")
+    return placed.join(labels, "i").select(F.col("id").alias("i"), "label")
 
 
 def chunk_clusters(strings: DataFrame, params: JoinParams, exact: bool = False, chunked: bool = True, min_pts: int | None = None) -> DataFrame:
-    """``chunk``, ``i``, ``s``, ``label`` of every row ``i``, ``s``.
+    """``chunk``, ``i``, ``s``, ``label`` of every row ``i``, ``s``, where ``i`` counts the rows from 0.
 
-    Chunks hold ``params.chunk_size`` consecutive ids and are clustered apart, all in one job: links across chunks are
-    dropped before the graph is built. Labels are numbered over all chunks.
+    Chunks hold ``params.chunk_size`` consecutive rows and are clustered apart, all in one job: the chunk is part of every
+    join key, so strings of different chunks never meet. Labels are numbered over all chunks.
     """
-    rows = strings.where("s is not null").select(F.col("i").cast("long").alias("i"), F.col("s").cast("string").alias("s"))
+    rows = strings.select(F.col("i").cast("long").alias("i"), F.col("s").cast("string").alias("s"))
     chunk = (F.floor(F.col("i") / params.chunk_size) if chunked else F.lit(0)).cast("long")
     rows = cut(rows.withColumn("chunk", chunk), "rows")
-    found = edit_join_exact(rows, params.k, "i", "s") if exact else edit_join_lsh(rows, params, "i", "s")
-    return rows.join(labels_of(rows, found, min_pts or params.min_pts, "chunk"), "i").select("chunk", "i", "s", "label")
+    found = edit_join_exact(rows, params.k, "i", "s", group_col="chunk") if exact else edit_join_lsh(rows, params, "i", "s", group_col="chunk")
+    return rows.join(labels_of(rows, found, min_pts or params.min_pts), "i").select("chunk", "i", "s", "label")
 
 
 def cluster(strings: DataFrame, params: JoinParams, exact: bool = False, letters: str | None = None, length: int | None = None) -> DataFrame:
     """``label``, ``consensus``, ``points`` and ``reads`` of every cluster of rows ``i``, ``s``.
 
-    With more rows than ``params.chunk_size`` each chunk gives its consensus strings and these are clustered once more; then
+    Rows are counted in the order of ``i``, whatever numbers those are; rows of equal ``i`` in any order. With more rows than
+    ``params.chunk_size`` each chunk gives its consensus strings and these are clustered once more; then
     ``points`` counts consensus strings and ``reads`` the rows behind them. ``second_level_min_pts`` is ``min_pts`` unless
-    set. ``length`` is the consensus length, by default that of the string with the smallest id. Empty input gives no
-    cluster; any size works.
+    set. ``length`` is the consensus length in characters, by default that of the first string. Null strings are left out;
+    empty input gives no cluster; any size works.
     """
-    first = strings.where("s is not null").orderBy("i").limit(1).select(F.octet_length("s").alias("n"), "i").collect()
+    rows = cut(numbered(strings.where("s is not null").select(F.col("i").alias("id"), "s"), "id", name="i").select("i", "s"), "counted")
+    first = rows.where("i = 0").select(F.length("s").alias("n")).collect()
     if not first:
         return _none(strings)
     length = first[0].n if length is None else length
-    last = strings.agg(F.max("i")).first()[0]
-    chunked = last >= params.chunk_size
-    labelled = cut(chunk_clusters(strings, params, exact, chunked), "labelled")
+    chunked = rows.count() > params.chunk_size
+    labelled = cut(chunk_clusters(rows, params, exact, chunked), "labelled")
     level = consensus(labelled, length, letters)
     if not chunked:
         return level.select("label", "consensus", "points", F.col("points").alias("reads"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.strings import as_bytes, edit_distance
+from threadloom.functions.strings import as_bytes, bit_distance, edit_distance, once
 from threadloom.params import JoinParams
 from threadloom.plans.lsh import bucket_sizes, buckets, candidate_pairs, collision_counts, collisions, collisions_of
 from threadloom.plans.scratch import cut
-from threadloom.plans.segments import segment_candidates
+from threadloom.plans.segments import places, segment_candidates
 
 
 @dataclass
@@ -46,44 +49,78 @@ class JoinResult:
 
     def funnel(self) -> DataFrame:
         """One row: candidate pairs verified and links found, both between different strings."""
-        return self.candidates.agg(F.count("*").alias("n_candidates")).crossJoin(self.links.agg(F.count("*").alias("n_links")))
+        each = self.candidates.select(F.lit(1).alias("c"), F.lit(0).alias("l")).unionByName(self.links.select(F.lit(0).alias("c"), F.lit(1).alias("l")))
+        return each.agg(F.count_if(F.col("c") == 1).alias("n_candidates"), F.count_if(F.col("l") == 1).alias("n_links"))
 
 
-def _classes(strings: DataFrame, id_col: str, text_col: str, byte_mode: bool) -> tuple[DataFrame, DataFrame]:
-    """Distinct strings (``i``, ``s``) and members (``id``, ``i``). Null strings and null ids take no part."""
+def _classes(strings: DataFrame, id_col: str, text_col: str, byte_mode: bool, group_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Distinct strings of each group (``i``, ``s`` and, with groups, ``g``) and members (``id``, ``i``). Null strings and null ids take no part."""
     s = F.col(text_col).cast("string")
-    rows = strings.select(F.col(id_col).cast("long").alias("id"), (as_bytes(s) if byte_mode else s).alias("s")).where("id is not null and s is not null")
-    distinct = cut(rows.groupBy("s").agg(F.min("id").alias("i")).select("i", "s"), "strings")
-    return distinct, rows.join(distinct, "s").select("id", "i")
+    group = [] if group_col is None else [F.col(group_col).cast("long").alias("g")]
+    keys = ["s", *["g"] * len(group)]
+    rows = strings.select(F.col(id_col).cast("long").alias("id"), (as_bytes(s) if byte_mode else s).alias("s"), *group).where("id is not null and s is not null")
+    distinct = cut(rows.groupBy(*keys).agg(F.min("id").alias("i")).select("i", *keys), "strings")
+    return distinct, rows.join(distinct, keys).select("id", "i")
 
 
-def verify(candidates: DataFrame, strings: DataFrame, k: int) -> DataFrame:
-    """``i1``, ``i2``, ``dist`` of the candidates within ``k`` edits. Each string is fetched by an equi-join."""
-    one, two = (strings.select(F.col("i").alias(f"i{d}"), F.col("s").alias(f"s{d}")) for d in (1, 2))
+#: Threshold from which pairs are verified by ``bit_distance``, and letters that a task of it reads.
+LONG_K, TASK_LETTERS = 16, 1 << 18
+
+
+def verify(candidates: DataFrame, strings: DataFrame, k: int, others: DataFrame | None = None) -> DataFrame:
+    """``i1``, ``i2``, ``dist`` of the candidates within ``k`` edits. Each string is fetched by an equi-join, the second of a pair from
+    ``others``, if there are any."""
+    one, two = (x.select(F.col("i").alias(f"i{d}"), F.col("s").alias(f"s{d}")) for d, x in ((1, strings), (2, strings if others is None else others)))
     met = candidates.join(one, "i1").join(two, "i2")
-    return met.select("i1", "i2", edit_distance(F.col("s1"), F.col("s2"), k).alias("dist")).where("dist >= 0")
+    if k < LONG_K:
+        return met.select("i1", "i2", once(edit_distance(F.col("s1"), F.col("s2"), k)).alias("dist")).where("dist >= 0")
+    # Few rows can be much work: they are spread by the letters that comparing them reads, not by their bytes.
+    letters = candidates.count() * (strings.agg(F.avg(F.length("s"))).first()[0] or 0)
+    return long_distances(met.repartition(int(min(100_000, 1 + letters / TASK_LETTERS))), k)
+
+
+def long_distances(met: DataFrame, k: int) -> DataFrame:
+    """``i1``, ``i2``, ``dist`` of the rows whose ``s1`` and ``s2`` are within ``k`` edits, by ``bit_distance``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dist = np.array([bit_distance(x.as_py(), y.as_py(), k) for x, y in zip(b.column(2), b.column(3))], np.int32)
+            near = pa.array(np.flatnonzero(dist >= 0))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(near), b.column(1).take(near), pa.array(dist).take(near)], ["i1", "i2", "dist"])
 
-#: Row pairs of a bucket table, for each of its rows, beyond which the join does not go through the buckets.
+    return met.select("i1", "i2", "s1", "s2").mapInArrow(run, "i1 long, i2 long, dist int")
+
+
+#: Row pairs of a bucket table, for each of its rows, up to which the join goes through the buckets without more ado.
 MOST_FAN = 50
 
 
-def edit_join_lsh(strings: DataFrame, params: JoinParams, id_col: str = "id", text_col: str = "s", byte_mode: bool = True, plan: str = "auto") -> JoinResult:
+def _plan(sizes: DataFrame, distinct: DataFrame, k: int) -> str:
+    """``segments`` where the buckets' pairs are more than ``MOST_FAN`` a row and more than the places that segments look at."""
+    sums = sizes.agg(F.sum("size").alias("n"), F.sum("pairs").alias("pairs")).first()
+    if (sums.pairs or 0) <= MOST_FAN * (sums.n or 0):
+        return "buckets"
+    return "segments" if sums.pairs > distinct.count() * places(distinct, k)[1] else "buckets"
+
+
+def edit_join_lsh(
+    strings: DataFrame, params: JoinParams, id_col: str = "id", text_col: str = "s", byte_mode: bool = True, plan: str = "auto", group_col: str | None = None
+) -> JoinResult:
     """Pairs within ``params.k`` edits, found by hashing embeddings: every pair is verified, few are missed.
 
     Whether two strings collide follows from their content alone, so equal strings are joined once, as one. The same
     pairs come out of either plan. ``buckets`` enumerates the pairs of each bucket and verifies those that collide
     often enough. ``segments`` starts from the pairs that share a segment, verifies them, and keeps those that
     collide; a bucket that holds a large part of all rows costs it nothing. ``auto`` sums up the buckets' pairs
-    first and takes ``segments`` where they exceed ``MOST_FAN`` a row.
+    first and takes ``segments`` where they exceed both ``MOST_FAN`` a row and what ``segments`` has to look at. With
+    ``group_col`` (an integer) only strings of one group meet: it is part of every join key.
     """
-    distinct, members = _classes(strings, id_col, text_col, byte_mode)
+    distinct, members = _classes(strings, id_col, text_col, byte_mode, group_col)
     table = cut(buckets(distinct, params), "buckets")
     # Copies agree under every hash function unless no suffix is embedded at all.
     copies = params.num_rep > 0 and params.num_str * params.num_hash > params.count_filter
     if plan == "auto":
-        sizes = bucket_sizes(table).agg(F.sum("size").alias("n"), F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2).alias("pairs")).first()
-        plan = "segments" if (sizes.pairs or 0) > MOST_FAN * (sizes.n or 0) else "buckets"
+        plan = _plan(bucket_sizes(table).withColumn("pairs", F.col("size").cast("double") * (F.col("size") - 1) / 2), distinct, params.k)
     if plan == "segments":
         candidates = cut(segment_candidates(distinct, params.k), "candidates")
         near = cut(verify(candidates, distinct, params.k), "near")
@@ -93,8 +130,62 @@ def edit_join_lsh(strings: DataFrame, params: JoinParams, id_col: str = "id", te
     return JoinResult(cut(verify(candidates, distinct, params.k), "links"), members, candidates, copies)
 
 
-def edit_join_exact(strings: DataFrame, k: int, id_col: str = "id", text_col: str = "s", byte_mode: bool = True) -> JoinResult:
-    """All pairs within ``k`` edits."""
-    distinct, members = _classes(strings, id_col, text_col, byte_mode)
+def edit_join_exact(strings: DataFrame, k: int, id_col: str = "id", text_col: str = "s", byte_mode: bool = True, group_col: str | None = None) -> JoinResult:
+    """All pairs within ``k`` edits; with ``group_col`` (an integer) all that lie in one group."""
+    distinct, members = _classes(strings, id_col, text_col, byte_mode, group_col)
     candidates = cut(segment_candidates(distinct, k), "candidates")
     return JoinResult(cut(verify(candidates, distinct, k), "links"), members, candidates)
+
+
+@dataclass
+class Side:
+    """One of two tables to join: distinct strings (``i``, ``s``), members (``id``, ``i``) and, for a hash join, its bucket table."""
+
+    strings: DataFrame
+    members: DataFrame
+    table: DataFrame | None = None
+
+    @staticmethod
+    def of(rows: DataFrame, id_col: str = "id", text_col: str = "s", byte_mode: bool = True, params: JoinParams | None = None) -> Side:
+        strings, members = _classes(rows, id_col, text_col, byte_mode)
+        return Side(strings, cut(members, "members"), None if params is None else cut(buckets(strings, params), "buckets"))
+
+
+def segments_between(left: Side, right: Side, k: int) -> DataFrame:
+    """Distinct ``i1`` (left), ``i2`` (right) that contain every pair within ``k`` edits. Representatives lie within 62 bits."""
+    sides = [s.strings.select((F.shiftleft("i", 1) + d).alias("i"), "s", F.lit(d).alias("side")) for d, s in enumerate((left, right))]
+    met = segment_candidates(sides[0].unionByName(sides[1]), k)
+    turned = F.col("i1") % 2 != 0
+    one, two = F.when(turned, F.col("i2")).otherwise(F.col("i1")), F.when(turned, F.col("i1")).otherwise(F.col("i2"))
+    return met.select(F.shiftright(one, 1).alias("i1"), F.shiftright(two, 1).alias("i2"))
+
+
+def links_between(left: Side, right: Side, k: int, params: JoinParams | None = None, plan: str = "auto") -> DataFrame:
+    """``i1`` (left), ``i2`` (right), ``dist`` of the different strings within ``k`` edits, equal ones included: all, or with ``params`` those
+    that the hash join finds, by the same two plans as within one table."""
+    if params is not None and plan == "auto":
+        one, two = (bucket_sizes(s.table).withColumnRenamed("size", f"size{d}") for d, s in ((1, left), (2, right)))
+        sizes = one.join(two, ["t", "k", "hash_id"]).select((F.col("size1") + F.col("size2")).alias("size"), (F.col("size1").cast("double") * F.col("size2")).alias("pairs"))
+        plan = _plan(sizes, left.strings.unionByName(right.strings), k)
+    if params is None or plan == "segments":
+        near = cut(verify(cut(segments_between(left, right, k), "candidates"), left.strings, k, right.strings), "near")
+        if params is None:
+            return near
+        hits = candidate_pairs(collision_counts(collisions_of(near, left.table, right.table)), params)
+        return cut(near.join(hits, ["i1", "i2"], "left_semi"), "links")
+    candidates = cut(candidate_pairs(collision_counts(collisions(left.table, params, right.table)), params), "candidates")
+    return cut(verify(candidates, left.strings, k, right.strings), "links")
+
+
+def pairs_between(left: Side, right: Side, links: DataFrame) -> DataFrame:
+    """``id1``, ``id2``, ``dist`` of every pair of rows, copies included."""
+    one, two = left.members.select(F.col("id").alias("id1"), F.col("i").alias("i1")), right.members.select(F.col("id").alias("id2"), F.col("i").alias("i2"))
+    return links.join(one, "i1").join(two, "i2").select("id1", "id2", "dist")
+
+
+def edit_join_tables(left: DataFrame, right: DataFrame, k: int, id_col: str = "id", text_col: str = "s", byte_mode: bool = True, params: JoinParams | None = None) -> DataFrame:
+    """``id1`` (left), ``id2`` (right), ``dist``: all pairs of rows of two tables within ``k`` edits, or with ``params`` (whose ``k`` holds then) those
+    that the hash join finds. Rows of the same table never meet. Null strings and ids take no part."""
+    k = k if params is None else params.k
+    one, two = Side.of(left, id_col, text_col, byte_mode, params), Side.of(right, id_col, text_col, byte_mode, params)
+    return pairs_between(one, two, links_between(one, two, k, params))

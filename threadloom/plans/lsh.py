@@ -10,14 +10,17 @@ from threadloom.params import UNREACHED, JoinParams
 
 
 def buckets(strings: DataFrame, params: JoinParams) -> DataFrame:
-    """``t``, ``k``, ``hash_id``, ``i``, ``q``, ``n``, ``sig``: a row for each string, random string, suffix and hash function."""
+    """``t``, ``k``, ``hash_id``, ``i``, ``q``, ``n``, ``sig``: a row for each string, random string, suffix and hash function. A
+    column ``g`` of the strings stays: it is part of every bucket's key, so groups never meet."""
     both = F.posexplode(F.arrays_zip("sigs", "hashes")).alias("k", "x")
-    return embed(strings, params).select("t", "q", "i", "n", both).select("t", "k", F.col("x.hashes").alias("hash_id"), "i", "q", "n", F.col("x.sigs").alias("sig"))
+    group = ["g"] if "g" in strings.columns else []
+    found = embed(strings, params).select("t", "q", "i", "n", *group, both)
+    return found.select("t", "k", F.col("x.hashes").alias("hash_id"), "i", "q", "n", F.col("x.sigs").alias("sig"), *group)
 
 
 def bucket_sizes(table: DataFrame) -> DataFrame:
-    """``t``, ``k``, ``hash_id``, ``size``."""
-    return table.groupBy("t", "k", "hash_id").agg(F.count("*").alias("size"))
+    """``t``, ``k``, ``hash_id`` (and ``g``), ``size``."""
+    return table.groupBy("t", "k", "hash_id", *(["g"] if "g" in table.columns else [])).agg(F.count("*").alias("size"))
 
 
 def candidate_cardinality(table: DataFrame) -> DataFrame:
@@ -38,35 +41,56 @@ def signatures_agree(a: str, b: str) -> F.Column:
     )
 
 
-def collisions(table: DataFrame, params: JoinParams) -> DataFrame:
-    """``i1`` < ``i2``, ``q1``, ``q2``, ``t``, ``k``: rows of one bucket whose lengths differ by ``k`` at most and whose signatures agree.
+def collisions(table: DataFrame, params: JoinParams, other: DataFrame | None = None) -> DataFrame:
+    """``i1``, ``i2``, ``q1``, ``q2``, ``t``, ``k``: rows of one bucket whose lengths differ by ``k`` at most and whose signatures agree.
+
+    Within one ``table`` each pair comes once, with ``i1`` < ``i2``; with an ``other`` table the first of a pair is of ``table`` and the second
+    of ``other``, and no two rows of the same table meet.
 
     A signature without unreached places agrees only with an equal one or with one that has such places. So complete
     signatures are joined on themselves, which no accidental collision of bucket numbers can blow up, and only the
     incomplete ones are joined by bucket number. Suffix numbers are no part of the key.
     """
+    keys = ["t", "k", "hash_id", *(["g"] if "g" in table.columns else [])]
     whole = F.instr("sig", UNREACHED) == 0
-    full, part = table.where(whole), table.where(~whole)
     near = F.abs(F.col("n1") - F.col("n2")) <= params.k
+    agree = signatures_agree("sig1", "sig2")
+    names = ["i1", "i2", "q1", "q2", "t", "k"]
 
     def side(x: DataFrame, d: int) -> DataFrame:
-        return x.select("t", "k", "hash_id", *(F.col(c).alias(f"{c}{d}") for c in ("i", "q", "n", "sig")))
+        return x.select(*keys, *(F.col(c).alias(f"{c}{d}") for c in ("i", "q", "n", "sig")))
 
-    equal = side(full, 1).withColumnRenamed("sig1", "sig").join(side(full, 2).withColumnRenamed("sig2", "sig"), ["t", "k", "hash_id", "sig"]).where(near & (F.col("i1") < F.col("i2")))
-    agree = signatures_agree("sig1", "sig2")
-    inner = side(part, 1).join(side(part, 2), ["t", "k", "hash_id"]).where(near & (F.col("i1") < F.col("i2")) & agree)
-    across = side(part, 1).join(side(full, 2), ["t", "k", "hash_id"]).where(near & (F.col("i1") != F.col("i2")) & agree)
+    def equal(x: DataFrame, y: DataFrame) -> DataFrame:
+        return side(x, 1).withColumnRenamed("sig1", "sig").join(side(y, 2).withColumnRenamed("sig2", "sig"), [*keys, "sig"]).where(near)
+
+    def by_number(x: DataFrame, y: DataFrame) -> DataFrame:
+        return side(x, 1).join(side(y, 2), keys).where(near & agree)
+
+    full, part = table.where(whole), table.where(~whole)
+    if other is not None:
+        full2, part2 = other.where(whole), other.where(~whole)
+        met = [equal(full, full2), by_number(part, part2), by_number(part, full2), by_number(full, part2)]
+        return _all([m.select(names) for m in met])
     turned = F.col("i1") > F.col("i2")
     swap = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
+    across = by_number(part, full).where(F.col("i1") != F.col("i2"))
     across = across.select(swap("i1", "i2").alias("i1"), swap("i2", "i1").alias("i2"), swap("q1", "q2").alias("q1"), swap("q2", "q1").alias("q2"), "t", "k")
-    names = ["i1", "i2", "q1", "q2", "t", "k"]
-    return equal.select(names).unionByName(inner.select(names)).unionByName(across.select(names))
+    first = F.col("i1") < F.col("i2")
+    return _all([equal(full, full).where(first).select(names), by_number(part, part).where(first).select(names), across])
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
-def collisions_of(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """Collisions of given pairs ``i1`` < ``i2`` (whose lengths are known to be near), looked up rather than enumerated."""
+def collisions_of(pairs: DataFrame, table: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    """Collisions of given pairs ``i1``, ``i2`` (whose lengths are known to be near), looked up rather than enumerated; ``i2`` is
+    of the ``other`` table, if there is one."""
     one = table.select("t", "k", "hash_id", *(F.col(c).alias(f"{c}1") for c in ("i", "q", "sig")))
-    two = table.select("t", "k", "hash_id", *(F.col(c).alias(f"{c}2") for c in ("i", "q", "sig")))
+    two = (table if other is None else other).select("t", "k", "hash_id", *(F.col(c).alias(f"{c}2") for c in ("i", "q", "sig")))
     met = pairs.select("i1", "i2").join(one, "i1").join(two, ["i2", "t", "k", "hash_id"]).where(signatures_agree("sig1", "sig2"))
     return met.select("i1", "i2", "q1", "q2", "t", "k")
 

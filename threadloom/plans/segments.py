@@ -2,13 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_Q = 0x9E3779B97F4A7C15 | 1
+_QINV = pow(_Q, -1, 1 << 64)
+#: Characters that one numpy pass hashes.
+_CELLS = 1 << 20
+
+
+def probes_by_length(k: int) -> int:
+    """Places that ``by_length`` looks at for a long string."""
+    parts, total = k + 1, 0
+    for more in range(k + 1):
+        for seg in range(1, parts + 1):
+            left, right = seg - 1, parts - seg
+            total += max(0, min(left, more + right) - max(-left, more - right) + 1)
+    return total
+
 
-def segment_candidates(strings: DataFrame, k: int, id_col: str = "i", text_col: str = "s") -> DataFrame:
+def places(rows: DataFrame, k: int) -> tuple[str, float]:
+    """The plan that looks at fewer places of a string ``s`` on average, and how many those are."""
+    cost = probes_by_length(k)
+    n = 2 * (rows.agg(F.avg(F.length("s"))).first()[0] or 0)
+    return ("by_place", n) if cost > 64 and n < cost else ("by_length", min(cost, n * (k + 1)))
+
+
+def segment_candidates(strings: DataFrame, k: int, id_col: str = "i", text_col: str = "s", plan: str = "auto") -> DataFrame:
     """Distinct pairs ``i1`` < ``i2`` that contain every pair within ``k`` edits.
 
+    Only strings of one group meet where there is a column ``g``, and only strings of different sides where there is a column
+    ``side`` (0 or 1).
+
+    ``by_length`` looks at a number of places that grows with the cube of ``k`` but not with the strings, ``by_place`` at each
+    place of a string at most twice, whatever ``k``. ``auto`` takes the one that looks at fewer places of these strings.
+    """
+    # ``x`` is the key of a string that is looked for and ``y`` that of one that looks.
+    group = F.col("g").cast("long") if "g" in strings.columns else F.lit(0).cast("long")
+    side = F.col("side").cast("int") if "side" in strings.columns else F.lit(0)
+    other = 1 - F.col("side").cast("int") if "side" in strings.columns else F.lit(0)
+    rows = strings.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("s"), group.alias("g"), side.alias("x"), other.alias("y")).where("s is not null")
+    if plan == "auto":
+        plan = places(rows, k)[0]
+    return by_place(rows, k) if plan == "by_place" else by_length(rows, k)
+
+
+def by_length(rows: DataFrame, k: int) -> DataFrame:
+    """Pairs by segments whose places follow from the strings' lengths.
+
     A string is cut into k + 1 segments of even length. ``k`` edits leave one of them whole, so it stands in the other
     string, at a place that the edits on either side of it bound. The longer string of a pair looks for the segments of
     each length that it can reach, at those places only: an equi-join on (length, segment number, content hash).
@@ -16,7 +61,7 @@ def segment_candidates(strings: DataFrame, k: int, id_col: str = "i", text_col:
     among themselves anyway.
     """
     parts = k + 1
-    rows = strings.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("s")).where("s is not null").withColumn("n", F.length("s"))
+    rows = rows.withColumn("n", F.length("s"))
     # The last (length mod parts) segments are one character longer.
     base = F.floor(F.col("len") / parts).cast("int")
     plain = parts - F.col("len") % parts
@@ -24,13 +69,81 @@ def segment_candidates(strings: DataFrame, k: int, id_col: str = "i", text_col:
     start = base * (F.col("seg") - 1) + F.greatest(F.col("seg") - 1 - plain, F.lit(0))
     seg = F.explode(F.sequence(F.lit(1), F.lit(parts))).alias("seg")
     key = lambda at: F.xxhash64("len", "seg", F.substring("s", F.col(at) + 1, F.col("size")))
-    index = rows.select("i", "s", F.col("n").alias("len"), seg).withColumns({"size": size, "start": start}).select(F.col("i").alias("short"), "len", key("start").alias("key"))
-    probe = rows.select("i", "s", "n", F.explode(F.sequence(F.greatest(F.col("n") - k, F.lit(0)), F.col("n"))).alias("len"))
+    index = rows.select("i", "s", "g", "x", F.col("n").alias("len"), seg).withColumns({"size": size, "start": start})
+    index = index.select(F.col("i").alias("short"), "g", F.col("x").alias("side"), "len", key("start").alias("key"))
+    probe = rows.select("i", "s", "g", "y", "n", F.explode(F.sequence(F.greatest(F.col("n") - k, F.lit(0)), F.col("n"))).alias("len"))
     probe = probe.select("*", seg).withColumns({"size": size, "start": start, "more": F.col("n") - F.col("len")})
     left, right = F.col("seg") - 1, parts - F.col("seg")
     low = F.greatest(F.lit(0), F.col("start") - left, F.col("start") + F.col("more") - right)
     high = F.least(F.col("n") - F.col("size"), F.col("start") + left, F.col("start") + F.col("more") + right)
     probe = probe.withColumns({"low": low, "high": high}).where("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
-    probe = probe.select(F.col("i").alias("long"), F.col("len"), key("at").alias("key"), (F.col("more") == 0).alias("even"))
-    met = probe.join(index, ["len", "key"]).where((~F.col("even") & (F.col("long") != F.col("short"))) | (F.col("short") < F.col("long")))
+    probe = probe.select(F.col("i").alias("long"), "g", F.col("y").alias("side"), F.col("len"), key("at").alias("key"), (F.col("more") == 0).alias("even"))
+    met = probe.join(index, ["len", "key", "g", "side"]).where((~F.col("even") & (F.col("long") != F.col("short"))) | (F.col("short") < F.col("long")))
+    return met.select(F.least("long", "short").alias("i1"), F.greatest("long", "short").alias("i2")).distinct()
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_Q, _QINV):
+        row = np.full(n, base, np.uint64)
+        row[0] = 1
+        out.append(np.cumprod(row, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def gram_hashes(total: np.ndarray, down: np.ndarray, begin: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the ``q`` characters from each place of ``begin``, from prefix sums of characters times powers."""
+    x = (total[begin + q] - total[begin]) * down[begin]
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def _grams(rows: DataFrame, k: int, probe: bool) -> DataFrame:
+    """``i``, ``n``, ``q``, ``zone``, ``key``, ``at``: as ``probe`` every place of a string for each segment size that a string up to ``k`` shorter
+    has, else the first k + 1 segments of the string, each in the zones that ``k`` places to either side reach."""
+    parts = k + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths = [len(s) for s in b.column(1).to_pylist()]
+            most = max(lengths, default=0)
+            up, down = _powers(most + 1)
+            for i, s, group, side in zip(*(b.column(c).to_pylist() for c in (0, 1, 2, 4 if probe else 3))):
+                n = len(s)
+                code = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                total = np.zeros(n + 1, np.uint64)
+                np.cumsum((code + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * up[:n], out=total[1:])
+                for q in sorted({max(0, n - k) // parts, n // parts}) if probe else [n // parts]:
+                    if q == 0:
+                        # Shorter strings without segments are met by their length alone.
+                        key = np.arange(max(0, n - k), min(n, k) + 1) if probe else np.array([n])
+                        at, zone = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+                    elif probe:
+                        at = np.arange(n - q + 1)
+                        key, zone = gram_hashes(total, down, at, q), at // parts
+                    else:
+                        at = np.arange(parts) * q
+                        key, zone = np.tile(gram_hashes(total, down, at, q), 3), np.concatenate([at // parts + d for d in (-1, 0, 1)])
+                        at = np.tile(at, 3)
+                    for lo in range(0, len(key), _CELLS):
+                        part = slice(lo, lo + _CELLS)
+                        size = len(key[part])
+                        same = (pa.array(np.full(size, x, t)) for x, t in ((i, np.int64), (group, np.int64), (side, np.int32), (n, np.int32), (q, np.int32)))
+                        yield pa.RecordBatch.from_arrays([*same, pa.array(zone[part].astype(np.int32)), pa.array(key[part].astype(np.int64)), pa.array(at[part].astype(np.int32))], ["i", "g", "side", "n", "q", "zone", "key", "at"])
+
+    return rows.mapInArrow(run, "i long, g long, side int, n int, q int, zone int, key long, at int")
+
+
+def by_place(rows: DataFrame, k: int) -> DataFrame:
+    """Pairs by segments of one size that the other string has nearby.
+
+    A string of ``n`` characters has k + 1 disjoint segments of ``q`` = n / (k + 1) characters. ``k`` edits leave one of them whole,
+    no further than ``k`` places away. The longer string of a pair looks at each of its places once for each ``q`` that a string
+    up to ``k`` shorter can have, which are two at most: an equi-join on (size, zone of k + 1 places, content hash).
+    Strings no longer than ``k`` have no segment and meet those of nearby length.
+    """
+    index = _grams(rows, k, False).select(F.col("i").alias("short"), "g", "side", F.col("n").alias("n1"), "q", "zone", "key", F.col("at").alias("at1"))
+    probe = _grams(rows, k, True).select(F.col("i").alias("long"), "g", "side", "n", "q", "zone", "key", "at")
+    near = (F.abs(F.col("at") - F.col("at1")) <= k) & (F.col("n") - F.col("n1")).between(0, k) & ((F.col("n") > F.col("n1")) | (F.col("short") < F.col("long")))
+    met = probe.join(index, ["q", "zone", "key", "g", "side"]).where(near & (F.col("long") != F.col("short")))
     return met.select(F.least("long", "short").alias("i1"), F.greatest("long", "short").alias("i2")).distinct()

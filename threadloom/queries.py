@@ -14,11 +14,12 @@ from threadloom.functions.strings import edit_distance, letter_codes
 from threadloom.operators.cluster import cluster, labels_of
 from threadloom.operators.consensus import consensus, points_per_cluster
 from threadloom.operators.graph import core_points, degrees, neighbors
-from threadloom.operators.join import JoinResult, edit_join_exact, edit_join_lsh
+from threadloom.operators.join import JoinResult, edit_join_exact, edit_join_lsh, edit_join_tables
 from threadloom.params import UNREACHED, JoinParams
 from threadloom.plans.lsh import bucket_sizes, buckets, candidate_cardinality, candidate_pairs, collision_counts, collisions
-from threadloom.plans.scratch import cut
-from threadloom.sources.strings import from_table
+from threadloom.plans.scratch import cut, scratch_path
+from threadloom.sinks.files import Report, sorted_pairs, write_consensus, write_pairs
+from threadloom.sources.strings import from_table, is_fastq, read_lines, read_strings
 
 PARAMS = JoinParams(num_str=5, num_hash=7, num_bits=12, alphabet=37, k=4, shift=2, sampling_range=60, count_filter=1, min_pts=3)
 #: Rows of a chunk in the two-level query: small, so that the small tables have several.
@@ -113,9 +114,101 @@ def join_funnel(spark, d):
 
 
 def edit_distance_scalar(spark, d):
-    part = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("a"))
-    region = spark.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("b"))
-    return part.join(F.broadcast(region), F.lit(True)).select("a", "b", edit_distance(F.col("a"), F.col("b"), 8).alias("dist"))
+    """Each address and its plain form (no ``https``, no query, no fragment), and -1 where they differ by more than eight edits."""
+    return strings(spark, d).select(F.col("s").alias("a"), _plain(F.col("s")).alias("b")).select("a", "b", edit_distance(F.col("a"), F.col("b"), 8).alias("dist"))
+
+
+def _plain(s):
+    return F.regexp_replace(F.regexp_replace(s, "[?#].*$", ""), "^HTTPS:", "HTTP:")
+
+
+def tables_join(spark, d):
+    """All addresses against all their plain forms: rows of the same table never meet."""
+    rows = strings(spark, d)
+    return edit_join_tables(rows, rows.select("i", _plain(F.col("s")).alias("s")), PARAMS.k, "i")
+
+
+def _file(spark, d, name, value):
+    """Path of a text file with a line for each string, in their order."""
+    path = scratch_path(spark, name)
+    strings(spark, d).orderBy("i").select(value).write.text(path)
+    return path
+
+
+def scan_text(spark, d):
+    return read_strings(spark, _file(spark, d, "text", F.col("s")))
+
+
+def _fastq(spark, d):
+    """Records of four lines, and one more that is cut off."""
+    whole = F.concat(F.lit("@"), F.col("i").cast("string"), F.lit("\n"), F.col("s"), F.lit("\n+\n"), F.repeat(F.lit("!"), F.length("s")))
+    rows = strings(spark, d)
+    path = scratch_path(spark, "fastq")
+    last = rows.agg((F.coalesce(F.max("i"), F.lit(-1)) + 1).alias("i")).select("i", F.lit("@cut\nACGT").alias("value"))
+    rows.select("i", whole.alias("value")).unionByName(last).orderBy("i").select("value").write.text(path)
+    return path
+
+
+def scan_fastq(spark, d):
+    return read_strings(spark, _fastq(spark, d))
+
+
+def detect_format(spark, d):
+    found = [("fastq", is_fastq(spark, _fastq(spark, d))), ("text", is_fastq(spark, _file(spark, d, "text", F.col("s"))))]
+    return spark.createDataFrame(found, "written string, fastq boolean")
+
+
+def scan_missing(spark, d):
+    """What a path without a file gives: Spark's own error."""
+    try:
+        read_strings(spark, scratch_path(spark, "missing")).count()
+        found = "none"
+    except Exception as e:  # its class, as Spark names it
+        found = e.getCondition() if hasattr(e, "getCondition") else type(e).__name__
+    return spark.createDataFrame([(found,)], "error string")
+
+
+def pair_sink(spark, d):
+    rows, found = _exact(spark, d)
+    path = scratch_path(spark, "pairs")
+    write_pairs(found.pairs(), rows, path)
+    return read_lines(spark, path).select(F.col("i").alias("line"), F.col("s").alias("value"))
+
+
+def unique_pairs(spark, d):
+    """Pairs written in order, each once, read back with their places."""
+    path = scratch_path(spark, "sorted")
+    sorted_pairs(_exact(spark, d)[1].pairs()).select(F.concat_ws(" ", "id1", "id2")).write.text(path)
+    return read_lines(spark, path).select(F.col("i").alias("place"), F.col("s").alias("pair"))
+
+
+def consensus_sink(spark, d):
+    path = scratch_path(spark, "consensus")
+    write_consensus(cluster_consensus(spark, d), path)
+    return read_lines(spark, path).select(F.col("i").alias("line"), F.col("s").alias("value"))
+
+
+def timing_report(spark, d):
+    """Steps of a timed join and how many of them took time; the seconds differ from run to run."""
+    report = Report()
+    with report.step("join", "read"):
+        rows = cut(strings(spark, d), "rows")
+    with report.step("join", "verify"):
+        edit_join_exact(rows, PARAMS.k, "i", "s")
+    path = scratch_path(spark, "report")
+    report.write(spark, path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(F.col("MainStep").alias("main"), F.col("Step").alias("step"), (F.col("`Time(sec)`").cast("double") > 0).alias("timed"), F.col("Device").alias("device"))
+
+
+def alphabet_guard(spark, d):
+    """What a letter outside the alphabet does to a consensus of the addresses: the query fails."""
+    rows, labels = _labels(spark, d)
+    try:
+        found = str(consensus(rows.join(labels, "i"), None, "ACGT").agg(F.max("consensus")).first()[0])
+    except Exception as e:
+        found = "letter outside the alphabet" if "letter outside the alphabet" in str(e) else type(e).__name__
+    return spark.createDataFrame([(found,)], "outcome string")
 
 
 def graph_neighbors(spark, d):
@@ -173,6 +266,16 @@ QUERIES = {
     "points_per_cluster": cluster_points,
     "consensus": cluster_consensus,
     "two_level_cluster": two_level_cluster,
+    "edit_join_tables": tables_join,
+    "scan_text": scan_text,
+    "scan_fastq": scan_fastq,
+    "detect_format": detect_format,
+    "scan_missing": scan_missing,
+    "pair_sink": pair_sink,
+    "unique_pairs": unique_pairs,
+    "consensus_sink": consensus_sink,
+    "timing_report": timing_report,
+    "alphabet_guard": alphabet_guard,
 }
 
 
@@ -180,6 +283,39 @@ def _array(x) -> str:
     return "[" + ",".join(_array(y) for y in x) + "]" if isinstance(x, list) else str(x)
 
 
+def _level(n: int, k: int, min_pts: int, rows: str) -> str:
+    """Clusters (``found``) of the rows (i, s, chunk, reads) that a query gives, by the rules of ``cluster``; names end in the level."""
+    return f"""rows{n} AS ({rows}),
+edges{n} AS (
+    SELECT a.i AS src, b.i AS dst FROM rows{n} a JOIN rows{n} b ON a.chunk = b.chunk AND a.i <> b.i AND abs(length(a.s) - length(b.s)) <= {k} WHERE levenshtein(a.s, b.s) <= {k}),
+core{n} AS (SELECT i FROM rows{n} LEFT JOIN edges{n} ON i = src GROUP BY i HAVING count(dst) + 1 >= {min_pts}),
+reach{n} AS (
+    SELECT i AS node, i AS other FROM core{n}
+    UNION
+    SELECT r.node, e.dst FROM reach{n} r JOIN edges{n} e ON e.src = r.other JOIN core{n} c ON c.i = e.dst),
+numbers{n} AS (SELECT node, dense_rank() OVER (ORDER BY root) AS label FROM (SELECT node, min(other) AS root FROM reach{n} GROUP BY node)),
+border{n} AS (SELECT e.dst AS i, min(x.label) AS label FROM edges{n} e JOIN numbers{n} x ON x.node = e.src GROUP BY e.dst),
+labels{n} AS (SELECT r.i, r.s, r.reads, coalesce(x.label, b.label) AS label FROM rows{n} r LEFT JOIN numbers{n} x ON x.node = r.i LEFT JOIN border{n} b ON b.i = r.i),
+letters{n} AS (
+    SELECT label, unnest(range(1, length(s) + 1)) AS pos, unnest(string_split(s, '')) AS ch FROM labels{n} WHERE label IS NOT NULL),
+best{n} AS (
+    SELECT label, pos, ch FROM (
+        SELECT label, pos, ch, row_number() OVER (PARTITION BY label, pos ORDER BY count(*) DESC, ch) AS r
+        FROM letters{n} WHERE pos <= (SELECT width FROM counts) GROUP BY label, pos, ch) WHERE r = 1),
+found{n} AS (
+    SELECT p.label, coalesce(string_agg(ch, '' ORDER BY pos), '') AS consensus, any_value(points) AS points, any_value(reads) AS reads
+    FROM (SELECT label, count(*) AS points, sum(reads) AS reads FROM labels{n} WHERE label IS NOT NULL GROUP BY label) p LEFT JOIN best{n} b ON b.label = p.label GROUP BY p.label)"""
+
+
+def _two_levels(base: str, p: JoinParams) -> str:
+    counted = f"counted AS (SELECT row_number() OVER (ORDER BY i) - 1 AS i, s FROM strings WHERE s IS NOT NULL), counts AS (SELECT count(*) AS n, any_value(length(s)) FILTER (WHERE i = 0) AS width FROM counted)"
+    one = _level(1, p.k, p.min_pts, f"SELECT i, s, CASE WHEN n > {p.chunk_size} THEN i // {p.chunk_size} ELSE 0 END AS chunk, 1 AS reads FROM counted, counts")
+    two = _level(2, p.k, p.second_level_min_pts or p.min_pts, "SELECT row_number() OVER (ORDER BY label) - 1 AS i, consensus AS s, 0 AS chunk, reads FROM found1")
+    return f"""WITH RECURSIVE {base}, {counted}, {one}, {two}
+SELECT CAST(label AS INTEGER) AS label, consensus, CAST(points AS BIGINT) AS points, CAST(reads AS BIGINT) AS reads FROM (
+    SELECT f.* FROM found1 f, counts WHERE n <= {p.chunk_size} UNION ALL SELECT f.* FROM found2 f, counts WHERE n > {p.chunk_size})"""
+
+
 def _oracles(p: JoinParams) -> dict[str, str]:
     base = "strings AS (SELECT CAST(row_number() OVER (ORDER BY page_id) - 1 AS BIGINT) AS i, upper(url) AS s FROM pages)"
     rows = "rows AS (SELECT i, s FROM strings WHERE s IS NOT NULL)"
@@ -227,7 +363,29 @@ numbers AS (SELECT node, CAST(dense_rank() OVER (ORDER BY root) AS INTEGER) AS l
 border AS (SELECT e.dst AS i, min(n.label) AS label FROM edges e JOIN numbers n ON n.node = e.src GROUP BY e.dst),
 labels AS (SELECT r.i, CAST(coalesce(n.label, b.label, -1) AS INTEGER) AS label FROM rows r LEFT JOIN numbers n ON n.node = r.i LEFT JOIN border b ON b.i = r.i)"""
     a, b, c, d = (f"WITH RECURSIVE {x}" for x in (f"{base}, {rows}", f"{base}, {rows}, {embedding}", f"{base}, {rows}, {embedding}, {hits}", f"{base}, {rows}, {exact}, {graph}"))
+    consensus = """, letters AS (
+    SELECT label, unnest(range(1, length(s) + 1)) AS pos, unnest(string_split(s, '')) AS ch FROM labels JOIN rows USING (i) WHERE label <> -1),
+best AS (
+    SELECT label, pos, ch FROM (
+        SELECT label, pos, ch, row_number() OVER (PARTITION BY label, pos ORDER BY count(*) DESC, ch) AS r FROM letters GROUP BY label, pos, ch) WHERE r = 1),
+found AS (
+    SELECT p.label, coalesce(string_agg(ch, '' ORDER BY pos), '') AS consensus, any_value(points) AS points
+    FROM (SELECT label, count(*) AS points FROM labels WHERE label <> -1 GROUP BY label) p LEFT JOIN best b ON b.label = p.label GROUP BY p.label)"""
     return {
+        "edit_join_tables": f"""{a}, plain AS (SELECT i, regexp_replace(regexp_replace(s, '[?#].*$', ''), '^HTTPS:', 'HTTP:') AS s FROM rows)
+SELECT a.i AS id1, b.i AS id2, CAST(levenshtein(a.s, b.s) AS INTEGER) AS dist FROM rows a JOIN plain b ON abs(length(a.s) - length(b.s)) <= {p.k} WHERE levenshtein(a.s, b.s) <= {p.k}""",
+        "scan_text": f"{a} SELECT i, s FROM rows",
+        "scan_fastq": f"{a} SELECT i, s FROM rows",
+        "detect_format": "SELECT * FROM (VALUES ('fastq', true), ('text', false)) t(written, fastq)",
+        "scan_missing": "SELECT 'PATH_NOT_FOUND' AS error",
+        "pair_sink": f"""{d}, numbered AS (SELECT row_number() OVER (ORDER BY id1, id2) - 1 AS n, id1, id2 FROM pairs)
+SELECT CAST(3 * n + k AS BIGINT) AS line, CASE k WHEN 0 THEN id1 || ' ' || id2 WHEN 1 THEN x.s ELSE y.s END AS value
+FROM numbered JOIN rows x ON x.i = id1 JOIN rows y ON y.i = id2, range(3) r(k)""",
+        "unique_pairs": f"{d} SELECT CAST(row_number() OVER (ORDER BY id1, id2) - 1 AS BIGINT) AS place, id1 || ' ' || id2 AS pair FROM pairs",
+        "consensus_sink": f"{d}{consensus} SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS line, consensus || ' ' || points AS value FROM found",
+        "timing_report": "SELECT * FROM (VALUES ('join', 'read', true, 'spark'), ('join', 'verify', true, 'spark')) t(main, step, timed, device)",
+        "alphabet_guard": "SELECT 'letter outside the alphabet' AS outcome",
+        "two_level_cluster": _two_levels(base, CHUNKED),
         "scan_ids": f"{a} SELECT i, s FROM rows",
         "input_bytes": f"{a} SELECT count(*) AS n_strings, CAST(sum(octet_length(encode(s))) AS BIGINT) AS n_bytes FROM rows",
         "alphabet_encode": f"{a} SELECT i, coalesce(array_to_string(list_transform(range(length(s)), lambda x: CAST({code} AS VARCHAR)), ','), '') AS codes FROM rows",
@@ -243,19 +401,14 @@ labels AS (SELECT r.i, CAST(coalesce(n.label, b.label, -1) AS INTEGER) AS label
         "edit_join_exact": f"{d} SELECT * FROM pairs",
         "edit_join_degrees": f"{d} SELECT g.i AS id, min(g.i) OVER (PARTITION BY s) AS class_id, degree - 1 AS n_links FROM degs g JOIN rows r ON r.i = g.i",
         "join_funnel": f"{c}, firsts AS (SELECT min(i) AS i FROM rows GROUP BY s), verified AS (SELECT a.s AS s1, b.s AS s2 FROM cand JOIN firsts f ON f.i = i1 JOIN firsts g ON g.i = i2 JOIN rows a ON a.i = i1 JOIN rows b ON b.i = i2) SELECT count(*) AS n_candidates, count(*) FILTER (WHERE levenshtein(s1, s2) <= {p.k}) AS n_links FROM verified",
-        "edit_distance_scalar": "SELECT n_name AS a, r_name AS b, CAST(CASE WHEN levenshtein(n_name, r_name) <= 8 THEN levenshtein(n_name, r_name) ELSE -1 END AS INTEGER) AS dist FROM nation, region",
+        "edit_distance_scalar": f"""{a}, both_ AS (SELECT s AS a, regexp_replace(regexp_replace(s, '[?#].*$', ''), '^HTTPS:', 'HTTP:') AS b FROM rows)
+SELECT a, b, CAST(CASE WHEN levenshtein(a, b) <= 8 THEN levenshtein(a, b) ELSE -1 END AS INTEGER) AS dist FROM both_""",
         "neighbors": f"{d} SELECT src, dst FROM edges",
         "degree": f"{d} SELECT i, degree FROM degs",
         "core_points": f"{d} SELECT i FROM core",
         "dbscan_labels": f"{d} SELECT i, label FROM labels",
         "points_per_cluster": f"{d} SELECT label, count(*) AS points FROM labels WHERE label <> -1 GROUP BY label",
-        "consensus": f"""{d}, letters AS (
-    SELECT label, unnest(range(1, length(s) + 1)) AS pos, unnest(string_split(s, '')) AS ch FROM labels JOIN rows USING (i) WHERE label <> -1),
-best AS (
-    SELECT label, pos, ch FROM (
-        SELECT label, pos, ch, row_number() OVER (PARTITION BY label, pos ORDER BY count(*) DESC, ch) AS r FROM letters GROUP BY label, pos, ch) WHERE r = 1)
-SELECT p.label, string_agg(ch, '' ORDER BY pos) AS consensus, any_value(points) AS points
-FROM (SELECT label, count(*) AS points FROM labels WHERE label <> -1 GROUP BY label) p JOIN best b ON b.label = p.label GROUP BY p.label""",
+        "consensus": f"{d}{consensus} SELECT label, consensus, points FROM found",
     }
 
 

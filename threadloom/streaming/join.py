@@ -5,37 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from threadloom.functions.strings import as_bytes
-from threadloom.operators.join import edit_distance
+from threadloom.operators.join import Side, links_between, pairs_between
 from threadloom.params import JoinParams
-from threadloom.plans.lsh import buckets, candidate_pairs, collision_counts, collisions
-from threadloom.plans.scratch import cut, drop
+from threadloom.plans.scratch import cut, scope
 
 
-def match_batch(batch: DataFrame, static: DataFrame, static_buckets: DataFrame, params: JoinParams) -> DataFrame:
-    """``id``, ``i``, ``dist``: strings of ``batch`` (``id``, ``s``) within ``params.k`` edits of strings of ``static`` (``i``, ``s``)."""
-    news = batch.where("id is not null and s is not null").select(F.col("id").cast("long").alias("id"), as_bytes(F.col("s")).alias("s"))
-    # Negative ids keep the two sides apart in one bucket table: only pairs across them are verified.
-    coded = news.select((-F.col("id") - 1).alias("i"), "s")
-    table = buckets(coded, params).unionByName(static_buckets)
-    across = candidate_pairs(collision_counts(collisions(table, params).where("i1 < 0 and i2 >= 0")), params)
-    met = across.join(coded.select(F.col("i").alias("i1"), F.col("s").alias("s1")), "i1").join(static.select(F.col("i").alias("i2"), F.col("s").alias("s2")), "i2")
-    dist = edit_distance(F.col("s1"), F.col("s2"), params.k)
-    return met.select((-F.col("i1") - 1).alias("id"), F.col("i2").alias("i"), dist.alias("dist")).where("dist >= 0")
+def match_batch(batch: DataFrame, static: Side, params: JoinParams, plan: str = "auto") -> DataFrame:
+    """``id``, ``i``, ``dist``: strings of ``batch`` (``id``, ``s``) within ``params.k`` edits of strings of ``static``.
+
+    The batch and the table are two sides of each join: strings of the table never meet each other. Hot buckets are
+    priced first, as in a join of tables.
+    """
+    news = Side.of(batch, "id", "s", params=params)
+    found = pairs_between(news, static, links_between(news, static, params.k, params, plan))
+    return found.withColumnsRenamed({"id1": "id", "id2": "i"})
 
 
 def match_stream(stream: DataFrame, static: DataFrame, params: JoinParams, sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
-    """Starts a query that hands each micro-batch's matches to ``sink``. The table's buckets are written once; a
-    micro-batch only embeds its own rows. Ids on both sides are not negative."""
-    kept = cut(static.where("i is not null and s is not null").select(F.col("i").cast("long").alias("i"), as_bytes(F.col("s")).alias("s")), "static")
-    table = cut(buckets(kept, params), "static-buckets")
+    """Starts a query that hands each micro-batch's matches to ``sink``. The buckets of the table (``i``, ``s``) are written once; a
+    micro-batch only embeds its own rows, and what it wrote is freed when ``sink`` returns."""
+    kept = Side.of(static, "i", "s", params=params)
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = cut(batch, "batch")
-        sink(match_batch(rows, kept, table, params), number)
-        drop(rows)
+        with scope():
+            sink(match_batch(cut(batch, "batch"), kept, params), number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
