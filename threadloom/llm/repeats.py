@@ -150,13 +150,10 @@ def _unpacked(column: pa.Array) -> Iterator[bytes]:
 
 
 def _edges(texts: DataFrame, contents: DataFrame, window: int) -> DataFrame:
-    """What the paths of ``contents`` are made of, read again at their source coordinates: ``kind``, ``a``, ``w``, ``u``, ``v``, ``r``, ``p``, ``one``.
-
-    Of a path in a ``branching`` bucket every edge (kind 0), of a path that occurs more than once the path as a whole (kind
-    1); ``u`` and ``v`` are the nodes at either end, ``w`` is the edge's or the path's content. An edge of a path that occurs more than once
-    comes with that path's first and last coordinates, any other with its only one (``one``).
+    """Every edge of the paths of ``contents``, read again at their source coordinates: ``a``, ``w`` (its content), ``r``, ``p`` (its place
+    << 1, plus 1 where its path occurs once). An edge of a path that occurs more than once comes with that path's first and last place.
     """
-    asks = F.struct("a", "c", F.col("lo.pos").alias("pos"), F.col("hi.r").alias("hi_r"), F.col("hi.pos").alias("hi_pos"), (F.col("n") > 1).alias("twice"), "branching")
+    asks = F.struct("a", F.col("lo.pos").alias("pos"), F.col("hi.r").alias("hi_r"), F.col("hi.pos").alias("hi_pos"), (F.col("n") > 1).alias("twice"))
     asked = contents.groupBy(F.col("lo.r").alias("r")).agg(F.collect_list(asks).alias("asked"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,27 +161,37 @@ def _edges(texts: DataFrame, contents: DataFrame, window: int) -> DataFrame:
             parts: list[list[np.ndarray]] = []
             for r, text, wanted in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2)):
                 h = _prefix(_hashes(text.split())[:, 1])
-                asks = wanted.values
-                a, c, pos, hi_r, hi_pos, twice, branching = (asks.field(k).to_numpy(zero_copy_only=False) for k in range(7))
-                begin, n = pos >> 6, pos & 63
-                whole = np.flatnonzero(twice)
-                p, q = begin[whole], begin[whole] + n[whole]
-                parts.append([np.full(len(p), 1), a[whole], c[whole], _spans(h, p, p + window - 1).view(np.int64), _spans(h, q, q + window - 1).view(np.int64), np.full(len(p), r), p, np.full(len(p), False)])
-                single = np.flatnonzero(branching)
-                which = np.repeat(single, n[single])
-                step = np.arange(len(which)) - np.repeat(np.cumsum(n[single]) - n[single], n[single])
-                p = begin[which] + step
-                shared = [a[which], _spans(h, p, p + window).view(np.int64), _spans(h, p, p + window - 1).view(np.int64), _spans(h, p + 1, p + window).view(np.int64)]
+                a, pos, hi_r, hi_pos, twice = (wanted.values.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+                n = pos & 63
+                which = np.repeat(np.arange(len(n)), n)
+                step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                p = (pos >> 6)[which] + step
+                w = _spans(h, p, p + window).view(np.int64)
                 again = twice[which].astype(bool)
-                parts.append([np.zeros(len(p), int), *shared, np.full(len(p), r), p, ~again])
-                parts.append([np.zeros(again.sum(), int), *(x[again] for x in shared), hi_r[which][again], ((hi_pos >> 6)[which] + step)[again], np.full(again.sum(), False)])
+                parts.append([a[which], w, np.full(len(p), r), p << 1 | ~again])
+                parts.append([a[which][again], w[again], hi_r[which][again], ((hi_pos >> 6)[which] + step)[again] << 1])
             if parts:
-                columns = [np.concatenate(x) for x in zip(*parts)]
-                arrays = [pa.array(columns[0].astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in columns[1:7]), pa.array(columns[7].astype(bool))]
-                yield pa.RecordBatch.from_arrays(arrays, ["kind", "a", "w", "u", "v", "r", "p", "one"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)], ["a", "w", "r", "p"])
+
+    return cut(texts.select("r", "z").join(asked, "r").mapInArrow(frugal(read), "a long, w long, r long, p long"), "edges")
+
 
-    found = texts.select("r", "z").join(asked, "r").mapInArrow(frugal(read), "kind int, a long, w long, u long, v long, r long, p long, one boolean")
-    return cut(found, "edges")
+def _nodes(texts: DataFrame, units: DataFrame, window: int) -> DataFrame:
+    """``uid``, ``n``, ``u`` and ``v``: the nodes at either end of each unit, read at its first place."""
+    asks = F.struct("uid", F.col("lo.p").alias("p"), "n")
+    asked = units.groupBy(F.col("lo.r").alias("r"), F.floor(F.col("lo.p") / 4096)).agg(F.collect_list(asks).alias("asked"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts: list[list[np.ndarray]] = []
+            for text, wanted in zip(_unpacked(b.column(0)), b.column(1)):
+                h = _prefix(_hashes(text.split())[:, 1])
+                uid, p, n = (wanted.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                parts.append([uid, n, _spans(h, p, p + window - 1).view(np.int64), _spans(h, p + n, p + n + window - 1).view(np.int64)])
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["uid", "n", "u", "v"])
+
+    return cut(texts.select("r", "z").join(asked, "r").select("z", "asked").mapInArrow(frugal(read), "uid long, n long, u long, v long"), "nodes")
 
 
 def compact(units: DataFrame) -> DataFrame:
@@ -253,30 +260,33 @@ def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     drop(paths)
     contents = met.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("r", "pos")).alias("lo"), F.max(F.struct("r", "pos")).alias("hi"))
     contents = cut(contents, "contents", n)
-    parting = cut(contents.where("n = 1").select("a").distinct().withColumn("parting", F.lit(True)), "parting", n)
-    beside = contents.join(parting, "a", "left").withColumn("branching", F.coalesce("parting", F.lit(False)))
-    edges = _edges(texts, beside, window)
+    parting = cut(contents.where("n = 1").select("a").distinct(), "parting", n)
+    edges = _edges(texts, contents.join(parting, "a", "left_semi"), window)
     settle(spark)
-    again = cut(edges.where("kind = 0").groupBy("a", "w").agg(F.count("*").alias("n")).where("n > 1").select("a", "w"), "again", n)
-    single = cut(edges.where("kind = 0").join(again, ["a", "w"]), "again-edges")
-    of_edges = single.groupBy("a", "w").agg(
-        F.max("one").alias("one"), F.first("u").alias("u"), F.first("v").alias("v"), F.min(F.struct("r", "p")).alias("lo"), F.max(F.struct("r", "p")).alias("hi")
-    )
-    of_edges = of_edges.where("one").select(F.lit(0).alias("kind"), "a", "w", F.lit(1).cast("long").alias("n"), "u", "v", "lo", "hi")
-    place = lambda c: F.struct(F.col(f"{c}.r").alias("r"), F.shiftright(f"{c}.pos", 6).alias("p")).alias(c)
-    of_runs = contents.where("n > 1").select("a", F.col("c").alias("w"), F.col("lo.pos").bitwiseAND(F.lit(63)).alias("n"), place("lo"), place("hi"))
-    of_runs = of_runs.join(edges.where("kind = 1").select("a", "w", "u", "v"), ["a", "w"]).select(F.lit(1).alias("kind"), "a", "w", "n", "u", "v", "lo", "hi")
-    units = cut(of_runs.unionByName(of_edges).withColumn("uid", F.monotonically_increasing_id()), "units")
+    again = cut(edges.groupBy("a", "w").agg(F.count("*").alias("n")).where("n > 1").select("a", "w"), "again", n)
+    settle(spark)
+    single = cut(edges.join(again, ["a", "w"]), "again-edges")
     drop(edges)
     settle(spark)
-    labels = compact(units.select("uid", "n", "u", "v"))
+    at = F.struct("r", F.shiftright("p", 1).alias("p"))
+    of_edges = single.groupBy("a", "w").agg(F.max(F.col("p") % 2).alias("one"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+    of_edges = of_edges.where("one = 1").select(F.lit(0).alias("kind"), "a", "w", F.lit(1).cast("long").alias("n"), "lo", "hi")
+    start = lambda c: F.struct(F.col(f"{c}.r").alias("r"), F.shiftright(f"{c}.pos", 6).alias("p")).alias(c)
+    of_runs = contents.where("n > 1").select(F.lit(1).alias("kind"), "a", F.col("c").alias("w"), F.col("lo.pos").bitwiseAND(F.lit(63)).alias("n"), start("lo"), start("hi"))
+    units = cut(of_runs.unionByName(of_edges).withColumn("uid", F.monotonically_increasing_id()), "units")
+    for done in (contents, parting, anchors, again):
+        drop(done)
+    nodes = _nodes(texts, units, window)
+    settle(spark)
+    labels = compact(nodes)
+    drop(nodes)
     on_path = units.join(labels, "uid", "left").select(
         "kind", "a", "w", "n", F.coalesce("unitig", "uid").alias("unitig"), F.coalesce("off", F.lit(0)).cast("long").alias("off"), "lo", "hi"
     )
     on_path = cut(on_path, "unit-places")
     settle(spark)
     runs = met.select("a", F.col("c").alias("w"), "r", F.shiftright("pos", 6).alias("p")).join(on_path.where("kind = 1"), ["a", "w"])
-    ones = single.where("one").select("a", "w", "r", "p").join(on_path.where("kind = 0"), ["a", "w"])
+    ones = single.where("p % 2 = 1").select("a", "w", "r", F.shiftright("p", 1).alias("p")).join(on_path.where("kind = 0"), ["a", "w"])
     first = (F.col("r") == F.col("lo.r")) & (F.col("p") == F.col("lo.p"))
     seen = runs.unionByName(ones, allowMissingColumns=True).select(
         "r", "unitig", (F.col("p") - F.col("off")).alias("at"), F.when(first, F.col("hi")).otherwise(F.col("lo")).alias("ref"), "off", "n"
@@ -288,7 +298,8 @@ def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         .select("r", "at", "first", "units", "ref", (F.col("ref_at") + F.col("first")).alias("x"), (F.col("ref_at") + F.col("end") + window - 1).alias("y"))
     )
     blocks = cut(blocks, "blocks")
-    drop(met)
+    for done in (met, single, units, on_path, labels):
+        drop(done)
     settle(spark)
     asked = blocks.select("ref", "x", "y").distinct().groupBy(F.col("ref").alias("r"), F.floor(F.col("x") / 4096)).agg(F.collect_list(F.struct("x", "y")).alias("asked"))
 
@@ -303,19 +314,25 @@ def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["ref", "x", "y", "words"])
 
     said = cut(texts.select("r", "z").join(asked, "r").select("r", "z", "asked").mapInArrow(frugal(say), "ref long, x long, y long, words binary"), "said")
+    settle(spark)
     return blocks.join(said, ["ref", "x", "y"]).select("r", "at", "first", "units", "words")
 
 
-def _repeated(words: list[bytes], blocks: list[dict], window: int) -> np.ndarray:
+def _repeated(words: list[bytes], blocks: pa.ListScalar, window: int, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
     """How many of the blocks, minus those that ended, cover each word: only what spells the same as the place beside it."""
     edge = np.zeros(len(words) + 1, np.int64)
-    unpack = zstandard.ZstdDecompressor()
-    for block in blocks:
-        at, first = block["at"], block["first"]
-        there = unpack.decompress(block["words"]).split()
-        begin = at + first
-        same = words[begin : begin + len(there)] == there
-        for unit in block["units"]:
+    fields = blocks.values
+    ats, firsts = (fields.field(k).to_pylist() for k in ("at", "first"))
+    for at, first, units, packed in zip(ats, firsts, fields.field("units"), fields.field("words")):
+        there = unpack.decompress(packed.as_py()).split()
+        begin, end = at + first, at + first + len(there)
+        same = words[begin:end] == there
+        units = units.values.to_numpy(zero_copy_only=False)
+        if same and (units & 63).sum() == len(there) - window + 1:  # all edges from the first to the last
+            edge[begin] += 1
+            edge[end] -= 1
+            continue
+        for unit in units.tolist():
             off, n = unit >> 6, unit & 63
             p, size = at + off, n + window - 1
             if same or words[p : p + size] == there[off - first : off - first + size]:
@@ -347,7 +364,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDO
                 words = text.split() if text else []
                 total.append(len(words))
                 if blocks.is_valid:
-                    left = _repeated(words, blocks.as_py(), window) == 0
+                    left = _repeated(words, blocks, window, unpack) == 0
                     words = [w for w, keep in zip(words, left.tolist()) if keep]
                 gone.append(total[-1] - len(words))
                 kept.append(b" ".join(words) if gone[-1] or not as_is else text)
