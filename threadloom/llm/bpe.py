@@ -67,12 +67,13 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         size = max(ranks.values(), default=-1) + 1
-        table = [b""] * size
-        for token, rank in ranks.items():
-            table[rank] = token
+        # What the library has for each id, in its byte alphabet; the reversed table turns its characters into bytes again.
+        back = np.zeros(max(map(ord, letters.values())) + 1, np.uint8)
+        back[[ord(c) for c in letters.values()]] = list(letters)
+        table = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.length = np.fromiter(map(len, table), np.int64, size)
         self.begin = np.cumsum(self.length) - self.length
-        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.flat = back[np.frombuffer("".join(table).encode("utf-32-le"), "<u4")]
 
     def _chunks(self, text: str) -> Iterator[str]:
         """Parts that end where a space follows something else: no match of the pattern goes across such a place."""
@@ -111,7 +112,7 @@ class Codec:
         return ids is not None
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of ids, in one array; characters that tokens split come together again here."""
+        """The bytes of ids, by the reversed byte table, in one array; characters that tokens split come together again here."""
         n = self.length[ids]
         end = np.cumsum(n)
         if not len(end) or not end[-1]:
@@ -164,8 +165,9 @@ def encode(docs: DataFrame, text_col: str = "text", vocab: bytes | None = None,
 
     With ``offsets`` also ``begin`` and ``end``, packed alike: the characters that each token covers. With ``back`` also
     ``decoded``, what ``decode`` makes of the ids, without sending them to a second worker for it. A null or
-    empty text has no tokens. Special tokens' strings are ordinary text. A text of any length is split where
-    no match of the pattern crosses, so memory follows the batch.
+    empty text has no tokens. Special tokens' strings are ordinary text; of pieces whose merges tie the leftmost goes first, as
+    the ranks have it. A text of any length is split where no match of the pattern crosses, so memory follows the batch.
+    Repeated rows are encoded alike, an empty table gives an empty result, and columns of any name travel in ``row``.
     """
     given = apart(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(vocab or vocabulary())
@@ -193,14 +195,16 @@ def encode(docs: DataFrame, text_col: str = "text", vocab: bytes | None = None,
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", vocab: bytes | None = None, pattern: str | None = None) -> DataFrame:
-    """``encoded`` with a further binary column ``decoded``: the bytes of the ids. A null is no ids.
+    """``encoded`` with a further binary column ``decoded`` (one of that name is replaced): the bytes of the ids. A null is no
+    ids, an id beyond the vocabulary an error.
 
     Bytes, because ids need not end where a character does; ``decode(decoded, 'UTF-8')`` gives text.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(vocab or vocabulary())
     pattern = _pattern(pattern)
     rest = [c for c in encoded.columns if c != "decoded"]
-    given = encoded.select(*map(quoted, rest))
+    names = [f"c{k}" for k in range(len(rest))]
+    given = encoded.select(*(F.col(quoted(c)).alias(k) for c, k in zip(rest, names)))
     at = rest.index(ids_col)
     schema = beside(given, "decoded binary")
 
@@ -210,6 +214,6 @@ def decode(encoded: DataFrame, ids_col: str = "ids", vocab: bytes | None = None,
             _, offsets = utf8(b.column(at))
             for i, j in runs(offsets, RUN_BYTES):
                 part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, codec.decode_column(part.column(at))], [*rest, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, codec.decode_column(part.column(at))], [*names, "decoded"])
 
-    return given.mapInArrow(frugal(run), schema)
+    return given.mapInArrow(frugal(run), schema).toDF(*rest, "decoded")
