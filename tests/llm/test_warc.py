@@ -51,7 +51,7 @@ def test_dictionary_shrinks_small_records(prose):
     sizes = []
     for d in (dictionary, b""):
         head, pack = warc.open_archive(d)
-        frames = [pack.compress(warc.record("response", k, "u", p, hashlib.sha1(p).hexdigest(), len(p), None, "2024-01-01T00:00:00Z")) for k, p in enumerate(pages)]
+        frames = [pack.compress(warc.record(f"x:{k}", "response", k, "u", p, hashlib.sha1(p).hexdigest(), len(p), None, "2024-01-01T00:00:00Z")) for k, p in enumerate(pages)]
         back = [warc.parse(r)["payload"] for r in warc.records(io.BytesIO(head + b"".join(frames)), chunk=97)]
         assert back == pages
         sizes.append(sum(map(len, frames)))
@@ -60,7 +60,7 @@ def test_dictionary_shrinks_small_records(prose):
 
 def test_damage_is_noticed():
     p = b"payload"
-    good = warc.record("response", 1, "u", p, hashlib.sha1(p).hexdigest(), len(p), None, "d")
+    good = warc.record("x", "response", 1, "u", p, hashlib.sha1(p).hexdigest(), len(p), None, "d")
     with pytest.raises(ValueError):
         warc.parse(good.replace(b"payload", b"paYload"))
     head, pack = warc.open_archive(b"")

@@ -28,6 +28,8 @@ SAMPLE_ROWS, SAMPLE_TEXT, DICTIONARY_BYTES = 1000, 1 << 16, 112 << 10
 #: An archive is closed once it has this many bytes.
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
+#: Date of all records unless another is given.
+DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 
 
@@ -36,8 +38,9 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
-def record(kind: str, page: int | None, uri: str | None, payload: bytes, digest: str, size: int, refers: int | None, date: str) -> bytes:
-    """One WARC record; a revisit carries the HTTP header only."""
+def record(name: str, kind: str, page: int | None, uri: str | None, payload: bytes, digest: str, size: int, refers: int | None, date: str) -> bytes:
+    """One WARC record; a revisit carries the HTTP header only. ``name`` is its id, which no other record may have; the page that it
+    stands for, and the one that it revisits, have fields of their own, as pages may repeat."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     block = http + payload if kind == "response" else http
     uri = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in uri or f"urn:x-page:{page}")
@@ -45,13 +48,15 @@ def record(kind: str, page: int | None, uri: str | None, payload: bytes, digest:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:x-page:{page}:{digest}>",
+        f"WARC-Record-ID: <urn:x-record:{name}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{sha}",
     ]
+    if page is not None:
+        lines.append(f"X-Page: {page}")
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:x-page:{refers}:{digest}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + _END + block + _END
 
@@ -72,13 +77,13 @@ def parse(data: bytes) -> dict:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError("a record's payload does not match its digest")
-    page = lambda name: (None if (x := fields[name].split(":")[2]) == "None" else int(x)) if name in fields else None
+    page = lambda name: int(fields[name]) if name in fields else None
     return {
-        "page_id": page("WARC-Record-ID"),
+        "page_id": page("X-Page"),
         "record_type": kind,
         "payload_bytes": size,
         "payload_digest": digest,
-        "refers_to": page("WARC-Refers-To"),
+        "refers_to": page("X-Refers-To-Page"),
         "uri": fields["WARC-Target-URI"],
         "payload": payload if kind == "response" else None,
     }
@@ -126,34 +131,39 @@ def records(stream, chunk: int = 1 << 18) -> Iterator[bytes]:
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
     """``page_id``, ``uri``, ``html``, ``size``, ``digest``, ``kind`` and ``refers`` of every row.
 
-    Of rows with equal payloads of at least ``least`` bytes those with the largest id are responses and the others revisit
-    it; all smaller ones are responses. A null payload is empty. A null id is never the largest; where all are
-    null, all are responses. Only ids and digests are aggregated; rows below the limit take no part in the join.
+    Of rows with equal payloads (by SHA-256; ``digest`` is the SHA-1 that the format wants) of at least ``least`` bytes those with
+    the largest id are responses and the others revisit it; all smaller ones are responses. A null payload is empty. A
+    null id is never the largest; where all are null, all are responses. Rows that repeat the largest id are responses
+    each, with records of their own. Only ids and digests are aggregated; rows below the limit take no part in the
+    join. A very long payload is one record and has to fit a task's memory. Other columns, of any name, are not archived. An empty
+    table has no records.
     """
     html = F.coalesce(F.col(quoted(html_col)).cast("string"), F.lit(""))
     rows = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).cast("string").alias("uri"), html.alias("html"))
     rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "digest": F.sha1(F.encode("html", "UTF-8"))})
-    large = rows.where(F.col("size") >= least)
-    heads = cut(large.groupBy("digest", "size").agg(F.max("page_id").alias("head")), "heads")
+    large = rows.where(F.col("size") >= least).withColumn("same", F.unhex(F.sha2(F.encode("html", "UTF-8"), 256)))
+    heads = cut(large.groupBy("same").agg(F.max("page_id").alias("head")), "heads")
     first = F.col("head").isNull() | F.col("page_id").eqNullSafe(F.col("head"))
-    known = large.join(heads, ["digest", "size"]).select(
+    known = large.join(heads, "same").select(
         *rows.columns, F.when(first, "response").otherwise("revisit").alias("kind"), F.when(~first, F.col("head")).alias("refers")
     )
     small = rows.where(F.col("size") < least).select(*rows.columns, F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers"))
     return known.unionByName(small)
 
 
-def dictionary_sample(pages: DataFrame, html_col: str = "html", rows: int = SAMPLE_ROWS) -> list[bytes]:
-    """Payloads of about ``rows`` rows of at most ``SAMPLE_TEXT`` characters, picked by a hash of the text; rows that the
-    pick leaves out never travel."""
+def dictionary_sample(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rows: int = SAMPLE_ROWS, date: str = DATE) -> list[bytes]:
+    """Records, as they are archived, of about ``rows`` rows with payloads of at most ``SAMPLE_TEXT`` characters, picked by a hash
+    of id and payload; rows that the pick leaves out never travel."""
     html = F.col(quoted(html_col)).cast("string")
-    fit = pages.select(html.alias("t")).where((F.length("t") > 0) & (F.length("t") <= SAMPLE_TEXT))
-    share = rows / max(rows, fit.count())
-    picked = fit.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return sorted(r.t.encode() for r in picked.collect())
+    given = pages.select(F.col(quoted(id_col)).cast("long").alias("i"), F.substring(F.col(quoted(url_col)).cast("string"), 1, 2048).alias("u"), html.alias("t"))
+    fit = given.where((F.length("t") > 0) & (F.length("t") <= SAMPLE_TEXT))
+    share = rows / max(rows, fit.select("t").count())
+    picked = fit.where(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()
+    found = sorted((r.t.encode(), r.i or 0, r.u or "") for r in picked)
+    return [record(f"{k:032x}:{k}", "response", i, u, t, hashlib.sha1(t).hexdigest(), len(t), None, date) for k, (t, i, u) in enumerate(found)]
 
 
-def write(planned: DataFrame, dictionary: bytes, folder: str, date: str = "2024-01-01T00:00:00Z", most: int = ARCHIVE_BYTES) -> DataFrame:
+def write(planned: DataFrame, dictionary: bytes, folder: str, date: str = DATE, most: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes planned records into archives in ``folder`` and returns their manifest (``path``, ``records``, ``bytes``).
 
     Each task attempt writes files of its own; the manifest is a Parquet table that Spark commits, so it names only the
@@ -167,16 +177,17 @@ def write(planned: DataFrame, dictionary: bytes, folder: str, date: str = "2024-
         head, pack = open_archive(shared.value)
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
-        out, name, n, size = None, "", 0, 0
+        out, name, own, n, size = None, "", "", 0, 0
         done: list[tuple[str, int, int]] = []
         for b in batches:
             ids, uris, sizes, digests, kinds, refers = (b.column(k).to_pylist() for k in (0, 1, 3, 4, 5, 6))
             for i, html in enumerate(each(b.column(2))):
                 if out is None:
-                    name, n, size = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst", 0, len(head)
+                    own = uuid.uuid4().hex
+                    name, n, size = f"{TaskContext.get().partitionId():06d}-{own}.warc.zst", 0, len(head)
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(head)
-                frame = pack.compress(record(kinds[i], ids[i], uris[i], html, digests[i], sizes[i], refers[i], date))
+                frame = pack.compress(record(f"{own}:{n}", kinds[i], ids[i], uris[i], html, digests[i], sizes[i], refers[i], date))
                 out.write(frame)
                 n, size = n + 1, size + len(frame)
                 if size >= most:
@@ -221,4 +232,4 @@ def read(manifest: DataFrame, folder: str, payload: bool = False) -> DataFrame:
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None) -> tuple[DataFrame, str]:
     """Writes one record for each row; gives the manifest and the folder."""
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    return write(plan_records(pages, id_col, url_col, html_col), build_dictionary(dictionary_sample(pages, html_col)), folder), folder
+    return write(plan_records(pages, id_col, url_col, html_col), build_dictionary(dictionary_sample(pages, id_col, url_col, html_col)), folder), folder
