@@ -68,9 +68,16 @@ def test_learned_lists_are_separated(spark):
     assert sum(right) / len(right) > 0.9
 
 
-def test_too_many_rules_are_refused(spark):
-    with pytest.raises(ValueError):
-        judge(spark.createDataFrame([("http://a.b/",)], "url string"), Model({}, {}, 0.0), [Rule("block", f"a{k}.b/") for k in range(501)])
+def test_many_rules_give_what_few_give(spark):
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(URLS)] + [(None, URLS[0])], "page_id long, url string")
+    model = Model({}, {}, 0.0)
+    more = [Rule("block", f"a{k}.b/") for k in range(700)] + [Rule("allow", "a7.b/"), Rule("block", "net"), Rule("allow", "/"), Rule("block", "h/")]
+    got = judge(pages, model, [*URL_RULES, *more]).collect()
+    few_rules = [*URL_RULES, *more[-3:]]
+    want = {r.row.url: (r.rule, r.verdict) for r in judge(pages, model, few_rules).collect()}
+    assert len(got) == len(URLS) + 1 and {r.row.url: (r.rule, r.verdict) for r in got} == want
+    far = spark.createDataFrame([("http://x.a699.b/q",), ("http://a7.b/",), ("http://xa7.b/",)], "url string")
+    assert [(r.rule, r.verdict) for r in judge(far, model, [*URL_RULES, *more]).orderBy("row.url").collect()] == [("a7.b/", "allow"), ("a699.b/", "block"), (None, "allow")]
 
 
 def test_frequent_words_of_the_urls_stay_whole(spark):

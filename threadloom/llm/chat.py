@@ -200,7 +200,9 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     needs. The pieces of a conversation in order are its rendered form.
 
     Turns stand in the order of ``turn`` (null last), then role, then MD5 of the text (nulls first), so content settles ties. A null
-    conversation id is a conversation of its own. A null or unknown role has to be given one; a null text is empty.
+    conversation id is a conversation of its own. A null or unknown role has to be given one; a null text is empty. Repeated turns
+    are turns each; a very long text is one turn and has to fit a task's memory. Other columns, of any name, are not carried; an
+    empty table gives an empty result.
 
     Turns are dealt by ranges of (conversation, turn), so a conversation of any length spreads over partitions. Each
     partition turns its runs into 4 x 4 tables of costs, which compose; what crosses a partition's edge is at most two

@@ -202,7 +202,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     window: ``window`` consecutive words of an item, or all words of a shorter item. ``items`` are the distinct items,
     as strings in order, of the windows that occur. Null and empty texts have no words on either side. A null item id
     marks words but is no item; items of equal id are one, and equal windows belong to each of their items. An empty
-    benchmark hits nothing.
+    benchmark hits nothing, an empty table gives an empty result. Repeated rows are marked alike. Texts of any length are searched
+    whole; columns of any name travel in ``row``. ``window`` is any number of words from 1 on.
 
     The documents are never shuffled. The benchmark is carried to them in blocks of bounded size, each a further pass.
     """
