@@ -28,8 +28,7 @@ def slow(docs, items, window=10):
 
 
 @pytest.mark.parametrize("block", [2 << 20, 60])
-def test_equals_brute_force(spark, documents, prose, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+def test_equals_brute_force(spark, documents, prose, block):
     long = prose(1, 40)
     items = [(1, long), (2, "Answer"), (3, "two words"), (4, None), (5, ""), (6, "..."), (7, long.upper()), (None, "nameless item here"), (3, "again three"), (10, prose(2, 10)), (11, "é Ünï 42x")]
     w = long.split()
@@ -38,14 +37,38 @@ def test_equals_brute_force(spark, documents, prose, monkeypatch, block):
         (8, "the nameless item here"), (9, prose(2, 10)[:-1]), (10, "x " + prose(2, 10)), (11, "É ünï 42X é Ünï 42x"), (12, prose(9, 3000) + " " + " ".join(w[20:])), (13, "two"), (14, "a\x00answer"),
     ]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = contamination(documents(docs), bench).collect()
+    got = contamination(documents(docs), bench, block_bytes=block).collect()
     have = sorted(((r.row.doc_id, r.n_words, sum(b - a for a, b in zip(r.begin, r.end)), r["items"]) for r in got), key=str)
     assert have == slow(docs, items)
-    kept = drop_contaminated(documents(docs), bench)
+    kept = drop_contaminated(documents(docs), bench, block_bytes=block)
     assert {r.doc_id for r in kept.collect()} == {i for i, _, n, _ in have if not n}
     assert kept.columns == documents(docs).columns
 
 
+@pytest.mark.parametrize("window", [1, 4, 300])
+def test_other_windows_long_texts_and_repeated_rows(spark, documents, prose, window):
+    items = [(1, prose(1, 420)), (2, prose(2, 5))]
+    far = prose(7, 2000)
+    docs = [(1, prose(1, 420)), (2, far + " " + prose(1, 330) + " " + far), (2, far + " " + prose(1, 330) + " " + far), (3, prose(1, 299)), (4, "x " + prose(2, 5)), (4, "x " + prose(2, 5))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = slow(docs, items, window) if window > 100 else None
+    each = []
+    for block in (1 << 20, 60):
+        got = contamination(documents(docs), bench, window=window, block_bytes=block).collect()
+        each.append(sorted(((r.row.doc_id, r.n_words, sum(b - a for a, b in zip(r.begin, r.end)), r["items"]) for r in got), key=str))
+    assert each[0] == each[1] and (want is None or each[0] == want)
+
+
+def test_a_text_beyond_one_pass(spark, documents, prose, monkeypatch):
+    leak = prose(999, 14)
+    text = " ".join(prose(k, 4000) for k in range(60)) + " " + leak
+    assert len(text) > decontaminate.RUN_BYTES
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    for block in (1 << 20, 10):
+        r = contamination(documents([(1, text), (2, leak)]), bench, block_bytes=block).orderBy("row.doc_id").collect()
+        assert [(list(x.begin), list(x.end)) for x in r] == [([240000], [240014]), ([0], [14])]
+
+
 def test_no_benchmark_and_no_documents(spark, documents):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contamination(documents([(1, "a b")]), bench).first().n_words == 2

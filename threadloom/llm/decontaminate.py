@@ -11,12 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from threadloom.llm.arrow_text import apart, beside, frugal, quoted, runs, together, utf8
+from threadloom.llm.arrow_text import apart, beside, each, frugal, quoted, runs, together, utf8
+from threadloom.plans.scratch import cut
 
 WINDOW = 10
-#: Benchmark text that one pass carries to the executors; a larger benchmark takes further passes.
-BLOCK_BYTES = 2 << 20
+#: Benchmark text that is carried to the executors whole, and the bits of the shift tables that are carried of a larger one.
+BLOCK_BYTES, TABLE_BITS = 4 << 20, 20
 #: Text bytes of one numpy pass; a longer text is one pass.
 RUN_BYTES = 1 << 20
 #: Window ends that one lane of the search looks at.
@@ -92,7 +94,7 @@ class Group:
 
     @staticmethod
     def of(words: int, strings: dict[bytes, list[str]]) -> Group:
-        block = 1 if words < 3 else 2 if words < 6 else 3
+        block = _block_of(words)
         order = list(strings)
         text = np.frombuffer(b" ".join(order), np.uint8)
         h, *_ = word_hashes(text, np.array([0, len(text)]))
@@ -195,7 +197,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``row`` (all other columns of ``docs``), ``text``, ``n_words``, ``begin``, ``end`` and ``items`` of every row.
 
     ``begin`` and ``end`` bound the document's words (end exclusive, runs merged) that lie inside an occurrence of a
@@ -205,41 +207,127 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     benchmark hits nothing, an empty table gives an empty result. Repeated rows are marked alike. Texts of any length are searched
     whole; columns of any name travel in ``row``. ``window`` is any number of words from 1 on.
 
-    The documents are never shuffled. The benchmark is carried to them in blocks of bounded size, each a further pass.
+    A benchmark of up to ``block_bytes`` is carried to the documents, which are not shuffled then. Of a larger one only the
+    shift tables are, whose size is fixed (``TABLE_BITS``); the places that they leave are joined with the table of all windows.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(quoted(item_col)).cast("string").alias("i"), F.col(quoted(item_text_col)).cast("string").alias("t")).where("t is not null")
     total = bench.select(F.sum(F.octet_length("t"))).first()[0] or 0
-    n_blocks = max(1, -(-total // BLOCK_BYTES))
-    given = apart(docs, text_col).select(
-        "row",
-        F.lit(0).cast("long").alias("n_words"),
-        *(F.array().cast("array<long>").alias(c) for c in ("begin", "end")),
-        F.array().cast("array<string>").alias("items"),
-        "text",
-    )
+    given = apart(docs, text_col).select("row", "text")
     schema = beside(given, "n_words long, begin array<long>, end array<long>, items array<string>, text string", "row")
-    for k in range(n_blocks):
-        block = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k)
-        shared = spark.sparkContext.broadcast(windows([(r.i, r.t) for r in block.collect()], window))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                columns = {name: b.column(i) for i, name in enumerate(b.schema.names)}
-                spans = [list(zip(x, y)) for x, y in zip(columns["begin"].to_pylist(), columns["end"].to_pylist())]
-                items = [set(x) for x in columns["items"].to_pylist()]
-                counts = _scan(shared.value, columns["text"], spans, items)
-                spans = [_merged(s) for s in spans]
-                columns |= {
-                    "n_words": pa.array(counts),
-                    "begin": pa.array([[x for x, _ in s] for s in spans], pa.list_(pa.int64())),
-                    "end": pa.array([[y for _, y in s] for s in spans], pa.list_(pa.int64())),
-                    "items": pa.array([sorted(s) for s in items], pa.list_(pa.string())),
-                }
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-        given = given.mapInArrow(frugal(run), schema)
-    return given
+    if total > block_bytes:
+        return _by_join(given, bench, window, schema)
+    groups = windows([(r.i, r.t) for r in bench.collect()], window)
+    shared = spark.sparkContext.broadcast(groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans: list[list] = [[] for _ in range(b.num_rows)]
+            items: list[set[str]] = [set() for _ in range(b.num_rows)]
+            counts = _scan(shared.value, b.column(1), spans, items)
+            yield _result(b.column(0), counts, spans, [sorted(x) for x in items], b.column(1))
+
+    return given.mapInArrow(frugal(run), schema)
+
+
+def _result(row: pa.Array, counts: np.ndarray, spans: list[list], items: list[list[str]], text: pa.Array) -> pa.RecordBatch:
+    merged = [_merged(s) for s in spans]
+    bounds = [pa.array([[x[k] for x in s] for s in merged], pa.list_(pa.int64())) for k in range(2)]
+    return pa.RecordBatch.from_arrays([row, pa.array(counts), *bounds, pa.array(items, pa.list_(pa.string())), text], ["row", "n_words", "begin", "end", "items", "text"])
+
+
+def _block_of(words: int) -> int:
+    return 1 if words < 3 else 2 if words < 6 else 3
+
+
+def _shift_tables(bench: DataFrame, window: int) -> dict[int, np.ndarray]:
+    """A shift table of ``TABLE_BITS`` bits for each number of words that a window has: each task fills tables of its own, and an
+    aggregation keeps the least shift of each entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for b in batches:
+            data, at = utf8(b.column(1))
+            for i, j in runs(at, RUN_BYTES):
+                h, *_, text = word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                for first, stop in zip(*(np.searchsorted(text, np.arange(j - i), side=s).tolist() for s in ("left", "right"))):
+                    n = min(window, stop - first)
+                    if not n:
+                        continue
+                    block = _block_of(n)
+                    table = tables.setdefault(n, np.full(1 << TABLE_BITS, n - block + 1, np.min_scalar_type(n)))
+                    last = np.arange(first + n - 1, stop)
+                    for back in range(n - block, -1, -1):
+                        entry = _joined(h, last - back, block) >> np.uint64(64 - TABLE_BITS)
+                        np.minimum.at(table, entry, back)
+        for n, table in tables.items():
+            entry = np.flatnonzero(table < n - _block_of(n) + 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(entry), n, np.int32)), pa.array(entry), pa.array(table[entry].astype(np.int32))], ["n", "entry", "shift"])
+
+    found = bench.mapInArrow(frugal(run), "n int, entry int, shift int").groupBy("n", "entry").agg(F.min("shift").alias("shift")).toArrow()
+    n, entry, shift = (found.column(c).to_numpy() for c in ("n", "entry", "shift"))
+    out = {}
+    for k in np.unique(n).tolist():
+        table = out[k] = np.full(1 << TABLE_BITS, k - _block_of(k) + 1, np.min_scalar_type(k))
+        table[entry[n == k]] = shift[n == k]
+    return out
+
+
+def _spelled(raw: bytes, begin: np.ndarray, end: np.ndarray, last: np.ndarray, n: int) -> Iterator[str]:
+    for x in last.tolist():
+        yield b" ".join(raw[a:z] for a, z in zip(begin[x - n + 1 : x + 1].tolist(), end[x - n + 1 : x + 1].tolist())).lower().decode()
+
+
+def _bench_windows(bench: DataFrame, window: int) -> DataFrame:
+    """``n``, ``s``, ``item``: every different window of every item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, raw in zip(b.column(0).to_pylist(), each(b.column(1))):
+                _, begin, end, _ = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                n = min(window, len(begin))
+                found = sorted(set(_spelled(raw, begin, end, np.arange(n - 1, len(begin)), n))) if n else []
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), n, np.int32)), pa.array(found, pa.string()), pa.array([item] * len(found), pa.string())], ["n", "s", "item"])
+
+    return bench.mapInArrow(frugal(run), "n int, s string, item string").distinct()
+
+
+def _by_join(given: DataFrame, bench: DataFrame, window: int, schema: StructType) -> DataFrame:
+    """``contamination`` for a benchmark of any size."""
+    spark = given.sparkSession
+    numbered = cut(given.select(F.monotonically_increasing_id().alias("r"), "row", "text"), "leak-texts")
+    shared = spark.sparkContext.broadcast(_shift_tables(bench, window))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = [Group(n, _block_of(n), TABLE_BITS, table, *[np.empty(0)] * 3, [], []) for n, table in shared.value.items()]
+        for b in batches:
+            data, at = utf8(b.column(1))
+            r = b.column(0).to_numpy()
+            for i, j in runs(at, RUN_BYTES):
+                part = data[at[i] : at[j]]
+                h, begin, end, text = word_hashes(part, at[i : j + 1] - at[i])
+                first, stop = (np.searchsorted(text, np.arange(j - i), side=s) for s in ("left", "right"))
+                raw = part.tobytes()
+                for g in groups:
+                    last = g.ends(h, first, stop)
+                    of = text[last]
+                    size = pa.array(np.full(len(last), g.words, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(r[i:j][of]), size, pa.array(last - first[of] + 1), pa.array(list(_spelled(raw, begin, end, last, g.words)), pa.string())], ["r", "n", "stop", "s"])
+
+    places = cut(numbered.select("r", "text").mapInArrow(frugal(find), "r long, n int, stop long, s string"), "leak-places")
+    owned = cut(_bench_windows(bench, window), "leak-windows")
+    hits = cut(places.join(owned.select("n", "s").distinct(), ["n", "s"]), "leak-hits")
+    spans = hits.groupBy("r").agg(F.collect_list(F.struct((F.col("stop") - F.col("n")).alias("begin"), F.col("stop").alias("end"))).alias("spans"))
+    items = hits.select("r", "n", "s").distinct().join(owned.where("item is not null"), ["n", "s"]).groupBy("r").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    joined = numbered.join(spans, "r", "left").join(items, "r", "left").select("row", "text", "spans", "items")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = _scan([], b.column(1), [], [])
+            spans = [[(x["begin"], x["end"]) for x in s or []] for s in b.column(2).to_pylist()]
+            yield _result(b.column(0), counts, spans, [x or [] for x in b.column(3).to_pylist()], b.column(1))
+
+    return joined.mapInArrow(frugal(merge), schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
