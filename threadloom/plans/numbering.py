@@ -12,9 +12,9 @@ def numbered(df: DataFrame, *keys: str, name: str = "number", first: int = 0) ->
     """``df`` with a long column ``name``: the place of each row in the order of ``keys``, counted from ``first``.
 
     Rows are ranged over partitions by key and numbered within each; the partitions' sizes (one row each) give the
-    offsets. Rows of equal keys are numbered in any order.
+    offsets. Rows of equal keys are numbered in any order; a hash of the whole row deals them to several ranges.
     """
-    ranged = cut(df.repartitionByRange(*keys).withColumn("_tl_part", F.spark_partition_id()), "ranged")
+    ranged = cut(df.repartitionByRange(*keys, F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))).withColumn("_tl_part", F.spark_partition_id()), "ranged")
     sizes = ranged.groupBy("_tl_part").agg(F.count("*").alias("_tl_n")).collect()
     offsets, total = [], first
     for r in sorted(sizes, key=lambda r: r._tl_part):
