@@ -214,7 +214,9 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     rows = turns.select(
         F.col(quoted(conv_col)).cast("long").alias("conv"), F.col(quoted(turn_col)).cast("long").alias("turn"), F.col(quoted(role_col)).cast("string").alias("role"), F.col(quoted(text_col)).cast("string").alias("text")
     )
-    keys = (F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.md5("text"))
+    # Equal turns may stand in any order, so where they came from deals them to several ranges.
+    rows = rows.withColumn("origin", F.spark_partition_id())
+    keys = (F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.md5("text"), F.col("origin"))
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     segments = cut(_segments(ordered.select(F.spark_partition_id().alias("part"), "conv", "turn", "role", "text"), moves), "segments")
     runs = segments.groupBy("conv", "part").agg(F.array_sort(F.collect_list(F.struct("no", "cost", "rank"))).alias("tables"))
