@@ -9,9 +9,11 @@ compared with those at another place where it occurs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -318,21 +320,18 @@ def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     return blocks.join(said, ["ref", "x", "y"]).select("r", "at", "first", "units", "words")
 
 
-def _repeated(words: list[bytes], blocks: pa.ListScalar, window: int, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
+def _repeated(words: list[bytes], blocks: list[tuple[int, int, list[int], bytes]], window: int, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
     """How many of the blocks, minus those that ended, cover each word: only what spells the same as the place beside it."""
     edge = np.zeros(len(words) + 1, np.int64)
-    fields = blocks.values
-    ats, firsts = (fields.field(k).to_pylist() for k in ("at", "first"))
-    for at, first, units, packed in zip(ats, firsts, fields.field("units"), fields.field("words")):
-        there = unpack.decompress(packed.as_py()).split()
+    for at, first, units, packed in blocks:
+        there = unpack.decompress(packed).split()
         begin, end = at + first, at + first + len(there)
         same = words[begin:end] == there
-        units = units.values.to_numpy(zero_copy_only=False)
-        if same and (units & 63).sum() == len(there) - window + 1:  # all edges from the first to the last
+        if same and sum(u & 63 for u in units) == len(there) - window + 1:  # all edges from the first to the last
             edge[begin] += 1
             edge[end] -= 1
             continue
-        for unit in units.tolist():
+        for unit in units:
             off, n = unit >> 6, unit & 63
             p, size = at + off, n + window - 1
             if same or words[p : p + size] == there[off - first : off - first + size]:
@@ -341,6 +340,16 @@ def _repeated(words: list[bytes], blocks: pa.ListScalar, window: int, unpack: zs
     return np.cumsum(edge[:-1])
 
 
+def _blocks_of(column: pa.Array) -> list[tuple[int, int, list[int], bytes]]:
+    """The blocks of all rows of a column one after the other."""
+    flat = column.flatten()
+    units = flat.field("units")
+    ends, every = units.offsets.to_pylist(), units.flatten().to_pylist()
+    start = ends[0]
+    each_units = [every[i - start : j - start] for i, j in zip(ends, ends[1:])]
+    return list(zip(flat.field("at").to_pylist(), flat.field("first").to_pylist(), each_units, flat.field("words").to_pylist()))
+
+
 def without_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, as_is: bool = False) -> DataFrame:
     """``row`` (all columns but the text), ``n_words``, ``n_removed`` and ``kept`` of every row.
 
@@ -359,13 +368,15 @@ def without_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDO
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
             total, gone, kept = [], [], []
-            for z, blocks in zip(b.column(1), b.column(2)):
+            blocks, sizes, at = _blocks_of(b.column(2)), pc.list_value_length(b.column(2)).to_pylist(), 0
+            for z, n in zip(b.column(1), sizes):
                 text = unpack.decompress(z.as_py()) if z.is_valid else None
                 words = text.split() if text else []
                 total.append(len(words))
-                if blocks.is_valid:
-                    left = _repeated(words, blocks, window, unpack) == 0
-                    words = [w for w, keep in zip(words, left.tolist()) if keep]
+                if n:
+                    left = _repeated(words, blocks[at : at + n], window, unpack) == 0
+                    words = list(compress(words, left.tolist()))
+                    at += n
                 gone.append(total[-1] - len(words))
                 kept.append(b" ".join(words) if gone[-1] or not as_is else text)
             yield pa.RecordBatch.from_arrays(
