@@ -21,6 +21,8 @@ SAMPLE_ROWS, SAMPLE_BYTES, LANG_ROWS, LANG_BYTES, SAMPLE_TEXT = 1600, 8 << 20, 4
 #: Part of the calibration rows named rightly that the rejection may cost, and part of the rows of languages that were not
 #: learned that it should reach.
 LOST, STRANGE = 0.001, 0.99
+#: Weight of a row of a language that was not learned when the temperature is set.
+DOUBT = 0.1
 #: Parts into which languages are dealt so that each part is left out of a model once; passes over the rows of such a model.
 FOLDS, FOLD_EPOCHS = 4, 4
 
@@ -146,7 +148,6 @@ def train(texts: list[bytes], langs: list[str], bits: int = BUCKET_BITS, epochs:
     held = (np.arange(len(texts)) % 5 == 4)[owner]
     fit, kept = np.flatnonzero(~held), np.flatnonzero(held)
     model = descend(x, y, fit, names, epochs, rng)
-    calibrate(model, x, y, kept)
     strange = []
     part = np.arange(len(names)) % FOLDS
     for fold in range(FOLDS if len(names) > 2 else 0):
@@ -156,9 +157,8 @@ def train(texts: list[bytes], langs: list[str], bits: int = BUCKET_BITS, epochs:
             place = np.full(len(names), -1)
             place[left] = np.arange(len(left))
             without = descend(x, place[y], fit[part[y[fit]] != fold], [names[k] for k in left], FOLD_EPOCHS, rng)
-            without.temperature = temperature(without, x, place[y], kept[part[y[kept]] != fold])
-            strange.append(softmax(x.logits(out, without) / without.temperature).max(1))
-    reject(model, x, y, kept, np.concatenate(strange) if strange else np.empty(0))
+            strange.append(x.logits(out, without))
+    calibrate(model, x.logits(kept, model), y[kept], strange)
     return model
 
 
@@ -184,34 +184,38 @@ def descend(x: Counts, y: np.ndarray, rows: np.ndarray, names: list[str], epochs
             bias -= 0.05 * rate * err.sum(0)
             emb -= 60 * rate * slope
     model = Model(names, (emb @ out).astype(np.float32), bias.astype(np.float64))
-    model.weights[0] = 0
+    # Subwords that no row had say nothing, rather than what their first values happen to say.
+    seen = np.zeros(x.width, bool)
+    for k in rows.tolist():
+        seen[x.rows[k][0]] = True
+    model.weights[~seen] = 0
     return model
 
 
-def temperature(model: Model, x: Counts, y: np.ndarray, rows: np.ndarray) -> float:
-    """That of the least log loss over ``rows``."""
-    if not len(rows):
-        return 1.0
-    z, at = x.logits(rows, model), np.arange(len(rows))
-    loss = {t: -np.log(softmax(z / t)[at, y[rows]] + 1e-12).mean() for t in np.geomspace(0.02, 20, 60)}
-    return float(min(loss, key=loss.get))
+def calibrate(model: Model, z: np.ndarray, y: np.ndarray, strange: list[np.ndarray]) -> None:
+    """Sets temperature and rejection threshold from the logits ``z`` of held-back rows and from those of ``strange`` ones, whose
+    language the model that gave them was not taught.
 
+    The temperature is that of the least log loss, where a strange row counts ``DOUBT`` of a row of which every
+    language is equally likely: a model that separates its own languages with ease is not sure of others for that. The
+    threshold is what all but ``LOST`` of the rows named rightly reach, short pieces among them, but no more than it takes to
+    reject ``STRANGE`` of the strange rows, and never more than an even chance: a language that is likelier than all others
+    together is not rejected.
+    """
+    if not len(y):
+        return
+    at = np.arange(len(y))
 
-def calibrate(model: Model, x: Counts, y: np.ndarray, rows: np.ndarray) -> None:
-    model.temperature = temperature(model, x, y, rows)
-
+    def loss(t: float) -> float:
+        own = -np.log(softmax(z / t)[at, y] + 1e-12).sum()
+        return own + DOUBT * sum(-np.log(softmax(o / t) + 1e-12).mean(1).sum() for o in strange)
 
-def reject(model: Model, x: Counts, y: np.ndarray, rows: np.ndarray, strange: np.ndarray) -> None:
-    """The rejection threshold: what all but ``LOST`` of the calibration rows named rightly reach, short pieces among them,
-    but no more than it takes to reject ``STRANGE`` of the rows whose language a model was not taught, and never more than an
-    even chance: a language that is likelier than all others together is not rejected."""
-    if not len(rows):
-        return
-    p = softmax(x.logits(rows, model) / model.temperature)
-    right = p.max(1)[p.argmax(1) == y[rows]]
+    model.temperature = float(min(np.geomspace(0.02, 20, 60), key=loss))
+    p = softmax(z / model.temperature)
+    right = p.max(1)[p.argmax(1) == y]
     if len(right):
-        need = np.quantile(strange, STRANGE) if len(strange) else 1.0
-        model.reject_below = float(min(0.5, np.quantile(right, LOST), need))
+        top = np.concatenate([softmax(o / model.temperature).max(1) for o in strange]) if strange else np.ones(1)
+        model.reject_below = float(min(0.5, np.quantile(right, LOST), np.quantile(top, STRANGE)))
 
 
 def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, by: F.Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
