@@ -143,3 +143,45 @@ def test_toxicity_without_both_classes(spark, labels):
     model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert model is None
     assert [r.score for r in toxicity.score_toxicity(docs, model).select(F.col("score")).collect()] == [0.0, 0.0]
+
+
+def test_a_language_that_was_not_taught_is_rejected(spark):
+    rng = random.Random(5)
+    taught = {**SYLLABLES, "dd": "на ро мы ли", "ee": "wa zu pik nor"}
+    rows = [(k, " ".join("".join(rng.choice(taught[lang].split()) for _ in range(2)) for _ in range(rng.randrange(8, 60))), lang) for k in range(300) for lang in [sorted(taught)[k % 5]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs)
+    strange = [(k, " ".join("".join(rng.choice("ψω φξ θδ λγ".split()) for _ in range(3)) for _ in range(40)), None) for k in range(40)]
+    got = identify(spark.createDataFrame(strange, docs.schema), model).collect()
+    assert np.mean([r.rejected for r in got]) > 0.9
+    own = identify(docs, model).collect()
+    assert sum(r.rejected for r in own) <= 3 and sum(r.lang_pred == r.row["lang"] for r in own) > 290
+
+
+def test_every_labelled_language_is_learned(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"l{k:03d}" for k in range(230)]
+    rows = [(lang, " ".join(lang_word + rng.choice(letters) for _ in range(8))) for k, lang in enumerate(names) for lang_word in [letters[k % 26] + letters[k // 26] + "q"] for _ in range(3)]
+    model = fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.langs == names
+
+
+def test_repeated_rows_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "ka lo mi"), (1, "ka lo mi"), (2, None)], "doc_id long, text string")
+    model = toxicity.Model({"lo": 3.0}, {})
+    for found in (identify(docs, Model(["a", "b"], np.zeros((1 << language.BUCKET_BITS, 2), np.float32), np.zeros(2))), toxicity.score_toxicity(docs, model)):
+        out = [r.asDict(True) for r in found.collect() if r.row.doc_id == 1]
+        assert out[0] == out[1]
+    assert identify(docs.limit(0), None).count() == 0 and toxicity.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_features_from_all_segments(spark):
+    """The fit sees as many segments as scoring does."""
+    model = toxicity.Model({"bad": 6.0}, {}, 1.0, 1e-3)
+    text = ("bad " + "calm " * 12) * 500
+    rows = spark.createDataFrame([(1, True, text), (0, True, "calm")], "y int, held boolean, text string")
+    got = {r.y: r for r in toxicity._measure(rows, model).collect()}
+    found = model.passages(toxicity.tokens(text.encode()))
+    assert len(found) == 500 and (got[1].beyond, got[1].summed) == pytest.approx(model.features(found))
+    assert got[0].n == 1 and got[0].best == 0.0

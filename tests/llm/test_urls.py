@@ -102,3 +102,30 @@ def test_names_outside_the_lists(spark, end):
     for host, path in [("www.acme.fr", "/uploads/3"), ("acme.fr", "/threads/12"), ("www.alphabet.de", "/a"), ("www.tibet.fr", "/a"), ("www.essex.uk", "/a"), ("www.example.com", "/en/7")]:
         assert score(host, path) < 0.5, host
     assert "example" not in lexicon() and "html" not in lexicon()
+
+
+def test_hosts_of_one_label_and_of_other_letters(spark):
+    model = fit(spark.createDataFrame([("http://größe.example/ünïcode/наука",)] * 6, "url string"))
+    assert model.tokens("casino", "/") == ["casino"] and model.tokens("casino:8080", "/poker") == ["casino", "poker"]
+    assert model.tokens("größe.example", "/ünïcode/наука") == ["größe", "ünïcode", "наука"]
+    assert model.score(model.tokens("casino", "/poker")) > 0.5
+
+
+def test_no_planted_name_is_in_the_lists():
+    from threadloom.llm.urls import ALLOWED
+
+    planted = "casino-win free-bets ads-track spam-farm cheap-pills adult-x".split()
+    names = [n.rsplit(".", 1)[0] for n in (BLOCKED + " " + ALLOWED).split()]
+    assert not set(planted) & set(names) and not any("example" in n for n in names)
+
+
+def test_words_of_pages_are_counted(spark):
+    pages = spark.createDataFrame([("http://a.b/", "<p class=hidden>Quokka quokka</p> quokka <b>x</b>")] * 4, "url string, html string")
+    assert {r.w: r.n for r in word_counts(pages, html_col="html").collect()} == {"quokka": 12, "x": 4, "a": 1}
+    assert "quokka" in fit(pages, html_col="html").words and "quokka" not in fit(pages).words
+
+
+def test_repeated_rows_are_judged_alike(spark):
+    pages = spark.createDataFrame([(1, "http://poker.de/x"), (1, "http://poker.de/x")], "page_id long, url string")
+    out = [r.asDict(True) for r in judge(pages, fit(pages), URL_RULES).collect()]
+    assert out[0] == out[1] and out[0]["verdict"] == "block"
