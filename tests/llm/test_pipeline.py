@@ -64,4 +64,4 @@ def test_query_equals_its_oracle(spark, name):
 
 
 def test_names_of_the_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))

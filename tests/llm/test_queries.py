@@ -171,7 +171,7 @@ def test_op10(spark, documents_):
         assert got[i].decoded_sha256 == hashlib.sha256(own.decode_bytes(ids)).hexdigest()
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(n for n in queries.QUERIES if n.startswith("op")))
 def test_columns_of_the_contract(spark, name):
     want = {
         1: "page_id host path rule verdict", 2: "doc_id held_out lang_pred score", 3: "doc_id n_words n_hit n_items items_sha256 contaminated",

@@ -89,6 +89,13 @@ def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages.select("page_id", "url"), urls.fit(pages, html_col="html"), URL_RULES).select("row.page_id", "host", "path", "rule", "verdict", "score")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules alone, by the joins that any number of them takes: what SQL can say of ``op1_urls``."""
+    host, path = urls.host_and_path(F.col("url"))
+    given = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", host.alias("host"), path.alias("path"))
+    return urls.matched_by_join(given, URL_RULES).withColumnRenamed("_tl_action", "action")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, folder = warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return warc.read(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -107,6 +114,7 @@ QUERIES = {
     "op7_chat": op7_chat,
     "op4_vectors": op4_vectors,
     "op1_urls": op1_urls,
+    "url_rules": url_rules,
     "op8_warc": op8_warc,
     "op5_toxicity": op5_toxicity,
     "op2_language": op2_language,
@@ -174,6 +182,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM words LEFT JOIN kept USING (r)
 """,
     "op7_chat": _chat_oracle(chat.Costs()),
+    "url_rules": f"""
+WITH rules(host, path, text, action) AS (VALUES {", ".join(f"('{r.host}', '{r.path}', '{r.text}', '{r.action}')" for r in URL_RULES)}),
+rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+parts AS (
+    SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM rests),
+fits AS (
+    SELECT p.page_id, r.text, r.action, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.text) DESC, r.text DESC) AS k
+    FROM parts p JOIN rules r ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT p.page_id, p.host, p.path, f.text AS rule, f.action FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
+""",
     "op4_vectors": r"""
 WITH RECURSIVE v AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
