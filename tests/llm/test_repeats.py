@@ -59,3 +59,64 @@ def test_equal_rows_null_ids_and_no_rows(documents, prose):
 def test_as_is_leaves_untouched_texts_alone(documents):
     rows = [(1, "two  words\n"), (2, None)]
     assert [(r.row.doc_id, r.kept) for r in without_repeats(documents(rows), as_is=True).orderBy("row.doc_id").collect()] == rows
+
+
+def slow_paths(units):
+    """Unit -> (first unit of its path, edges before it), by walking back while a node has one unit on either side."""
+    ends, starts = {}, {}
+    for uid, n, u, v in units:
+        starts.setdefault(u, []).append(uid)
+        ends.setdefault(v, []).append(uid)
+    by = {x[0]: x for x in units}
+    out = {}
+    for uid, _, u, _ in units:
+        at, off, seen = uid, 0, {uid}
+        while True:
+            node = by[at][2]
+            if len(starts[node]) != 1 or len(ends.get(node, [])) != 1:
+                out[uid] = (at, off)
+                break
+            at = ends[node][0]
+            if at in seen:  # a ring has no first
+                out[uid] = (uid, 0)
+                break
+            seen.add(at)
+            off += by[at][1]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_paths_are_compacted_as_by_walking(spark, seed):
+    rng = random.Random(seed)
+    edges = [(k, k + 1) for k in range(0, 70)] + [(k, k + 1) for k in range(100, 109)] + [(110, 111), (111, 112), (112, 110), (200, 200)]
+    edges += [(5, 300), (300, 301), (40, 41), (400, 100), (401, 100), (109, 402), (109, 403)] + [(rng.randrange(500, 540), rng.randrange(500, 540)) for _ in range(40)]
+    rng.shuffle(edges)
+    units = [(7 * k + 1, rng.randrange(1, 31), u, v) for k, (u, v) in enumerate(edges)]
+    labels = repeats.compact(spark.createDataFrame(units, "uid long, n long, u long, v long")).collect()
+    got = {x[0]: (x[0], 0) for x in units} | {r.uid: (r.unitig, r.off) for r in labels}
+    want = slow_paths(units)
+    ring = {x[0] for x in units if x[2] in (110, 111, 112) and x[3] in (110, 111, 112)}
+    assert {k: v for k, v in got.items() if k not in ring} == {k: v for k, v in want.items() if k not in ring}
+    assert max(off for _, off in got.values()) > 300 and all(got[k] == (k, 0) for k in ring)
+
+
+def test_only_equal_words_are_taken_out():
+    """What a hash says is not enough: a block whose words differ from those beside it stays, but for its equal parts."""
+    import zstandard
+
+    words = [b"w%d" % k for k in range(60)]
+    pack, unpack = zstandard.ZstdCompressor().compress, zstandard.ZstdDecompressor()
+    whole = (4, 1, [(1 << 6) | 3, (4 << 6) | 2], pack(b" ".join(words[5:16])))
+    assert (repeats._repeated(words, [whole], 7, unpack) > 0).nonzero()[0].tolist() == list(range(5, 16))
+    other = words[5:16]
+    other[9] = b"other"
+    part = (4, 1, [(1 << 6) | 3, (4 << 6) | 2], pack(b" ".join(other)))
+    assert (repeats._repeated(words, [part], 7, unpack) > 0).nonzero()[0].tolist() == list(range(5, 14))
+    assert not repeats._repeated(words, [(4, 1, [(1 << 6) | 3, (4 << 6) | 2], pack(b" ".join(words[6:17])))], 7, unpack).any()
+
+
+def test_a_long_text_and_columns_of_any_name(spark, documents, prose):
+    passage = prose(77, 200)
+    long = " ".join([prose(50, 3000), passage, prose(51, 3000), passage])
+    rows = [(1, long), (2, passage), (3, prose(52, 30))]
+    assert fast(documents(rows), 35) == slow(rows, 35)
