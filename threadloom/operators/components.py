@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadloom.plans.scratch import cut, drop
@@ -17,12 +17,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     of a component's size; each is written to the shared folder, so plans stay short and lost executors cost one
     round at most.
     """
-    e = cut(_oriented(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))), "cc")
-    seen = _digest(e)
+    e, seen = _round(_oriented(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))))
     if seen[0]:
         for _ in range(max_rounds):
-            new = cut(_small_star(_large_star(e)), "cc", 2 * seen[0])
-            now = _digest(new)
+            new, now = _round(_small_star(_large_star(e)), 2 * seen[0])
             drop(e)
             e = new
             if now == seen:
@@ -38,8 +36,11 @@ def _oriented(e: DataFrame) -> DataFrame:
     return e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def _digest(e: DataFrame) -> tuple:
-    return tuple(e.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _round(e: DataFrame, rows: int | None = None) -> tuple[DataFrame, tuple]:
+    """The edges, written, and their number and digest, which are taken while they are written."""
+    seen = Observation()
+    out = cut(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest")), "cc", rows)
+    return out, (seen.get["n"], seen.get["digest"])
 
 
 def _large_star(e: DataFrame) -> DataFrame:
