@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrow_text import apart, beside, each, frugal
@@ -218,10 +218,11 @@ def compact(units: DataFrame) -> DataFrame:
             ahead = ahead.unionByName(part.withColumn("there", F.lit(True)))
         ahead = ahead.select(F.col("uid").alias("at"), F.col("before").alias("before2"), F.col("off").alias("off2"), "there")
         jumped = left.join(ahead, F.col("before") == F.col("at")).select("uid", F.col("before2").alias("before"), (F.col("off") + F.col("off2")).alias("off"), "there")
-        jumped = cut(jumped, "unit-jumps", n)
+        counted = Observation()
+        jumped = cut(jumped.observe(counted, F.count_if(~F.col("there")).alias("left")), "unit-jumps", n)
         arrived.append(jumped.where("there").drop("there"))
         left = jumped.where("not there").drop("there")
-        n, last = left.count(), n
+        n, last = counted.get["left"], n
     labels = arrived[0]
     for part in arrived[1:]:
         labels = labels.unionByName(part)
