@@ -43,14 +43,20 @@ def _round(e: DataFrame, rows: int | None = None) -> tuple[DataFrame, tuple]:
     return out, (seen.get["n"], seen.get["digest"])
 
 
+def _beside(e: DataFrame, least: DataFrame) -> DataFrame:
+    """``e`` with ``m`` of its ``u``. The sums are dealt anew under another name, so that both sides of the join are plain
+    exchanges and a hub's partition can be split."""
+    return e.join(least.select(F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("at"), "m"), F.col("u") == F.col("at"))
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     # Repeated edges are left to the small-star round, which makes its own distinct.
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _beside(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    hung = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hung = _beside(e, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
