@@ -31,6 +31,20 @@ def test_a_scope_frees_after_an_error(spark):
     assert len(scratch._made) == n
 
 
+def test_batches_are_small_only_while_a_table_is_written(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sizes = lambda df: df.mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    rows = spark.range(0, 5000, 1, 1)
+    assert max(r.n for r in scratch.cut(sizes(rows)).collect()) == scratch.BATCH_ROWS
+    assert max(r.n for r in sizes(rows).collect()) == 5000 and key not in dict(spark.conf.getAll)
+    spark.conf.set(key, "3000")
+    try:
+        scratch.cut(rows)
+        assert spark.conf.get(key) == "3000"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_no_local_folder_on_a_cluster():
     none = SimpleNamespace(isDefined=lambda: False)
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))

@@ -40,6 +40,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 #: Rows of a file, where the number of rows is known beforehand.
 FILE_ROWS = 500_000
+#: Rows of an Arrow batch while a table is written: Spark's own 10,000 rows of texts are tens of megabytes in each task, on both sides.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Holds Arrow batches to ``BATCH_ROWS`` rows inside the block; the session's own setting is there again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    found = spark.conf.getAll
+    own = (found() if callable(found) else found).get(key)
+    if 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, own)
 
 
 def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
@@ -53,7 +74,8 @@ def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
     path = scratch_path(spark, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    df.write.mode("error").option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.mode("error").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
