@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrow_text import apart, beside, each, frugal
-from threadloom.plans.scratch import cut, drop, settle
+from threadloom.plans.scratch import cut, drop, scope, settle
 
 WINDOW = 35
 #: Words of the anchors that deal edges into buckets.
@@ -361,7 +361,15 @@ def without_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDO
     longest). An empty table gives an empty result. Other columns of any name travel in ``row``. With
     ``as_is`` a text that loses nothing keeps its white space, and a null stays null.
     """
-    texts = _texts(docs, text_col)
+    with scope() as kept_frames:
+        out = _without_repeats(_texts(docs, text_col), window, as_is)
+        kept_frames.append(out)
+    settle(docs.sparkSession)
+    return out
+
+
+def _without_repeats(texts: DataFrame, window: int, as_is: bool) -> DataFrame:
+    """The result of ``without_repeats``, written, so that all that led to it can go."""
     blocks = repeated_blocks(texts, window).groupBy("r").agg(F.collect_list(F.struct("at", "first", "units", "words")).alias("blocks"))
     joined = texts.join(blocks, "r", "left").select("row", "z", "blocks")
 
@@ -384,4 +392,4 @@ def without_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDO
                 [b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept"]
             )
 
-    return joined.mapInArrow(frugal(run), beside(texts, "n_words long, n_removed long, kept string", "row"))
+    return cut(joined.mapInArrow(frugal(run), beside(texts, "n_words long, n_removed long, kept string", "row")), "unrepeated")
