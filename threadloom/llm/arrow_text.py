@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows of whole texts that a worker handles at once. Spark's own batches (10,000 rows or 64 MB, whichever comes first) suit
-#: numbers; they are cut up in the worker, so no setting of the session is touched.
+#: numbers; they are cut up in the worker, so results that the caller runs need no setting of the session.
 BATCH_ROWS = 500
 
 
