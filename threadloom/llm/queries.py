@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, chat, decontaminate, language, repeats, simhash, toxicity, urls, vectors, warc
+from threadloom.llm import bpe, chat, decontaminate, language, repeats, simhash, tokenfiles, toxicity, urls, vectors, warc
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +110,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", "role", "action", "new_role", "inserted", "cost", "last", F.sha2("piece", 256).alias("piece_sha256"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return tokenfiles.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op7_chat": op7_chat,
     "op4_vectors": op4_vectors,
@@ -122,6 +127,7 @@ QUERIES = {
     "op10_bpe": op10_bpe,
     "op6_repeats": op6_repeats,
     "op9_simhash": op9_simhash,
+    "op11_tokens": op11_tokens,
 }
 
 def _chat_oracle(costs: chat.Costs) -> str:
