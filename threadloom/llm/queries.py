@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, chat, decontaminate, language, repeats, simhash, tokenfiles, toxicity, urls, vectors, warc
+from threadloom.llm import bpe, chat, decontaminate, divergence, language, repeats, simhash, tokenfiles, toxicity, urls, vectors, warc
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +115,10 @@ def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES = {
     "op7_chat": op7_chat,
     "op4_vectors": op4_vectors,
@@ -128,6 +132,7 @@ QUERIES = {
     "op6_repeats": op6_repeats,
     "op9_simhash": op9_simhash,
     "op11_tokens": op11_tokens,
+    "op12_divergence": op12_divergence,
 }
 
 def _chat_oracle(costs: chat.Costs) -> str:
@@ -252,5 +257,37 @@ named AS (
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
     CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words w LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op12_divergence": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+u AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM u GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT g.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM groups) g LEFT JOIN kept k USING (lang) GROUP BY g.lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM u SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+dense AS (SELECT g.lang, g.source, k.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (
+    SELECT d.lang, d.source, d.term, d.n,
+        1 + (CAST(1000000000 AS HUGEINT) * (d.n + 5)) // (CAST(sum(d.n) OVER (PARTITION BY d.lang, d.source) AS HUGEINT) + 5 * v.v) AS p
+    FROM dense d JOIN v USING (lang)),
+q AS (
+    SELECT t.lang, t.term, 1 + (CAST(1000000000 AS HUGEINT) * (t.n + 5)) // (CAST(sum(t.n) OVER (PARTITION BY t.lang) AS HUGEINT) + 5 * v.v) AS q
+    FROM (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY lang, term) t JOIN v USING (lang)),
+apart AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN apart s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL
+    SELECT p.lang, p.source, 'term', p.term, CAST(p.p - q.q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 50
 """,
 }
