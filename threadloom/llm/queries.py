@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, chat, decontaminate, divergence, language, repeats, simhash, tokenfiles, toxicity, urls, vectors, warc
+from threadloom.llm import bpe, chat, decontaminate, divergence, language, repeats, simhash, tokenfiles, toxicity, trie, urls, vectors, warc
+from threadloom.plans.scratch import cut
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +120,13 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations begin with the first turns of the first one of their five, so that prefixes are shared."""
+    turns = cut(trie.ordered(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "turns")
+    rebuilt = trie.with_heads_of(turns, F.col("c") - F.col("c") % 5, F.crc32(F.col("c").cast("string")) % 9, 8)
+    return trie.prefix_trie(rebuilt, turns.select("c").distinct())
+
+
 QUERIES = {
     "op7_chat": op7_chat,
     "op4_vectors": op4_vectors,
@@ -133,6 +141,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op11_tokens": op11_tokens,
     "op12_divergence": op12_divergence,
+    "op13_trie": op13_trie,
 }
 
 def _chat_oracle(costs: chat.Costs) -> str:
