@@ -25,14 +25,14 @@ def few(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[p
             yield b.slice(i, rows)
 
 
-def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = BATCH_ROWS) -> Callable:
     """``run`` over small batches, after which a worker hands the memory that it freed back to the system: workers outlive
     their tasks and stand beside each other in an executor."""
 
     @wraps(run)
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(few(batches))
+            yield from run(few(batches, rows))
         finally:
             pa.default_memory_pool().release_unused()
             try:

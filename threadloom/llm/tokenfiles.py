@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -15,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 import zstandard
@@ -36,8 +36,11 @@ FILE_BYTES = 64 << 20
 LEVEL = 3
 #: Words of a generation that a worker remembers (it has two), and the longest worth it.
 CACHE_WORDS, CACHE_CHARS = 250_000, 48
-#: Bytes of texts, or of frames, in one pass.
-RUN_BYTES = 1 << 20
+#: Rows and bytes of texts, or bytes of frames, in one pass: a word is looked up once in each.
+RUN_ROWS, RUN_BYTES = 1000, 1 << 22
+#: Texts that are not words between single spaces: white space before a space, or at the beginning.
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+ODD = f"[{_WHITE}] |^[{_WHITE}]"
 
 
 def vocabulary(path: str | None = None) -> bytes:
@@ -68,36 +71,59 @@ class Encoder:
         split = spec.get("pre_tokenizer") or {}
         plain = not (spec.get("normalizer") or spec.get("truncation") or spec.get("padding") or split.get("add_prefix_space"))
         self.by_word = plain and split.get("type") == "ByteLevel" and split.get("use_regex", True) and spec["model"]["type"] == "BPE"
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
-        # Where white space follows something else: no match of the byte-level pattern goes across. ``odd`` finds texts in
-        # which a space may also follow white space.
-        self.gap, self.odd = regex.compile(r"(?<=\S)(?=\s)"), re.compile(r"\s[ ]|^\s")
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        # Where white space follows something else: no match of the byte-level pattern goes across.
+        self.gap = regex.compile(r"(?<=\S)(?=\s)")
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def _words(self, text: str) -> list[str]:
-        """Parts that are encoded on their own: no match of the pattern goes from one to the next."""
-        if self.odd.search(text):
-            return self.gap.split(text)
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned integers of ``width`` bytes."""
-        parts = [self._words(t) if self.by_word and not self.added.search(t) else None for t in texts]
-        new = set(chain.from_iterable(p for p in parts if p is not None)).difference(self.now)
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Finds the ids of all ``words`` that are not known."""
+        new = words.difference(self.now)
         again = new.intersection(self.before)
         self.now |= ((x, self.before[x]) for x in again)
-        words = list(new - again)
-        self.now |= zip(words, (self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)))
+        new = list(new - again)
+        self.now |= zip(new, self._whole(new))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (none null) as little-endian unsigned integers of ``width`` bytes."""
+        whole = pa.array(np.full(len(texts), not self.by_word))
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        odd = pc.match_substring_regex(texts, ODD)
+        kind = np.where(whole, 2, odd)  # 0: words between single spaces, 1: white space of other kinds, 2: not by words
+        out = np.empty(len(texts), object)
+        out[kind == 2] = self._whole(texts.filter(pa.array(kind == 2)).to_pylist())
+
+        parts = [self.gap.split(t) for t in texts.filter(pa.array(kind == 1)).to_pylist()]
+        lists = pc.split_pattern(texts.filter(pa.array(kind == 0)), " ")
+        ends, flat = lists.offsets.to_numpy(), lists.flatten()
+        first = ends[:-1]
+        coded = flat.dictionary_encode()
+        begins, words = flat.take(pa.array(first)).to_pylist(), list(map(" ".__add__, coded.dictionary.to_pylist()))
+        self._learn({*chain.from_iterable(parts), *begins, *words})
         known = self.now.__getitem__
-        out = [b"".join(map(known, p)) if p is not None else self.pack(self.tokenizer.encode(t, add_special_tokens=False).ids) for t, p in zip(texts, parts)]
+        out[kind == 1] = [b"".join(map(known, p)) for p in parts]
+
+        # The first word of a text has no space before it, so it is an entry of its own.
+        entries = [*map(known, words), *map(known, begins)]
+        at = coded.indices.to_numpy().copy()
+        at[first] = np.arange(len(words), len(entries))
+        size = np.fromiter(map(len, entries), np.int64, len(entries)) // self.width
+        ids, start, n = np.frombuffer(b"".join(entries), f"<u{self.width}"), np.cumsum(size) - size, size[at]
+        stop = np.cumsum(n)
+        ids = ids[np.repeat(start[at] - (stop - n), n) + np.arange(n.sum())].tobytes()
+        cut = np.concatenate(([0], stop))[ends] * self.width
+        out[kind == 0] = [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
         if len(self.now) > CACHE_WORDS:
             self.before, self.now = {k: v for k, v in self.now.items() if len(k) <= CACHE_CHARS}, {}
-        return out
+        return out.tolist()
 
 
 @lru_cache(maxsize=2)
@@ -132,11 +158,11 @@ def pack(docs: DataFrame, dictionary: bytes | None, id_col: str = "doc_id", text
         for b in batches:
             _, at = utf8(b.column(1))
             for i, j in runs(at, RUN_BYTES):
-                ids = [x + end for x in encoder.encode([t.decode() for t in each(b.column(1).slice(i, j - i))])]
+                ids = [x + end for x in encoder.encode(pc.fill_null(b.column(1).slice(i, j - i), ""))]
                 n = pa.array([len(x) // encoder.width for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), n, pa.array(map(press, ids), pa.binary())], ["doc_id", "n", "frame"])
 
-    return given.mapInArrow(frugal(run), "doc_id long, n long, frame binary")
+    return given.mapInArrow(frugal(run, RUN_ROWS), "doc_id long, n long, frame binary")
 
 
 def train_dictionary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: bytes | None = None, rows: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
