@@ -1,4 +1,6 @@
+import glob
 import os
+import threading
 from types import SimpleNamespace
 
 import pytest
@@ -45,6 +47,68 @@ def test_batches_are_small_only_while_a_table_is_written(spark):
         spark.conf.unset(key)
 
 
+def test_a_scope_leaves_alone_what_other_threads_write(spark):
+    """Another thread's tables, a stream's too, outlive a scope that is left meanwhile."""
+    inside, left, found = threading.Event(), threading.Event(), {}
+
+    def other():
+        inside.wait()
+        with scratch.scope():
+            table = scratch.cut(spark.range(4), "other")
+            found["files"] = table.inputFiles()
+            left.set()
+            done.wait()
+            found["count"] = table.count()
+
+    done = threading.Event()
+    thread = threading.Thread(target=other)
+    thread.start()
+    with scratch.scope():
+        scratch.cut(spark.range(2))
+        inside.set()
+        left.wait()
+    done.set()
+    thread.join()
+    assert found["count"] == 4 and not any(os.path.exists(f.removeprefix("file://")) for f in found["files"])
+
+
+def test_what_an_inner_scope_keeps_an_outer_one_frees(spark):
+    with scratch.scope():
+        with scratch.scope() as kept:
+            table = scratch.cut(spark.range(3))
+            kept.append(table)
+        files = table.inputFiles()
+        assert table.count() == 3
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_the_last_of_several_writers_restores_the_session(spark):
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"}
+    both, threads = threading.Barrier(3), []
+
+    def write():
+        with scratch.writing(spark):
+            both.wait()
+
+    for _ in range(2):
+        threads.append(threading.Thread(target=write))
+        threads[-1].start()
+    with scratch.writing(spark):
+        assert keys <= set(dict(spark.conf.getAll)) and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(scratch.BATCH_ROWS)
+        both.wait()
+    for t in threads:
+        t.join()
+    assert not keys & set(dict(spark.conf.getAll)) and not scratch._writers
+
+
+def test_shuffles_of_a_written_table_are_removed(spark):
+    folder = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()[0]
+    files = lambda: set(glob.glob(f"{folder}/**/shuffle_*", recursive=True))
+    before = files()
+    table = scratch.cut(spark.range(1000).groupBy("id").count())
+    assert not files() - before and len(table.collect()) == 1000
+
+
 def test_no_local_folder_on_a_cluster():
     none = SimpleNamespace(isDefined=lambda: False)
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+#: Scratch paths that are there, by path, and those made inside the innermost ``scope`` of the thread or task that runs.
+_made: dict[str, SparkSession] = {}
+_inside: ContextVar[list[str] | None] = ContextVar("threadloom_scope", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,9 +35,9 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is removed when the driver ends or by ``release``."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(release)
-    _made.append((spark, path))
+    _made[path] = spark
+    if (inside := _inside.get()) is not None:
+        inside.append(path)
     return path
 
 
@@ -44,23 +47,40 @@ FILE_ROWS = 500_000
 BATCH_ROWS = 1000
 
 
+#: Settings of a session while ``cut`` writes: small Arrow batches, and shuffle files removed when their query ends rather than when the
+#: driver happens to collect garbage. (A table that is written reads no shuffle twice.)
+_BATCHES, _SHUFFLES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writers: dict[str, tuple[int, dict[str, str | None]]] = {}
+
+
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Holds Arrow batches to ``BATCH_ROWS`` rows inside the block; the session's own setting is there again afterwards."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    found = spark.conf.getAll
-    own = (found() if callable(found) else found).get(key)
-    if 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        yield
-        return
-    spark.conf.set(key, str(BATCH_ROWS))
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Holds the session's Arrow batches to ``BATCH_ROWS`` rows and has shuffle files removed with their query, inside the block.
+
+    Any number of threads may be inside: the first sets, the last restores what the session had before the first.
+    """
+    session = spark._jsparkSession.sessionUUID()
+    with _lock:
+        n, own = _writers.get(session, (0, {}))
+        if n == 0:
+            found = spark.conf.getAll
+            given = found() if callable(found) else found
+            own = {key: given.get(key) for key in (_BATCHES, _SHUFFLES)}
+            if not 0 < int(spark.conf.get(_BATCHES)) <= BATCH_ROWS:
+                spark.conf.set(_BATCHES, str(BATCH_ROWS))
+            spark.conf.set(_SHUFFLES, "true")
+        _writers[session] = n + 1, own
     try:
         yield
     finally:
-        if own is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, own)
+        with _lock:
+            n, own = _writers.pop(session)
+            if n > 1:
+                _writers[session] = n - 1, own
+            else:
+                for key, value in own.items():
+                    spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
@@ -74,44 +94,50 @@ def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
     path = scratch_path(spark, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
-    with small_batches(spark):
+    with writing(spark):
         df.write.mode("error").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settle(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now: it does so when the driver collects garbage, which one with a
-    large heap may not do for half an hour. For operators whose steps are written by ``cut`` and read no shuffle twice."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def _plain(path: str) -> str:
+    return path.split(":", 1)[-1].lstrip("/")
 
 
 @contextmanager
 def scope(*kept: DataFrame) -> Iterator[list[DataFrame]]:
     """Frees what ``cut`` wrote inside, once the block is left; for sessions of many queries.
 
-    The list that the block gets names the frames to keep: results of ``cut`` that are still read afterwards. Frames that
-    were not written are lazy and may read what is freed, so they have to be used up inside.
+    The list that the block gets names the frames to keep: results of ``cut`` that are still read afterwards; a scope around this
+    one frees them. Frames that were not written are lazy and may read what is freed, so they have to be used up inside. Only what
+    the block itself wrote is freed: other threads (a stream's micro-batches too) have scopes of their own.
     """
-    before = len(_made)
-    keep = list(kept)
+    keep, mine = list(kept), []
+    outer = _inside.get()
+    token = _inside.set(mine)
     try:
         yield keep
     finally:
-        paths = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for f in df.inputFiles()}
-        for made in _made[before:]:
-            if made[1].split(":", 1)[-1].lstrip("/") not in paths:
-                _delete(*made)
-                _made.remove(made)
+        _inside.reset(token)
+        paths = {_plain(f.rsplit("/", 1)[0]) for df in keep for f in df.inputFiles()}
+        for path in mine:
+            if _plain(path) not in paths:
+                _free(path)
+            elif outer is not None:
+                outer.append(path)
 
 
 def drop(df: DataFrame) -> None:
     """Delete the files of a frame that ``cut`` returned, once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        mine = [m for m in _made if path.split(":", 1)[-1].lstrip("/") == m[1].split(":", 1)[-1].lstrip("/")]
-        for spark, at in mine:
-            _delete(spark, at)
-            _made.remove((spark, at))
+    paths = {_plain(f.rsplit("/", 1)[0]) for f in df.inputFiles()}
+    for path in [p for p in list(_made) if _plain(p) in paths]:
+        _free(path)
+
+
+def _free(path: str) -> None:
+    """Deletes a scratch path, unless that was done before."""
+    spark = _made.pop(path, None)
+    if spark is not None:
+        _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -120,10 +146,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@atexit.register
 def release() -> None:
     """Remove every scratch path that is left, as far as the session still runs."""
     while _made:
-        spark, path = _made.pop()
+        path, spark = _made.popitem()
         try:
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)
