@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrow_text import apart, beside, each, frugal
-from threadloom.plans.scratch import cut, drop, scope, settle
+from threadloom.plans.scratch import cut, drop, scope
 
 WINDOW = 35
 #: Words of the anchors that deal edges into buckets.
@@ -265,12 +265,9 @@ def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     contents = cut(contents, "contents", n)
     parting = cut(contents.where("n = 1").select("a").distinct(), "parting", n)
     edges = _edges(texts, contents.join(parting, "a", "left_semi"), window)
-    settle(spark)
     again = cut(edges.groupBy("a", "w").agg(F.count("*").alias("n")).where("n > 1").select("a", "w"), "again", n)
-    settle(spark)
     single = cut(edges.join(again, ["a", "w"]), "again-edges")
     drop(edges)
-    settle(spark)
     at = F.struct("r", F.shiftright("p", 1).alias("p"))
     of_edges = single.groupBy("a", "w").agg(F.max(F.col("p") % 2).alias("one"), F.min(at).alias("lo"), F.max(at).alias("hi"))
     of_edges = of_edges.where("one = 1").select(F.lit(0).alias("kind"), "a", "w", F.lit(1).cast("long").alias("n"), "lo", "hi")
@@ -280,14 +277,12 @@ def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     for done in (contents, parting, anchors, again):
         drop(done)
     nodes = _nodes(texts, units, window)
-    settle(spark)
     labels = compact(nodes)
     drop(nodes)
     on_path = units.join(labels, "uid", "left").select(
         "kind", "a", "w", "n", F.coalesce("unitig", "uid").alias("unitig"), F.coalesce("off", F.lit(0)).cast("long").alias("off"), "lo", "hi"
     )
     on_path = cut(on_path, "unit-places")
-    settle(spark)
     runs = met.select("a", F.col("c").alias("w"), "r", F.shiftright("pos", 6).alias("p")).join(on_path.where("kind = 1"), ["a", "w"])
     ones = single.where("p % 2 = 1").select("a", "w", "r", F.shiftright("p", 1).alias("p")).join(on_path.where("kind = 0"), ["a", "w"])
     first = (F.col("r") == F.col("lo.r")) & (F.col("p") == F.col("lo.p"))
@@ -303,7 +298,6 @@ def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     blocks = cut(blocks, "blocks")
     for done in (met, single, units, on_path, labels):
         drop(done)
-    settle(spark)
     asked = blocks.select("ref", "x", "y").distinct().groupBy(F.col("ref").alias("r"), F.floor(F.col("x") / 4096)).agg(F.collect_list(F.struct("x", "y")).alias("asked"))
 
     def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +311,6 @@ def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["ref", "x", "y", "words"])
 
     said = cut(texts.select("r", "z").join(asked, "r").select("r", "z", "asked").mapInArrow(frugal(say), "ref long, x long, y long, words binary"), "said")
-    settle(spark)
     return blocks.join(said, ["ref", "x", "y"]).select("r", "at", "first", "units", "words")
 
 
@@ -364,7 +357,6 @@ def without_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDO
     with scope() as kept_frames:
         out = _without_repeats(_texts(docs, text_col), window, as_is)
         kept_frames.append(out)
-    settle(docs.sparkSession)
     return out
 
 
