@@ -10,7 +10,6 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +35,8 @@ FILE_BYTES = 64 << 20
 LEVEL = 3
 #: Words of a generation that a worker remembers (it has two), and the longest worth it.
 CACHE_WORDS, CACHE_CHARS = 250_000, 48
-#: Rows and bytes of texts, or bytes of frames, in one pass: a word is looked up once in each.
-RUN_ROWS, RUN_BYTES = 1000, 1 << 22
+#: Rows of a batch, and bytes of texts, or of frames, in one pass: a word is looked up once in each.
+RUN_ROWS, RUN_BYTES = 1000, 1 << 23
 #: Texts that are not words between single spaces: white space before a space, or at the beginning.
 _WHITE = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 ODD = f"[{_WHITE}] |^[{_WHITE}]"
@@ -83,13 +82,21 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Finds the ids of all ``words`` that are not known."""
-        new = words.difference(self.now)
-        again = new.intersection(self.before)
-        self.now |= ((x, self.before[x]) for x in again)
-        new = list(new - again)
-        self.now |= zip(new, self._whole(new))
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of each of ``words``; only new ones are handed to the library."""
+        found = list(map(self.now.get, words))
+        new = dict.fromkeys(w for w, ids in zip(words, found) if ids is None)
+        if new:
+            before, unknown = self.before.get, []
+            for w in new:
+                if (ids := before(w)) is None:
+                    unknown.append(w)
+                else:
+                    new[w] = ids
+            new.update(zip(unknown, self._whole(unknown)))
+            self.now |= new
+            found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
+        return found
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text (none null) as little-endian unsigned integers of ``width`` bytes."""
@@ -107,12 +114,10 @@ class Encoder:
         first = ends[:-1]
         coded = flat.dictionary_encode()
         begins, words = flat.take(pa.array(first)).to_pylist(), list(map(" ".__add__, coded.dictionary.to_pylist()))
-        self._learn({*chain.from_iterable(parts), *begins, *words})
-        known = self.now.__getitem__
-        out[kind == 1] = [b"".join(map(known, p)) for p in parts]
+        out[kind == 1] = [b"".join(self._known(p)) for p in parts]
 
         # The first word of a text has no space before it, so it is an entry of its own.
-        entries = [*map(known, words), *map(known, begins)]
+        entries = self._known(words + begins)
         at = coded.indices.to_numpy().copy()
         at[first] = np.arange(len(words), len(entries))
         size = np.fromiter(map(len, entries), np.int64, len(entries)) // self.width
@@ -144,6 +149,23 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """Columns of rows of at most ``RUN_BYTES`` of text (or one longer text), put together from several batches."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    whole = lambda: [pa.concat_arrays([h.column(k) for h in held]) for k in range(2)]
+    for b in batches:
+        _, at = utf8(b.column(1))
+        for i, j in runs(at, RUN_BYTES):
+            if held and size + at[j] - at[i] > RUN_BYTES:
+                yield whole()
+                held, size = [], 0
+            held.append(b.slice(i, j - i))
+            size += at[j] - at[i]
+    if held:
+        yield whole()
+
+
 def pack(docs: DataFrame, dictionary: bytes | None, id_col: str = "doc_id", text_col: str = "text", vocab: bytes | None = None, end_id: int = 0) -> DataFrame:
     """``doc_id``, ``n`` and ``frame`` of every row: the ids of the whole text and ``end_id``, as one compressed frame; where
     ``dictionary`` is None as they are."""
@@ -155,12 +177,10 @@ def pack(docs: DataFrame, dictionary: bytes | None, id_col: str = "doc_id", text
         encoder = _encoder(raw)
         press = (lambda x: x) if dictionary is None else _compressor(dictionary).compress
         end = encoder.pack([end_id])
-        for b in batches:
-            _, at = utf8(b.column(1))
-            for i, j in runs(at, RUN_BYTES):
-                ids = [x + end for x in encoder.encode(pc.fill_null(b.column(1).slice(i, j - i), ""))]
-                n = pa.array([len(x) // encoder.width for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), n, pa.array(map(press, ids), pa.binary())], ["doc_id", "n", "frame"])
+        for doc, text in _together(batches):
+            ids = [x + end for x in encoder.encode(pc.fill_null(text, ""))]
+            n = pa.array([len(x) // encoder.width for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([doc, n, pa.array(map(press, ids), pa.binary())], ["doc_id", "n", "frame"])
 
     return given.mapInArrow(frugal(run, RUN_ROWS), "doc_id long, n long, frame binary")
 
