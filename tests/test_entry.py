@@ -5,7 +5,7 @@ import __spark_entry__
 from threadloom.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation pages"
+TABLES = "region nation pages lineitem"
 
 
 def test_entry_runs(spark):

@@ -1,10 +1,13 @@
+import random
+
 import pytest
 
 from threadloom.__main__ import main
 from threadloom.operators.join import edit_join_exact
 from threadloom.params import JoinParams
 from threadloom.sinks.files import Report, sorted_pairs, write_consensus, write_pairs
-from threadloom.sources.strings import from_table, is_fastq, read_lines, read_strings
+from threadloom.sources import records
+from threadloom.sources.strings import from_table, is_fastq, read_lines, read_records, read_strings
 from threadloom.streaming.join import match_stream
 
 
@@ -56,6 +59,9 @@ def test_table_source_and_sinks(spark, tmp_path):
     report = Report()
     with report.step("join", "verify"):
         pass
+    with pytest.raises(ValueError), report.step("join", "fails"):
+        raise ValueError
+    assert [r[1] for r in report.rows] == ["verify", "fails"]
     report.write(spark, str(tmp_path / "report"))
     text = "".join(p.read_text() for p in (tmp_path / "report").glob("part*"))
     assert text.startswith("MainStep,Step,SubStep,Time(sec),Device\njoin,verify,")
@@ -80,3 +86,65 @@ def test_stream_meets_table(spark, tmp_path):
     got = []
     match_stream(stream, static, p, lambda df, n: got.extend(map(tuple, df.collect())), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(got) == [(7, 0, 1), (9, 1, 0)]
+
+
+def fastq(n, seed=3, cut=""):
+    """Records whose qualities may begin with ``@`` or ``+`` and whose headers may look like anything else."""
+    rng = random.Random(seed)
+    out, seqs = [], []
+    for k in range(n):
+        s = "".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 40)))
+        seqs.append(s)
+        out.append(f"@{rng.choice(['r', '@', '+'])}{k}\n{s}\n+{rng.choice(['', 'x'])}\n{rng.choice(['@', '+', '!'])[: len(s)]}{'#' * max(0, len(s) - 1)}\n")
+    return "".join(out) + cut, seqs
+
+
+@pytest.mark.parametrize("size,end", [(2, "\n"), (37, ""), (200, "\n\n"), (1 << 20, "\n")])
+def test_records_of_any_splits(spark, tmp_path, size, end):
+    lines = [f"line {k} {'é' * (k % 7)}\r" if k % 5 else "" for k in range(min(300, 4 * size))]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + end, newline="")
+    want = ("\n".join(lines) + end).split("\n")
+    got = read_records(spark, str(tmp_path / "a.txt"), size)
+    assert rows(got) == list(enumerate(want[:-1] if want[-1] == "" else want))
+    text, seqs = fastq(min(90, 2 * size), cut="@last\nACGT\n+\n")
+    (tmp_path / "b.fq").write_text(text)
+    assert rows(read_records(spark, str(tmp_path / "b.fq"), size)) == list(enumerate(seqs))
+
+
+def test_lines_are_not_moved(spark, tmp_path):
+    """No plan has an exchange of lines: neither the source nor Spark's own reader with numbers."""
+    (tmp_path / "a.txt").write_text("\n".join(map(str, range(2000))))
+    plans = [f(spark, str(tmp_path / "a.txt"))._jdf.queryExecution().executedPlan().toString() for f in (read_records, read_lines)]
+    assert not any("Exchange hashpartitioning" in p or "SortMergeJoin" in p or "rangepartitioning" in p for p in plans)
+
+
+def test_a_folder_and_odd_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "CHUNK", 16)
+    (tmp_path / "in").mkdir()
+    for name, data in (("part-1", b"b\n\xff\xfe x\n" + b"long " * 60 + b"\nend"), ("part-0", b"a\n"), ("part-2", b""), ("_SUCCESS", b"no"), (".x", b"no")):
+        (tmp_path / "in" / name).write_bytes(data)
+    spark.dataSource.register(records.StringsSource)
+    got = spark.read.format("threadloom_strings").load(str(tmp_path / "in"))
+    assert rows(got) == [(0, "a"), (1, "b"), (2, "�� x"), (3, "long " * 60), (4, "end")] == rows(read_records(spark, str(tmp_path / "in"), 9))
+    with pytest.raises(Exception, match="none.txt"):
+        spark.read.format("threadloom_strings").load(str(tmp_path / "none.txt")).count()
+
+
+def test_stream_of_files(spark, tmp_path):
+    """Each file once, in any splits, also after a restart; a record belongs to the split that it begins in."""
+    spark.dataSource.register(records.StringsSource)
+    (tmp_path / "in").mkdir()
+    got = []
+
+    def run():
+        stream = spark.readStream.format("threadloom_strings").option("splitBytes", 61).load(str(tmp_path / "in"))
+        query = stream.writeStream.foreachBatch(lambda df, n: got.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "cp"))
+        query.trigger(availableNow=True).start().awaitTermination(120)
+
+    text, seqs = fastq(60, cut="@cut\nAC")
+    (tmp_path / "in" / "a.fq").write_text(text)
+    run()
+    assert [s for _, s in sorted(got)] == seqs and len({i for i, _ in got}) == len(seqs)
+    (tmp_path / "in" / "b.txt").write_text("one\n\ntwo")
+    run()
+    assert [s for _, s in sorted(got)] == seqs + ["one", "", "two"]

@@ -1,14 +1,16 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom.functions import lanes
 from threadloom.functions.embed import embed, embedded, embedded_column
 from threadloom.functions.strings import as_bytes, bit_distance, edit_distance, letter_codes
 from threadloom.operators.join import Side, edit_join_exact, edit_join_lsh, edit_join_tables, links_between
 from threadloom.params import UNREACHED, JoinParams
 from threadloom.plans.lsh import buckets, candidate_cardinality, candidate_pairs, collision_counts, collisions
-from threadloom.plans.segments import places, segment_candidates
+from threadloom.plans.segments import price, segment_candidates
 
 P = JoinParams(num_str=3, num_hash=4, num_bits=5, alphabet=4, k=3, shift=2, sampling_range=30)
 
@@ -134,12 +136,51 @@ def test_small_inputs(spark, texts):
 
 
 @pytest.mark.parametrize("k", [0, 1, 3, 9])
-@pytest.mark.parametrize("plan", ["by_length", "by_place"])
+@pytest.mark.parametrize("plan", ["by_length", "by_place", "by_count:2", "by_count:3", "by_tile"])
 def test_segments_miss_no_pair(spark, k, plan):
     texts = reads(60, 6)
     want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and lev(a, b) <= k}
     got = {tuple(r) for r in segment_candidates(frame(spark, texts), k, plan=plan).collect()}
     assert want <= got and all(i < j for i, j in got)
+    assert plan != "by_tile" or got == want
+
+
+@pytest.mark.parametrize("plan", ["by_length", "by_place", "by_count:2", "by_tile"])
+def test_plans_keep_groups_and_sides_apart(spark, plan):
+    texts = reads(50, 13)
+    rows = spark.createDataFrame([(i, s, i % 3, i % 2) for i, s in enumerate(texts)], "i long, s string, g int, side int")
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and i % 3 == j % 3 and i % 2 != j % 2 and lev(a, b) <= 3}
+    got = {tuple(r) for r in segment_candidates(rows, 3, plan=plan).collect()}
+    assert want <= got and all(i < j and i % 3 == j % 3 and i % 2 != j % 2 for i, j in got)
+
+
+@pytest.mark.parametrize("letters,k,plan,most", [("ACGT", 20, "by_tile", 0.05), ("ACGT", 9, "by_", 0.07), ("abcdefghijklmnopqrstuvwxyz", 20, "by_", 0.05)])
+def test_short_strings_with_many_edits(spark, letters, k, plan, most):
+    """Strings of 60 letters and thresholds up to a third of them: few pairs are candidates, none is missed."""
+    rng = random.Random(k)
+    texts = ["".join(rng.choice(letters) for _ in range(60)) for _ in range(120)]
+    for s in texts[:40]:
+        t = list(s)
+        for _ in range(rng.randrange(k + 4)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+        texts.append("".join(t)[:64])
+    rows = frame(spark, texts)
+    assert price(rows.selectExpr("i", "s"), k)[0].startswith(plan)
+    want = {(i, j): d for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and (d := bit_distance(a, b, k)) >= 0}
+    found = edit_join_exact(rows, k, "i", "s")
+    assert {(r.id1, r.id2): r.dist for r in found.pairs().collect()} == want and len(want) > 20
+    assert found.candidates.count() < most * len(texts) * (len(texts) - 1) / 2
+
+
+def test_blocks_of_one_length_are_split(spark, monkeypatch):
+    from threadloom.plans import segments
+
+    monkeypatch.setattr(segments, "TILE", 7)
+    texts = ["".join(random.Random(i // 2).choice("AC") for _ in range(9)) for i in range(60)]
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and lev(a, b) <= 2}
+    got = [tuple(r) for r in segment_candidates(frame(spark, texts), 2, plan="by_tile").collect()]
+    assert set(got) == want and len(got) == len(want)
 
 
 def long_reads(n, size, most, seed):
@@ -157,7 +198,7 @@ def long_reads(n, size, most, seed):
 
 def test_default_threshold_on_long_strings(spark):
     texts = long_reads(30, 1200, 150, 3)
-    assert places(frame(spark, texts), 150)[0] == "by_place"
+    assert price(frame(spark, texts), 150)[0] == "by_place"
     want = {(i, j): d for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and (d := bit_distance(a, b, 150)) >= 0}
     assert len(want) > 10
     assert {(r.id1, r.id2): r.dist for r in edit_join_exact(frame(spark, texts), 150, "i", "s").pairs().collect()} == want
@@ -176,6 +217,32 @@ def test_bit_distance_is_the_distance():
             assert bit_distance(a, b, k) == (lev(a, b) if lev(a, b) <= k else -1)
 
 
+@pytest.mark.parametrize("letters", ["ACGT", "ab", "aéü漢🙂\ud800"])
+def test_lanes_are_the_distance(monkeypatch, letters):
+    monkeypatch.setattr(lanes, "CELLS", 3000)
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    xs = [some(60) for _ in range(300)] + ["", "", "a"]
+    ys = [x[: rng.randrange(60)] + some(6) + x[rng.randrange(60) :] if rng.random() < 0.7 else some(70) for x in xs[:300]] + ["", "abc", ""]
+    for k in (0, 1, 4, 17):
+        assert lanes.diagonal_distances(xs, ys, k).tolist() == [bit_distance(a, b, k) for a, b in zip(xs, ys)]
+    short = [x[:64] for x in xs[:40]] + ["", (letters * 64)[:64]]
+    got = lanes.word_distances(short, ys[:50] + ["", "ACGT" * 40])
+    assert [[int(d) for d in row] for row in got] == [[bit_distance(a, b, 999) for b in ys[:50] + ["", "ACGT" * 40]] for a in short]
+    assert lanes.diagonal_distances([], [], 5).tolist() == [] and lanes.word_distances([], ["a"]).shape == (0, 1)
+
+
+def test_lanes_take_k_squared_steps():
+    """Strings of 5,000 letters at a threshold of 150, against the distance found a letter at a time."""
+    near = long_reads(12, 5000, 150, 5)
+    xs, ys = near[:-1], near[1:]
+    start = time.perf_counter()
+    got = lanes.diagonal_distances(xs, ys, 150).tolist()
+    middle = time.perf_counter()
+    assert got == [bit_distance(a, b, 150) for a, b in zip(xs, ys)]
+    assert middle - start < time.perf_counter() - middle
+
+
 @pytest.mark.parametrize("params", [None, P])
 def test_two_tables(spark, params):
     one, two = reads(40, 9), reads(40, 9)[10:] + reads(15, 10)

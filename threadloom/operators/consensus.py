@@ -38,3 +38,9 @@ def consensus(labelled: DataFrame, length: int | None = None, letters: str | Non
     text = best.groupBy(*keys, "label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x.ch").alias("ch")))), lambda p: p["ch"]), "").alias("consensus"))
     points = points_per_cluster(labelled, *keys)
     return points.join(text, [*keys, "label"], "left").select(*keys, "label", F.coalesce("consensus", F.lit("")).alias("consensus"), "points")
+
+
+def letters_outside(labelled: DataFrame, letters: str, *keys: str, text_col: str = "s") -> DataFrame:
+    """``label``, ``ch``, ``n``: the letters of each cluster's strings that are none of ``letters``; what ``consensus`` would fail on."""
+    found = letter_counts(labelled, None, *keys, text_col=text_col).where(F.instr(F.lit(letters), F.col("ch")) == 0)
+    return found.groupBy(*keys, "label", "ch").agg(F.sum("n").alias("n"))

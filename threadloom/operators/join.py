@@ -7,14 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.strings import as_bytes, bit_distance, edit_distance, once
+from threadloom.functions.lanes import CELLS, diagonal_distances
+from threadloom.functions.strings import as_bytes, edit_distance, once
 from threadloom.params import JoinParams
 from threadloom.plans.lsh import bucket_sizes, buckets, candidate_pairs, collision_counts, collisions, collisions_of
 from threadloom.plans.scratch import cut
-from threadloom.plans.segments import places, segment_candidates
+from threadloom.plans.segments import price, segment_candidates
 
 
 @dataclass
@@ -63,8 +65,8 @@ def _classes(strings: DataFrame, id_col: str, text_col: str, byte_mode: bool, gr
     return distinct, rows.join(distinct, keys).select("id", "i")
 
 
-#: Threshold from which pairs are verified by ``bit_distance``, and letters that a task of it reads.
-LONG_K, TASK_LETTERS = 16, 1 << 18
+#: Threshold from which pairs are verified by ``diagonal_distances``, and letters that a task of it reads.
+LONG_K, TASK_LETTERS = 16, 1 << 20
 
 
 def verify(candidates: DataFrame, strings: DataFrame, k: int, others: DataFrame | None = None) -> DataFrame:
@@ -80,13 +82,19 @@ def verify(candidates: DataFrame, strings: DataFrame, k: int, others: DataFrame
 
 
 def long_distances(met: DataFrame, k: int) -> DataFrame:
-    """``i1``, ``i2``, ``dist`` of the rows whose ``s1`` and ``s2`` are within ``k`` edits, by ``bit_distance``."""
+    """``i1``, ``i2``, ``dist`` of the rows whose ``s1`` and ``s2`` are within ``k`` edits, by ``diagonal_distances``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dist = np.array([bit_distance(x.as_py(), y.as_py(), k) for x, y in zip(b.column(2), b.column(3))], np.int32)
-            near = pa.array(np.flatnonzero(dist >= 0))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(near), b.column(1).take(near), pa.array(dist).take(near)], ["i1", "i2", "dist"])
+            letters = np.concatenate([[0], np.cumsum(pc.utf8_length(b.column(2)).to_numpy())])
+            lo = 0
+            while lo < b.num_rows:  # the strings of some pairs only are Python's at once
+                hi = max(lo + 1, int(np.searchsorted(letters, letters[lo] + 4 * CELLS, "right")) - 1)
+                part = b.slice(lo, hi - lo)
+                dist = diagonal_distances(part.column(2).to_pylist(), part.column(3).to_pylist(), k)
+                near = pa.array(np.flatnonzero(dist >= 0))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(near), part.column(1).take(near), pa.array(dist).take(near)], ["i1", "i2", "dist"])
+                lo = hi
 
     return met.select("i1", "i2", "s1", "s2").mapInArrow(run, "i1 long, i2 long, dist int")
 
@@ -96,11 +104,11 @@ MOST_FAN = 50
 
 
 def _plan(sizes: DataFrame, distinct: DataFrame, k: int) -> str:
-    """``segments`` where the buckets' pairs are more than ``MOST_FAN`` a row and more than the places that segments look at."""
+    """``segments`` where the buckets' pairs are more than ``MOST_FAN`` a row and more than the rows that the cheapest exact plan makes."""
     sums = sizes.agg(F.sum("size").alias("n"), F.sum("pairs").alias("pairs")).first()
     if (sums.pairs or 0) <= MOST_FAN * (sums.n or 0):
         return "buckets"
-    return "segments" if sums.pairs > distinct.count() * places(distinct, k)[1] else "buckets"
+    return "segments" if sums.pairs > distinct.count() * price(distinct, k)[1] else "buckets"
 
 
 def edit_join_lsh(

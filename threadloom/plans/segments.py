@@ -1,4 +1,4 @@
-"""Exact candidates for an edit threshold by equal segments, without comparing all pairs."""
+"""Exact candidates for an edit threshold: by equal segments, by counts of common grams, or by tiles of short strings."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.lanes import WORD, word_distances
+
 _Q = 0x9E3779B97F4A7C15 | 1
 _QINV = pow(_Q, -1, 1 << 64)
 #: Characters that one numpy pass hashes.
@@ -25,11 +27,86 @@ def probes_by_length(k: int) -> int:
     return total
 
 
-def places(rows: DataFrame, k: int) -> tuple[str, float]:
-    """The plan that looks at fewer places of a string ``s`` on average, and how many those are."""
-    cost = probes_by_length(k)
-    n = 2 * (rows.agg(F.avg(F.length("s"))).first()[0] or 0)
-    return ("by_place", n) if cost > 64 and n < cost else ("by_length", min(cost, n * (k + 1)))
+#: Strings that a price is found from, and what comparing a candidate and a pair of a tile costs, in rows of a join.
+SAMPLE, VERIFY, IN_TILE = 96, 4.0, 0.25
+#: Common grams that a pair needs among its rarest, and lengths of grams that are tried.
+COMMON, GRAMS = 3, range(2, 9)
+#: Strings on either side of a tile, and of the part of it that is compared at once.
+TILE, PART = 512, 128
+
+
+def _segment_matches(strings: list[str], k: int) -> tuple[float, float]:
+    """Equal segments nearby that a pair has on average, and the share of pairs that has one."""
+    met = pairs = found = 0
+    at: dict[tuple[int, int], dict[str, list[int]]] = {}
+    for j, y in enumerate(strings):
+        q = len(y) // (k + 1)
+        for i, x in enumerate(strings):
+            if i == j:
+                continue
+            pairs += 1
+            if not 0 <= len(x) - len(y) <= k:
+                continue
+            if q == 0:
+                met, found = met + 1, found + 1
+                continue
+            if (i, q) not in at:
+                places = at[i, q] = {}
+                for p in range(len(x) - q + 1):
+                    places.setdefault(x[p : p + q], []).append(p)
+            n = sum(abs(p - g * q) <= k for g in range(k + 1) for p in at[i, q].get(y[g * q : g * q + q], ()))
+            met, found = met + n, found + (n > 0)
+    return met / max(1, pairs), found / max(1, pairs)
+
+
+def _count_matches(strings: list[str], k: int, q: int) -> tuple[float, float]:
+    """The same of rare common grams of ``q`` characters, and the share of pairs that has enough of them."""
+    grams = [[s[p : p + q] for p in range(len(s) - q + 1)] for s in strings]
+    often: dict[str, int] = {}
+    for g in (g for row in grams for g in row):
+        often[g] = often.get(g, 0) + 1
+    rare: list[dict[str, list[int]]] = []
+    for row in grams:
+        order = sorted(range(len(row)), key=lambda p: (often[row[p]], row[p]))
+        last = order[min(len(order), k * q + COMMON) - 1] if order else None
+        rare.append({})
+        for p in order:
+            if (often[row[p]], row[p]) <= (often[row[last]], row[last]):
+                rare[-1].setdefault(row[p], []).append(p)
+    met = pairs = found = 0
+    for j, y in enumerate(rare):
+        for i in range(j):
+            pairs += 1
+            need = min(COMMON, max(len(strings[i]), len(strings[j])) - q + 1 - k * q)
+            if abs(len(strings[i]) - len(strings[j])) > k:
+                continue
+            hits = [(g, p, o) for g in y.keys() & rare[i].keys() for p in y[g] for o in rare[i][g] if abs(p - o) <= k]
+            met += len(hits)
+            found += need <= 0 or len({(g, p) for g, p, _ in hits}) >= need
+    return met / max(1, pairs), found / max(1, pairs)
+
+
+def price(rows: DataFrame, k: int) -> tuple[str, float]:
+    """The cheapest plan for a table with a string ``s`` and an id ``i``, and the rows that it makes for each string.
+
+    Segments look at a number of places; beyond that, every plan's cost is the matches that its join gives and the candidates that it
+    leaves. Both are counted among all pairs of ``SAMPLE`` strings, picked by hash.
+    """
+    size = rows.agg(F.count("*").alias("n"), F.avg(F.length("s")).alias("mean"), F.max(F.length("s")).alias("most")).first()
+    sample = [r.s for r in rows.select("s", F.xxhash64("s", "i").alias("h")).orderBy("h").limit(SAMPLE).collect()]
+    mean, others = size.mean or 0, (size.n or 0) / 2
+    by_segment = sum(w * x for w, x in zip((1, VERIFY), _segment_matches(sample, k))) * others
+    at_length, at_place = min(probes_by_length(k), mean * (k + 1)), 2 * mean
+    plans = {"by_length": at_length + by_segment}
+    if probes_by_length(k) > 64:
+        plans["by_place"] = at_place + by_segment
+    if by_segment > mean:
+        for q in GRAMS:
+            if mean - q + 1 - k * q > 0:
+                plans[f"by_count:{q}"] = mean + sum(w * x for w, x in zip((1, VERIFY), _count_matches(sample, k, q))) * others
+        if size.most <= WORD:
+            plans["by_tile"] = 2 * others * IN_TILE / 2 + 2 * others / TILE
+    return min(plans.items(), key=lambda x: x[1])
 
 
 def segment_candidates(strings: DataFrame, k: int, id_col: str = "i", text_col: str = "s", plan: str = "auto") -> DataFrame:
@@ -39,7 +116,9 @@ def segment_candidates(strings: DataFrame, k: int, id_col: str = "i", text_col:
     ``side`` (0 or 1).
 
     ``by_length`` looks at a number of places that grows with the cube of ``k`` but not with the strings, ``by_place`` at each
-    place of a string at most twice, whatever ``k``. ``auto`` takes the one that looks at fewer places of these strings.
+    place of a string at most twice, whatever ``k``. Where strings are short for ``k`` their segments say little: ``by_count:q`` asks for
+    several common grams of ``q`` characters, ``by_tile`` compares blocks of strings (64 characters at most). ``auto`` takes the one that is
+    cheapest for a sample of these strings (``price``).
     """
     # ``x`` is the key of a string that is looked for and ``y`` that of one that looks.
     group = F.col("g").cast("long") if "g" in strings.columns else F.lit(0).cast("long")
@@ -47,8 +126,11 @@ def segment_candidates(strings: DataFrame, k: int, id_col: str = "i", text_col:
     other = 1 - F.col("side").cast("int") if "side" in strings.columns else F.lit(0)
     rows = strings.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("s"), group.alias("g"), side.alias("x"), other.alias("y")).where("s is not null")
     if plan == "auto":
-        plan = places(rows, k)[0]
-    return by_place(rows, k) if plan == "by_place" else by_length(rows, k)
+        plan = price(rows, k)[0]
+    name, _, q = plan.partition(":")
+    if name == "by_count":
+        return by_count(rows, k, int(q))
+    return {"by_length": by_length, "by_place": by_place, "by_tile": by_tile}[name](rows, k)
 
 
 def by_length(rows: DataFrame, k: int) -> DataFrame:
@@ -147,3 +229,86 @@ def by_place(rows: DataFrame, k: int) -> DataFrame:
     near = (F.abs(F.col("at") - F.col("at1")) <= k) & (F.col("n") - F.col("n1")).between(0, k) & ((F.col("n") > F.col("n1")) | (F.col("short") < F.col("long")))
     met = probe.join(index, ["q", "zone", "key", "g", "side"]).where(near & (F.col("long") != F.col("short")))
     return met.select(F.least("long", "short").alias("i1"), F.greatest("long", "short").alias("i2")).distinct()
+
+
+def by_count(rows: DataFrame, k: int, q: int) -> DataFrame:
+    """Pairs by common grams of ``q`` characters, whatever ``k``; rare grams first.
+
+    An edit changes ``q`` grams at most, so two strings within ``k`` edits have, of the longer one's grams, all but ``k`` * ``q`` in common, no
+    further than ``k`` places apart. With grams in order of how often the table has them, ``COMMON`` of those are among the ``k`` * ``q`` + ``COMMON`` rarest of either
+    string (all as frequent as the last of them included): only these are joined, and a pair counts that has ``COMMON`` of them, or as many as
+    it must have. Pairs of strings that are both too short to need any go by ``by_length``.
+    """
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, at, key = [], [], []
+            for x, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = len(s)
+                code = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+                up, down = _powers(n + 1)
+                total = np.zeros(n + 1, np.uint64)
+                np.cumsum((code + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * up[:n], out=total[1:])
+                place = np.arange(max(0, n - q + 1))
+                i.append(np.full(len(place), x, np.int64))
+                at.append(place.astype(np.int32))
+                key.append(gram_hashes(total, down, place, q))
+            if i:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (i, at, key)], ["i", "at", "key"])
+
+    grams = rows.select("i", "s").mapInArrow(cut_up, "i long, at int, key long")
+    often = grams.groupBy("key").agg(F.count("*").alias("often"))
+    rank = F.rank().over(Window.partitionBy("i").orderBy("often", "key"))
+    rare = grams.join(often, "key").withColumn("rank", rank).where(F.col("rank") <= k * q + COMMON)
+    rare = rare.join(rows.select("i", "g", "x", "y", F.length("s").alias("n")), "i")
+    one = rare.select("key", "g", F.col("i").alias("long"), F.col("n").alias("n1"), F.col("at").alias("at1"), F.col("y").alias("side"))
+    two = rare.select("key", "g", F.col("i").alias("short"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("x").alias("side"))
+    # The longer string asks; of equally long ones that with the larger id.
+    first = ((F.col("n1") > F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("short") < F.col("long")))) & (F.col("n1") - F.col("n2") <= k)
+    met = one.join(two, ["key", "g", "side"]).where(first & (F.abs(F.col("at1") - F.col("at2")) <= k))
+    need = F.least(F.lit(COMMON), F.col("n1") - (q - 1 + k * q))
+    enough = met.groupBy("long", "short", "n1").agg(F.count_distinct("at1").alias("common")).where(F.col("common") >= need)
+    pairs = enough.select(F.least("long", "short").alias("i1"), F.greatest("long", "short").alias("i2"))
+    return pairs.unionByName(by_length(rows.where(F.length("s") < q + k * q), k)).distinct()
+
+
+def by_tile(rows: DataFrame, k: int) -> DataFrame:
+    """Pairs within ``k`` edits of strings of 64 characters at most, found by comparing blocks of them.
+
+    Strings of one length are dealt into blocks of about ``TILE``; two blocks whose lengths differ by ``k`` at most are a tile, in which the
+    distances of all pairs are found at once, a column of each table in one machine word (``word_distances``). So no pair is written that is
+    not within ``k``, and any number of tasks share the work; that is quadratic in the strings, if at a small cost a pair.
+    """
+    rows = rows.withColumn("n", F.length("s"))
+    sizes = rows.groupBy("g", "n").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    dealt = rows.join(sizes, ["g", "n"]).withColumn("p", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int"))
+    one, two = (sizes.select("g", F.col("n").alias(f"n{d}"), F.col("parts").alias(f"parts{d}")) for d in (1, 2))
+    tiles = one.join(two.withColumn("n1", F.explode(F.sequence(F.greatest(F.col("n2") - k, F.lit(0)), "n2"))), ["g", "n1"])
+    tiles = tiles.withColumn("p1", F.explode(F.sequence(F.lit(0), F.col("parts1") - 1)))
+    from_ = F.when(F.col("n1") == F.col("n2"), F.col("p1")).otherwise(0)
+    tiles = tiles.where((F.col("n1") < F.col("n2")) | (F.col("p1") < F.col("parts2"))).withColumn("p2", F.explode(F.sequence(from_, F.col("parts2") - 1)))
+    keys = ["g", "n1", "p1", "n2", "p2"]
+    sides = [tiles.select(keys).join(dealt.select("g", F.col("n").alias(f"n{d}"), F.col("p").alias(f"p{d}"), "i", "s", "x", F.lit(d).alias("d")), ["g", f"n{d}", f"p{d}"]) for d in (1, 2)]
+    both = sides[0].select(*keys, "i", "s", "x", "d").unionByName(sides[1].select(*keys, "i", "s", "x", "d"))
+    across = "side" in rows.columns or rows.where("x <> y").limit(1).count() > 0
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, n1, p1, n2, p2 = (x.as_py() for x in key)
+        d = table.column("d").to_numpy()
+        ids, side, strings = table.column("i").to_numpy(), table.column("x").to_numpy(), table.column("s").to_pylist()
+        a, b = np.flatnonzero(d == 1), np.flatnonzero(d == 2)
+        out = [np.empty((0, 2), np.int64)]
+        for i in range(0, len(a), PART):
+            for j in range(0, len(b), PART):
+                u, v = a[i : i + PART], b[j : j + PART]
+                near = word_distances([strings[x] for x in u], [strings[x] for x in v]) <= k
+                if across:
+                    near &= side[u][:, None] != side[v][None, :]
+                if (n1, p1) == (n2, p2):
+                    near &= ids[u][:, None] < ids[v][None, :]
+                x, y = np.nonzero(near)
+                out.append(np.stack([ids[u[x]], ids[v[y]]], 1))
+        pairs = np.sort(np.concatenate(out), axis=1)
+        return pa.table([pa.array(np.ascontiguousarray(pairs[:, c])) for c in range(2)], ["i1", "i2"])
+
+    return both.groupBy(keys).applyInArrow(compare, "i1 long, i2 long")

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from threadloom.functions.embed import embed, embedded_column
 from threadloom.functions.strings import edit_distance, letter_codes
 from threadloom.operators.cluster import cluster, labels_of
-from threadloom.operators.consensus import consensus, points_per_cluster
+from threadloom.operators.consensus import consensus, letters_outside, points_per_cluster
 from threadloom.operators.graph import core_points, degrees, neighbors
 from threadloom.operators.join import JoinResult, edit_join_exact, edit_join_lsh, edit_join_tables
 from threadloom.params import UNREACHED, JoinParams
 from threadloom.plans.lsh import bucket_sizes, buckets, candidate_cardinality, candidate_pairs, collision_counts, collisions
+from threadloom.plans.numbering import numbered
 from threadloom.plans.scratch import cut, scratch_path
-from threadloom.sinks.files import Report, sorted_pairs, write_consensus, write_pairs
+from threadloom.sinks.files import sorted_pairs, write_consensus, write_pairs
 from threadloom.sources.strings import from_table, is_fastq, read_lines, read_strings
 
 PARAMS = JoinParams(num_str=5, num_hash=7, num_bits=12, alphabet=37, k=4, shift=2, sampling_range=60, count_filter=1, min_pts=3)
@@ -154,18 +155,66 @@ def scan_fastq(spark, d):
 
 
 def detect_format(spark, d):
-    found = [("fastq", is_fastq(spark, _fastq(spark, d))), ("text", is_fastq(spark, _file(spark, d, "text", F.col("s"))))]
-    return spark.createDataFrame(found, "written string, fastq boolean")
+    """Four files, the first and third of them FASTQ: what each is taken for and the strings that it gives."""
+    out = None
+    for k in range(4):
+        record = F.concat(F.lit("@"), F.col("i").cast("string"), F.lit("\n"), F.col("s"), F.lit("\n+\n"), F.repeat(F.lit("!"), F.length("s")))
+        path = scratch_path(spark, "mixed")
+        strings(spark, d).where(F.col("i") % 4 == k).orderBy("i").select(F.col("s") if k % 2 else record).write.text(path)
+        fastq = is_fastq(spark, path)
+        found = read_strings(spark, path).agg(F.count("*").alias("n_strings"), F.coalesce(F.sum(F.length("s")), F.lit(0)).cast("long").alias("n_letters"))
+        found = found.select(F.lit(k).alias("file"), F.lit(fastq).alias("fastq"), "n_strings", "n_letters")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-def scan_missing(spark, d):
-    """What a path without a file gives: Spark's own error."""
-    try:
-        read_strings(spark, scratch_path(spark, "missing")).count()
-        found = "none"
-    except Exception as e:  # its class, as Spark names it
-        found = e.getCondition() if hasattr(e, "getCondition") else type(e).__name__
-    return spark.createDataFrame([(found,)], "error string")
+#: Threshold of the join of short strings: a third of their letters.
+SHORT_K = 20
+
+
+def short_strings(spark, d):
+    """Sixty letters of ACGT for each page: 30 from the digest of its host and 30 from that of its address, so pages of a host are near."""
+    host = F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1)
+    letters = [F.translate(F.substring(F.md5(F.encode(c, "UTF-8")), 1, 30), "0123456789abcdef", "ACGT" * 4) for c in (host, F.col("url"))]
+    pages = spark.read.parquet(f"{d}/pages.parquet").where("url is not null")
+    return from_table(pages.select("page_id", F.concat(*letters).alias("s")), "s", "page_id")
+
+
+def short_join(spark, d):
+    """How near the pages are to others, by strings that are short for the threshold."""
+    found = edit_join_exact(short_strings(spark, d), SHORT_K, "i", "s")
+    ends = found.links.select(F.explode(F.array("i1", "i2")).alias("i"), "dist")
+    near = ends.groupBy("i").agg(F.count("*").alias("n_others"), F.min("dist").alias("nearest"), F.sum("dist").cast("long").alias("sum_dist"))
+    return found.degrees().select("id", "i", "n_links").join(near, "i", "left").select("id", "n_links", F.coalesce("n_others", F.lit(0)).cast("long").alias("n_others"), "nearest", "sum_dist")
+
+
+#: Bits of each of the five columns to sort.
+SORT_BITS = 28
+
+
+def five_columns(rows, *keys):
+    """Five columns of 28 bits for each row, from the digests of its keys."""
+    text = F.concat_ws("-", *(F.col(k).cast("string") for k in keys))
+    digest = F.concat(*(F.md5(F.encode(F.concat(text, F.lit(x)), "UTF-8")) for x in "ab"))
+    return rows.select(*(F.conv(F.substring(digest, 1 + 7 * k, 7), 16, 10).cast("long").alias(c) for k, c in enumerate("abcde")))
+
+
+def packed(rows):
+    """The columns of a row in two numbers and a last one, whose order is that of the columns: a sort then compares few rows by more than one number."""
+    two = lambda x, y: F.shiftleft(F.col(x), SORT_BITS).bitwiseOR(F.col(y))
+    return rows.select(two("a", "b").alias("ab"), two("c", "d").alias("cd"), F.col("e").cast("int").alias("e"))
+
+
+def unpacked(rows, *more):
+    low = F.lit((1 << SORT_BITS) - 1)
+    columns = [x for c in ("ab", "cd") for x in (F.shiftright(c, SORT_BITS).alias(c[0]), F.col(c).bitwiseAND(low).alias(c[1]))]
+    return rows.select(*more, *columns, F.col("e").cast("long").alias("e"))
+
+
+def sorted_rows(spark, d):
+    """Every line item as five columns, with its place in the order of all of them."""
+    rows = five_columns(spark.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey", "l_linenumber", "l_partkey")
+    return unpacked(numbered(packed(rows), "ab", "cd", "e", name="place"), "place")
 
 
 def pair_sink(spark, d):
@@ -188,27 +237,10 @@ def consensus_sink(spark, d):
     return read_lines(spark, path).select(F.col("i").alias("line"), F.col("s").alias("value"))
 
 
-def timing_report(spark, d):
-    """Steps of a timed join and how many of them took time; the seconds differ from run to run."""
-    report = Report()
-    with report.step("join", "read"):
-        rows = cut(strings(spark, d), "rows")
-    with report.step("join", "verify"):
-        edit_join_exact(rows, PARAMS.k, "i", "s")
-    path = scratch_path(spark, "report")
-    report.write(spark, path)
-    back = spark.read.option("header", True).csv(path)
-    return back.select(F.col("MainStep").alias("main"), F.col("Step").alias("step"), (F.col("`Time(sec)`").cast("double") > 0).alias("timed"), F.col("Device").alias("device"))
-
-
 def alphabet_guard(spark, d):
-    """What a letter outside the alphabet does to a consensus of the addresses: the query fails."""
+    """Clusters of addresses, the letters in them that are not of the plain alphabet, and how often these stand there."""
     rows, labels = _labels(spark, d)
-    try:
-        found = str(consensus(rows.join(labels, "i"), None, "ACGT").agg(F.max("consensus")).first()[0])
-    except Exception as e:
-        found = "letter outside the alphabet" if "letter outside the alphabet" in str(e) else type(e).__name__
-    return spark.createDataFrame([(found,)], "outcome string")
+    return letters_outside(rows.join(labels, "i"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def graph_neighbors(spark, d):
@@ -270,11 +302,11 @@ QUERIES = {
     "scan_text": scan_text,
     "scan_fastq": scan_fastq,
     "detect_format": detect_format,
-    "scan_missing": scan_missing,
+    "edit_join_short": short_join,
+    "sorted_rows": sorted_rows,
     "pair_sink": pair_sink,
     "unique_pairs": unique_pairs,
     "consensus_sink": consensus_sink,
-    "timing_report": timing_report,
     "alphabet_guard": alphabet_guard,
 }
 
@@ -376,15 +408,31 @@ found AS (
 SELECT a.i AS id1, b.i AS id2, CAST(levenshtein(a.s, b.s) AS INTEGER) AS dist FROM rows a JOIN plain b ON abs(length(a.s) - length(b.s)) <= {p.k} WHERE levenshtein(a.s, b.s) <= {p.k}""",
         "scan_text": f"{a} SELECT i, s FROM rows",
         "scan_fastq": f"{a} SELECT i, s FROM rows",
-        "detect_format": "SELECT * FROM (VALUES ('fastq', true), ('text', false)) t(written, fastq)",
-        "scan_missing": "SELECT 'PATH_NOT_FOUND' AS error",
+        "detect_format": f"""{a}
+SELECT CAST(k AS INTEGER) AS file, k % 2 = 0 AS fastq, count(i) AS n_strings, CAST(coalesce(sum(length(s)), 0) AS BIGINT) AS n_letters
+FROM range(4) f(k) LEFT JOIN rows ON i % 4 = k GROUP BY k""",
+        "edit_join_short": f"""WITH strings AS (
+    SELECT CAST(row_number() OVER (ORDER BY page_id) - 1 AS BIGINT) AS i,
+        translate(substr(md5(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)), 1, 30) || substr(md5(url), 1, 30), '0123456789abcdef', 'ACGTACGTACGTACGT') AS s
+    FROM pages WHERE url IS NOT NULL),
+reps AS (SELECT s, min(i) AS i, count(*) AS n FROM strings GROUP BY s),
+near AS (
+    SELECT i, count(*) AS n_others, sum(n) AS m, min(dist) AS nearest, sum(dist) AS sum_dist
+    FROM (SELECT a.i, b.n, levenshtein(a.s, b.s) AS dist FROM reps a JOIN reps b ON a.i <> b.i) WHERE dist <= {SHORT_K} GROUP BY i)
+SELECT t.i AS id, CAST(r.n - 1 + coalesce(m, 0) AS BIGINT) AS n_links, coalesce(n_others, 0) AS n_others,
+    CAST(nearest AS INTEGER) AS nearest, CAST(sum_dist AS BIGINT) AS sum_dist
+FROM strings t JOIN reps r USING (s) LEFT JOIN near n ON n.i = r.i""",
+        "sorted_rows": """WITH digests AS (
+    SELECT md5(k || 'a') || md5(k || 'b') AS h FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem)),
+columns_ AS (SELECT """ + ", ".join(f"CAST('0x' || substr(h, {1 + 7 * k}, 7) AS BIGINT) AS {c}" for k, c in enumerate("abcde")) + """ FROM digests)
+SELECT CAST(row_number() OVER (ORDER BY a, b, c, d, e) - 1 AS BIGINT) AS place, a, b, c, d, e FROM columns_""",
         "pair_sink": f"""{d}, numbered AS (SELECT row_number() OVER (ORDER BY id1, id2) - 1 AS n, id1, id2 FROM pairs)
 SELECT CAST(3 * n + k AS BIGINT) AS line, CASE k WHEN 0 THEN id1 || ' ' || id2 WHEN 1 THEN x.s ELSE y.s END AS value
 FROM numbered JOIN rows x ON x.i = id1 JOIN rows y ON y.i = id2, range(3) r(k)""",
         "unique_pairs": f"{d} SELECT CAST(row_number() OVER (ORDER BY id1, id2) - 1 AS BIGINT) AS place, id1 || ' ' || id2 AS pair FROM pairs",
         "consensus_sink": f"{d}{consensus} SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS BIGINT) AS line, consensus || ' ' || points AS value FROM found",
-        "timing_report": "SELECT * FROM (VALUES ('join', 'read', true, 'spark'), ('join', 'verify', true, 'spark')) t(main, step, timed, device)",
-        "alphabet_guard": "SELECT 'letter outside the alphabet' AS outcome",
+        "alphabet_guard": f"""{d}, letters AS (SELECT label, unnest(string_split(s, '')) AS ch FROM labels JOIN rows USING (i) WHERE label <> -1)
+SELECT label, ch, count(*) AS n FROM letters WHERE NOT regexp_matches(ch, '^[A-Z]$') GROUP BY label, ch""",
         "two_level_cluster": _two_levels(base, CHUNKED),
         "scan_ids": f"{a} SELECT i, s FROM rows",
         "input_bytes": f"{a} SELECT count(*) AS n_strings, CAST(sum(octet_length(encode(s))) AS BIGINT) AS n_bytes FROM rows",

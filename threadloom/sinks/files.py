@@ -38,9 +38,11 @@ class Report:
     @contextmanager
     def step(self, main: str, step: str = "", sub: str = ""):
         start = time.perf_counter()
-        yield
-        self.rows.append((main, step, sub, time.perf_counter() - start, self.device))
-        log.info("%s %s %s: %.2f s", *self.rows[-1][:4])
+        try:
+            yield
+        finally:  # a step that fails took time too
+            self.rows.append((main, step, sub, time.perf_counter() - start, self.device))
+            log.info("%s %s %s: %.2f s", *self.rows[-1][:4])
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, "MainStep string, Step string, SubStep string, `Time(sec)` double, Device string")
