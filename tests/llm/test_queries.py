@@ -45,7 +45,7 @@ def rule_of(host, path):
 
 
 def test_op1(spark, tables):
-    model = urls.fit(spark.read.parquet(f"{SF}/pages.parquet"), html_col="html")
+    model = urls.fit(spark.read.parquet(f"{SF}/pages.parquet"), queries.URL_RULES, html_col="html")
     got = {r.page_id: r for r in run(spark, "op1_urls")}
     assert set(got) == {p for p, *_ in tables["pages"]}
     for page, url, _ in tables["pages"]:

@@ -87,7 +87,7 @@ URL_RULES = (
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return urls.judge(pages.select("page_id", "url"), urls.fit(pages, html_col="html"), URL_RULES).select("row.page_id", "host", "path", "rule", "verdict", "score")
+    return urls.judge(pages.select("page_id", "url"), urls.fit(pages, URL_RULES, html_col="html"), URL_RULES).select("row.page_id", "host", "path", "rule", "verdict", "score")
 
 
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

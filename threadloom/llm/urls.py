@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,52 +17,17 @@ from threadloom.llm.arrow_text import beside, few, quoted
 from threadloom.plans.scratch import cut, drop
 
 
-def _ring(words: str) -> str:
-    """Names of each two neighbours in a line of words, the last with the first: every word stands in two names."""
-    lines = [line.split() for line in words.strip().splitlines()]
-    return " ".join(f"{w}-{v}.com" for line in lines for w, v in zip(line, line[1:] + line[:1]))
-
-
-#: Names that the classifier learns from, as ``host/path``; both lists are parameters of ``fit``. They are made of general
-#: words by subject and hold no name of a given table.
-BLOCKED = _ring("""
-adult porn porno sex sexy nude nudes naked erotic erotica xxx milf hentai fetish webcams camgirls escort escorts sluts hookup hookups stripper strippers playboy
-casino casinos gambling gamble poker roulette blackjack baccarat slot slots jackpot jackpots bet bets betting bookmaker bookmakers bookie wager wagers lottery bingo sportsbook
-pills viagra cialis levitra pharma steroids xanax tramadol valium opioids potency enlargement slimming
-spam spammer spammers ads adserver adclick clicktracker clickbait popup popups popunder adware backlinks linkfarm doorway
-warez crack cracked cracks keygen keygens serials nulled torrent torrents pirated malware spyware trojan phishing ransomware botnet exploit
-payday loanshark moneymaker getrich ponzi scam scams fraud counterfeit replica replicas knockoff fake fakes
-""")
-ALLOWED = _ring("""
-library books book novels poetry reading literature author writers publishing magazine journal articles archive
-school university college courses lessons teacher students campus research science physics chemistry biology algebra geometry alphabet grammar
-weather climate forecast nature park garden flowers forest mountain river animals birds ocean
-travel hotel hotels tickets flights trains maps museum history heritage culture castle tourism island
-recipes kitchen bread coffee restaurant cooking wine fruit vegetables bakery harvest
-health hospital doctor doctors medicine nursing clinic dentist wellness fitness nutrition
-sports football tennis cycling running hockey athletics swimming results league club
-music film theatre concert orchestra gallery photography painting design architecture dance
-government council city housing police court parliament public services community charity church
-business market markets finance accounting insurance bank engineering industry factory tools electronics
-software programming code linux python database documentation wiki tutorial forum support help contact about download downloads upload uploads thread threads
-family children parents baby wedding pets dogs cats toys furniture fashion shoes clothing
-""")
-#: Frequent words that are no evidence but that names are made of.
-COMMON = """
-the and of to in for on with at by from my your our all new best top big one day time way web net site page home world life go get see
-show list info data news blog mail online shop store game games play video live free now today easy fast win winner cheap track buy hot club palace king queen royal star
-machine machines farm farmers lucky gold super mega hub tube zone land place point center house room street money cash deal deals bonus
-"""
 #: Log10 probability of an unknown word, and of each of its characters.
 UNKNOWN, PER_CHAR = -4.0, -1.3
-LONGEST = 24
 #: A word of the urls and pages is a unigram from this many counts on and from this share of all counts on, so there are at most
-#: as many as the share's inverse however many urls and pages there are.
+#: as many as the share's inverse however many urls and pages there are; the same share of all labelled words bounds the evidence.
 LEAST_COUNT, LEAST_SHARE = 5, 1 / 200_000
+#: Letters that each part of a chain of words has at least.
+CHAIN = 3
 #: Letters from which a known word counts beside an unknown rest; shorter ones stand in too many words (threads, Tibet).
 TELLING = 5
-#: Rules above which they are a table to join instead of a chain of conditions.
-CHAINED_RULES = 64
+#: Rules above which they are a table to join instead of a chain of conditions, and up to which that table is sent to every task.
+CHAINED_RULES, SENT_RULES = 64, 100_000
 
 _NAME = re.compile(r"[^\W\d_]+|[0-9]+")
 _EXTENSION = re.compile(r"\.(?:html?|xhtml|shtml|php[0-9]?|aspx?|jspx?|cgi|xml|json|txt|pdf|css|js|png|jpe?g|gif|svg)$", re.IGNORECASE)
@@ -106,19 +72,26 @@ def matched_by_join(given: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """``given`` with ``rule`` and ``_tl_action`` as ``matched`` finds them, for any number of rules.
 
     Each different (host, path) looks up its host's suffixes, and under each the beginnings of its path that are as long
-    as some rule's there: two equi-joins, then an aggregation that keeps the longest.
+    as some rule's there: two equi-joins, then an aggregation that keeps the longest. Up to ``SENT_RULES`` rules go to every task, so that
+    a suffix that most hosts share is no hot key. A null or malformed url (empty host) meets only rules without host, by conditions.
     """
     spark = given.sparkSession
     rows = [(r.host, r.path, len(r.path), len(r.text), r.text, k, r.action) for k, r in enumerate(rules)]
     table = spark.createDataFrame(rows, "suffix string, start string, size int, length int, text string, k int, action string")
+    sent = F.broadcast if len(rows) <= SENT_RULES else (lambda df: df)
     sizes = table.groupBy("suffix").agg(F.collect_set("size").alias("sizes"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    urls = given.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix"))
-    starts = urls.join(sizes, "suffix").select("host", "path", "suffix", F.explode("sizes").alias("size")).where(F.col("size") <= F.length("path"))
-    met = starts.select("host", "path", "suffix", F.expr("substring(path, 1, size)").alias("start")).join(table, ["suffix", "start"])
+    named = given.where("host <> ''")
+    urls = named.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix"))
+    starts = urls.join(sent(sizes), "suffix").select("host", "path", "suffix", F.explode("sizes").alias("size")).where(F.col("size") <= F.length("path"))
+    met = starts.select("host", "path", "suffix", F.expr("substring(path, 1, size)").alias("start")).join(sent(table), ["suffix", "start"])
     best = met.groupBy("host", "path").agg(F.max(F.struct("length", "text", "k", "action")).alias("best"))
-    return given.join(best, ["host", "path"], "left").select(*given.columns, F.col("best.text").alias("rule"), F.col("best.action").alias("_tl_action"))
+    found = named.join(best, ["host", "path"], "left").select(*given.columns, F.col("best.text").alias("rule"), F.col("best.action").alias("_tl_action"))
+    bare = [r for r in rules if not r.host]
+    value = lambda of: matched(bare, F.col("host"), F.col("path"), of)
+    rest = given.where("host = ''").select(*given.columns, value(lambda r: r.text).alias("rule"), value(lambda r: r.action).alias("_tl_action"))
+    return found.unionByName(rest)
 
 
 def _parts(name: str) -> list[str]:
@@ -134,6 +107,11 @@ class Model:
     prior: float
     _parts: dict[str, list[str]] = field(default_factory=dict, repr=False)
 
+    @cached_property
+    def longest(self) -> int:
+        """Letters of the longest unigram; a longer run is one unknown word only in parts."""
+        return max(map(len, self.words), default=1)
+
     def segment(self, part: str) -> list[str]:
         """Most likely split of a run of letters (Viterbi over unigrams)."""
         if part.isdigit():
@@ -144,7 +122,7 @@ class Model:
         best = [0.0] + [-math.inf] * len(part)
         back = [0] * (len(part) + 1)
         for end in range(1, len(part) + 1):
-            for start in range(max(0, end - LONGEST), end):
+            for start in range(max(0, end - self.longest), end):
                 s = self.words.get(part[start:end])
                 s = best[start] + (UNKNOWN + PER_CHAR * (end - start) if s is None else s)
                 if s > best[end]:
@@ -166,10 +144,8 @@ class Model:
         return found
 
     def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host without its last label (of the whole where there is one label), then of the path without a
-        file's extension."""
+        """Words of the host, its last label too, then of the path without a file's extension."""
         name = host.rsplit(":", 1)[0]
-        name = name.rpartition(".")[0] or name
         return [w for part in _parts(name) + _parts(_EXTENSION.sub("", path)) for w in self.split(part)]
 
     def score(self, tokens: list[str]) -> float:
@@ -178,21 +154,13 @@ class Model:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
-def lexicon(blocked: str = BLOCKED, allowed: str = ALLOWED, common: str = COMMON) -> Counter:
-    """Words of the training names and the frequent ones, with their counts; its size is fixed by its inputs."""
-    out = Counter(common.split())
-    for name in (blocked + allowed).split():
-        out.update(p for p in _parts(name) if not p.isdigit())
-    return out
-
-
 def word_counts(urls: DataFrame, url_col: str = "url", html_col: str | None = None) -> DataFrame:
     """``w`` and ``n`` of every word of all ``urls``: once for each different host that has it, so that a site's pages do not
     vote for its name, once for each time that it stands in a path, and where ``html_col`` is given once for each time that it
     stands in a page, outside its tags."""
     host, path = host_and_path(F.col(quoted(url_col)).cast("string"))
     given = urls.select(host.alias("host"), path.alias("path"))
-    name = F.when(F.instr("host", ".") > 0, F.regexp_extract("host", r"\A(.*)\.", 1)).otherwise(F.col("host"))
+    name = F.regexp_replace("host", ":[^:]*$", "")
     words = lambda c: F.explode(F.split(F.lower(c), r"[^\p{L}]+")).alias("w")
     hosts = given.select("host").distinct().select(words(name)).groupBy("w").agg(F.count("*").alias("n"))
     found = hosts.unionByName(given.select(words(F.col("path"))).groupBy("w").agg(F.count("*").alias("n")))
@@ -202,33 +170,69 @@ def word_counts(urls: DataFrame, url_col: str = "url", html_col: str | None = No
     return found.where("w <> ''").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def fit(urls: DataFrame, url_col: str = "url", html_col: str | None = None, blocked: str = BLOCKED, allowed: str = ALLOWED, common: str = COMMON, prior: float = 0.2, alpha: float = 0.5) -> Model:
-    """Unigrams from the lexicon and from the words of all ``urls`` (and of their pages); naive Bayes from the two lists of names.
+def unigrams(counts: dict[str, int]) -> dict[str, float]:
+    """Log10 probabilities of counted words. A word that is a chain of words, each of ``CHAIN`` letters at least and as frequent as itself, is none of
+    them: kept whole it would hide what it is made of."""
+    total = sum(counts.values())
+    words = {w: math.log10(n / total) for w, n in counts.items()}
+    model = Model(words, {}, 0.0)
+    chains = []
+    for w in sorted(words, key=len):
+        if len(w) >= 2 * CHAIN:
+            own = words.pop(w)
+            found = model.segment(w)
+            model._parts.clear()
+            words[w] = own
+            if all(len(x) >= CHAIN and counts.get(x, 0) >= counts[w] for x in found):
+                chains.append(w)
+    return {w: p for w, p in words.items() if w not in set(chains)}
+
+
+def labelled_counts(urls: DataFrame, rules: Sequence[Rule], model: Model, url_col: str = "url") -> DataFrame:
+    """``w``, ``action``, ``n``: words of the different urls that a rule decides, as the model segments them. Tasks add up before anything is shuffled."""
+    host, path = host_and_path(F.col(quoted(url_col)).cast("string"))
+    given = urls.select(host.alias("host"), path.alias("path"))
+    if len(rules) > CHAINED_RULES:
+        given = matched_by_join(given, rules)
+    else:
+        given = given.withColumn("_tl_action", matched(rules, F.col("host"), F.col("path"), lambda r: r.action))
+    decided = given.where("_tl_action is not null").select("host", "path", "_tl_action").distinct()
+    shared = urls.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            found: Counter = Counter()
+            for h, p, action in zip(*(b.column(k).to_pylist() for k in range(3))):
+                found.update((w, action) for w in m.tokens(h, p))
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())], ["w", "action", "n"])
+
+    return decided.mapInArrow(run, "w string, action string, n long").groupBy("w", "action").agg(F.sum("n").alias("n"))
+
+
+def fit(urls: DataFrame, rules: Sequence[Rule] = (), url_col: str = "url", html_col: str | None = None, prior: float = 0.2, alpha: float = 0.5) -> Model:
+    """Unigrams from the words of all ``urls`` (and of their pages); naive Bayes from the urls that ``rules`` decide.
 
-    All words are counted, and the counts written as a table. Words below ``LEAST_COUNT`` or ``LEAST_SHARE`` of all counts
-    are no unigrams, nor is a word that is a chain of lexicon words: kept whole it would hide what it is made of.
+    There is no list of words: what a rule blocks or allows is the label of its url, and a word is evidence by how often it stands in urls of
+    either label, so that hosts and paths like the blocked ones are judged like them where no rule says anything. Without labels of both kinds
+    there is no evidence, and ``prior`` is the score. All words and all labelled urls are counted; the counts are bounded by ``LEAST_SHARE``.
     """
-    words = lexicon(blocked, allowed, common)
     counted = cut(word_counts(urls, url_col, html_col), "url-words")
     every = counted.agg(F.sum("n")).first()[0] or 0
-    seen = counted.where((F.col("n") >= max(LEAST_COUNT, every * LEAST_SHARE)) | F.col("w").isin(list(words))).collect()
+    words = {r.w: r.n for r in counted.where(F.col("n") >= max(LEAST_COUNT, every * LEAST_SHARE)).collect()}
     drop(counted)
-    bare = Model(dict.fromkeys(words, -1.0), {}, 0.0)
-    seen = [r for r in seen if r.w in words or len(r.w) > LONGEST or any(w not in words for w in bare.segment(r.w))]
-    for r in seen:
-        words[r.w] += math.log2(1 + r.n)
-    total = sum(words.values())
-    model = Model({w: math.log10(n / total) for w, n in words.items()}, {}, math.log(prior / (1 - prior)))
-    counts = []
-    for names in (blocked, allowed):
-        c: Counter = Counter()
-        for name in names.split():
-            host, _, path = name.partition("/")
-            c.update(model.tokens(host, path))
-        counts.append(c)
-    vocabulary = set(counts[0]) | set(counts[1])
-    size = [sum(c.values()) + alpha * len(vocabulary) for c in counts]
-    model.evidence = {w: math.log((counts[0][w] + alpha) / size[0]) - math.log((counts[1][w] + alpha) / size[1]) for w in vocabulary}
+    model = Model(unigrams(words), {}, math.log(prior / (1 - prior)))
+    labels = cut(labelled_counts(urls, rules, model, url_col), "url-labels") if rules else None
+    if labels is None:
+        return model
+    size = {r.action: r.n for r in labels.groupBy("action").agg(F.sum("n").alias("n")).collect()}
+    if not (size.get("block") and size.get("allow")):
+        return model
+    found = labels.groupBy("w").pivot("action", ["block", "allow"]).agg(F.sum("n")).na.fill(0)
+    kept = found.where(F.col("block") + F.col("allow") >= max(1, sum(size.values()) * LEAST_SHARE)).collect()
+    whole = [size[a] + alpha * len(kept) for a in ("block", "allow")]
+    model.evidence = {r.w: math.log((r.block + alpha) / whole[0]) - math.log((r.allow + alpha) / whole[1]) for r in kept}
+    drop(labels)
     return model
 
 
