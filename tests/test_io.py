@@ -3,11 +3,12 @@ import random
 import pytest
 
 from threadloom.__main__ import main
-from threadloom.operators.join import edit_join_exact
+from threadloom.operators.join import edit_join_exact, edit_join_lsh
 from threadloom.params import JoinParams
 from threadloom.sinks.files import Report, sorted_pairs, write_consensus, write_pairs
 from threadloom.sources import records
 from threadloom.sources.strings import from_table, is_fastq, read_lines, read_records, read_strings
+from threadloom.streaming import selfjoin
 from threadloom.streaming.join import match_stream
 
 
@@ -148,3 +149,29 @@ def test_stream_of_files(spark, tmp_path):
     (tmp_path / "in" / "b.txt").write_text("one\n\ntwo")
     run()
     assert [s for _, s in sorted(got)] == seqs + ["one", "", "two"]
+
+
+def test_stream_meets_itself(spark, tmp_path):
+    """Pairs within a batch and across batches, also across a restart; each once, and those that a join of all strings finds."""
+    p = JoinParams(num_str=3, num_hash=4, num_bits=4, alphabet=4, k=2, shift=2, sampling_range=12)
+    rng = random.Random(2)
+    base = ["".join(rng.choice("ACGT") for _ in range(14)) for _ in range(5)]
+    texts = [s[: k % 14] + rng.choice("ACGT") + s[k % 14 + 1 :] for k, s in enumerate(base * 4)] + [base[0], None]
+    spark.conf.set(*selfjoin.STORE)
+    (tmp_path / "in").mkdir()
+    got = []
+
+    def run(part, rows):
+        spark.createDataFrame(rows, "id long, s string").coalesce(1).write.parquet(str(tmp_path / "in" / part))
+        stream = spark.readStream.schema("id long, s string").parquet(str(tmp_path / "in" / "*"))
+        selfjoin.match_within(stream, p, lambda df, n: got.extend(map(tuple, df.collect())), str(tmp_path / "cp")).awaitTermination(200)
+
+    rows = list(enumerate(texts))
+    try:
+        run("one", rows[:9])
+        first = len(got)
+        run("two", rows[9:])
+    finally:
+        spark.conf.unset(selfjoin.STORE[0])
+    whole = edit_join_lsh(spark.createDataFrame(rows, "i long, s string"), p, "i", "s", plan="buckets").pairs().collect()
+    assert sorted(got) == sorted(tuple(r) for r in whole) and 0 < first < len(got)

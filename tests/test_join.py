@@ -9,6 +9,7 @@ from threadloom.functions.embed import embed, embedded, embedded_column
 from threadloom.functions.strings import as_bytes, bit_distance, edit_distance, letter_codes
 from threadloom.operators.join import Side, edit_join_exact, edit_join_lsh, edit_join_tables, links_between
 from threadloom.params import UNREACHED, JoinParams
+from threadloom.plans import lsh
 from threadloom.plans.lsh import buckets, candidate_cardinality, candidate_pairs, collision_counts, collisions
 from threadloom.plans.segments import price, segment_candidates
 
@@ -243,6 +244,24 @@ def test_lanes_take_k_squared_steps():
     assert middle - start < time.perf_counter() - middle
 
 
+@pytest.mark.parametrize("other", [False, True])
+def test_blocks_of_a_hot_bucket(spark, monkeypatch, other):
+    """The same collisions whatever the blocks are, and those of one bucket spread over many keys."""
+    texts = reads(60, 21) + ["A" * (k % 9) for k in range(25)]
+    table = buckets(frame(spark, texts).distinct(), P)
+    two = buckets(frame(spark, texts[20:]).selectExpr("i + 1000 AS i", "s"), P) if other else None
+    want = sorted(tuple(r) for r in collisions(table, P, two).collect())
+    monkeypatch.setattr(lsh, "BLOCK", 4)
+    got = sorted(tuple(r) for r in collisions(table, P, two).collect())
+    assert got == want and len(want) > 100
+    rows = spark.range(900).selectExpr("0 AS t", "id AS i")
+    met = lsh.in_blocks(rows, None, ["t"], 100)
+    per_key = met.groupBy("x", "y").count().collect()
+    assert len(per_key) == 45 and max(r["count"] for r in per_key) < 4 * 100 * 100
+    pairs = met.where("(x < y AND i1 <> i2) OR i1 < i2").selectExpr("least(i1, i2) AS a", "greatest(i1, i2) AS b")
+    assert pairs.count() == pairs.distinct().count() == 900 * 899 // 2
+
+
 @pytest.mark.parametrize("params", [None, P])
 def test_two_tables(spark, params):
     one, two = reads(40, 9), reads(40, 9)[10:] + reads(15, 10)

@@ -6,7 +6,7 @@ A walk reads a suffix of the string letter by letter while its place in the embe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,15 +49,18 @@ def embedded(strings: list[str], params: JoinParams, t: int, q: int) -> np.ndarr
     return out
 
 
-def embed(strings: DataFrame, params: JoinParams, id_col: str = "i", text_col: str = "s") -> DataFrame:
+def embed(strings: DataFrame, params: JoinParams, id_col: str = "i", text_col: str = "s", keep: Sequence[str] = ()) -> DataFrame:
     """``i``, ``n``, ``t``, ``q``, ``sigs``, ``hashes``: for each string, random string and suffix the sampled characters
-    and the bucket number of every hash function. ``n`` is the length. Null strings are left out. A column ``g`` stays.
+    and the bucket number of every hash function. ``n`` is the length. Null strings are left out. A column ``g`` stays,
+    and so do those of ``keep``.
 
     One Arrow pass: numpy advances all strings of a batch together, and only the characters that the walk can reach are
     looked at.
     """
     group = ["g"] if "g" in strings.columns else []
-    given = strings.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("s"), *(F.col(c).cast("long") for c in group)).where("s is not null")
+    text = F.col(text_col).alias("_tl_s")
+    given = strings.select(F.col(id_col).cast("long").alias("i"), text, *(F.col(c).cast("long") for c in group), *keep).where("_tl_s is not null")
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in given.schema[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = np.array(params.positions)
@@ -79,10 +82,10 @@ def embed(strings: DataFrame, params: JoinParams, id_col: str = "i", text_col: s
                         same = [pa.array(np.full(len(texts), v), pa.int32()) for v in (t, q)]
                         yield pa.RecordBatch.from_arrays(
                             [part.column(0), n, *same, pa.ListArray.from_arrays(ends, sigs), pa.ListArray.from_arrays(ends, pa.array(ids)), *part.columns[2:]],
-                            ["i", "n", "t", "q", "sigs", "hashes", *group],
+                            ["i", "n", "t", "q", "sigs", "hashes", *group, *keep],
                         )
 
-    return given.mapInArrow(run, "i long, n int, t int, q int, sigs array<string>, hashes array<long>" + ", g long" * len(group))
+    return given.mapInArrow(run, "i long, n int, t int, q int, sigs array<string>, hashes array<long>" + more)
 
 
 def embedded_column(s: Column, params: JoinParams, t: int, q: int) -> Column:

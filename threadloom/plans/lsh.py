@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.embed import embed
 from threadloom.params import UNREACHED, JoinParams
+from threadloom.plans.scratch import cut
 
 
-def buckets(strings: DataFrame, params: JoinParams) -> DataFrame:
+def buckets(strings: DataFrame, params: JoinParams, keep: Sequence[str] = ()) -> DataFrame:
     """``t``, ``k``, ``hash_id``, ``i``, ``q``, ``n``, ``sig``: a row for each string, random string, suffix and hash function. A
-    column ``g`` of the strings stays: it is part of every bucket's key, so groups never meet."""
+    column ``g`` of the strings stays: it is part of every bucket's key, so groups never meet. Columns of ``keep`` stay too."""
     both = F.posexplode(F.arrays_zip("sigs", "hashes")).alias("k", "x")
     group = ["g"] if "g" in strings.columns else []
-    found = embed(strings, params).select("t", "q", "i", "n", *group, both)
-    return found.select("t", "k", F.col("x.hashes").alias("hash_id"), "i", "q", "n", F.col("x.sigs").alias("sig"), *group)
+    found = embed(strings, params, keep=keep).select("t", "q", "i", "n", *group, *keep, both)
+    return found.select("t", "k", F.col("x.hashes").alias("hash_id"), "i", "q", "n", F.col("x.sigs").alias("sig"), *group, *keep)
 
 
 def bucket_sizes(table: DataFrame) -> DataFrame:
@@ -41,7 +44,50 @@ def signatures_agree(a: str, b: str) -> F.Column:
     )
 
 
-def collisions(table: DataFrame, params: JoinParams, other: DataFrame | None = None) -> DataFrame:
+#: Rows of a bucket on either side of a task's share of its pairs: a larger bucket is enumerated by pairs of such blocks.
+BLOCK = 2048
+
+
+def in_blocks(one: DataFrame, two: DataFrame | None, keys: list[str], block: int) -> DataFrame:
+    """Pairs of rows of equal ``keys``, the columns of one row with a 1 and those of the other with a 2 behind their names; within one table (``two`` is
+    None) each two different rows meet once, in either order.
+
+    A bucket with more than ``block`` rows is dealt into blocks, by a hash of the row, and each pair of blocks is a key of its own (of
+    one table the pairs above the diagonal, and the blocks themselves): so what a bucket costs is shared by as many tasks as it
+    has block pairs, and no row travels more often than there are blocks. Other buckets are one block.
+    """
+    tables = [one] if two is None else [one, two]
+    sizes = [t.groupBy(*keys).agg(F.count("*").alias(f"size{d}")) for d, t in enumerate(tables, 1)]
+    blocks = lambda d: F.ceil(F.col(f"size{d}") / block).cast("int")
+    if two is None:
+        hot = sizes[0].where(F.col("size1") > block).select(*keys, blocks(1).alias("b1"), blocks(1).alias("b2"))
+    else:
+        hot = sizes[0].join(sizes[1], keys).where((F.col("size1") > block) | (F.col("size2") > block)).select(*keys, blocks(1).alias("b1"), blocks(2).alias("b2"))
+    hot = cut(hot, "hot")
+
+    def side(x: DataFrame, d: int) -> DataFrame:
+        named = renamed(x, keys, d)
+        own = F.pmod(F.xxhash64(*(c for c in named.columns if c not in keys)), F.coalesce(f"b{d}", F.lit(1))).cast("int")
+        named = named.join(hot, keys, "left").withColumn("own", own)
+        last = F.coalesce(f"b{3 - d}", F.lit(1)) - 1
+        if two is None:
+            reach = F.sequence("own", last) if d == 1 else F.sequence(F.lit(0), "own")
+        else:
+            reach = F.sequence(F.lit(0), last)
+        there = F.explode(reach).alias("there")
+        named = named.select("*", there)
+        x_, y_ = ("own", "there") if d == 1 else ("there", "own")
+        return named.withColumnsRenamed({x_: "x", y_: "y"}).drop("b1", "b2")
+
+    left, right = side(one, 1), side(one if two is None else two, 2)
+    return left.join(right, [*keys, "x", "y"])
+
+
+def renamed(x: DataFrame, keys: list[str], d: int) -> DataFrame:
+    return x.select(*keys, *(F.col(c).alias(f"{c}{d}") for c in x.columns if c not in keys))
+
+
+def collisions(table: DataFrame, params: JoinParams, other: DataFrame | None = None, largest: int | None = None) -> DataFrame:
     """``i1``, ``i2``, ``q1``, ``q2``, ``t``, ``k``: rows of one bucket whose lengths differ by ``k`` at most and whose signatures agree.
 
     Within one ``table`` each pair comes once, with ``i1`` < ``i2``; with an ``other`` table the first of a pair is of ``table`` and the second
@@ -49,34 +95,50 @@ def collisions(table: DataFrame, params: JoinParams, other: DataFrame | None = N
 
     A signature without unreached places agrees only with an equal one or with one that has such places. So complete
     signatures are joined on themselves, which no accidental collision of bucket numbers can blow up, and only the
-    incomplete ones are joined by bucket number. Suffix numbers are no part of the key.
+    incomplete ones are joined by bucket number. Suffix numbers are no part of the key. The pairs of a hot bucket are
+    enumerated by blocks (``in_blocks``); ``largest``, the rows of the largest bucket, saves counting them where it is known.
     """
     keys = ["t", "k", "hash_id", *(["g"] if "g" in table.columns else [])]
     whole = F.instr("sig", UNREACHED) == 0
     near = F.abs(F.col("n1") - F.col("n2")) <= params.k
     agree = signatures_agree("sig1", "sig2")
     names = ["i1", "i2", "q1", "q2", "t", "k"]
+    columns = [*keys, "i", "q", "n", "sig"]
 
-    def side(x: DataFrame, d: int) -> DataFrame:
-        return x.select(*keys, *(F.col(c).alias(f"{c}{d}") for c in ("i", "q", "n", "sig")))
+    if largest is None:
+        tables = [table] if other is None else [table, other]
+        largest = max(bucket_sizes(t).agg(F.max("size")).first()[0] or 0 for t in tables)
+
+    def met(x: DataFrame, y: DataFrame | None, on: list[str]) -> DataFrame:
+        x, y = x.select(columns), None if y is None else y.select(columns)
+        if largest > BLOCK:
+            return in_blocks(x, y, on, BLOCK)
+        return renamed(x, on, 1).join(renamed(x if y is None else y, on, 2), on)
 
-    def equal(x: DataFrame, y: DataFrame) -> DataFrame:
-        return side(x, 1).withColumnRenamed("sig1", "sig").join(side(y, 2).withColumnRenamed("sig2", "sig"), [*keys, "sig"]).where(near)
+    def equal(x: DataFrame, y: DataFrame | None) -> DataFrame:
+        return met(x, y, [*keys, "sig"]).where(near)
 
-    def by_number(x: DataFrame, y: DataFrame) -> DataFrame:
-        return side(x, 1).join(side(y, 2), keys).where(near & agree)
+    def by_number(x: DataFrame, y: DataFrame | None) -> DataFrame:
+        return met(x, y, keys).where(near & agree)
 
     full, part = table.where(whole), table.where(~whole)
     if other is not None:
         full2, part2 = other.where(whole), other.where(~whole)
-        met = [equal(full, full2), by_number(part, part2), by_number(part, full2), by_number(full, part2)]
-        return _all([m.select(names) for m in met])
+        found = [equal(full, full2), by_number(part, part2), by_number(part, full2), by_number(full, part2)]
+        return _all([m.select(names) for m in found])
     turned = F.col("i1") > F.col("i2")
     swap = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
+    in_order = [swap("i1", "i2").alias("i1"), swap("i2", "i1").alias("i2"), swap("q1", "q2").alias("q1"), swap("q2", "q1").alias("q2"), "t", "k"]
+
+    def once(found: DataFrame) -> DataFrame:
+        """Both orders of rows of one block meet, and blocks one above the other meet in one order."""
+        first = F.col("i1") < F.col("i2")
+        if "x" in found.columns:
+            first = F.when(F.col("x") == F.col("y"), first).otherwise(F.col("i1") != F.col("i2"))
+        return found.where(first)
+
     across = by_number(part, full).where(F.col("i1") != F.col("i2"))
-    across = across.select(swap("i1", "i2").alias("i1"), swap("i2", "i1").alias("i2"), swap("q1", "q2").alias("q1"), swap("q2", "q1").alias("q2"), "t", "k")
-    first = F.col("i1") < F.col("i2")
-    return _all([equal(full, full).where(first).select(names), by_number(part, part).where(first).select(names), across])
+    return _all([m.select(in_order) for m in (once(equal(full, None)), once(by_number(part, None)), across)])
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
