@@ -177,6 +177,8 @@ def test_columns_of_the_contract(spark, name):
         1: "page_id host path rule verdict", 2: "doc_id held_out lang_pred score", 3: "doc_id n_words n_hit n_items items_sha256 contaminated",
         4: "vec_id n_links component_id kept", 5: "doc_id held_out score predicted", 6: "doc_id n_words n_removed kept_sha256", 7: "conv_id turn",
         8: "page_id payload_bytes payload_digest record_type refers_to", 9: "doc_id fingerprint component_id", 10: "doc_id n_tokens ids_sha256 decoded_sha256",
+        11: "doc_id start n_tokens ids_crc32", 12: "lang source part item value rank",
+        13: "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
     }
     found = dict(__spark_entry__.queries()[name](spark, SF).dtypes)
     assert set(want[int(name[2:].split("_")[0])].split()) <= set(found)
