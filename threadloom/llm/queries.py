@@ -106,6 +106,11 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
 
 
+def vectors_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op4_vectors`` with leaves so small that every label is split, by several levels of the trees."""
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), leaf=8).withColumnRenamed("id", "vec_id")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return found.select("conv_id", "turn", "role", "action", "new_role", "inserted", "cost", "last", F.sha2("piece", 256).alias("piece_sha256"))
@@ -130,6 +135,7 @@ def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op7_chat": op7_chat,
     "op4_vectors": op4_vectors,
+    "vectors_forest": vectors_forest,
     "op1_urls": op1_urls,
     "url_rules": url_rules,
     "op8_warc": op8_warc,
@@ -300,3 +306,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 WHERE part = 'pair' OR rank <= 50
 """,
 }
+ORACLES["vectors_forest"] = ORACLES["op4_vectors"]

@@ -20,21 +20,24 @@ COSINE = 0.93
 LEAF = 1024
 #: What goes down both ways: vectors as near to the median of their projections as this many standard deviations of the difference
 #: that two vectors at the threshold have in a random direction. It is a distance, not a share, so a dense group
-#: is not torn apart by a median that runs through it.
-SPILL = 0.8
+#: is not torn apart by a median that runs through it. A wide spill saves trees but copies of a vector multiply with every level:
+#: at 0.2 both together grow least.
+SPILL = 0.2
 #: Part of a node that either way may keep; where a split would leave more (a dense group) the node stays whole.
 KEPT = 0.85
 #: A split leaves each way about this part of a node of evenly spread vectors.
-SHARE = 0.62
-#: The number of trees follows from their depth: a pair at the threshold survives a split with this chance at least (0.99 for
+SHARE = 0.54
+#: The number of trees follows from their depth: a pair at the threshold survives a split with this chance at least (0.93 for
 #: evenly spread vectors), and all trees together may lose it with the other.
-SURVIVES, LOST = 0.975, 1e-4
+SURVIVES, LOST = 0.92, 1e-4
 #: Numbers (vectors times their width) of the sample that sets one subtree's medians, vectors of it, and those a node needs.
 FIT_NUMBERS, FIT_ROWS, FIT_NODE = 1 << 20, 4096, 16
 #: Vectors that one task takes down the trees.
 TASK_ROWS = 100_000
 #: Splits below which a leaf's number stays within the bits that a home (tree << 56 | leaf) has for it.
 MOST_DEPTH = 54
+#: Earlier leaves that the rows of one are compared by at once.
+CODES = 2048
 SEED = 11
 
 _TREE = 56
@@ -243,7 +246,7 @@ def leaf_links(nodes: DataFrame, cosine: float = COSINE, leaf: int = LEAF, fit_r
     """What the leaves know of the links between the ``nodes`` (``node``, ``label``, ``w``, ``v`` and the weight ``n``), in two kinds of
     rows: ``a`` with ``m``, the weight of nodes that it links to (to be summed up), and ``a`` with ``b``, a forest of the links.
 
-    Each vector goes to each of its leaves once, together with the numbers of all its leaves: a pair counts in the first
+    Each vector goes to each of its leaves once, together with the numbers of its leaves before that one: a pair counts in the first
     leaf that both share, so every pair found counts once and none is ever written. Leaves beyond twice ``leaf`` vectors are dealt
     into blocks by hash and each two blocks meet by themselves.
     """
@@ -251,6 +254,7 @@ def leaf_links(nodes: DataFrame, cosine: float = COSINE, leaf: int = LEAF, fit_r
     placed = homes.select("label", "w", "node", "homes", F.explode("homes").alias("home"))
     sizes = cut(placed.groupBy(*_GROUP).agg(F.count("*").alias("size")).where(F.col("size") > 2 * leaf), "blocked-leaves")
     sent = nodes.select("node", "n", "v").join(homes, "node").withColumn("home", F.explode("homes"))
+    sent = sent.withColumn("homes", F.filter("homes", lambda h: h < F.col("home")))
     if sizes.limit(1).count():
         blocks = F.coalesce(F.ceil(F.col("size") / (2 * leaf)), F.lit(1)).cast("int")
         sent = sent.join(sizes, list(_GROUP), "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -280,15 +284,24 @@ def _compare(g: pa.Table, x: int, y: int, home: int, cosine: float) -> pa.Record
     order = np.argsort(block, kind="stable")
     block, node, weight, v = block[order], node[order], weight[order].astype(float), v[order]
     split = int(np.searchsorted(block, y)) if x != y else 0
-    # Which earlier leaves each row is in, as 0 and 1.
+    # Which earlier leaves rows share: those of one row alone say nothing.
     homes = _column(g, "homes")
     count = np.diff(homes.offsets.to_numpy())
     row, flat = np.repeat(np.arange(len(homes)), count), homes.flatten().to_numpy(zero_copy_only=False)
-    earlier = flat < home
-    codes, code = np.unique(flat[earlier], return_inverse=True)
-    inside = np.zeros((len(homes), len(codes)), np.float32)
-    inside[row[earlier], code] = 1
-    inside = inside[order]
+    row = np.argsort(order)[row]
+    codes, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often[code] > 1
+    rank = np.cumsum(often > 1) - 1
+    row, code, codes = row[shared], rank[code[shared]], int((often > 1).sum())
+
+    def inside(first: int) -> np.ndarray:
+        """Rows by the earlier leaves from ``first`` on, as 0 and 1."""
+        some = (code >= first) & (code < first + CODES)
+        out = np.zeros((len(node), min(CODES, codes - first)), np.float32)
+        out[row[some], code[some] - first] = 1
+        return out
+
+    kept = inside(0) if codes else None
     total, parent = np.zeros(len(node)), np.arange(len(node))
     edges: list[tuple[int, int]] = []
     n = len(node)
@@ -301,8 +314,10 @@ def _compare(g: pa.Table, x: int, y: int, home: int, cosine: float) -> pa.Record
             near[p, q] = math.fsum(v[i + p] * v[first + q]) >= cosine
         if x == y:
             near &= np.arange(i, j)[:, None] < np.arange(first, n)[None, :]
-        if len(codes):
-            near &= inside[i:j] @ inside[first:].T == 0
+        for c in range(0, codes, CODES):
+            if near.any():
+                some = inside(c) if c else kept
+                near &= some[i:j] @ some[first:].T == 0
         if not near.any():
             continue
         total[i:j] += near @ weight[first:]
