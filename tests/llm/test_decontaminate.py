@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -73,3 +74,22 @@ def test_no_benchmark_and_no_documents(spark, documents):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contamination(documents([(1, "a b")]), bench).first().n_words == 2
     assert contamination(documents([]), bench).count() == 0
+
+
+def test_a_large_benchmark_leaves_few_places(spark, documents):
+    """Of a benchmark beyond what is carried whole, next to no word becomes a row but those where a window ends."""
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    text = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [text(400) for _ in range(500)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [text(2000) for _ in range(30)] + [text(50) + " " + " ".join(items[7].split()[20:45]) + " " + text(50)]
+    made = []
+    cut, decontaminate.cut = decontaminate.cut, lambda df, name="cut", *a: made.append((name, out := cut(df, name, *a))) or out
+    try:
+        got = contamination(documents(list(enumerate(docs))), bench, block_bytes=1000).collect()
+    finally:
+        decontaminate.cut = cut
+    assert [(r.row.doc_id, list(zip(r.begin, r.end)), r["items"]) for r in got if r.begin] == [(30, [(50, 75)], ["7"])]
+    places = dict(made)["leak-places"].count()
+    assert 16 <= places < 16 + 0.005 * 60_000

@@ -17,8 +17,9 @@ from threadloom.llm.arrow_text import apart, beside, each, frugal, quoted, runs,
 from threadloom.plans.scratch import cut
 
 WINDOW = 10
-#: Benchmark text that is carried to the executors whole, and the bits of the shift tables that are carried of a larger one.
-BLOCK_BYTES, TABLE_BITS = 4 << 20, 20
+#: Benchmark text that is carried to the executors whole, and the bits of the shift tables and of the filters of windows that are carried of a
+#: larger one, least and most; items shorter than a window have tables of the least size for each number of words.
+BLOCK_BYTES, TABLE_BITS, FILTER_BITS = 4 << 20, (20, 24), (22, 27)
 #: Text bytes of one numpy pass; a longer text is one pass.
 RUN_BYTES = 1 << 20
 #: Window ends that one lane of the search looks at.
@@ -207,8 +208,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     benchmark hits nothing, an empty table gives an empty result. Repeated rows are marked alike. Texts of any length are searched
     whole; columns of any name travel in ``row``. ``window`` is any number of words from 1 on.
 
-    A benchmark of up to ``block_bytes`` is carried to the documents, which are not shuffled then. Of a larger one only the
-    shift tables are, whose size is fixed (``TABLE_BITS``); the places that they leave are joined with the table of all windows.
+    A benchmark of up to ``block_bytes`` is carried to the documents, which are not shuffled then. Of a larger one only shift tables
+    and a filter of its windows are, whose sizes are bounded (``TABLE_BITS``, ``FILTER_BITS``); the places that they leave are joined with the
+    table of all windows. Within those bounds (benchmarks of some 50 MB) hardly a place is left but the windows that occur.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(quoted(item_col)).cast("string").alias("i"), F.col(quoted(item_text_col)).cast("string").alias("t")).where("t is not null")
@@ -216,7 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     given = apart(docs, text_col).select("row", "text")
     schema = beside(given, "n_words long, begin array<long>, end array<long>, items array<string>, text string", "row")
     if total > block_bytes:
-        return _by_join(given, bench, window, schema)
+        return _by_join(given, bench, window, schema, total)
     groups = windows([(r.i, r.t) for r in bench.collect()], window)
     shared = spark.sparkContext.broadcast(groups)
 
@@ -240,8 +242,17 @@ def _block_of(words: int) -> int:
     return 1 if words < 3 else 2 if words < 6 else 3
 
 
-def _shift_tables(bench: DataFrame, window: int) -> dict[int, np.ndarray]:
-    """A shift table of ``TABLE_BITS`` bits for each number of words that a window has: each task fills tables of its own, and an
+def table_bits(size: int, words: int, window: int) -> tuple[int, int]:
+    """Bits of the index of the shift table, and of the filter, of strings of ``words`` words, for a benchmark of ``size`` bytes: four entries and 16
+    bits for each word of six bytes, within ``TABLE_BITS`` and ``FILTER_BITS``."""
+    if words < window:
+        return TABLE_BITS[0], FILTER_BITS[0]
+    many = max(1, size // 6)
+    return tuple(min(most, max(least, math.ceil(math.log2(per * many)))) for per, (least, most) in ((4, TABLE_BITS), (16, FILTER_BITS)))
+
+
+def _shift_tables(bench: DataFrame, window: int, size: int) -> dict[int, np.ndarray]:
+    """A shift table for each number of words that a window has: each task fills tables of its own, and an
     aggregation keeps the least shift of each entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,11 +265,11 @@ def _shift_tables(bench: DataFrame, window: int) -> dict[int, np.ndarray]:
                     n = min(window, stop - first)
                     if not n:
                         continue
-                    block = _block_of(n)
-                    table = tables.setdefault(n, np.full(1 << TABLE_BITS, n - block + 1, np.min_scalar_type(n)))
+                    block, bits = _block_of(n), table_bits(size, n, window)[0]
+                    table = tables.setdefault(n, np.full(1 << bits, n - block + 1, np.min_scalar_type(n)))
                     last = np.arange(first + n - 1, stop)
                     for back in range(n - block, -1, -1):
-                        entry = _joined(h, last - back, block) >> np.uint64(64 - TABLE_BITS)
+                        entry = _joined(h, last - back, block) >> np.uint64(64 - bits)
                         np.minimum.at(table, entry, back)
         for n, table in tables.items():
             entry = np.flatnonzero(table < n - _block_of(n) + 1).astype(np.int32)
@@ -268,11 +279,54 @@ def _shift_tables(bench: DataFrame, window: int) -> dict[int, np.ndarray]:
     n, entry, shift = (found.column(c).to_numpy() for c in ("n", "entry", "shift"))
     out = {}
     for k in np.unique(n).tolist():
-        table = out[k] = np.full(1 << TABLE_BITS, k - _block_of(k) + 1, np.min_scalar_type(k))
+        table = out[k] = np.full(1 << table_bits(size, k, window)[0], k - _block_of(k) + 1, np.min_scalar_type(k))
         table[entry[n == k]] = shift[n == k]
     return out
 
 
+def _places(key: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The bits of a filter that each key sets."""
+    return [((key * np.uint64(_Q) if k else key) >> np.uint64(64 - bits)).astype(np.int64) for k in range(2)]
+
+
+def _window_filter(bench: DataFrame, window: int, size: int) -> dict[int, np.ndarray]:
+    """A Bloom filter of the hashes of all windows of each number of words, as 64-bit words: tasks set the bits of their own windows, and an
+    aggregation joins them, so what reaches the driver is the filter, whatever the benchmark's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters: dict[int, np.ndarray] = {}
+        for b in batches:
+            data, at = utf8(b.column(1))
+            for i, j in runs(at, RUN_BYTES):
+                h, *_, text = word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                for first, stop in zip(*(np.searchsorted(text, np.arange(j - i), side=s).tolist() for s in ("left", "right"))):
+                    n = min(window, stop - first)
+                    if n:
+                        bits = table_bits(size, n, window)[1]
+                        own = filters.setdefault(n, np.zeros(1 << (bits - 6), np.uint64))
+                        for place in _places(_joined(h, np.arange(first + n - 1, stop), n), bits):
+                            np.bitwise_or.at(own, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+        for n, own in filters.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), pa.array(at.astype(np.int32)), pa.array(own[at].view(np.int64))], ["n", "at", "bits"])
+
+    found = bench.mapInArrow(frugal(run), "n int, at int, bits long").groupBy("n", "at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    n, at, words = (found.column(c).to_numpy() for c in ("n", "at", "bits"))
+    out = {}
+    for k in np.unique(n).tolist():
+        own = out[k] = np.zeros(1 << (table_bits(size, k, window)[1] - 6), np.uint64)
+        own[at[n == k]] = words[n == k].view(np.uint64)
+    return out
+
+
+def _may_be(own: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the filter has each key; a few that it lacks pass as well."""
+    out = np.ones(len(key), bool)
+    for place in _places(key, bits):
+        out &= (own[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return out
+
+
 def _spelled(raw: bytes, begin: np.ndarray, end: np.ndarray, last: np.ndarray, n: int) -> Iterator[str]:
     for x in last.tolist():
         yield b" ".join(raw[a:z] for a, z in zip(begin[x - n + 1 : x + 1].tolist(), end[x - n + 1 : x + 1].tolist())).lower().decode()
@@ -292,14 +346,15 @@ def _bench_windows(bench: DataFrame, window: int) -> DataFrame:
     return bench.mapInArrow(frugal(run), "n int, s string, item string").distinct()
 
 
-def _by_join(given: DataFrame, bench: DataFrame, window: int, schema: StructType) -> DataFrame:
-    """``contamination`` for a benchmark of any size."""
+def _by_join(given: DataFrame, bench: DataFrame, window: int, schema: StructType, total: int) -> DataFrame:
+    """``contamination`` for a benchmark of any size: a place becomes a row if neither the shift tables nor the filter of windows rule it out."""
     spark = given.sparkSession
     numbered = cut(given.select(F.monotonically_increasing_id().alias("r"), "row", "text"), "leak-texts")
-    shared = spark.sparkContext.broadcast(_shift_tables(bench, window))
+    shared = spark.sparkContext.broadcast((_shift_tables(bench, window, total), _window_filter(bench, window, total)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = [Group(n, _block_of(n), TABLE_BITS, table, *[np.empty(0)] * 3, [], []) for n, table in shared.value.items()]
+        tables, filters = shared.value
+        groups = [Group(n, _block_of(n), table_bits(total, n, window)[0], table, *[np.empty(0)] * 3, [], []) for n, table in tables.items()]
         for b in batches:
             data, at = utf8(b.column(1))
             r = b.column(0).to_numpy()
@@ -310,6 +365,7 @@ def _by_join(given: DataFrame, bench: DataFrame, window: int, schema: StructType
                 raw = part.tobytes()
                 for g in groups:
                     last = g.ends(h, first, stop)
+                    last = last[_may_be(filters[g.words], _joined(h, last, g.words), table_bits(total, g.words, window)[1])]
                     of = text[last]
                     size = pa.array(np.full(len(last), g.words, np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(r[i:j][of]), size, pa.array(last - first[of] + 1), pa.array(list(_spelled(raw, begin, end, last, g.words)), pa.string())], ["r", "n", "stop", "s"])
