@@ -185,3 +185,23 @@ def test_toxicity_features_from_all_segments(spark):
     found = model.passages(toxicity.tokens(text.encode()))
     assert len(found) == 500 and (got[1].beyond, got[1].summed) == pytest.approx(model.features(found))
     assert got[0].n == 1 and got[0].best == 0.0
+
+
+def test_parts_of_a_long_text_end_with_words():
+    """Done in parts a text has the same subwords, and so the same scores, as done at once."""
+    rng = np.random.default_rng(2)
+    text = " ".join("".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(1, 30))) for _ in range(9000)).encode()
+    data, at = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    buckets, _ = subwords(data, at)
+    weights = rng.normal(size=(max(int(b.max()) for b in buckets) + 1, 128))
+    weights[0] = 0
+    model = Model([f"l{k}" for k in range(128)], weights, np.zeros(128))
+    assert len(text) > 4 * (1 << 14)
+    want = sum(weights[b].sum(0) for b in buckets) / sum(int((b > 0).sum()) for b in buckets)
+    assert np.allclose(model.logits(data, at)[0], want)
+
+
+def test_a_text_column_of_any_name(spark, corpus):
+    docs = spark.createDataFrame([(t, lang) for _, t, lang in corpus], "`a.b` string, `l``x` string")
+    model = fit(docs, "a.b", "l`x")
+    assert set(model.langs) and identify(docs, model, "a.b").where("lang_pred <> 'und'").count() > 0

@@ -64,6 +64,10 @@ def subwords(data: np.ndarray, at: np.ndarray, bits: int = BUCKET_BITS) -> tuple
     return out, first
 
 
+#: Bytes of white space, at which a long text is cut.
+WHITE = np.frombuffer(b" \t\n\r", np.uint8)
+
+
 @dataclass
 class Model:
     """Per bucket and language the product of embedding and output weights; with temperature and rejection."""
@@ -78,12 +82,17 @@ class Model:
         total = np.zeros((len(at) - 1, len(self.langs) + 1))
         most = max(1 << 14, (1 << 21) // max(1, len(self.langs)))
         for i, j in runs(at, most):
-            for lo in range(int(at[i]), int(at[j]), most):  # a longer text comes alone and in parts
-                hi = min(int(at[j]), lo + most)
+            lo, end = int(at[i]), int(at[j])
+            while lo < end:  # a longer text comes alone and in parts, which end with a word
+                hi = min(end, lo + most)
+                if hi < end:
+                    white = np.flatnonzero(np.isin(data[lo + 1 : hi], WHITE))
+                    hi = lo + 1 + int(white[-1]) if len(white) else hi
                 buckets, first = subwords(data[lo:hi], at[i : j + 1] - at[i] if j > i + 1 else np.array([0, hi - lo]))
                 for b in buckets:
                     total[i:j, :-1] += np.add.reduceat(self.weights[b], first, axis=0, dtype=np.float64)
                     total[i:j, -1] += np.add.reduceat(b > 0, first, dtype=np.int64)
+                lo = hi
         return total[:, :-1] / np.maximum(total[:, -1:], 1) + self.bias
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +248,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", by: F.C
     Every language with labelled text is learned. The bound of the sample is ``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` bytes, or
     ``LANG_ROWS`` and ``LANG_BYTES`` for each language where that is more (in expectation, as the pick is by hash).
     """
-    by = F.xxhash64(text_col) if by is None else by
+    by = F.xxhash64(quoted(text_col)) if by is None else by
     rows = sorted((r.text.encode(), r.lang) for r in labelled_sample(docs, text_col, lang_col, by).collect())
     order = np.random.default_rng(3).permutation(len(rows))
     return train([rows[i][0] for i in order], [rows[i][1] for i in order])
