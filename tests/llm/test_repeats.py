@@ -25,7 +25,7 @@ def fast(df, window):
     return sorted(((r.row.doc_id, r.n_words, r.n_removed, r.kept) for r in without_repeats(df, window=window).collect()), key=str)
 
 
-@pytest.mark.parametrize("window,piece", [(35, 1 << 17), (35, 64), (7, 50), (12, 1 << 17)])
+@pytest.mark.parametrize("window,piece", [(35, 1 << 17), (35, 64), (7, 50), (12, 1 << 17), (2, 1 << 17), (5, 1 << 17), (80, 1 << 17)])
 def test_equals_brute_force(documents, prose, monkeypatch, window, piece):
     rng = random.Random(window)
     monkeypatch.setattr(repeats, "PIECE", piece)

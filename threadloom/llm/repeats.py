@@ -25,6 +25,9 @@ from threadloom.plans.scratch import cut, drop, scope
 WINDOW = 35
 #: Words of the anchors that deal edges into buckets.
 ANCHOR = 6
+#: Bits of a place that hold the number of edges of a run.
+RUN = 16
+MASK = (1 << RUN) - 1
 #: Words hashed at once; a longer text is done in overlapping pieces.
 PIECE = 1 << 17
 _POS = np.uint64((1 << 20) - 1)
@@ -164,14 +167,14 @@ def _edges(texts: DataFrame, contents: DataFrame, window: int) -> DataFrame:
             for r, text, wanted in zip(b.column(0).to_pylist(), _unpacked(b.column(1)), b.column(2)):
                 h = _prefix(_hashes(text.split())[:, 1])
                 a, pos, hi_r, hi_pos, twice = (wanted.values.field(k).to_numpy(zero_copy_only=False) for k in range(5))
-                n = pos & 63
+                n = pos & MASK
                 which = np.repeat(np.arange(len(n)), n)
                 step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                p = (pos >> 6)[which] + step
+                p = (pos >> RUN)[which] + step
                 w = _spans(h, p, p + window).view(np.int64)
                 again = twice[which].astype(bool)
                 parts.append([a[which], w, np.full(len(p), r), p << 1 | ~again])
-                parts.append([a[which][again], w[again], hi_r[which][again], ((hi_pos >> 6)[which] + step)[again] << 1])
+                parts.append([a[which][again], w[again], hi_r[which][again], ((hi_pos >> RUN)[which] + step)[again] << 1])
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*parts)], ["a", "w", "r", "p"])
 
@@ -234,7 +237,7 @@ def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     with the words of another place where the same path is spelled.
 
     ``at`` is where the path would begin in the text, ``first`` the stretch's first edge on the path, ``units`` its parts (first edge on
-    the path << 6 | number of edges) and ``words`` what the other place says, from ``first`` on, as a Zstandard frame.
+    the path << RUN | number of edges) and ``words`` what the other place says, from ``first`` on, as a Zstandard frame.
 
     1. Every text's edges are dealt into runs that share an anchor (about one for 15 words), and anchors that
        occur once in the corpus are dropped by an aggregation and a join: their edges cannot occur twice.
@@ -246,14 +249,15 @@ def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
        the first place in the corpus where the unit stands, for that one the last. Each different stretch of
        words is read there once and sent to those that ask for it.
     """
-    if window - anchor + 1 > 63:
-        raise ValueError("window may exceed anchor by 62 words at most")
+    anchor = min(anchor, window)
+    if not 0 < window < MASK:
+        raise ValueError(f"a window has 1 to {MASK - 1} words")
     spark = texts.sparkSession
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, a, c, p, n in _paths(_unpacked(b.column(1)), window, anchor):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(pa.array(text)), pa.array((p << 6) | n)], ["a", "c", "r", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(pa.array(text)), pa.array((p << RUN) | n)], ["a", "c", "r", "pos"])
 
     paths = cut(texts.select("r", "z").mapInArrow(frugal(find), "a long, c long, r long, pos long"), "paths")
     n = paths.count()
@@ -271,8 +275,8 @@ def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     at = F.struct("r", F.shiftright("p", 1).alias("p"))
     of_edges = single.groupBy("a", "w").agg(F.max(F.col("p") % 2).alias("one"), F.min(at).alias("lo"), F.max(at).alias("hi"))
     of_edges = of_edges.where("one = 1").select(F.lit(0).alias("kind"), "a", "w", F.lit(1).cast("long").alias("n"), "lo", "hi")
-    start = lambda c: F.struct(F.col(f"{c}.r").alias("r"), F.shiftright(f"{c}.pos", 6).alias("p")).alias(c)
-    of_runs = contents.where("n > 1").select(F.lit(1).alias("kind"), "a", F.col("c").alias("w"), F.col("lo.pos").bitwiseAND(F.lit(63)).alias("n"), start("lo"), start("hi"))
+    start = lambda c: F.struct(F.col(f"{c}.r").alias("r"), F.shiftright(f"{c}.pos", RUN).alias("p")).alias(c)
+    of_runs = contents.where("n > 1").select(F.lit(1).alias("kind"), "a", F.col("c").alias("w"), F.col("lo.pos").bitwiseAND(F.lit(MASK)).alias("n"), start("lo"), start("hi"))
     units = cut(of_runs.unionByName(of_edges).withColumn("uid", F.monotonically_increasing_id()), "units")
     for done in (contents, parting, anchors, again):
         drop(done)
@@ -283,7 +287,7 @@ def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         "kind", "a", "w", "n", F.coalesce("unitig", "uid").alias("unitig"), F.coalesce("off", F.lit(0)).cast("long").alias("off"), "lo", "hi"
     )
     on_path = cut(on_path, "unit-places")
-    runs = met.select("a", F.col("c").alias("w"), "r", F.shiftright("pos", 6).alias("p")).join(on_path.where("kind = 1"), ["a", "w"])
+    runs = met.select("a", F.col("c").alias("w"), "r", F.shiftright("pos", RUN).alias("p")).join(on_path.where("kind = 1"), ["a", "w"])
     ones = single.where("p % 2 = 1").select("a", "w", "r", F.shiftright("p", 1).alias("p")).join(on_path.where("kind = 0"), ["a", "w"])
     first = (F.col("r") == F.col("lo.r")) & (F.col("p") == F.col("lo.p"))
     seen = runs.unionByName(ones, allowMissingColumns=True).select(
@@ -292,7 +296,7 @@ def repeated_blocks(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     blocks = (
         seen.select("r", "unitig", "at", F.col("ref.r").alias("ref"), (F.col("ref.p") - F.col("off")).alias("ref_at"), "off", "n")
         .groupBy("r", "unitig", "at", "ref", "ref_at")
-        .agg(F.min("off").alias("first"), F.max(F.col("off") + F.col("n")).alias("end"), F.collect_list(F.shiftleft("off", 6) + F.col("n")).alias("units"))
+        .agg(F.min("off").alias("first"), F.max(F.col("off") + F.col("n")).alias("end"), F.collect_list(F.shiftleft("off", RUN) + F.col("n")).alias("units"))
         .select("r", "at", "first", "units", "ref", (F.col("ref_at") + F.col("first")).alias("x"), (F.col("ref_at") + F.col("end") + window - 1).alias("y"))
     )
     blocks = cut(blocks, "blocks")
@@ -321,12 +325,12 @@ def _repeated(words: list[bytes], blocks: list[tuple[int, int, list[int], bytes]
         there = unpack.decompress(packed).split()
         begin, end = at + first, at + first + len(there)
         same = words[begin:end] == there
-        if same and sum(u & 63 for u in units) == len(there) - window + 1:  # all edges from the first to the last
+        if same and sum(u & MASK for u in units) == len(there) - window + 1:  # all edges from the first to the last
             edge[begin] += 1
             edge[end] -= 1
             continue
         for unit in units:
-            off, n = unit >> 6, unit & 63
+            off, n = unit >> RUN, unit & MASK
             p, size = at + off, n + window - 1
             if same or words[p : p + size] == there[off - first : off - first + size]:
                 edge[p] += 1
@@ -347,7 +351,7 @@ def _blocks_of(column: pa.Array) -> list[tuple[int, int, list[int], bytes]]:
 def without_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, as_is: bool = False) -> DataFrame:
     """``row`` (all columns but the text), ``n_words``, ``n_removed`` and ``kept`` of every row.
 
-    ``kept`` is the text without each word that a window of ``window`` words covers whose word sequence starts at
+    ``kept`` is the text without each word that a window of ``window`` words (1 to 65,534) covers whose word sequence starts at
     any other place too, in the same text or another; the words left are joined by one space. Windows are judged
     on the input. A null text has no words and keeps ``''``; texts shorter than the window lose nothing; repeated
     rows are copies of each other like any two texts, and of ties none is kept. Texts of any length are done whole (memory follows the
