@@ -34,7 +34,7 @@ SAMPLE_DOCS, SAMPLE_TEXT, DICTIONARY_BYTES = 2000, 1 << 14, 112 << 10
 FILE_BYTES = 64 << 20
 LEVEL = 3
 #: Words of a generation that a worker remembers (it has two), and the longest worth it.
-CACHE_WORDS, CACHE_CHARS = 250_000, 48
+CACHE_WORDS, CACHE_CHARS = 600_000, 48
 #: Rows of a batch, and bytes of texts, or of frames, in one pass: a word is looked up once in each.
 RUN_ROWS, RUN_BYTES = 1000, 1 << 23
 #: Texts that are not words between single spaces: white space before a space, or at the beginning.
