@@ -129,6 +129,16 @@ def test_rounds_of_merging(spark, parts):
     assert sorted((r.k1, r.n, r.owner, r.p2) for r in got.collect()) == [(0, 1667, 0, 5), (1, 1667, 1, 5), (2, 1666, 2, 5)]
 
 
+def test_the_oracle_is_the_definition():
+    """SQL and brute force agree, also on negative ids, nulls, ties and absent bases."""
+    rows = conversations(random.Random(11), 70)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = db.sql(__spark_entry__.oracle_sql()["op13_trie"])
+    assert sorted(got.select(*COLUMNS).fetchall(), key=repr) == brute(rebuilt(rows))
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_op13_as_registered(spark, sf):
     rows = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '/root/testdata/{sf}/conversations.parquet'").fetchall()

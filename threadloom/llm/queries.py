@@ -307,3 +307,35 @@ WHERE part = 'pair' OR rank <= 50
 """,
 }
 ORACLES["vectors_forest"] = ORACLES["op4_vectors"]
+
+#: CRC-32 of the decimal form of ``c``: over its bytes, and over the eight bits of each, by the polynomial of the checksum.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)), lambda y, i: xor(y >> 1, (y & 1) * 3988292384))))"""
+ORACLES["op13_trie"] = f"""
+WITH RECURSIVE own AS (
+    SELECT conv_id AS c, turn, coalesce(role, '') AS role, strlen(coalesce(text, '')) AS bytes,
+        md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+    FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT c, bytes, digest, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, digest) - 1 AS pos FROM own),
+sizes AS (SELECT c, n, c - c % 5 AS b, {_CRC} % 9 AS h FROM (SELECT c, CAST(count(*) AS BIGINT) AS n FROM turns GROUP BY c)),
+rebuilt AS (
+    SELECT s.c, t.pos AS d, t.digest, t.bytes FROM sizes s JOIN turns t ON t.c = s.b WHERE t.pos < s.h
+    UNION ALL
+    SELECT s.c, t.pos - s.h + least(coalesce(base.n, 0), s.h), t.digest, t.bytes
+    FROM sizes s JOIN turns t ON t.c = s.c LEFT JOIN sizes base ON base.c = s.b WHERE t.pos >= s.h),
+paths AS (SELECT c, d + 1 AS depth, md5(string_agg(digest, '') OVER (PARTITION BY c ORDER BY d)) AS k, bytes FROM rebuilt),
+members AS (
+    SELECT c, CAST(0 AS BIGINT) AS depth, 'root' AS k, CAST(NULL AS VARCHAR) AS p, CAST(0 AS BIGINT) AS bytes FROM sizes
+    UNION ALL
+    SELECT c, depth, k, coalesce(lag(k) OVER (PARTITION BY c ORDER BY depth), 'root'), bytes FROM paths),
+nodes AS (SELECT k, min(p) AS p, min(depth) AS depth, min(c) AS conv_id, count(*) AS n, min(bytes) AS bytes FROM members GROUP BY k),
+kids AS (SELECT p AS k, count(*) AS n_children FROM nodes WHERE p IS NOT NULL GROUP BY p),
+ends AS (SELECT k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(k, depth) AS k FROM members GROUP BY c) GROUP BY k),
+up AS (SELECT k, k AS a FROM nodes UNION ALL SELECT u.k, n.p FROM up u JOIN nodes n ON n.k = u.a WHERE n.p IS NOT NULL),
+below AS (
+    SELECT a AS k, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n - 1) * bytes) AS saved
+    FROM up JOIN nodes USING (k) LEFT JOIN kids USING (k) GROUP BY a)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, CAST(n.n AS BIGINT) AS n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
+    CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes q ON q.k = n.p LEFT JOIN kids x ON x.k = n.k JOIN below w ON w.k = n.k LEFT JOIN ends e ON e.k = n.k
+"""
