@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import struct
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -34,7 +38,7 @@ SAMPLE_DOCS, SAMPLE_TEXT, DICTIONARY_BYTES = 2000, 1 << 14, 112 << 10
 FILE_BYTES = 64 << 20
 LEVEL = 3
 #: Words of a generation that a worker remembers (it has two), and the longest worth it.
-CACHE_WORDS, CACHE_CHARS = 600_000, 48
+CACHE_WORDS, CACHE_CHARS = 800_000, 48
 #: Rows of a batch, and bytes of texts, or of frames, in one pass: a word is looked up once in each.
 RUN_ROWS, RUN_BYTES = 1000, 1 << 23
 #: Texts that are not words between single spaces: white space before a space, or at the beginning.
@@ -77,7 +81,7 @@ class Encoder:
         self.before: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -149,6 +153,18 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No search for cycles inside: a run makes hundreds of thousands of strings and no cycle."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
     """Columns of rows of at most ``RUN_BYTES`` of text (or one longer text), put together from several batches."""
     held: list[pa.RecordBatch] = []
@@ -178,7 +194,8 @@ def pack(docs: DataFrame, dictionary: bytes | None, id_col: str = "doc_id", text
         press = (lambda x: x) if dictionary is None else _compressor(dictionary).compress
         end = encoder.pack([end_id])
         for doc, text in _together(batches):
-            ids = [x + end for x in encoder.encode(pc.fill_null(text, ""))]
+            with _uncollected():
+                ids = [x + end for x in encoder.encode(pc.fill_null(text, ""))]
             n = pa.array([len(x) // encoder.width for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([doc, n, pa.array(map(press, ids), pa.binary())], ["doc_id", "n", "frame"])
 
