@@ -287,3 +287,40 @@ def test_bytes_or_characters(spark):
     rows = frame(spark, ["é", "e"])
     assert edit_join_exact(rows, 1, "i", "s").pairs().count() == 0
     assert edit_join_exact(rows, 1, "i", "s", byte_mode=False).pairs().count() == 1
+
+
+def addresses(n, seed=5):
+    rng = random.Random(seed)
+    hosts = ["".join(rng.choice(["TH", "EN", "OR", "AL"]) for _ in range(3)) for _ in range(6)]
+    ends = ["", "/", ".HTML", "#TOP", "?UTM_SOURCE=FEED", "?PAGE=2&REF=X"]
+    return [f"HTTP{rng.choice(['', 'S'])}://{rng.choice(hosts)}.EXAMPLE.NET/{rng.choice(['EN', 'DE'])}/{rng.randrange(4 * n)}{rng.choice(ends)}" for _ in range(n)]
+
+
+def test_kinds_miss_no_pair(spark):
+    texts = [*dict.fromkeys(addresses(150)), "", "7", "12345", "9 A", "A" * 80 + "17" + "B" * 80, "A" * 79 + "27C" + "B" * 78, "ÅÄ1", "ÅÄ", "x" * 70, "y1" + "x" * 70]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if lev(texts[i], texts[j]) <= 4}
+    rows = frame(spark, texts)
+    got = segment_candidates(rows, 4, plan="by_kind").collect()
+    assert len(got) == len(set(got)) and {(r.i1, r.i2) for r in got} == want
+    for name in ("g", "side"):
+        parted = rows.withColumn(name, (F.col("i") % 2).cast("int"))
+        got = segment_candidates(parted, 4, plan="by_kind").collect()
+        assert {(r.i1, r.i2) for r in got} == {(i, j) for i, j in want if ((i - j) % 2 == 0) == (name == "g")}
+
+
+def test_blocks_of_kinds(spark, monkeypatch):
+    from threadloom.plans import segments
+
+    for name in ("KIND_TILE", "NEAR_TILE", "PART"):
+        monkeypatch.setattr(segments, name, 7)
+    rows = frame(spark, [*dict.fromkeys(addresses(200, 6))])
+    got = segments.segment_candidates(rows, 4, plan="by_kind").collect()
+    want = segments.segment_candidates(rows, 4, plan="by_tile").collect()
+    assert len(got) == len(set(got)) and sorted(got) == sorted(want)
+
+
+def test_addresses_are_not_all_compared(spark):
+    """The cheapest plan for many addresses of few hosts looks at a small part of all pairs."""
+    rows = frame(spark, [*dict.fromkeys(addresses(20_000))])
+    plan, each = price(rows, 4)
+    assert plan == "by_kind" and each < 20_000 / 50
