@@ -28,8 +28,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies (five-word Jaccard of 0.8 or more), that of the smallest doc_id.
+    """Keeps one row of each group of near copies, that of the smallest doc_id.
 
+    Texts link by SimHash, as ``op9_simhash`` links them (fingerprints within 2 bits, compared by tiles), and, where that sees too little,
+    by a five-word Jaccard of 0.8 or more. A group is what links of both kinds reach.
     Of rows that share that id the text's hash decides, and of rows equal in id and text one stays. A null id comes after
     all others. Null and empty texts are copies of each other; a text shorter than a shingle is one shingle; very long ones
     are compared whole. An empty table stays empty; other columns of any name stay.

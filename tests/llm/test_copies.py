@@ -4,6 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from threadloom.llm.copies import forest, near_copies, similar
+from threadloom.llm.simhash import fingerprint, near_duplicates
 
 
 def shingled(text):
@@ -72,3 +73,26 @@ def test_blocks_miss_no_link(spark):
     for block in (5, 100):
         edges = {(r.a, r.b) for r in similar(members, found, 0.8, block).collect()}
         assert all(linked(*e) for e in edges) and components(range(len(sets)), lambda a, b: (a, b) in edges or (b, a) in edges) == want
+
+
+def test_stage_drops_what_simhash_links(documents, prose, spark):
+    """Two texts of mostly one repeated word have one fingerprint, though few of their different shingles are common."""
+    rows = [(k, "again " * 500 + prose(k, 40)) for k in (1, 2)] + [(3, prose(3, 300))]
+    sets = [shingled(t) for _, t in rows]
+    near = {r.id: r.component_id for r in near_duplicates(documents(rows)).collect()}
+    assert jaccard(*sets[:2]) < 0.3 and near == {1: 1, 2: 1, 3: 3}
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, documents(rows), "").collect()} == {1, 3}
+
+
+def test_groups_by_both_kinds_of_links(documents, prose):
+    """Brute force over SimHash and Jaccard together: a text may link one way to one text and the other way to another."""
+    rng = random.Random(8)
+    base = [prose(k, rng.randrange(30, 200)) for k in range(8)]
+    texts = [*base, *base[:2], None, "", "one", "One", *(edited(b, rng.randrange(0, len(b.split()) // 20), rng) for b in base for _ in range(3))]
+    texts += ["la la lo " * 80 + prose(50 + k // 2, 40) + (" end" if k % 2 else "") for k in range(6)]
+    rows = list(enumerate(texts, 10))
+    sets = {i: shingled(t or "") for i, t in rows}
+    prints = {i: fingerprint((t or "").encode()) for i, t in rows}
+    got = near_copies(documents(rows).repartition(3), radius=2).collect()
+    linked = lambda a, b: jaccard(sets[a], sets[b]) >= 0.8 or (prints[a] ^ prints[b]).bit_count() <= 2
+    assert {r.id: r.component_id for r in got} == components(list(sets), linked)

@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles, with min-hash bands for candidates."""
+"""Near copies by exact Jaccard similarity of word shingles, with min-hash bands for candidates, and by SimHash."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrow_text import each, frugal, quoted
-from threadloom.llm.simhash import least_of_each
+from threadloom.llm.simhash import RADIUS, fingerprint, fingerprint_links, least_of_each
 from threadloom.operators.components import connected_components
 from threadloom.plans.scratch import cut, drop
 
@@ -58,18 +58,22 @@ def _node(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), 42)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``id``, ``key`` (a hash of the text), ``node`` (a hash of its set of shingles) and ``bands`` of every row."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, simhash: bool = False) -> DataFrame:
+    """``id``, ``key`` (a hash of the text), ``node`` (a hash of its set of shingles), ``bands`` and, with ``simhash``, ``fp`` (its
+    fingerprint, as ``simhash.fingerprints`` has it; else null) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t, words) for t in each(b.column(2))]
             node = np.fromiter(map(_node, sets), np.uint64, b.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(map(bands, sets), pa.list_(pa.int64()))], ["id", "key", "node", "bands"])
+            fp = pa.nulls(b.num_rows, pa.int64())
+            if simhash:
+                fp = pa.array(np.fromiter(map(fingerprint, each(b.column(2))), np.uint64, b.num_rows).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(map(bands, sets), pa.list_(pa.int64())), fp], ["id", "key", "node", "bands", "fp"])
 
     text = F.col(quoted(text_col)).cast("string")
     return docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("t")).mapInArrow(
-        frugal(run), "id long, key long, node long, bands array<long>"
+        frugal(run), "id long, key long, node long, bands array<long>, fp long"
     )
 
 
@@ -190,21 +194,39 @@ def similar(members: DataFrame, sets: DataFrame, similarity: float, block: int =
     return dealt.select("bucket", "lo", "hi", "block", "node", "found").mapInArrow(frugal(run), "a long, b long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
+def simhash_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links ``a``, ``b`` that connect the nodes of ``rows`` (``node``, ``fp``) whose fingerprints are equal or linked within ``radius`` bits.
+
+    Fingerprints are compared by ``simhash.fingerprint_links``; the smallest node of each stands for it.
+    """
+    both = rows.select("node", "fp").distinct()
+    of = cut(both.groupBy("fp").agg(F.min("node").alias("first")), "copies-fingerprints")
+    equal = both.join(of, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    one, two = (of.select(F.col("fp").alias(f"fp{c}"), F.col("first").alias(c)) for c in "ab")
+    near = fingerprint_links(of.select("fp"), radius).select(F.col("a").alias("fpa"), F.col("b").alias("fpb"))
+    return equal.unionByName(near.join(one, "fpa").join(two, "fpb").where("a <> b").select("a", "b"))
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, radius: int | None = None
+) -> DataFrame:
     """``id``, ``key`` and ``component_id`` of every row.
 
     ``component_id`` is the smallest id that links reach from the row. A link is a Jaccard similarity of the sets of
     word shingles of at least ``similarity``, computed in full for each two sets that share a band. Rows of equal sets are one
     node, so copies are never expanded into pairs. Texts without words have the empty set and are one node; a
     shorter text than a shingle is one shingle. Nulls, ties, repeated rows and empty tables as in ``simhash.near_duplicates``.
+    With a ``radius`` rows whose SimHash fingerprints differ in that many bits at most, repeats of shingles counted, link too, whatever
+    their similarity.
     """
-    rows = cut(sketches(docs, id_col, text_col, words), "copies")
+    rows = cut(sketches(docs, id_col, text_col, words, radius is not None), "copies")
     n = rows.count()
     each_band = rows.select("node", "key", F.explode("bands").alias("bucket"))
     shared = each_band.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     members = cut(each_band.join(shared, "bucket").groupBy("bucket", "node").agg(F.min("key").alias("key")), "copies-members")
     sets = cut(_sets(docs, members.select("key"), text_col, words), "copies-sets")
-    links = cut(similar(members.select("bucket", "node"), sets, similarity), "copies-links")
+    links = similar(members.select("bucket", "node"), sets, similarity)
+    links = cut(links if radius is None else links.unionByName(simhash_links(rows, radius)), "copies-links")
     roots = connected_components(links)
     nodes = rows.groupBy("node").agg(F.min("id").alias("least"))
     rooted = nodes.join(roots.withColumnRenamed("node", "_tl_node"), F.col("node") == F.col("_tl_node"), "left").select("node", "least", F.coalesce("component", "node").alias("root"))
@@ -216,6 +238,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, radius: int | None = RADIUS) -> DataFrame:
     """One row of ``docs`` for each component of ``near_copies``, all columns unchanged, as ``simhash.drop_near_duplicates`` picks it."""
-    return least_of_each(docs, near_copies(docs, id_col, text_col, similarity), id_col, text_col)
+    return least_of_each(docs, near_copies(docs, id_col, text_col, similarity, radius=radius), id_col, text_col)
