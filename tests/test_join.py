@@ -324,3 +324,15 @@ def test_addresses_are_not_all_compared(spark):
     rows = frame(spark, [*dict.fromkeys(addresses(20_000))])
     plan, each = price(rows, 4)
     assert plan == "by_kind" and each < 20_000 / 50
+
+
+def test_counts_in_slices(spark, monkeypatch):
+    """Slices by the first string of a pair give the counts of one pass, and each is a small part of the shuffle."""
+    table = buckets(frame(spark, reads(60)), P).cache()
+    one = collision_counts(collisions(table, P)).collect()
+    passes = []
+    monkeypatch.setattr(lsh, "cut", lambda df, name="cut", rows=None: passes.append(name) or df)
+    monkeypatch.setattr(lsh, "SLICE_PAIRS", 1 + candidate_cardinality(table).first().n_pairs // 3)
+    assert sorted(lsh.counts_by_slices(table, P).collect()) == sorted(one) and passes.count("counts") == 3
+    pairs = lsh.counts_by_slices(table, P, lambda counts: candidate_pairs(counts, P)).collect()
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(r.i1, r.i2) for r in one if r.freq > P.count_filter}

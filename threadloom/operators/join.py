@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.lanes import CELLS, diagonal_distances
 from threadloom.functions.strings import as_bytes, edit_distance, once
 from threadloom.params import JoinParams
-from threadloom.plans.lsh import bucket_sizes, buckets, candidate_pairs, collision_counts, collisions, collisions_of
+from threadloom.plans.lsh import bucket_sizes, buckets, candidate_pairs, collision_counts, collisions, collisions_of, counts_by_slices
 from threadloom.plans.scratch import cut
 from threadloom.plans.segments import price, segment_candidates
 
@@ -134,7 +134,7 @@ def edit_join_lsh(
         near = cut(verify(candidates, distinct, params.k), "near")
         hits = candidate_pairs(collision_counts(collisions_of(near, table)), params)
         return JoinResult(cut(near.join(hits, ["i1", "i2"], "left_semi"), "links"), members, candidates, copies)
-    candidates = cut(candidate_pairs(collision_counts(collisions(table, params)), params), "candidates")
+    candidates = counts_by_slices(table, params, lambda counts: candidate_pairs(counts, params))
     return JoinResult(cut(verify(candidates, distinct, params.k), "links"), members, candidates, copies)
 
 

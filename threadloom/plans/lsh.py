@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -165,3 +165,26 @@ def collision_counts(found: DataFrame) -> DataFrame:
 def candidate_pairs(counts: DataFrame, params: JoinParams) -> DataFrame:
     """Distinct ``i1``, ``i2`` of which some pair of suffixes collides more than ``count_filter`` times."""
     return counts.where(F.col("freq") > params.count_filter).select("i1", "i2").distinct()
+
+
+#: Pairs of bucket rows whose collisions are counted in one pass: what a pass shuffles is gone from the disk before the next.
+SLICE_PAIRS = 1 << 29
+
+
+def counts_by_slices(table: DataFrame, params: JoinParams, last: Callable[[DataFrame], DataFrame] = lambda counts: counts) -> DataFrame:
+    """``last`` of the ``collision_counts`` of the ``table``'s ``collisions``, written.
+
+    Every collision is shuffled once to be counted, and there may be many for each pair. So pairs are counted in slices, by the first of
+    them, with ``SLICE_PAIRS`` pairs of the buckets each: the disk holds the shuffle of one slice and the rows that ``last`` leaves of those
+    before. ``last`` may not look at pairs of different ``i1`` together.
+    """
+    sizes = bucket_sizes(table).agg(F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2).alias("pairs"), F.max("size").alias("largest")).first()
+    slices, largest = -(-int(sizes.pairs or 0) // SLICE_PAIRS), sizes.largest or 0
+    if slices <= 1:
+        return cut(last(collision_counts(collisions(table, params, largest=largest))), "counts")
+    parts = []
+    for n in range(slices):
+        mine = table.where(F.pmod(F.xxhash64("i"), F.lit(slices)) == n)
+        found = collisions(mine, params, table, largest).where("i1 < i2")
+        parts.append(cut(last(collision_counts(found)), "counts"))
+    return _all(parts)

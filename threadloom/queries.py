@@ -16,7 +16,7 @@ from threadloom.operators.consensus import consensus, letters_outside, points_pe
 from threadloom.operators.graph import core_points, degrees, neighbors
 from threadloom.operators.join import JoinResult, edit_join_exact, edit_join_lsh, edit_join_tables
 from threadloom.params import UNREACHED, JoinParams
-from threadloom.plans.lsh import bucket_sizes, buckets, candidate_cardinality, candidate_pairs, collision_counts, collisions
+from threadloom.plans.lsh import bucket_sizes, buckets, candidate_cardinality, candidate_pairs, collisions, counts_by_slices
 from threadloom.plans.numbering import numbered
 from threadloom.plans.scratch import cut, scratch_path
 from threadloom.sinks.files import sorted_pairs, write_consensus, write_pairs
@@ -91,11 +91,11 @@ def filtered_candidates(spark, d):
 
 
 def candidate_freq(spark, d):
-    return collision_counts(_collisions(spark, d))
+    return counts_by_slices(cut(_buckets(spark, d), "buckets"), PARAMS)
 
 
 def candidate_pair_set(spark, d):
-    return candidate_pairs(collision_counts(_collisions(spark, d)), PARAMS)
+    return counts_by_slices(cut(_buckets(spark, d), "buckets"), PARAMS, lambda counts: candidate_pairs(counts, PARAMS))
 
 
 def lsh_join(spark, d):
