@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from threadloom.functions import lanes
 from threadloom.functions.embed import embed, embedded, embedded_column
 from threadloom.functions.strings import as_bytes, bit_distance, edit_distance, letter_codes
-from threadloom.operators.join import Side, edit_join_exact, edit_join_lsh, edit_join_tables, links_between
+from threadloom.operators.cluster import labels_of
+from threadloom.operators.join import JoinResult, Side, edit_join_exact, edit_join_lsh, edit_join_tables, links_between
 from threadloom.params import UNREACHED, JoinParams
-from threadloom.plans import lsh
+from threadloom.plans import lsh, segments
 from threadloom.plans.lsh import buckets, candidate_cardinality, candidate_pairs, collision_counts, collisions
 from threadloom.plans.segments import price, segment_candidates
 
@@ -336,3 +337,42 @@ def test_counts_in_slices(spark, monkeypatch):
     assert sorted(lsh.counts_by_slices(table, P).collect()) == sorted(one) and passes.count("counts") == 3
     pairs = lsh.counts_by_slices(table, P, lambda counts: candidate_pairs(counts, P)).collect()
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(r.i1, r.i2) for r in one if r.freq > P.count_filter}
+
+
+@pytest.mark.parametrize("letters", ["AC", "ACGT", "abé𝄞zy"])
+def test_slices_are_the_distance(monkeypatch, letters):
+    rng = random.Random(letters)
+    text = lambda n: "".join(rng.choices(letters, k=n))
+    for n, m, k in ((0, 3, 4), (1, 4, 5), (9, 9, 3), (12, 10, 6), (30, 30, 20), (7, 1, 2)):
+        one, two = text(n // 2), text(m // 2)
+        xs, ys = [one + text(n - n // 2) for _ in range(30)], [two + text(m - m // 2) for _ in range(130)]
+        want = [[min(d if (d := bit_distance(x, y, k)) >= 0 else k + 1, k + 1) for y in ys] for x in xs]
+        for words in (1, 40, 8192):
+            monkeypatch.setattr(lanes, "SLICE", words)
+            for some in (1, 64, 130):
+                got = lanes.sliced_distances(lanes.Sliced(xs), lanes.Sliced(ys[:some]), k)
+                assert got.tolist() == [row[:some] for row in want]
+
+
+@pytest.mark.parametrize("plan", ["by_tile", "by_kind", "by_length"])
+def test_sums_and_clusters_need_no_links(spark, monkeypatch, plan):
+    """What is added up where strings are compared is what the links give, and no link is written for it."""
+    for name, value in (("TILE", 7), ("KIND_TILE", 5), ("NEAR_TILE", 9), ("PART", 4)):
+        monkeypatch.setattr(segments, name, value)
+    rng = random.Random(plan)
+    texts = [f"{rng.choice(['ab', 'abc', 'xyzxyzxy'])}/{rng.randint(1, 999)}{rng.choice(['', '.html'])}" for _ in range(50)] + ["a/1", "a/1", "", None]
+    rows = frame(spark, texts)
+    found = edit_join_exact(rows, 2, "i", "s")
+    found.plan = plan
+    got = {r.id: tuple(r)[2:] for r in found.near().collect()}
+    labels = sorted(map(tuple, labels_of(rows.where("s is not null"), found, 3).collect()))
+    assert ("links" in vars(found)) == (plan == "by_length")
+    every = {(x, y): bit_distance(texts[x], texts[y], 2) for x in range(53) for y in range(53)}
+    first = {s: texts.index(s) for s in texts}
+    for x in range(53):
+        dist = [every[x, y] for y in set(first.values()) - {first[None]} if texts[y] != texts[x] and every[x, y] >= 0]
+        links = sum(every[x, y] >= 0 for y in range(53) if y != x)
+        assert got[x] == (links, len(dist), min(dist, default=None), sum(dist) if dist else None)
+    plain = JoinResult(found.links, found.members, found.candidates)
+    assert labels == sorted(map(tuple, labels_of(rows.where("s is not null"), plain, 3).collect()))
+    assert sorted(map(tuple, found.pairs().collect())) == sorted((x, y, d) for (x, y), d in every.items() if x < y and d >= 0)
