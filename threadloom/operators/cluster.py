@@ -22,7 +22,9 @@ def labels_of(rows: DataFrame, found: JoinResult, min_pts: int) -> DataFrame:
     """
     placed = cut(rows.select(F.col("i").alias("id")).join(found.members.select("id", "i"), "id"), "placed")
     nodes = cut(placed.groupBy("i").agg(F.count("*").alias("weight")), "nodes")
-    labels = dbscan(nodes, found.links, min_pts, "i", "i1", "i2", "weight")
+    degree = F.col("weight") + F.coalesce("m", F.lit(0))
+    core = cut(nodes.join(found.around(nodes), "i", "left").where(degree >= min_pts).select("i"), "core")
+    labels = dbscan(nodes, found.connecting(core), min_pts, "i", "i1", "i2", "weight", core)
     return placed.join(labels, "i").select(F.col("id").alias("i"), "label")
 
 

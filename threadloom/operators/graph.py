@@ -37,15 +37,16 @@ def core_points(nodes: DataFrame, edges: DataFrame, min_pts: int, id_col: str =
     return degrees(nodes, edges, id_col, weight_col).where(F.col("degree") >= min_pts).select("i")
 
 
-def dbscan(nodes: DataFrame, pairs: DataFrame, min_pts: int, id_col: str = "i", a: str = "i1", b: str = "i2", weight_col: str | None = None) -> DataFrame:
+def dbscan(nodes: DataFrame, pairs: DataFrame, min_pts: int, id_col: str = "i", a: str = "i1", b: str = "i2", weight_col: str | None = None, core: DataFrame | None = None) -> DataFrame:
     """``i``, ``label``: clusters from 1 in order of their smallest core node, -1 for noise.
 
     Core nodes that neighbour each other share a cluster; another node joins the first cluster, by number, that has a
     core node next to it. The result follows from the graph alone, in whatever order nodes are visited. ``weight_col``
-    as in ``degrees``: copies of a string are one node, and its label holds for all of them.
+    as in ``degrees``: copies of a string are one node, and its label holds for all of them. Where ``core`` (``i``, written) is known, ``pairs``
+    may leave out those between core nodes that others connect.
     """
     edges = cut(neighbors(pairs, a, b), "edges")
-    core = cut(core_points(nodes, edges, min_pts, id_col, weight_col), "core")
+    core = cut(core_points(nodes, edges, min_pts, id_col, weight_col), "core") if core is None else core
     inner = edges.join(core.select(F.col("i").alias("src")), "src", "left_semi").join(core.select(F.col("i").alias("dst")), "dst", "left_semi")
     roots = connected_components(inner.where("src < dst"), "src", "dst")
     of_core = cut(core.join(roots, core.i == roots.node, "left").select("i", F.coalesce("component", "i").alias("root")), "roots")
