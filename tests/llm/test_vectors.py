@@ -75,6 +75,21 @@ def test_a_dense_group_is_compared_in_blocks(spark):
     assert rows_of(df, leaf=8) == slow(rows, 0.93)
 
 
+def test_blocks_of_a_large_leaf_meet_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in np.ones(8) + rng.normal(size=8) * 0.02], 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert rows_of(df, leaf=8, block=16) == slow(rows, 0.93)
+
+
+def test_a_dense_group_is_not_copied_by_splits_that_save_nothing():
+    """Splits that leave each way 85 % of a dense group would give each vector some 200 places in one tree."""
+    x = vectors.unit(np.ones(64) + np.random.default_rng(7).normal(size=(600, 64)) * 0.1)
+    for t in range(3):
+        row, _ = vectors.Tree.fit(x, t, 1, len(x), leaf=8).homes(x)
+        assert len(row) <= 4 * len(x)
+
+
 def test_copies_and_odd_columns(spark):
     rows = [(k % 7, [1.0, float(k % 3)], "a") for k in range(30)]
     df = spark.createDataFrame([(i, v, x, k, k, k) for k, (i, v, x) in enumerate(rows)], "`my id` long, `a.b` array<double>, `n-chars` string, node int, h1 int, home int")

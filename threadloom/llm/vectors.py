@@ -25,6 +25,11 @@ LEAF = 1024
 SPILL = 0.2
 #: Part of a node that either way may keep; where a split would leave more (a dense group) the node stays whole.
 KEPT = 0.85
+#: Part of a node's pairs that both ways together may keep: a split that leaves more saves little or no comparing, and copies of the vectors
+#: multiply with every level of such splits (both ways with 0.85 of a dense group: 1.7 times as many at each level).
+WORTH = 0.8
+#: Vectors of a leaf that a task compares with others of it at once; a leaf with more is dealt into blocks of so many.
+BLOCK = 2 * LEAF
 #: A split leaves each way about this part of a node of evenly spread vectors.
 SHARE = 0.54
 #: The number of trees follows from their depth: a pair at the threshold survives a split with this chance at least (0.93 for
@@ -82,7 +87,7 @@ class Tree:
             p = sample[rows] @ direction(SEED, number, node, sample.shape[1])
             mid = np.median(p)
             left, right = rows[p <= mid + spill], rows[p >= mid - spill]
-            if max(len(left), len(right)) > KEPT * len(rows):
+            if max(len(left), len(right)) > KEPT * len(rows) or len(left) ** 2 + len(right) ** 2 > WORTH * len(rows) ** 2:
                 continue
             out.nodes[node] = (float(mid - spill), float(mid + spill))
             todo += [(2 * node, left), (2 * node + 1, right)]
@@ -242,21 +247,21 @@ def housed(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF, fit_row
     return placed.groupBy("label", "w", "node").agg(F.collect_list("home").alias("homes"))
 
 
-def leaf_links(nodes: DataFrame, cosine: float = COSINE, leaf: int = LEAF, fit_rows: int = FIT_ROWS) -> DataFrame:
+def leaf_links(nodes: DataFrame, cosine: float = COSINE, leaf: int = LEAF, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> DataFrame:
     """What the leaves know of the links between the ``nodes`` (``node``, ``label``, ``w``, ``v`` and the weight ``n``), in two kinds of
     rows: ``a`` with ``m``, the weight of nodes that it links to (to be summed up), and ``a`` with ``b``, a forest of the links.
 
     Each vector goes to each of its leaves once, together with the numbers of its leaves before that one: a pair counts in the first
-    leaf that both share, so every pair found counts once and none is ever written. Leaves beyond twice ``leaf`` vectors are dealt
+    leaf that both share, so every pair found counts once and none is ever written. Leaves beyond ``block`` vectors are dealt
     into blocks by hash and each two blocks meet by themselves.
     """
     homes = cut(housed(nodes.select("label", "w", "node", "v"), cosine, leaf, fit_rows), "housed")
     placed = homes.select("label", "w", "node", "homes", F.explode("homes").alias("home"))
-    sizes = cut(placed.groupBy(*_GROUP).agg(F.count("*").alias("size")).where(F.col("size") > 2 * leaf), "blocked-leaves")
+    sizes = cut(placed.groupBy(*_GROUP).agg(F.count("*").alias("size")).where(F.col("size") > block), "blocked-leaves")
     sent = nodes.select("node", "n", "v").join(homes, "node").withColumn("home", F.explode("homes"))
     sent = sent.withColumn("homes", F.filter("homes", lambda h: h < F.col("home")))
     if sizes.limit(1).count():
-        blocks = F.coalesce(F.ceil(F.col("size") / (2 * leaf)), F.lit(1)).cast("int")
+        blocks = F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
         sent = sent.join(sizes, list(_GROUP), "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         # A row meets its own block and all others of its leaf.
         sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -346,7 +351,7 @@ def _join(near: np.ndarray, i: int, first: int, parent: np.ndarray, edges: list[
             parent[np.isin(parent, roots)] = mine
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, leaf: int = LEAF, fit_rows: int = FIT_ROWS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, leaf: int = LEAF, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> DataFrame:
     """``id``, ``n_links``, ``component_id`` and ``kept`` of every row.
 
     Rows link when their labels are equal and their cosine, in double precision, is at least ``cosine``. A null vector or
@@ -363,7 +368,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n = members.count()
     distinct = rows.where("ok").groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least"))
     nodes = cut(distinct.withColumns({"w": F.size("v"), "node": F.monotonically_increasing_id()}), "vectors")
-    found = cut(leaf_links(nodes.select("node", "label", "w", "v", "n"), cosine, leaf, fit_rows), "links")
+    found = cut(leaf_links(nodes.select("node", "label", "w", "v", "n"), cosine, leaf, fit_rows, block), "links")
     around = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("around"))
     roots = connected_components(found.where("b is not null"))
     known = nodes.select("h1", "h2", "node", "n", "least").join(around, "node", "left").join(roots, "node", "left")
