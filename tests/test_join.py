@@ -1,5 +1,6 @@
 import random
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import lanes
 from threadloom.functions.embed import embed, embedded, embedded_column
 from threadloom.functions.strings import as_bytes, bit_distance, edit_distance, letter_codes
+from threadloom.operators import join
 from threadloom.operators.cluster import labels_of
 from threadloom.operators.join import JoinResult, Side, edit_join_exact, edit_join_lsh, edit_join_tables, links_between
 from threadloom.params import UNREACHED, JoinParams
@@ -280,6 +282,21 @@ def test_two_tables(spark, params):
     assert edit_join_tables(left.limit(0), right, 2, "i", "s").count() == 0
 
 
+@pytest.mark.parametrize("name,count_filter", [("by_tile", 0), ("by_kind", 2)])
+def test_collisions_are_looked_up_where_strings_are_compared(spark, monkeypatch, name, count_filter):
+    """Pairs of compared blocks are not joined with the buckets, a row for each pair and bucket, and the same pairs come out."""
+    params = replace(P, count_filter=count_filter)
+    texts = [s[:8] + str(n % 12) + s[8:] for n, s in enumerate(reads(70, 21))]
+    want = [{tuple(r) for r in edit_join_lsh(frame(spark, texts), params, "i", "s", plan="buckets").pairs().collect()}]
+    sides = [Side.of(frame(spark, x), "i", "s", params=params) for x in (texts[:40], texts[30:])]
+    want.append({tuple(r) for r in links_between(*sides, P.k, params, "buckets").collect()})
+    monkeypatch.setattr(segments, "price", lambda rows, k: (name, 1.0))
+    monkeypatch.setattr(join, "collisions_of", None)
+    got = [{tuple(r) for r in edit_join_lsh(frame(spark, texts), params, "i", "s", plan="segments").pairs().collect()}]
+    got.append({tuple(r) for r in links_between(*sides, P.k, params, "segments").collect()})
+    assert got == want and all(len(x) > 10 for x in got)
+
+
 def test_bytes_or_characters(spark):
     df = spark.createDataFrame([("größe", "grosse")], "a string, b string")
     a, b = F.col("a"), F.col("b")

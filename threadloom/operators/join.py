@@ -147,7 +147,9 @@ def edit_join_lsh(
     if plan == "auto":
         plan = _plan(bucket_sizes(table).withColumn("pairs", F.col("size").cast("double") * (F.col("size") - 1) / 2), distinct, params.k)
     if plan == "segments":
-        candidates = cut(candidates_by(near_rows(distinct), params.k), "candidates")
+        candidates = cut(candidates_by(near_rows(distinct), params.k, params=params), "candidates")
+        if "hit" in candidates.columns:
+            return JoinResult(candidates.where("hit").select("i1", "i2", "dist"), members, candidates, copies)
         near = verified(candidates, distinct, params.k, "near")
         hits = candidate_pairs(collision_counts(collisions_of(near, table)), params)
         return JoinResult(cut(near.join(hits, ["i1", "i2"], "left_semi"), "links"), members, candidates, copies)
@@ -215,13 +217,13 @@ class Side:
         return Side(strings, cut(members, "members"), None if params is None else cut(buckets(strings, params), "buckets"))
 
 
-def segments_between(left: Side, right: Side, k: int) -> DataFrame:
-    """Distinct ``i1`` (left), ``i2`` (right) that contain every pair within ``k`` edits, with their ``dist`` where the plan gives it. Representatives lie within 62 bits."""
+def segments_between(left: Side, right: Side, k: int, params: JoinParams | None = None) -> DataFrame:
+    """Distinct ``i1`` (left), ``i2`` (right) that contain every pair within ``k`` edits, with their ``dist`` and ``hit`` where the plan gives them. Representatives lie within 62 bits."""
     sides = [s.strings.select((F.shiftleft("i", 1) + d).alias("i"), "s", F.lit(d).alias("side")) for d, s in enumerate((left, right))]
-    met = candidates_by(near_rows(sides[0].unionByName(sides[1])), k)
+    met = candidates_by(near_rows(sides[0].unionByName(sides[1])), k, params=params)
     turned = F.col("i1") % 2 != 0
     one, two = F.when(turned, F.col("i2")).otherwise(F.col("i1")), F.when(turned, F.col("i1")).otherwise(F.col("i2"))
-    return met.select(F.shiftright(one, 1).alias("i1"), F.shiftright(two, 1).alias("i2"), *(["dist"] if "dist" in met.columns else []))
+    return met.select(F.shiftright(one, 1).alias("i1"), F.shiftright(two, 1).alias("i2"), *(c for c in ("dist", "hit") if c in met.columns))
 
 
 def links_between(left: Side, right: Side, k: int, params: JoinParams | None = None, plan: str = "auto") -> DataFrame:
@@ -232,9 +234,11 @@ def links_between(left: Side, right: Side, k: int, params: JoinParams | None = N
         sizes = one.join(two, ["t", "k", "hash_id"]).select((F.col("size1") + F.col("size2")).alias("size"), (F.col("size1").cast("double") * F.col("size2")).alias("pairs"))
         plan = _plan(sizes, left.strings.unionByName(right.strings), k)
     if params is None or plan == "segments":
-        near = verified(cut(segments_between(left, right, k), "candidates"), left.strings, k, "near", right.strings)
+        near = verified(cut(segments_between(left, right, k, params), "candidates"), left.strings, k, "near", right.strings)
         if params is None:
             return near
+        if "hit" in near.columns:
+            return near.where("hit").select("i1", "i2", "dist")
         hits = candidate_pairs(collision_counts(collisions_of(near, left.table, right.table)), params)
         return cut(near.join(hits, ["i1", "i2"], "left_semi"), "links")
     candidates = cut(candidate_pairs(collision_counts(collisions(left.table, params, right.table)), params), "candidates")

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.functions.embed import colliding
 from threadloom.functions.lanes import WORD, Sliced, diagonal_distances, sliced_distances
+from threadloom.params import JoinParams
 from threadloom.plans.numbering import numbered
 from threadloom.plans.scratch import cut
 
@@ -160,14 +162,17 @@ def segment_candidates(strings: DataFrame, k: int, id_col: str = "i", text_col:
     return candidates_by(near_rows(strings, id_col, text_col), k, plan).select("i1", "i2")
 
 
-def candidates_by(rows: DataFrame, k: int, plan: str = "auto") -> DataFrame:
-    """The same of ``near_rows``, with the ``dist`` of each pair where the plan is one of ``COMPARE``."""
+def candidates_by(rows: DataFrame, k: int, plan: str = "auto", params: JoinParams | None = None) -> DataFrame:
+    """The same of ``near_rows``, with the ``dist`` of each pair where the plan is one of ``COMPARE``, and with ``params`` also whether it is a ``hit``: its strings
+    collide often enough. That is found where they are compared, from the strings of a block, so no pair is joined with the buckets."""
     if plan == "auto":
         plan = price(rows, k)[0]
     name, _, q = plan.partition(":")
     if name == "by_count":
         return by_count(rows, k, int(q))
-    return {"by_length": by_length, "by_place": by_place, "by_tile": by_tile, "by_kind": by_kind}[name](rows, k)
+    if name in COMPARE:
+        return {"by_tile": by_tile, "by_kind": by_kind}[name](rows, k, "links" if params is None else "hits", params)
+    return {"by_length": by_length, "by_place": by_place}[name](rows, k)
 
 
 def by_length(rows: DataFrame, k: int) -> DataFrame:
@@ -311,17 +316,20 @@ def by_count(rows: DataFrame, k: int, q: int) -> DataFrame:
 
 class Pairs:
     """What a task finds of the pairs within ``k`` edits among its rows: ``links`` has each of them, ``sums`` adds them up for each row, ``forest``
-    keeps links that connect what all links between rows marked by ``v`` connect, and every link of the other rows."""
+    keeps links that connect what all links between rows marked by ``v`` connect, and every link of the other rows, and ``hits`` has each link with
+    whether its strings are ``colliding`` under ``params``."""
 
     SCHEMAS = {
         "links": "i1 long, i2 long, dist int",
         "sums": "i long, n_others long, m long, nearest int, sum_dist long",
         "forest": "i1 long, i2 long",
+        "hits": "i1 long, i2 long, dist int, hit boolean",
     }
 
     def __init__(self, what: str, k: int, ids: np.ndarray, side: np.ndarray | None, v: np.ndarray):
         self.what, self.k, self.ids, self.side, self.v = what, k, ids, side, v
         self.found: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
         self.dist: list[np.ndarray] = []
         self.sums = np.zeros((3, len(ids) if what == "sums" else 0), np.int64)
         self.nearest = np.full(len(ids), k + 1, np.int64)
@@ -344,10 +352,12 @@ class Pairs:
             near &= self.side[a][:, None] != self.side[b][None, :]
         if not near.any():
             return
-        if self.what == "links":
+        if self.what in ("links", "hits"):
             x, y = np.nonzero(near)
             self.found.append(np.stack([self.ids[a[x]], self.ids[b[y]]], 1))
             self.dist.append(dist[x, y])
+            if self.what == "hits":
+                self.places.append(np.stack([a[x], b[y]]))
         elif self.what == "sums":
             spent, far = np.where(near, dist, 0), np.where(near, dist, self.k + 1)
             for rows, others, axis, by in ((a, b, 1, near), (b, a, 0, near.T)):
@@ -380,15 +390,17 @@ class Pairs:
             self.root[self.root == r] = top(r)
         self.found.append(np.array(new, np.int64).reshape(-1, 2))
 
-    def table(self) -> pa.Table:
+    def table(self, strings: list[str], params: JoinParams | None = None) -> pa.Table:
         if self.what == "sums":
             at = np.flatnonzero(self.sums[0])
             columns = [self.ids[at], self.sums[0, at], self.sums[1, at], self.nearest[at].astype(np.int32), self.sums[2, at]]
         else:
             pairs = np.sort(np.concatenate([np.empty((0, 2), np.int64), *self.found]), axis=1)
             columns = [np.ascontiguousarray(pairs[:, c]) for c in range(2)]
-            if self.what == "links":
+            if self.what in ("links", "hits"):
                 columns.append(np.concatenate([np.empty(0, np.int32), *self.dist]).astype(np.int32))
+            if self.what == "hits":
+                columns.append(colliding(strings, *np.concatenate([np.empty((2, 0), np.int64), *self.places], 1), params))
         return pa.table([pa.array(c) for c in columns], [c.split()[0] for c in self.SCHEMAS[self.what].split(", ")])
 
 
@@ -433,7 +445,7 @@ def _across(rows: DataFrame) -> bool:
     return rows.where("x <> y").limit(1).count() > 0
 
 
-def by_tile(rows: DataFrame, k: int, what: str = "links") -> DataFrame:
+def by_tile(rows: DataFrame, k: int, what: str = "links", params: JoinParams | None = None) -> DataFrame:
     """Pairs within ``k`` edits of strings of 64 characters at most, found by comparing blocks of them; ``what`` of them as in ``Pairs``.
 
     Strings of one length are cut, in their order, into blocks of ``TILE``; two blocks whose lengths differ by ``k`` at most are a tile, in which the
@@ -463,12 +475,12 @@ def by_tile(rows: DataFrame, k: int, what: str = "links") -> DataFrame:
         found = Pairs(what, k, ids, side if across else None, v)
         one, two = runs(np.arange(split), s[:split]), runs(np.arange(split, len(s)), s[split:])
         meet(one, two if two else one, k, found)
-        return found.table()
+        return found.table(s, params)
 
     return both.groupBy(keys).applyInArrow(compare, Pairs.SCHEMAS[what])
 
 
-def by_kind(rows: DataFrame, k: int, what: str = "links") -> DataFrame:
+def by_kind(rows: DataFrame, k: int, what: str = "links", params: JoinParams | None = None) -> DataFrame:
     """Pairs within ``k`` edits, found by comparing blocks of strings whose kinds are near; ``what`` of them as in ``Pairs``.
 
     The kind of a string is what is left of it without its digits. Taking the same characters out of two strings brings them no further apart, so
@@ -505,7 +517,7 @@ def by_kind(rows: DataFrame, k: int, what: str = "links") -> DataFrame:
             one, two = without_ends(mine, s[begin:end])
             one, two = runs(np.arange(split), one), runs(np.arange(begin, end), two)
             meet(one, two, k, found, bool(u[begin] == u[0]))  # two rows of one kind meet in both orders
-        return found.table()
+        return found.table(s, params)
 
     return one.unionByName(two).groupBy("a", "p", "r").applyInArrow(compare, Pairs.SCHEMAS[what])
 
