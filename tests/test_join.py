@@ -1,6 +1,7 @@
 import random
 import time
 from dataclasses import replace
+from itertools import cycle
 
 import pytest
 from pyspark.sql import functions as F
@@ -290,7 +291,8 @@ def test_collisions_are_looked_up_where_strings_are_compared(spark, monkeypatch,
     want = [{tuple(r) for r in edit_join_lsh(frame(spark, texts), params, "i", "s", plan="buckets").pairs().collect()}]
     sides = [Side.of(frame(spark, x), "i", "s", params=params) for x in (texts[:40], texts[30:])]
     want.append({tuple(r) for r in links_between(*sides, P.k, params, "buckets").collect()})
-    monkeypatch.setattr(segments, "price", lambda rows, k: (name, 1.0))
+    plans = cycle([name, "by_tile"])  # kinds are joined by a plan of their own
+    monkeypatch.setattr(segments, "price", lambda rows, k: (next(plans), 1.0))
     monkeypatch.setattr(join, "collisions_of", None)
     got = [{tuple(r) for r in edit_join_lsh(frame(spark, texts), params, "i", "s", plan="segments").pairs().collect()}]
     got.append({tuple(r) for r in links_between(*sides, P.k, params, "segments").collect()})
