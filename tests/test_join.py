@@ -6,6 +6,7 @@ from itertools import cycle
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import queries
 from threadloom.functions import lanes
 from threadloom.functions.embed import embed, embedded, embedded_column
 from threadloom.functions.strings import as_bytes, bit_distance, edit_distance, letter_codes
@@ -266,6 +267,43 @@ def test_blocks_of_a_hot_bucket(spark, monkeypatch, other):
     assert pairs.count() == pairs.distinct().count() == 900 * 899 // 2
 
 
+def rows_of_joins(plan):
+    """Rows that the joins of an executed plan gave."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return rows_of_joins(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return rows_of_joins(plan.plan())
+    found = plan.children()
+    below = sum(rows_of_joins(found.apply(n)) for n in range(found.size()))
+    return below + (plan.metrics().apply("numOutputRows").value() if "Join" in kind else 0)
+
+
+@pytest.mark.parametrize("other", [False, True])
+def test_collisions_are_spelled_out_after_the_join(spark, monkeypatch, other):
+    """Rows of a bucket that differ in their ids only meet as lists, in as many tasks as their pairs ask for: not every pair is a row of a join."""
+    p = replace(P, shift=3)  # one suffix
+    texts = ["ACGGT" * 24 + "ACGT"[n % 4] * 3 for n in range(64)]
+    table = buckets(frame(spark, texts), p)
+    two = buckets(frame(spark, texts).selectExpr("i + 7 AS i", "s"), p) if other else None
+    keys = [(t, k) for t in range(p.num_str) for k in range(p.num_hash)]
+    want = sorted((a, b, 0, 0, t, k) for t, k in keys for a in range(64) for b in (range(7, 71) if other else range(a + 1, 64)))
+    for chunk, block, pairs in ((256, 2048, 1 << 24), (7, 2048, 1 << 24), (256, 2048, 1000), (3, 10, 1000)):
+        for name, value in (("CHUNK", chunk), ("BLOCK", block), ("TASK_PAIRS", pairs)):
+            monkeypatch.setattr(lsh, name, value, raising=False)
+        found = collisions(table, p, two)
+        assert sorted(tuple(r) for r in found.collect()) == want
+        if block == 2048:
+            assert 0 < rows_of_joins(found._jdf.queryExecution().executedPlan()) < len(want) / 20
+        if pairs == 1000:
+            assert found.rdd.getNumPartitions() > len(want) / 1000
+
+
+def test_addresses_are_embedded_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(queries, "TASK_STRINGS", 20, raising=False)
+    assert queries._buckets(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 13
+
+
 @pytest.mark.parametrize("params", [None, P])
 def test_two_tables(spark, params):
     one, two = reads(40, 9), reads(40, 9)[10:] + reads(15, 10)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from threadloom.functions.embed import embed
@@ -48,46 +48,80 @@ def signatures_agree(a: str, b: str) -> F.Column:
 BLOCK = 2048
 
 
-def in_blocks(one: DataFrame, two: DataFrame | None, keys: list[str], block: int) -> DataFrame:
+def in_blocks(one: DataFrame, two: DataFrame | None, keys: list[str], block: int, pack: Callable[[DataFrame], DataFrame] | None = None, tasks: int = 1) -> DataFrame:
     """Pairs of rows of equal ``keys``, the columns of one row with a 1 and those of the other with a 2 behind their names; within one table (``two`` is
     None) each two different rows meet once, in either order.
 
     A bucket with more than ``block`` rows is dealt into blocks, by a hash of the row, and each pair of blocks is a key of its own (of
     one table the pairs above the diagonal, and the blocks themselves): so what a bucket costs is shared by as many tasks as it
     has block pairs, and no row travels more often than there are blocks. Other buckets are one block.
+
+    ``pack`` may put rows of one block (column ``own``) together; then packed rows meet. ``tasks`` is the least number of tasks they meet in.
     """
     tables = [one] if two is None else [one, two]
     sizes = [t.groupBy(*keys).agg(F.count("*").alias(f"size{d}")) for d, t in enumerate(tables, 1)]
-    blocks = lambda d: F.ceil(F.col(f"size{d}") / block).cast("int")
+    blocks = lambda d: F.ceil(F.col(f"size{d}") / block).cast("int").alias(f"b{d}")
     if two is None:
-        hot = sizes[0].where(F.col("size1") > block).select(*keys, blocks(1).alias("b1"), blocks(1).alias("b2"))
+        hot = sizes[0].where(F.col("size1") > block).select(*keys, blocks(1))
     else:
-        hot = sizes[0].join(sizes[1], keys).where((F.col("size1") > block) | (F.col("size2") > block)).select(*keys, blocks(1).alias("b1"), blocks(2).alias("b2"))
+        hot = sizes[0].join(sizes[1], keys).where((F.col("size1") > block) | (F.col("size2") > block)).select(*keys, blocks(1), blocks(2))
     hot = cut(hot, "hot")
 
     def side(x: DataFrame, d: int) -> DataFrame:
-        named = renamed(x, keys, d)
-        own = F.pmod(F.xxhash64(*(c for c in named.columns if c not in keys)), F.coalesce(f"b{d}", F.lit(1))).cast("int")
-        named = named.join(hot, keys, "left").withColumn("own", own)
-        last = F.coalesce(f"b{3 - d}", F.lit(1)) - 1
+        mine, others = ("b1", "b1") if two is None else (f"b{d}", f"b{3 - d}")  # one table's sides are the same up to here, so packed once
+        own = F.pmod(F.xxhash64(*(c for c in x.columns if c not in keys)), F.coalesce(mine, F.lit(1))).cast("int")
+        dealt = x.join(hot, keys, "left").select(*x.columns, own.alias("own"), (F.coalesce(others, F.lit(1)) - 1).alias("last"))
+        dealt = renamed(dealt if pack is None else pack(dealt), [*keys, "own", "last"], d)
         if two is None:
-            reach = F.sequence("own", last) if d == 1 else F.sequence(F.lit(0), "own")
+            reach = F.sequence("own", "last") if d == 1 else F.sequence(F.lit(0), "own")
         else:
-            reach = F.sequence(F.lit(0), last)
-        there = F.explode(reach).alias("there")
-        named = named.select("*", there)
+            reach = F.sequence(F.lit(0), "last")
+        dealt = dealt.select("*", F.explode(reach).alias("there"))
         x_, y_ = ("own", "there") if d == 1 else ("there", "own")
-        return named.withColumnsRenamed({x_: "x", y_: "y"}).drop("b1", "b2")
+        return dealt.withColumnsRenamed({x_: "x", y_: "y"}).drop("last")
+
+    return joined(side(one, 1), side(one if two is None else two, 2), [*keys, "x", "y"], tasks)
+
 
-    left, right = side(one, 1), side(one if two is None else two, 2)
-    return left.join(right, [*keys, "x", "y"])
+def joined(left: DataFrame, right: DataFrame, on: list[str], tasks: int) -> DataFrame:
+    """The join by ``on``, dealt to ``tasks`` tasks if more than one are asked for: rows say little of the pairs that they will make, and adaptive
+    execution puts small partitions together by their bytes."""
+    if tasks > 1:
+        left, right = left.repartition(tasks, *on), right.repartition(tasks, *on)
+    return left.join(right, on)
 
 
 def renamed(x: DataFrame, keys: list[str], d: int) -> DataFrame:
     return x.select(*keys, *(F.col(c).alias(f"{c}{d}") for c in x.columns if c not in keys))
 
 
-def collisions(table: DataFrame, params: JoinParams, other: DataFrame | None = None, largest: int | None = None) -> DataFrame:
+#: Ids of a chunk at most: two chunks make their pairs at once, 65,536 rows.
+CHUNK = 256
+#: Pairs of bucket rows for each task that enumerates them, as far as there are as many.
+TASK_PAIRS = 1 << 24
+
+
+def chunks(table: DataFrame) -> DataFrame:
+    """Rows that are equal but for ``i`` as ascending lists ``ids`` of ``CHUNK`` at most, numbered by ``part``. A group is collected whole, so it has to be bounded."""
+    same = [c for c in table.columns if c != "i"]
+    part = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(CHUNK)), lambda at: F.slice("all", at + 1, F.lit(CHUNK)))).alias("part", "ids")
+    return table.groupBy(*same).agg(F.sort_array(F.collect_list("i")).alias("all")).select(*same, part)
+
+
+def pair_sizes(table: DataFrame, other: DataFrame | None = None) -> Row:
+    """``largest``, the rows of the largest bucket, and the pairs of rows of one bucket: ``full`` where both signatures are complete, ``rest`` where not."""
+    keys = ["t", "k", "hash_id", *(["g"] if "g" in table.columns else [])]
+    whole = F.instr("sig", UNREACHED) == 0
+    sizes = [x.groupBy(*keys).agg(F.count("*").cast("double").alias(f"a{d}"), F.count_if(whole).cast("double").alias(f"f{d}")) for d, x in enumerate([table, *([] if other is None else [other])], 1)]
+    if other is None:
+        both, largest, pairs = sizes[0], F.col("a1"), lambda c: F.col(f"{c}1") * (F.col(f"{c}1") - 1) / 2
+    else:
+        both, largest, pairs = sizes[0].join(sizes[1], keys), F.greatest("a1", "a2"), lambda c: F.col(f"{c}1") * F.col(f"{c}2")
+    sums = [F.max(largest).alias("largest"), F.sum(pairs("f")).alias("full"), F.sum(pairs("a") - pairs("f")).alias("rest")]
+    return both.agg(*(F.coalesce(c, F.lit(0.0)).alias(n) for c, n in zip(sums, ("largest", "full", "rest")))).first()
+
+
+def collisions(table: DataFrame, params: JoinParams, other: DataFrame | None = None, sizes: Row | None = None) -> DataFrame:
     """``i1``, ``i2``, ``q1``, ``q2``, ``t``, ``k``: rows of one bucket whose lengths differ by ``k`` at most and whose signatures agree.
 
     Within one ``table`` each pair comes once, with ``i1`` < ``i2``; with an ``other`` table the first of a pair is of ``table`` and the second
@@ -96,49 +130,53 @@ def collisions(table: DataFrame, params: JoinParams, other: DataFrame | None = N
     A signature without unreached places agrees only with an equal one or with one that has such places. So complete
     signatures are joined on themselves, which no accidental collision of bucket numbers can blow up, and only the
     incomplete ones are joined by bucket number. Suffix numbers are no part of the key. The pairs of a hot bucket are
-    enumerated by blocks (``in_blocks``); ``largest``, the rows of the largest bucket, saves counting them where it is known.
+    enumerated by blocks (``in_blocks``); ``sizes`` (``pair_sizes``) saves counting them where they are known.
+
+    Whether two rows collide does not depend on their ids. So what meets and is compared are ``chunks`` of ids that have the rest in common, and only
+    chunks that collide are spelled out, in the task where they met: a pair costs no more than the row that it becomes.
     """
     keys = ["t", "k", "hash_id", *(["g"] if "g" in table.columns else [])]
     whole = F.instr("sig", UNREACHED) == 0
     near = F.abs(F.col("n1") - F.col("n2")) <= params.k
     agree = signatures_agree("sig1", "sig2")
-    names = ["i1", "i2", "q1", "q2", "t", "k"]
     columns = [*keys, "i", "q", "n", "sig"]
+    sizes = sizes or pair_sizes(table, other)
 
-    if largest is None:
-        tables = [table] if other is None else [table, other]
-        largest = max(bucket_sizes(t).agg(F.max("size")).first()[0] or 0 for t in tables)
-
-    def met(x: DataFrame, y: DataFrame | None, on: list[str]) -> DataFrame:
+    def met(x: DataFrame, y: DataFrame | None, on: list[str], pairs: float) -> DataFrame:
         x, y = x.select(columns), None if y is None else y.select(columns)
-        if largest > BLOCK:
-            return in_blocks(x, y, on, BLOCK)
-        return renamed(x, on, 1).join(renamed(x if y is None else y, on, 2), on)
+        tasks = -(-int(pairs) // TASK_PAIRS)
+        if sizes.largest > BLOCK:
+            return in_blocks(x, y, on, BLOCK, chunks, tasks)
+        return joined(renamed(chunks(x), on, 1), renamed(chunks(x if y is None else y), on, 2), on, tasks)
 
     def equal(x: DataFrame, y: DataFrame | None) -> DataFrame:
-        return met(x, y, [*keys, "sig"]).where(near)
+        return met(x, y, [*keys, "sig"], sizes.full).where(near)
 
     def by_number(x: DataFrame, y: DataFrame | None) -> DataFrame:
-        return met(x, y, keys).where(near & agree)
+        return met(x, y, keys, sizes.rest).where(near & agree)
+
+    def once(found: DataFrame) -> DataFrame:
+        """Chunks of one block meet in both orders and with themselves, and those of blocks one above the other in one order. ``itself``: the same chunk."""
+        one, two = (F.struct(*(f"{c}{d}" for c in ("n", "q", "part", "sig") if f"{c}{d}" in found.columns)) for d in (1, 2))
+        apart = F.col("x") < F.col("y") if "x" in found.columns else F.lit(False)
+        return found.where(apart | (one <= two)).withColumn("itself", ~apart & (one == two))
 
     full, part = table.where(whole), table.where(~whole)
+    names = ["t", "k", "q1", "q2", "ids1", "ids2"]
     if other is not None:
         full2, part2 = other.where(whole), other.where(~whole)
         found = [equal(full, full2), by_number(part, part2), by_number(part, full2), by_number(full, part2)]
-        return _all([m.select(names) for m in found])
+        return _spelled(_all([m.select(names) for m in found])).select("i1", "i2", "q1", "q2", "t", "k")
+    found = [once(equal(full, None)), once(by_number(part, None)), by_number(part, full).withColumn("itself", F.lit(False))]
+    pairs = _spelled(_all([m.select(*names, "itself") for m in found])).where((F.col("i1") < F.col("i2")) | (~F.col("itself") & (F.col("i1") > F.col("i2"))))
     turned = F.col("i1") > F.col("i2")
     swap = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a))
-    in_order = [swap("i1", "i2").alias("i1"), swap("i2", "i1").alias("i2"), swap("q1", "q2").alias("q1"), swap("q2", "q1").alias("q2"), "t", "k"]
+    return pairs.select(swap("i1", "i2").alias("i1"), swap("i2", "i1").alias("i2"), swap("q1", "q2").alias("q1"), swap("q2", "q1").alias("q2"), "t", "k")
 
-    def once(found: DataFrame) -> DataFrame:
-        """Both orders of rows of one block meet, and blocks one above the other meet in one order."""
-        first = F.col("i1") < F.col("i2")
-        if "x" in found.columns:
-            first = F.when(F.col("x") == F.col("y"), first).otherwise(F.col("i1") != F.col("i2"))
-        return found.where(first)
 
-    across = by_number(part, full).where(F.col("i1") != F.col("i2"))
-    return _all([m.select(in_order) for m in (once(equal(full, None)), once(by_number(part, None)), across)])
+def _spelled(found: DataFrame) -> DataFrame:
+    """A row for each pair of an id of ``ids1`` and one of ``ids2``: ``i1``, ``i2`` and the other columns."""
+    return found.select("*", F.explode("ids1").alias("i1")).drop("ids1").select("*", F.explode("ids2").alias("i2")).drop("ids2")
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -178,13 +216,14 @@ def counts_by_slices(table: DataFrame, params: JoinParams, last: Callable[[DataF
     them, with ``SLICE_PAIRS`` pairs of the buckets each: the disk holds the shuffle of one slice and the rows that ``last`` leaves of those
     before. ``last`` may not look at pairs of different ``i1`` together.
     """
-    sizes = bucket_sizes(table).agg(F.sum(F.col("size").cast("double") * (F.col("size") - 1) / 2).alias("pairs"), F.max("size").alias("largest")).first()
-    slices, largest = -(-int(sizes.pairs or 0) // SLICE_PAIRS), sizes.largest or 0
+    sizes = pair_sizes(table)
+    slices = -(-int(sizes.full + sizes.rest) // SLICE_PAIRS)
     if slices <= 1:
-        return cut(last(collision_counts(collisions(table, params, largest=largest))), "counts")
+        return cut(last(collision_counts(collisions(table, params, sizes=sizes))), "counts")
+    each = Row(largest=sizes.largest, full=2 * sizes.full / slices, rest=2 * sizes.rest / slices)
     parts = []
     for n in range(slices):
         mine = table.where(F.pmod(F.xxhash64("i"), F.lit(slices)) == n)
-        found = collisions(mine, params, table, largest).where("i1 < i2")
+        found = collisions(mine, params, table, each).where("i1 < i2")
         parts.append(cut(last(collision_counts(found)), "counts"))
     return _all(parts)

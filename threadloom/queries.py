@@ -25,6 +25,8 @@ from threadloom.sources.strings import from_table, is_fastq, read_lines, read_st
 PARAMS = JoinParams(num_str=5, num_hash=7, num_bits=12, alphabet=37, k=4, shift=2, sampling_range=60, count_filter=1, min_pts=3)
 #: Rows of a chunk in the two-level query: small, so that the small tables have several.
 CHUNKED = JoinParams(num_str=5, num_hash=7, num_bits=12, alphabet=37, k=4, shift=2, sampling_range=60, min_pts=3, chunk_size=100, second_level_min_pts=1)
+#: Addresses for each task that embeds them.
+TASK_STRINGS = 2048
 
 
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +35,9 @@ def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return buckets(strings(spark, sf_dir), PARAMS)
+    """The addresses are few bytes, which adaptive execution would leave in one task, and 70 rows each: so they are dealt by their number."""
+    rows = cut(strings(spark, sf_dir), "rows")
+    return buckets(rows.repartition(max(1, -(-rows.count() // TASK_STRINGS))), PARAMS)
 
 
 def _collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
