@@ -384,6 +384,19 @@ def test_addresses_are_not_all_compared(spark):
     assert plan == "by_kind" and each < 20_000 / 50
 
 
+def test_kinds_of_many_groups_are_not_joined_by_kinds(spark):
+    """Kinds have no digits, so joining them by their own kinds never ends, however often the same kinds stand in other groups."""
+    kinds = [*dict.fromkeys(_without_digits(s) for s in addresses(400))]
+    rows = spark.createDataFrame([(g * len(kinds) + j, s, g) for g in range(12) for j, s in enumerate(kinds)], "i long, s string, g long")
+    assert price(rows, 4)[0] != "by_kind"
+    want = {(g * len(kinds) + i, g * len(kinds) + j) for g in range(12) for j, y in enumerate(kinds) for i, x in enumerate(kinds[:j]) if lev(x, y) <= 4}
+    assert {(r.id1, r.id2) for r in edit_join_exact(rows, 4, "i", "s", group_col="g").pairs().collect()} == want
+
+
+def _without_digits(s):
+    return "".join(c for c in s if not c.isdigit())
+
+
 def test_counts_in_slices(spark, monkeypatch):
     """Slices by the first string of a pair give the counts of one pass, and each is a small part of the shuffle."""
     table = buckets(frame(spark, reads(60)), P).cache()

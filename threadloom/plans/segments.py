@@ -40,6 +40,8 @@ COMMON, GRAMS = 3, range(2, 9)
 TILE, PART = 4096, 2048
 #: What the kind of a string leaves out of it, rows of a kind and of those near it that a task compares, and what a pair of them costs.
 VARYING, KIND_TILE, NEAR_TILE, IN_KIND = "0123456789", 4096, 16_384, 0.008
+#: What a block for each length or kind of a further group costs, in rows of a join.
+IN_CALL = 1000
 
 
 def _segment_matches(strings: list[str], k: int) -> tuple[float, float]:
@@ -108,12 +110,21 @@ def price(rows: DataFrame, k: int) -> tuple[str, float]:
     """The cheapest plan for a table with a string ``s`` and an id ``i``, and the rows that it makes for each string.
 
     Segments look at a number of places; beyond that, every plan's cost is the matches that its join gives and the candidates that it
-    leaves. Both are counted among all pairs of ``SAMPLE`` strings, picked by hash.
+    leaves. Both are counted among all pairs of ``SAMPLE`` strings, picked by hash. Only strings of one group (``g``) meet, so what counts of the
+    table's size is that of its groups, and a kind is one of its group: kinds that are to be joined are all different, and never go by kinds again.
     """
-    kinds = F.approx_count_distinct(_kind("s")).alias("kinds")
-    size = rows.agg(F.count("*").alias("n"), F.avg(F.length("s")).alias("mean"), F.max(F.length("s")).alias("most"), kinds).first()
+    # Of a string's group: its strings (``around``) and kinds. ``more_``: what is there beyond the group that has most of them.
+    each = rows.groupBy(F.col("g") if "g" in rows.columns else F.lit(0).alias("g")).agg(
+        F.count("*").cast("double").alias("n"), F.sum(F.length("s")).alias("letters"), F.max(F.length("s")).alias("most"),
+        F.approx_count_distinct(_kind("s")).cast("double").alias("kinds"), F.approx_count_distinct(F.length("s")).alias("lengths"),
+    )
+    per = lambda c: F.coalesce(F.sum(c) / F.sum("n"), F.lit(0.0))
+    size = each.agg(
+        F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), per("letters").alias("mean"), F.max("most").alias("most"), per(F.col("n") * F.col("n")).alias("around"), ((F.sum("lengths") - F.max("lengths")) / F.sum("n")).alias("more_lengths"),
+        per("kinds").alias("kinds"), ((F.sum("kinds") - F.max("kinds")) / F.sum("n")).alias("more_kinds"), per(F.col("kinds") * F.col("kinds")).alias("kind_pairs"), per(F.col("n") * F.col("kinds")).alias("kinds_around"),
+    ).first()
     sample = [r.s for r in rows.select("s", F.xxhash64("s", "i").alias("h")).orderBy("h").limit(SAMPLE).collect()]
-    mean, others = size.mean or 0, (size.n or 0) / 2
+    mean, others = size.mean, size.around / 2
     in_tile = mean * (k + 1) * IN_CELL
     by_segment = sum(w * x for w, x in zip((1, VERIFY), _segment_matches(sample, k))) * others
     at_length, at_place = min(probes_by_length(k), mean * (k + 1)), 2 * mean
@@ -125,11 +136,11 @@ def price(rows: DataFrame, k: int) -> tuple[str, float]:
             if mean - q + 1 - k * q > 0:
                 plans[f"by_count:{q}"] = mean + sum(w * x for w, x in zip((1, VERIFY), _count_matches(sample, k, q))) * others
         if size.most <= WORD:
-            plans["by_tile"] = 2 * others * in_tile / 2 + 2 * others / TILE
-        if size.kinds <= size.n / 2:
+            plans["by_tile"] = 2 * others * in_tile / 2 + 2 * others / TILE + size.more_lengths * (k + 1) * IN_CALL
+        if size.kinds <= 0.5:
             near = _near_kinds(sample, k)
             # Joining the kinds, sending a string to the kinds near its own, and comparing it with their strings.
-            plans["by_kind"] = size.kinds**2 / size.n * in_tile / 2 + near * size.kinds + near * 2 * others * (IN_KIND + 1 / KIND_TILE)
+            plans["by_kind"] = size.kind_pairs * in_tile / 2 + near * size.kinds_around + near * 2 * others * (IN_KIND + 1 / KIND_TILE) + size.more_kinds * IN_CALL
     return min(plans.items(), key=lambda x: x[1])
 
 
