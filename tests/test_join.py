@@ -14,7 +14,7 @@ from threadloom.operators import join
 from threadloom.operators.cluster import labels_of
 from threadloom.operators.join import JoinResult, Side, edit_join_exact, edit_join_lsh, edit_join_tables, links_between
 from threadloom.params import UNREACHED, JoinParams
-from threadloom.plans import lsh, segments
+from threadloom.plans import counting, lsh, segments
 from threadloom.plans.lsh import buckets, candidate_cardinality, candidate_pairs, collision_counts, collisions
 from threadloom.plans.segments import price, segment_candidates
 
@@ -397,6 +397,23 @@ def _without_digits(s):
     return "".join(c for c in s if not c.isdigit())
 
 
+@pytest.mark.parametrize("many,text", [(1, "reads"), (8, "addresses")])
+def test_counts_by_blocks_make_no_row_of_a_collision(spark, monkeypatch, many, text):
+    """What blocks count is what collisions add up to, wildcards, copies, short strings and letters outside the alphabet included."""
+    p = P if text == "reads" else replace(queries.PARAMS, num_str=2, num_hash=4, count_filter=2)
+    texts = [*(reads(90, 21, "ACGT-é") if text == "reads" else addresses(70, 8)), "AC", "", "A" * 30]
+    rows = frame(spark, [*texts, *texts[5:9], None])
+    want = collision_counts(collisions(buckets(rows.where("s is not null"), p), p)).collect()
+    pairs = {(r.i1, r.i2) for r in want if r.freq > p.count_filter}
+    for name, value in (("MOST", 29), ("LEAST", 7), ("ROWS", 5), ("MANY", many), ("OUT", 50), ("OFTEN", 0), ("counts_by_slices", None)):
+        monkeypatch.setattr(counting, name, value)
+    assert sorted(counting.pair_counts(rows, p).collect()) == sorted(want) and len({(r.q1, r.q2) for r in want}) == 4
+    got = counting.pair_set(rows, p).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == pairs and len(pairs) > 50
+    assert counting.pair_number(rows, p).first().n == len(pairs)
+    assert counting.pair_counts(rows.limit(0), p).count() == counting.pair_set(rows.limit(1), p).count() == 0
+
+
 def test_counts_in_slices(spark, monkeypatch):
     """Slices by the first string of a pair give the counts of one pass, and each is a small part of the shuffle."""
     table = buckets(frame(spark, reads(60)), P).cache()

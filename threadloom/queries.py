@@ -16,6 +16,7 @@ from threadloom.operators.consensus import consensus, letters_outside, points_pe
 from threadloom.operators.graph import neighbors
 from threadloom.operators.join import JoinResult, edit_join_exact, edit_join_lsh, edit_join_tables
 from threadloom.params import UNREACHED, JoinParams
+from threadloom.plans.counting import pair_counts
 from threadloom.plans.lsh import bucket_sizes, buckets, candidate_cardinality, candidate_pairs, collisions, counts_by_slices
 from threadloom.plans.numbering import numbered
 from threadloom.plans.scratch import cut, scratch_path
@@ -95,7 +96,7 @@ def filtered_candidates(spark, d):
 
 
 def candidate_freq(spark, d):
-    return counts_by_slices(cut(_buckets(spark, d), "buckets"), PARAMS)
+    return pair_counts(cut(strings(spark, d), "rows"), PARAMS)
 
 
 def candidate_pair_set(spark, d):
