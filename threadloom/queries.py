@@ -16,8 +16,8 @@ from threadloom.operators.consensus import consensus, letters_outside, points_pe
 from threadloom.operators.graph import neighbors
 from threadloom.operators.join import JoinResult, edit_join_exact, edit_join_lsh, edit_join_tables
 from threadloom.params import UNREACHED, JoinParams
-from threadloom.plans.counting import pair_counts
-from threadloom.plans.lsh import bucket_sizes, buckets, candidate_cardinality, candidate_pairs, collisions, counts_by_slices
+from threadloom.plans.counting import pair_counts, pair_set
+from threadloom.plans.lsh import bucket_sizes, buckets, candidate_cardinality, collisions
 from threadloom.plans.numbering import numbered
 from threadloom.plans.scratch import cut, scratch_path
 from threadloom.sinks.files import sorted_pairs, write_consensus, write_pairs
@@ -100,7 +100,7 @@ def candidate_freq(spark, d):
 
 
 def candidate_pair_set(spark, d):
-    return counts_by_slices(cut(_buckets(spark, d), "buckets"), PARAMS, lambda counts: candidate_pairs(counts, PARAMS))
+    return pair_set(cut(strings(spark, d), "rows"), PARAMS)
 
 
 def lsh_join(spark, d):
