@@ -414,6 +414,15 @@ def test_counts_by_blocks_make_no_row_of_a_collision(spark, monkeypatch, many, t
     assert counting.pair_counts(rows.limit(0), p).count() == counting.pair_set(rows.limit(1), p).count() == 0
 
 
+def test_funnel_counts_without_candidates(spark, monkeypatch):
+    texts = [*addresses(60, 3), *addresses(5, 3)]
+    p = replace(queries.PARAMS, num_str=3, num_hash=3)
+    want = edit_join_lsh(frame(spark, texts), p, "i", "s", plan="buckets").funnel().collect()
+    monkeypatch.setattr(counting, "counts_by_slices", None)
+    monkeypatch.setattr(join, "MOST_FAN", -1)
+    assert join.lsh_funnel(frame(spark, texts), p, "i", "s").collect() == want and want[0].n_candidates > want[0].n_links > 0
+
+
 def test_counts_in_slices(spark, monkeypatch):
     """Slices by the first string of a pair give the counts of one pass, and each is a small part of the shuffle."""
     table = buckets(frame(spark, reads(60)), P).cache()

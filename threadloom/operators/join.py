@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.lanes import CELLS, diagonal_distances
 from threadloom.functions.strings import as_bytes, edit_distance, once
 from threadloom.params import JoinParams
+from threadloom.plans.counting import often, pair_number
 from threadloom.plans.lsh import bucket_sizes, buckets, candidate_pairs, collision_counts, collisions, collisions_of, counts_by_slices
 from threadloom.plans.scratch import cut
 from threadloom.plans.segments import COMPARE, by_kind, by_tile, candidates_by, near_rows, price
@@ -141,7 +142,7 @@ def edit_join_lsh(
     ``group_col`` (an integer) only strings of one group meet: it is part of every join key.
     """
     distinct, members = _classes(strings, id_col, text_col, byte_mode, group_col)
-    table = cut(buckets(distinct, params), "buckets")
+    table = None if plan == "segments" else cut(buckets(distinct, params), "buckets")
     # Copies agree under every hash function unless no suffix is embedded at all.
     copies = params.num_rep > 0 and params.num_str * params.num_hash > params.count_filter
     if plan == "auto":
@@ -151,12 +152,20 @@ def edit_join_lsh(
         if "hit" in candidates.columns:
             return JoinResult(candidates.where("hit").select("i1", "i2", "dist"), members, candidates, copies)
         near = verified(candidates, distinct, params.k, "near")
+        table = cut(buckets(distinct, params), "buckets") if table is None else table
         hits = candidate_pairs(collision_counts(collisions_of(near, table)), params)
         return JoinResult(cut(near.join(hits, ["i1", "i2"], "left_semi"), "links"), members, candidates, copies)
     candidates = counts_by_slices(table, params, lambda counts: candidate_pairs(counts, params))
     return JoinResult(cut(verify(candidates, distinct, params.k), "links"), members, candidates, copies)
 
 
+def lsh_funnel(strings: DataFrame, params: JoinParams, id_col: str = "id", text_col: str = "s", byte_mode: bool = True) -> DataFrame:
+    """The ``funnel`` of ``edit_join_lsh`` by ``buckets``: candidates are counted where they collide, and links come from the cheapest plan."""
+    distinct, _ = _classes(strings, id_col, text_col, byte_mode)
+    links = edit_join_lsh(distinct, params, "i", "s", byte_mode=False, plan="segments" if often(distinct, params) else "auto").links
+    return pair_number(distinct, params).select(F.col("n").alias("n_candidates")).crossJoin(links.agg(F.count("*").alias("n_links")))
+
+
 class ExactJoin(JoinResult):
     """The join of ``strings`` (distinct: ``i``, ``s`` and, with groups, ``g``) with themselves. Links are found when they are asked for; what can be said of a
     string without them (``around``, ``connecting``) is added up where strings are compared, if the plan compares blocks, and then no link is written."""

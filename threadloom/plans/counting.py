@@ -206,7 +206,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _often(strings: DataFrame, params: JoinParams) -> bool:
+def often(strings: DataFrame, params: JoinParams) -> bool:
     """Whether pairs of a sample of the strings, picked by hash, collide so often that blocks are cheaper than joining buckets."""
     sample = [r.s for r in strings.where("s is not null").select("s", F.xxhash64("s", "i").alias("h")).orderBy("h").limit(SAMPLE).collect()]
     n = len(sample)
@@ -223,7 +223,7 @@ def _by_slices(strings: DataFrame, params: JoinParams, last: Callable[[DataFrame
 def pair_counts(strings: DataFrame, params: JoinParams) -> DataFrame:
     """The ``collision_counts`` of all ``strings`` (``i``, ``s``; each ``i`` once): ``i1`` < ``i2``, ``q1``, ``q2``, ``freq``. By blocks where collisions are frequent, else by
     joining buckets."""
-    if not _often(strings, params):
+    if not often(strings, params):
         return _by_slices(strings, params)
     byte = lambda at: F.shiftright("x", at).bitwiseAND(F.lit(255))
     return _in_tiles(strings, params, "freq").select("i1", "i2", byte(8).alias("q1"), byte(0).alias("q2"), F.shiftright("x", 16).cast("long").alias("freq"))
@@ -231,13 +231,13 @@ def pair_counts(strings: DataFrame, params: JoinParams) -> DataFrame:
 
 def pair_set(strings: DataFrame, params: JoinParams) -> DataFrame:
     """The ``candidate_pairs`` of all ``strings`` (``i``, ``s``; each ``i`` once): ``i1`` < ``i2``."""
-    if not _often(strings, params):
+    if not often(strings, params):
         return _by_slices(strings, params, lambda counts: candidate_pairs(counts, params))
     return _in_tiles(strings, params, "pairs")
 
 
 def pair_number(strings: DataFrame, params: JoinParams) -> DataFrame:
     """One row, ``n``: how many ``candidate_pairs`` there are."""
-    if not _often(strings, params):
+    if not often(strings, params):
         return _by_slices(strings, params, lambda counts: candidate_pairs(counts, params)).agg(F.count("*").alias("n"))
     return _in_tiles(strings, params, "number").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))

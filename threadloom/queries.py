@@ -14,7 +14,7 @@ from threadloom.functions.strings import edit_distance, letter_codes
 from threadloom.operators.cluster import cluster, labels_of
 from threadloom.operators.consensus import consensus, letters_outside, points_per_cluster
 from threadloom.operators.graph import neighbors
-from threadloom.operators.join import JoinResult, edit_join_exact, edit_join_lsh, edit_join_tables
+from threadloom.operators.join import JoinResult, edit_join_exact, edit_join_lsh, edit_join_tables, lsh_funnel
 from threadloom.params import UNREACHED, JoinParams
 from threadloom.plans.counting import pair_counts, pair_set
 from threadloom.plans.lsh import bucket_sizes, buckets, candidate_cardinality, collisions
@@ -116,7 +116,7 @@ def exact_join_degrees(spark, d):
 
 
 def join_funnel(spark, d):
-    return edit_join_lsh(strings(spark, d), PARAMS, "i", "s", plan="buckets").funnel()
+    return lsh_funnel(strings(spark, d), PARAMS, "i", "s")
 
 
 def edit_distance_scalar(spark, d):
