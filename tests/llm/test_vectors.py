@@ -112,3 +112,53 @@ def test_odd_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert rows_of(df) == slow(rows, 0.93)
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_a_group_that_a_task_holds_is_split_where_it_is(spark, monkeypatch):
+    """No subtree is sent and no leaf goes round again, though the group has more vectors than the 4,096 of a sample once had."""
+    monkeypatch.setattr(vectors, "_descend", None)
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([("x", 6, i, v) for i, v in enumerate(rng.normal(size=(4500, 6)).tolist())], "label string, w int, node long, v array<double>")
+    found = vectors.housed(df, 0.93, 100).collect()
+    sizes = Counter(h for r in found for h in r.homes)
+    assert len(found) == 4500 and len(sizes) > 20 and max(sizes.values()) <= 200
+
+
+def test_a_vector_is_sent_once_for_all_small_leaves_of_its_group(spark):
+    df = spark.createDataFrame([("x", 24, i, v) for i, v, _ in groups(5, 900, labels=1)], "label string, w int, node long, v array<double>")
+    found = vectors.housed(df, 0.93, 8).collect()
+    sizes = Counter(h for r in found for h in r.homes)
+    assert max(sizes.values()) <= vectors.SMALL and sum(sizes.values()) > 9000
+    assert {r.node: [(u.unit, sorted(u.homes)) for u in r.units] for r in found} == {r.node: [(0, sorted(r.homes))] for r in found}
+
+
+def test_large_leaves_and_those_of_larger_groups_are_units_of_their_own(spark):
+    df = spark.createDataFrame([("x", 24, i, v) for i, v, _ in groups(5, 900, labels=1)], "label string, w int, node long, v array<double>")
+    for r in vectors.housed(df, 0.93, 100).collect():
+        assert all([u.unit] == u.homes for u in r.units)
+    # Trees that share the nodes above: a vector is sent to fewer units than it has leaves.
+    found = vectors.housed(df, 0.93, 8, 200).collect()
+    assert all(u.unit for r in found for u in r.units) and 2 * sum(len(r.units) for r in found) < sum(len(r.homes) for r in found)
+    assert all(len(set(r.homes)) == len(r.homes) for r in found)
+
+
+@pytest.mark.parametrize("rows,leaf,unit", [(20_000, 8, 13_000), (500_000, 8, 13_000), (500_000, 1024, 13_000), (5_000, 1024, 2_048)])
+def test_trees_that_share_nodes_lose_no_more(rows, leaf, unit):
+    trees, depth = vectors.trees_for(rows, leaf)
+    above = vectors.trees_above(rows, leaf, unit)
+    levels = np.ceil(np.log(rows / unit) / -np.log(vectors.SHARE))
+    found = vectors.SURVIVES**levels * (1 - (1 - vectors.SURVIVES ** max(0, depth - levels)) ** vectors.trees_below(leaf))
+    assert (1 - found) ** above <= vectors.LOST and above <= trees and (above == trees or leaf == 8)
+
+
+@pytest.mark.parametrize("fit_rows", [4096, 64])
+def test_odd_rows_pass_through_the_forest(spark, fit_rows):
+    """Null, zero and endless vectors, null labels and ids, repeated ids and vectors, among groups that are split."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(90):
+        c = rng.normal(size=16)
+        rows += [(len(rows) + j, [float(x) for x in c + rng.normal(size=16) * 0.01], k % 2) for j in range(3)]
+    rows += [(None, rows[0][1], 0), (5, rows[9][1], 1), (5, rows[0][1], 0), (400, rows[0][1], None), (401, None, 0), (402, [0.0] * 16, 0), (403, [float("inf")] * 16, 0), (404, [None] + [1.0] * 15, 1), (405, [1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert rows_of(df, leaf=4, fit_rows=fit_rows) == slow(rows, 0.93)

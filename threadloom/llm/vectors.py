vectors_forest: groups that a task holds are split there, small leaves are compared together

Symptom: vectors_forest shuffled 66 MB on the small input and 966 MB on the large input, five times the input (power 1.67); CPU 16.0 s and 115.9 s (power 1.23).
Evidence: a label with more vectors than the sample of 4,096 left leaves slightly too large, so 832,476 places went through two more shuffles with their vectors, and each vector was sent to each of its 32 leaves with the list of those before.
Fix: a group that one task holds is fitted on all its vectors and taken down its trees in that task; leaves of up to 64 vectors are compared together, from one copy of each vector. Nodes of larger groups go on as three trees once a task holds them.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 679 -> 315 s, shuffle 4.24 -> 0.24 GB, spill 0.00 -> 0.00 GB, read 0.48 -> 0.20 GB, longest task 6 -> 7 s, most memory of a task 118 -> 68 MB; at 6 GB of input CPU 3464 -> 1899 s, shuffle 39.17 -> 9.19 GB, spill 0.00 -> 0.00 GB, read 3.49 -> 1.93 GB, longest task 38 -> 24 s, most memory of a task 380 -> 455 MB; with hot keys, at 1 GB of input CPU 446 -> 303 s, shuffle 1.63 -> 0.34 GB, spill 0.00 -> 0.00 GB, read 0.23 -> 0.11 GB, longest task 8 -> 5 s, most memory of a task 109 -> 74 MB.

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.arrow_text import quoted
@@ -35,12 +35,19 @@ SHARE = 0.54
 #: The number of trees follows from their depth: a pair at the threshold survives a split with this chance at least (0.93 for
 #: evenly spread vectors), and all trees together may lose it with the other.
 SURVIVES, LOST = 0.92, 1e-4
-#: Numbers (vectors times their width) of the sample that sets one subtree's medians, vectors of it, and those a node needs.
-FIT_NUMBERS, FIT_ROWS, FIT_NODE = 1 << 20, 4096, 16
+#: Numbers (vectors times their width) that set one subtree's medians, vectors of them, and those a node needs. A group of no more is
+#: held by one task, which takes it down to its leaves; a larger one is split by a sample of so many until its nodes are.
+FIT_NUMBERS, FIT_ROWS, FIT_NODE = 1 << 20, 1 << 14, 16
 #: Vectors that one task takes down the trees.
 TASK_ROWS = 100_000
 #: Splits below which a leaf's number stays within the bits that a home (tree << 56 | leaf) has for it.
 MOST_DEPTH = 54
+#: Vectors of a leaf that is compared together with the others of its group, so that a vector is sent once for all of them. One with more
+#: has so much to compare that it is worth being sent by itself.
+SMALL = 64
+#: Trees that go on from each node of a larger group's tree once a task can hold it: they share its vectors, which are sent there once. Where
+#: leaves are not ``SMALL`` there is but one, as their vectors are sent for each tree anyway.
+BELOW = 3
 #: Earlier leaves that the rows of one are compared by at once.
 CODES = 2048
 SEED = 11
@@ -60,6 +67,18 @@ def trees_for(rows: int, leaf: int = LEAF) -> tuple[int, int]:
     return (math.ceil(math.log(LOST) / math.log(1 - SURVIVES**depth)) if depth else 1), depth
 
 
+def trees_above(rows: int, leaf: int, unit: float) -> int:
+    """Trees of a group of ``rows`` vectors of which ``trees_below`` go on from each node of about ``unit`` vectors."""
+    depth = trees_for(rows, leaf)[1]
+    above = min(depth, math.ceil(math.log(max(1, rows / unit)) / -math.log(SHARE)))
+    found = SURVIVES**above * (1 - (1 - SURVIVES ** (depth - above)) ** trees_below(leaf))
+    return math.ceil(math.log(LOST) / math.log(1 - found)) if found < 1 else 1
+
+
+def trees_below(leaf: int) -> int:
+    return BELOW if 2 * leaf <= SMALL else 1
+
+
 @lru_cache(maxsize=1 << 15)
 def direction(seed: int, tree: int, node: int, width: int) -> np.ndarray:
     """The normal of a node's split. It follows from the seed, so only thresholds are stored and sent."""
@@ -73,9 +92,11 @@ class Tree:
 
     def __init__(self, number: int, root: int = 1, nodes: dict[int, tuple[float, float]] | None = None):
         self.number, self.root, self.nodes = number, root, nodes or {}
+        #: Of a fitted tree: its leaves and the rows of the sample that are in them.
+        self.leaves: list[tuple[int, np.ndarray]] = []
 
     @staticmethod
-    def fit(sample: np.ndarray, number: int, root: int, n: int, cosine: float = COSINE, leaf: int = LEAF) -> Tree:
+    def fit(sample: np.ndarray, number: int, root: int, n: int, cosine: float = COSINE, leaf: float = LEAF) -> Tree:
         """Splits until a node has about twice ``leaf`` of the ``n`` vectors that ``sample`` was picked from."""
         out = Tree(number, root)
         spill = SPILL * math.sqrt(max(0.0, 2 * (1 - cosine)) / sample.shape[1])
@@ -83,11 +104,13 @@ class Tree:
         while todo:
             node, rows = todo.pop()
             if len(rows) * n <= 2 * leaf * len(sample) or len(rows) < FIT_NODE or node.bit_length() > MOST_DEPTH:
+                out.leaves.append((node, rows))
                 continue
             p = sample[rows] @ direction(SEED, number, node, sample.shape[1])
             mid = np.median(p)
             left, right = rows[p <= mid + spill], rows[p >= mid - spill]
             if max(len(left), len(right)) > KEPT * len(rows) or len(left) ** 2 + len(right) ** 2 > WORTH * len(rows) ** 2:
+                out.leaves.append((node, rows))
                 continue
             out.nodes[node] = (float(mid - spill), float(mid + spill))
             todo += [(2 * node, left), (2 * node + 1, right)]
@@ -171,21 +194,58 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return table.column(name).combine_chunks()
 
 
+def _most(fit_rows: int) -> Column:
+    """Vectors of width ``w`` that one task fits subtrees on."""
+    return F.least(F.lit(fit_rows), F.greatest(F.floor(F.lit(FIT_NUMBERS) / F.greatest("w", F.lit(1))), F.lit(4 * FIT_NODE)))
+
+
+def _settled(items: DataFrame, whole: DataFrame, numbers: int, cosine: float, leaf: int) -> DataFrame:
+    """``label``, ``w``, ``node``, ``unit``, ``homes``: the leaves of the ``items`` of groups that one task holds (``whole``), which fits the
+    subtrees on all of the group and takes it down. Leaves of up to ``SMALL`` vectors stay together in the group's unit, others are
+    units of their own. ``numbers`` are those of all the groups: a task gets about as many of them as one group may have."""
+    tasks = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-numbers // FIT_NUMBERS))
+    gathered = items.join(whole.select(*_GROUP), list(_GROUP)).select(*_GROUP, "node", "v").repartition(tasks, *_GROUP).sortWithinPartitions(*_GROUP)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, 3):
+            group, x, node = g.column("home")[0].as_py(), unit(_matrix(_column(g, "v"))), _column(g, "node")
+            order = np.lexsort(x.T[:4])
+            x, node = x[order], node.take(pa.array(order))
+            tree, root = group >> _TREE, group & ((1 << _TREE) - 1) or 1
+            units: dict[int, list[tuple[int, np.ndarray]]] = {}
+            for t in range(tree, tree + (trees_below(leaf) if group else trees_for(len(x), leaf)[0])):
+                for at, rows in Tree.fit(x, t, root, len(x), cosine, leaf).leaves:
+                    home = t << _TREE | at
+                    units.setdefault(group if len(rows) <= SMALL else home, []).append((home, rows))
+            for own, leaves in units.items():
+                row = np.concatenate([rows for _, rows in leaves])
+                home = np.repeat([home for home, _ in leaves], [len(rows) for _, rows in leaves])
+                by_row = np.lexsort((home, row))
+                there, first = np.unique(row[by_row], return_index=True)
+                homes = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(home[by_row], pa.int64()))
+                same = [_column(g, c).slice(0, len(there)) for c in ("label", "w")]
+                yield pa.RecordBatch.from_arrays([*same, node.take(pa.array(there)), pa.array(np.full(len(there), own, np.int64)), homes], ["label", "w", "node", "unit", "homes"])
+
+    return gathered.mapInArrow(run, "label string, w int, node long, unit long, homes array<long>")
+
+
 def _subtrees(items: DataFrame, big: DataFrame, cosine: float, leaf: int, fit_rows: int) -> DataFrame:
     """``label``, ``w``, ``home``, ``n``, ``trees``: splits for each group of ``big`` (which has its ``n``), fitted by itself on a
-    sample of its ``items`` that is picked by hash and bounded in rows and numbers."""
-    most = F.least(F.lit(fit_rows), F.greatest(F.floor(F.lit(FIT_NUMBERS) / F.greatest("w", F.lit(1))), F.lit(4 * FIT_NODE)))
+    sample of its ``items`` that is picked by hash and bounded in rows and numbers. They end at nodes that one task can hold."""
+    most = _most(fit_rows)
     pick = F.pmod(F.xxhash64("node", "home"), F.lit(1 << 30))
-    some = items.join(big, list(_GROUP)).where(pick < most / F.col("n") * (1 << 30))
-    gathered = some.select(*_GROUP, "n", "v").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    some = items.join(big.select(*_GROUP, "n"), list(_GROUP)).where(pick < most / F.col("n") * (1 << 30))
+    # Less than a task holds, so that a node that turns out larger than its sample says need not go round again.
+    unit_of = F.greatest(F.lit(2.0 * leaf), F.lit(0.8) * most).alias("unit")
+    gathered = some.select(*_GROUP, "n", unit_of, "v").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, 3):
             sample = unit(_matrix(_column(g, "v")))
             sample = sample[np.lexsort(sample.T[:4])]
-            home, n = g.column("home")[0].as_py(), g.column("n")[0].as_py()
-            numbers = [(t, 1) for t in range(trees_for(n, leaf)[0])] if home == 0 else [(home >> _TREE, home & ((1 << _TREE) - 1))]
-            packed = b"".join(Tree.fit(sample, t, root, n, cosine, leaf).pack() for t, root in numbers)
+            home, n, held = (g.column(c)[0].as_py() for c in ("home", "n", "unit"))
+            numbers = [(t * trees_below(leaf), 1) for t in range(trees_above(n, leaf, held))] if home == 0 else [(home >> _TREE, home & ((1 << _TREE) - 1))]
+            packed = b"".join(Tree.fit(sample, t, root, n, cosine, held / 2).pack() for t, root in numbers)
             first = g.slice(0, 1).combine_chunks().to_batches()[0]
             yield pa.RecordBatch.from_arrays([*(first.column(k) for k in range(4)), pa.array([packed], pa.binary())], [*_GROUP, "n", "trees"])
 
@@ -222,106 +282,145 @@ def _descend(items: DataFrame, subtrees: DataFrame) -> DataFrame:
 
 
 def housed(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``label``, ``w``, ``node``, ``homes``: the leaves of each of the ``vectors`` (``label``, ``w``, ``node``, ``v``), over all trees.
+    """``label``, ``w``, ``node``, ``homes``, ``units``: the leaves of each of the ``vectors`` (``label``, ``w``, ``node``, ``v``), over all
+    trees, and the same by units, which are compared together: ``unit`` and its ``homes``. A unit that is a leaf by itself has its name.
 
-    Groups that outgrow a leaf are split by subtrees fitted on a sample of their own, first labels by all their trees,
-    then, as often as it takes, the leaves that are still too large; a leaf that a split does not make smaller stays.
-    Nothing of this passes through the driver but counts.
+    Groups that outgrow a leaf but not a task are split where they are gathered, at once by all their trees. Larger ones are split by
+    subtrees fitted on a sample of their own, first labels by all their trees, then, as often as it takes, the nodes that are still
+    too large for a task; one that a split does not make smaller stays. Nothing of this passes through the driver but counts.
     """
     items = vectors.select("label", "w", F.lit(0).cast("long").alias("home"), "node", "v")
     placed = items.select("label", "w", "node", "home")
-    done = None
+    fits = F.col("n") <= _most(fit_rows)
+    done, settled = None, []
     while True:
         sizes = cut(placed.groupBy(*_GROUP).agg(F.count("*").alias("n")).where(F.col("n") > 2 * leaf), "large-leaves")
         if done is not None:
             sizes = sizes.join(done, list(_GROUP), "left_anti")
-        if not sizes.limit(1).count():
+        whole, larger = sizes.agg(F.sum(F.when(fits, F.col("n") * F.col("w"))), F.count_if(~fits)).first()
+        if not whole and not larger:
             break
-        some = items if done is None else placed.join(sizes.select(*_GROUP), list(_GROUP), "left_semi").join(vectors.select("node", "v"), "node")
-        subtrees = cut(_subtrees(some, sizes, cosine, leaf, fit_rows), "subtrees")
-        below = _descend(some, subtrees)
-        rest = placed.join(subtrees.select(*_GROUP), list(_GROUP), "left_anti")
+        # Places are many but small as files, so that without the hint each task could get all of them.
+        some = items if done is None else placed.join(sizes.select(*_GROUP), list(_GROUP), "left_semi").join(vectors.select("node", "v").hint("merge"), "node")
+        if whole:
+            settled.append(cut(_settled(some, sizes.where(fits), whole, cosine, leaf), "settled"))
+        rest = placed.join(sizes.select(*_GROUP), list(_GROUP), "left_anti").select("label", "w", "node", "home")
+        if not larger:
+            placed = rest
+            break
+        subtrees = cut(_subtrees(some, sizes.where(~fits), cosine, leaf, fit_rows), "subtrees")
         # What a split left as it was is not split again.
         done = (sizes if done is None else done.unionByName(sizes, allowMissingColumns=True)).select(*_GROUP)
-        placed = cut(below.unionByName(rest.select("label", "w", "node", "home")), "homes")
-    return placed.groupBy("label", "w", "node").agg(F.collect_list("home").alias("homes"))
+        placed = cut(_descend(some, subtrees).unionByName(rest), "homes")
+    every = placed.select("label", "w", "node", F.col("home").alias("unit"), F.array("home").alias("homes"))
+    for more in settled:
+        every = every.unionByName(more)
+    units = every.groupBy("label", "w", "node").agg(F.collect_list(F.struct("unit", "homes")).alias("units"))
+    return units.select("label", "w", "node", F.flatten("units.homes").alias("homes"), "units")
 
 
 def leaf_links(nodes: DataFrame, cosine: float = COSINE, leaf: int = LEAF, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> DataFrame:
     """What the leaves know of the links between the ``nodes`` (``node``, ``label``, ``w``, ``v`` and the weight ``n``), in two kinds of
     rows: ``a`` with ``m``, the weight of nodes that it links to (to be summed up), and ``a`` with ``b``, a forest of the links.
 
-    Each vector goes to each of its leaves once, together with the numbers of its leaves before that one: a pair counts in the first
-    leaf that both share, so every pair found counts once and none is ever written. Leaves beyond ``block`` vectors are dealt
-    into blocks by hash and each two blocks meet by themselves.
+    Each vector goes to each of its units once, together with the numbers of its leaves: a pair counts in the first leaf that both
+    share, so every pair found counts once and none is ever written. Leaves beyond ``block`` vectors are dealt into blocks by hash
+    and each two blocks meet by themselves.
     """
-    homes = cut(housed(nodes.select("label", "w", "node", "v"), cosine, leaf, fit_rows), "housed")
-    placed = homes.select("label", "w", "node", "homes", F.explode("homes").alias("home"))
-    sizes = cut(placed.groupBy(*_GROUP).agg(F.count("*").alias("size")).where(F.col("size") > block), "blocked-leaves")
-    sent = nodes.select("node", "n", "v").join(homes, "node").withColumn("home", F.explode("homes"))
-    sent = sent.withColumn("homes", F.filter("homes", lambda h: h < F.col("home")))
+    homes = cut(housed(nodes.select("label", "w", "node", "v"), cosine, leaf, fit_rows).select("label", "w", "node", "units"), "housed")
+    alone = homes.select("label", "w", F.explode("units").alias("here")).where(F.col("here.homes")[0] == F.col("here.unit"))
+    sizes = cut(alone.groupBy("label", "w", F.col("here.unit").alias("unit")).agg(F.count("*").alias("size")).where(F.col("size") > block), "blocked-leaves")
+    sent = nodes.select("node", "n", "v").join(homes, "node").withColumns({"every": F.flatten("units.homes"), "here": F.explode("units")})
+    sent = sent.withColumns({"unit": F.col("here.unit"), "homes": F.col("here.homes")})
+    sent = sent.withColumn("others", F.array_except(F.filter("every", lambda h: h < F.array_max("homes")), "homes"))
     if sizes.limit(1).count():
         blocks = F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
-        sent = sent.join(sizes, list(_GROUP), "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        sent = sent.join(sizes, ["label", "w", "unit"], "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         # A row meets its own block and all others of its leaf.
         sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         sent = sent.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
     else:
         sent = sent.withColumns({c: F.lit(0) for c in ("block", "x", "y")})
-    keys = ["key", *_GROUP, "x", "y"]
-    sent = sent.withColumn("key", F.xxhash64(*_GROUP, "x", "y")).select(*keys, "block", "node", "n", "v", "homes")
+    keys = ["key", "label", "w", "unit", "x", "y"]
+    sent = sent.withColumn("key", F.xxhash64("label", "w", "unit", "x", "y")).select(*keys, "block", "node", "n", "v", "homes", "others")
     sorted_ = sent.repartition("key").sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, 6):
-            x, y, home = (g.column(k)[0].as_py() for k in ("x", "y", "home"))
-            out = _compare(g, x, y, home, cosine)
+            x, y = (g.column(k)[0].as_py() for k in ("x", "y"))
+            out = _compare(g, x, y, cosine)
             if out is not None:
                 yield out
 
     return sorted_.mapInArrow(run, "a long, b long, m long")
 
 
-def _compare(g: pa.Table, x: int, y: int, home: int, cosine: float) -> pa.RecordBatch | None:
-    """Links of one leaf, or between two blocks of it, that no earlier leaf has."""
+def _lists(column: pa.ListArray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of each element; ``places`` has the number of each row."""
+    return np.repeat(places, np.diff(column.offsets.to_numpy())), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _compare(g: pa.Table, x: int, y: int, cosine: float) -> pa.RecordBatch | None:
+    """Links inside the leaves of one unit, or between two blocks of its only leaf, that no earlier leaf has."""
     block, node, weight = (_column(g, k).to_numpy(zero_copy_only=False) for k in ("block", "node", "n"))
     v = unit(_matrix(_column(g, "v")))
     order = np.argsort(block, kind="stable")
     block, node, weight, v = block[order], node[order], weight[order].astype(float), v[order]
-    split = int(np.searchsorted(block, y)) if x != y else 0
-    # Which earlier leaves rows share: those of one row alone say nothing.
-    homes = _column(g, "homes")
-    count = np.diff(homes.offsets.to_numpy())
-    row, flat = np.repeat(np.arange(len(homes)), count), homes.flatten().to_numpy(zero_copy_only=False)
-    row = np.argsort(order)[row]
-    codes, code, often = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = often[code] > 1
-    rank = np.cumsum(often > 1) - 1
-    row, code, codes = row[shared], rank[code[shared]], int((often > 1).sum())
-
-    def inside(first: int) -> np.ndarray:
-        """Rows by the earlier leaves from ``first`` on, as 0 and 1."""
-        some = (code >= first) & (code < first + CODES)
-        out = np.zeros((len(node), min(CODES, codes - first)), np.float32)
-        out[row[some], code[some] - first] = 1
-        return out
+    split = int(np.searchsorted(block, y)) if x != y else None
+    row, home = _lists(_column(g, "homes"), np.argsort(order))
+    other, others = _lists(_column(g, "others"), np.argsort(order))
+    by_leaf = np.lexsort((row, home))
+    leaves, first = np.unique(home[by_leaf], return_index=True)
+    members = np.split(row[by_leaf], first[1:])
+    row, home = np.concatenate([row, other]), np.concatenate([home, others])
+    by_row = np.lexsort((home, row))
+    home = home[by_row]
+    ends = np.searchsorted(row[by_row], np.arange(len(node) + 1))
+    total = np.zeros(len(node))
+    edges: list[tuple[int, int]] = []
+    for leaf, rows in zip(leaves.tolist(), members):
+        def earlier() -> tuple[np.ndarray, np.ndarray]:
+            """Row and number of the leaves before this one."""
+            mine = [home[ends[r] : ends[r + 1]] for r in rows]
+            mine = [h[: np.searchsorted(h, leaf)] for h in mine]
+            return np.repeat(np.arange(len(rows)), [len(h) for h in mine]), np.concatenate(mine)
+
+        if len(rows) > 1:
+            more, joined = _linked(v[rows], weight[rows], split, cosine, earlier)
+            if joined:
+                total[rows] += more
+                edges += [(rows[p], rows[q]) for p, q in joined]
+    linked = np.flatnonzero(total)
+    if not len(linked):
+        return None
+    a = np.concatenate([node[linked], node[[e[0] for e in edges]]]).astype(np.int64)
+    b = pa.array([None] * len(linked) + node[[e[1] for e in edges]].tolist(), pa.int64())
+    m = pa.array(np.concatenate([total[linked], np.zeros(len(edges))]).astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(a), b, m], ["a", "b", "m"])
 
-    kept = inside(0) if codes else None
-    total, parent = np.zeros(len(node)), np.arange(len(node))
+
+def _linked(v: np.ndarray, weight: np.ndarray, split: int | None, cosine: float, earlier: Callable[[], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The weight that each row of a leaf links to, and a forest of the links; with ``split``, only links of rows before it to those from it on.
+    ``earlier`` gives row and number of the leaves before this one: links that one of them has do not count."""
+    n = len(v)
+    total, parent = np.zeros(n), np.arange(n)
     edges: list[tuple[int, int]] = []
-    n = len(node)
-    for i in range(0, split if x != y else n, 512):
-        j = min(i + 512, split if x != y else n)
-        first = split if x != y else i
+    known = None
+    for i in range(0, n if split is None else split, 512):
+        j = min(i + 512, n if split is None else split)
+        first = i if split is None else split
         dot = v[i:j] @ v[first:].T
         near = dot >= cosine
         for p, q in zip(*np.nonzero(np.abs(dot - cosine) < 1e-9)):  # at the threshold the order of summing must not decide
             near[p, q] = math.fsum(v[i + p] * v[first + q]) >= cosine
-        if x == y:
+        if split is None:
             near &= np.arange(i, j)[:, None] < np.arange(first, n)[None, :]
-        for c in range(0, codes, CODES):
+        if not near.any():
+            continue
+        known = known or _Shared(n, *earlier())
+        for c in range(0, known.codes, CODES):
             if near.any():
-                some = inside(c) if c else kept
+                some = known.inside(c)
                 near &= some[i:j] @ some[first:].T == 0
         if not near.any():
             continue
@@ -329,13 +428,27 @@ def _compare(g: pa.Table, x: int, y: int, home: int, cosine: float) -> pa.Record
         total[first:] += near.T @ weight[i:j]
         # For the forest the first link of each column, and each row's links to columns of other trees.
         _join(near, i, first, parent, edges)
-    linked = np.flatnonzero(total)
-    if not len(linked):
-        return None
-    a = np.concatenate([node[linked], node[[e[0] for e in edges]]]).astype(np.int64)
-    b = pa.array([None] * len(linked) + node[[e[1] for e in edges]].tolist(), pa.int64())
-    m = pa.array(np.concatenate([total[linked], np.zeros(len(edges))]).astype(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(a), b, m], ["a", "b", "m"])
+    return total, edges
+
+
+class _Shared:
+    """Which earlier leaves the ``n`` rows of one share: those of one row alone say nothing."""
+
+    def __init__(self, n: int, row: np.ndarray, leaf: np.ndarray):
+        _, code, often = np.unique(leaf, return_inverse=True, return_counts=True)
+        shared = often[code] > 1
+        self.n, self.row, self.code, self.codes = n, row[shared], (np.cumsum(often > 1) - 1)[code[shared]], int((often > 1).sum())
+        self.first = self._inside(0) if self.codes else None
+
+    def inside(self, first: int) -> np.ndarray:
+        """Rows by the earlier leaves from ``first`` on, as 0 and 1."""
+        return self._inside(first) if first else self.first
+
+    def _inside(self, first: int) -> np.ndarray:
+        some = (self.code >= first) & (self.code < first + CODES)
+        out = np.zeros((self.n, min(CODES, self.codes - first)), np.float32)
+        out[self.row[some], self.code[some] - first] = 1
+        return out
 
 
 def _join(near: np.ndarray, i: int, first: int, parent: np.ndarray, edges: list[tuple[int, int]]) -> None:
