@@ -304,6 +304,24 @@ def test_addresses_are_embedded_in_many_tasks(spark, monkeypatch):
     assert queries._buckets(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 13
 
 
+def test_native_embedding_is_dealt_by_number(spark, monkeypatch, tmp_path):
+    """Null, empty, long, foreign and repeated addresses and ids: the rows of the other embedding, as many in each task."""
+    odd = [(900, None), (901, ""), (902, "x" * 500), (903, "h\u00e9 \U0001f600#?"), (3, "https://a.b/3"), (3, "https://a.b/3"), (None, "https://a.b/c")]
+    spark.createDataFrame(odd + [(k, f"https://a.b/{k % 50}/{k * k}") for k in range(10, 202)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    monkeypatch.setattr(queries, "TASK_STRINGS", 20)
+    found = queries.cgk_embed_native(spark, str(tmp_path))
+    each = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(each) == 10 and max(each) <= 1.5 * min(each)
+    rows = lambda df: sorted((r.i, r.t, r.q, r.sigs) for r in df.collect())
+    assert len(rows(found)) == 198 * queries.PARAMS.num_str * queries.PARAMS.num_rep
+    assert rows(found) == rows(queries.cgk_embed(spark, str(tmp_path)))
+
+
+def test_native_embedding_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert queries.cgk_embed_native(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("params", [None, P])
 def test_two_tables(spark, params):
     one, two = reads(40, 9), reads(40, 9)[10:] + reads(15, 10)

@@ -74,6 +74,8 @@ def cgk_embed(spark, d):
 
 def cgk_embed_native(spark, d):
     rows = strings(spark, d)
+    # Few bytes, which adaptive execution would leave in one task, but slow to embed: so they are dealt by their number.
+    rows = rows.repartition(max(1, -(-rows.count() // TASK_STRINGS)))
     cells = [F.struct(F.lit(t).alias("t"), F.lit(q).alias("q"), embedded_column(F.col("s"), PARAMS, t, q).alias("e")) for t in range(PARAMS.num_str) for q in range(PARAMS.num_rep)]
     sig = F.concat_ws("|", *(F.concat(*(F.substring("e", p + 1, 1) for p in row)) for row in PARAMS.positions))
     return rows.select("i", F.explode(F.array(*cells)).alias("x")).select("i", "x.*").select("i", "t", "q", sig.alias("sigs"))
