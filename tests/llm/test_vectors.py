@@ -162,3 +162,9 @@ def test_odd_rows_pass_through_the_forest(spark, fit_rows):
     rows += [(None, rows[0][1], 0), (5, rows[9][1], 1), (5, rows[0][1], 0), (400, rows[0][1], None), (401, None, 0), (402, [0.0] * 16, 0), (403, [float("inf")] * 16, 0), (404, [None] + [1.0] * 15, 1), (405, [1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     assert rows_of(df, leaf=4, fit_rows=fit_rows) == slow(rows, 0.93)
+
+
+def test_homes_have_room_for_the_trees_of_a_very_large_group():
+    trees = vectors.trees_above(10**9, 8, 13_000) * vectors.trees_below(8)
+    deepest = (1 << vectors.MOST_DEPTH) - 1  # the last node that may be split
+    assert 2 * deepest + 1 < 1 << vectors._TREE and (trees << vectors._TREE) < 1 << 63

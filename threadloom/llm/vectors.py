vectors_forest: leaf numbers have room for 256 trees

Symptom: a label of some 300 million distinct vectors or more would need more than 127 trees now that three share each node of a larger group's tree, and leaf numbers had no room for them.
Evidence: by the formula, 159 trees for a billion vectors in leaves of 8, 108 before trees were shared; not run at that size.
Fix: the tree's number begins one bit lower; the deepest leaf still fits below it.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 679 -> 315 s, shuffle 4.24 -> 0.24 GB, spill 0.00 -> 0.00 GB, read 0.48 -> 0.20 GB, longest task 6 -> 7 s, most memory of a task 118 -> 68 MB; at 6 GB of input CPU 3464 -> 1899 s, shuffle 39.17 -> 9.19 GB, spill 0.00 -> 0.00 GB, read 3.49 -> 1.93 GB, longest task 38 -> 24 s, most memory of a task 380 -> 455 MB; with hot keys, at 1 GB of input CPU 446 -> 303 s, shuffle 1.63 -> 0.34 GB, spill 0.00 -> 0.00 GB, read 0.23 -> 0.11 GB, longest task 8 -> 5 s, most memory of a task 109 -> 74 MB.

@@ -40,7 +40,7 @@ SURVIVES, LOST = 0.92, 1e-4
 FIT_NUMBERS, FIT_ROWS, FIT_NODE = 1 << 20, 1 << 14, 16
 #: Vectors that one task takes down the trees.
 TASK_ROWS = 100_000
-#: Splits below which a leaf's number stays within the bits that a home (tree << 56 | leaf) has for it.
+#: Splits below which a leaf's number stays within the bits that a home (tree << 55 | leaf) has for it.
 MOST_DEPTH = 54
 #: Vectors of a leaf that is compared together with the others of its group, so that a vector is sent once for all of them. One with more
 #: has so much to compare that it is worth being sent by itself.
@@ -52,7 +52,7 @@ BELOW = 3
 CODES = 2048
 SEED = 11
 
-_TREE = 56
+_TREE = 55
 _GROUP = ("label", "w", "home")
 
 
